@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .media import op10_media_columns
+from .simhash import op9_simhash
 
 
 def queries():
     return {
+        "op9_simhash": op9_simhash,
         "op10_media_columns": op10_media_columns,
     }
 
