@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .media import op10_media_columns
+from .repeats import op3_suffix_dedup
 from .simhash import op9_simhash
 
 
 def queries():
     return {
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op9_simhash": op9_simhash,
         "op10_media_columns": op10_media_columns,
     }
