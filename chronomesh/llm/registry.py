@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .media import op10_media_columns
+from .packing import op8_packing
 from .repeats import op3_suffix_dedup
 from .simhash import op9_simhash
 
@@ -10,6 +11,7 @@ from .simhash import op9_simhash
 def queries():
     return {
         "op3_suffix_dedup": op3_suffix_dedup,
+        "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_media_columns": op10_media_columns,
     }
