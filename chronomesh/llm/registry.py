@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from .language import op4_language_id
 from .media import op10_media_columns
 from .packing import op8_packing
+from .quality import op6_quality
 from .repeats import op3_suffix_dedup
 from .simhash import op9_simhash
+from .topk import OP5_SQL, op5_top_k
 
 
 def queries():
     return {
         "op3_suffix_dedup": op3_suffix_dedup,
+        "op4_language_id": op4_language_id,
+        "op5_top_k": op5_top_k,
+        "op6_quality": op6_quality,
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_media_columns": op10_media_columns,
@@ -18,4 +24,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op5_top_k": OP5_SQL}
