@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP1_SQL, op1_chat_format
 from .language import op4_language_id
 from .media import op10_media_columns
 from .packing import op8_packing
@@ -9,14 +10,17 @@ from .quality import op6_quality
 from .repeats import op3_suffix_dedup
 from .simhash import op9_simhash
 from .topk import OP5_SQL, op5_top_k
+from .urls import op7_url_filter
 
 
 def queries():
     return {
+        "op1_chat_format": op1_chat_format,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_language_id": op4_language_id,
         "op5_top_k": op5_top_k,
         "op6_quality": op6_quality,
+        "op7_url_filter": op7_url_filter,
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_media_columns": op10_media_columns,
@@ -24,4 +28,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_top_k": OP5_SQL}
+    return {"op1_chat_format": OP1_SQL, "op5_top_k": OP5_SQL}
