@@ -6,6 +6,7 @@ from .chat import OP1_SQL, op1_chat_format
 from .language import op4_language_id
 from .media import op10_media_columns
 from .packing import op8_packing
+from .pieces import op2_sentencepiece
 from .quality import op6_quality
 from .repeats import op3_suffix_dedup
 from .simhash import op9_simhash
@@ -16,6 +17,7 @@ from .urls import op7_url_filter
 def queries():
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_language_id": op4_language_id,
         "op5_top_k": op5_top_k,
