@@ -83,9 +83,10 @@ def signed(values, kind=np.uint64) -> pa.Array:
     return pa.array(np.array(values, kind).view(np.int64))
 
 
-def text_key() -> list[Column]:
+def text_key(text: Column | None = None) -> list[Column]:
     """128 bits that name a text, as two longs."""
-    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
+    text = F.col("text") if text is None else text
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
 
 def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -112,7 +113,7 @@ def anchor_rows(texts: DataFrame, depth: int, anchor: int) -> DataFrame:
                 ["k", "c", "t1", "t2", "lo", "hi", "place"],
             )
 
-    long_enough = texts.where(F.octet_length("text") >= depth).select("t1", "t2", "text")
+    long_enough = texts.where(F.octet_length("text") >= depth).select("t1", "t2", "text", "copies")  # all columns, so that the shuffle of texts is one with the others
     return map_arrow(long_enough, run, "k long, c long, t1 long, t2 long, lo int, hi int, place int")
 
 
@@ -180,7 +181,7 @@ def stretches(marks: DataFrame, texts: DataFrame, depth: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             cells, data, row = [], [], []
-            for i, (raw, own) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for i, (raw, own) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 cells += own
                 data += [raw[w["lo"] : w["hi"] + depth] for w in own]
                 row += [i] * len(own)
@@ -188,7 +189,7 @@ def stretches(marks: DataFrame, texts: DataFrame, depth: int) -> DataFrame:
             fields = [pa.array([w[n] for w in cells], t) for n, t in (("k", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("place", pa.int32()), ("kind", pa.int32()))]
             yield pa.RecordBatch.from_arrays([fields[0], batch.column(0).take(row), batch.column(1).take(row), *fields[1:], pa.array(data, pa.binary())], ["k", "t1", "t2", "lo", "hi", "place", "kind", "data"])
 
-    joined = texts.select("t1", "t2", "text").join(wanted, ["t1", "t2"])
+    joined = texts.join(wanted, ["t1", "t2"])
     return map_arrow(joined, run, "k long, t1 long, t2 long, lo int, hi int, place int, kind int, data binary", rows=64)
 
 
