@@ -108,16 +108,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return KernelModel(np.array(sets).reshape(-1, BUCKETS), labels)
 
 
-def predicted(docs: DataFrame, model: KernelModel, text_col: str = "text") -> DataFrame:
-    """docs with columns lang_pred and score."""
+def predicted(docs: DataFrame, model: KernelModel, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """docs with two columns more, the language and its score."""
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{lang_col}` string, `{score_col}` double"])
 
     def run(batches):
         for batch in batches:
             found, scores = model.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, lang_col, score_col])
 
     return map_arrow(docs, run, schema)
 

@@ -144,16 +144,16 @@ def scores(texts: list[str | None], weights: np.ndarray) -> list[float]:
     return (1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))).tolist()
 
 
-def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
-    """docs with column quality_score."""
+def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
+    """docs with one column more, the score."""
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "quality_score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{score_col}` double"])
 
     def run(batches):
         for batch in batches:
             found = scores(batch.column(at).to_pylist(), weights)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, score_col])
 
     return map_arrow(docs, run, schema)
 
