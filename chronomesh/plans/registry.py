@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import scalar  # noqa: F401  registers its queries
+from .catalog import ORACLES, QUERIES
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
