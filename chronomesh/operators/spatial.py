@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,23 +42,27 @@ def nearest(pairs: DataFrame, by: list[str], k: int, order: list) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def snap(points: DataFrame, nodes: DataFrame, metric: Metric, cell_lat: float = 0.004, cell_lng: float = 0.004, rounds: int = 12, lng_scale: float = 0.6) -> DataFrame:
+def snap(points: DataFrame, nodes: DataFrame, metric: Metric, size: float | None = None, rounds: int = 12, lng_scale: float = 0.6) -> DataFrame:
     """(id, node, d): the exact nearest node of every point, ties to the smaller node.
 
     points have id, lat, lng; nodes have node, r_lat, r_lng. A round looks at 3 x 3 cells
     and settles a point if its best lies no farther than one cell's edge, which nothing outside
-    can undercut; the others go on with cells twice as large. lng_scale is at most the
+    can undercut; the others go on with cells four times as large. The first cells hold about four
+    nodes, unless `size` (degrees) is given. lng_scale is at most the
     length of a degree of longitude over that of latitude where the points are. Points that
     no round settles have no row.
     """
     edge_m = lambda c: F.lit(c * 111_194.0)  # noqa: E731  metres of c degrees of latitude on the sphere, rounded down
+    if size is None:
+        box = nodes.agg(F.min("r_lat"), F.max("r_lat"), F.min("r_lng"), F.max("r_lng"), F.count("*")).first()
+        size = max(1e-4, 2 * math.sqrt(max(0.0, (box[1] - box[0]) * (box[3] - box[2])) / box[4])) if box[4] else 1.0
     left, found = points, None
     for i in range(rounds):
-        size_lat, size_lng = cell_lat * 2**i, cell_lng * 2**i
-        pairs = binned_pairs(left, nodes, size_lat, size_lng).withColumn("d", metric(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng")))
+        cells = size * 4**i
+        pairs = binned_pairs(left, nodes, cells, cells).withColumn("d", metric(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng")))
         best = pairs.groupBy("id").agg(F.min(F.struct("d", "node")).alias("b")).select("id", F.col("b.node").alias("node"), F.col("b.d").alias("d"))
         last = i == rounds - 1
-        done = best if last else best.where(F.col("d") <= edge_m(min(size_lat, size_lng * lng_scale)))
+        done = best if last else best.where(F.col("d") <= edge_m(cells * lng_scale))
         done = done.persist()
         found = done if found is None else found.unionByName(done)
         if last:
