@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import scalar, spatial  # noqa: F401  they register their queries
+from . import layouts, scalar, spatial  # noqa: F401  they register their queries
 from .catalog import ORACLES, QUERIES
 
 
