@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEG, KM_PER_LNG, cell, flat_km
+from .shared import settle
 
 Metric = Callable[[Column, Column, Column, Column], Column]
 
@@ -63,11 +64,12 @@ def snap(points: DataFrame, nodes: DataFrame, metric: Metric, size: float | None
         best = pairs.groupBy("id").agg(F.min(F.struct("d", "node")).alias("b")).select("id", F.col("b.node").alias("node"), F.col("b.d").alias("d"))
         last = i == rounds - 1
         done = best if last else best.where(F.col("d") <= edge_m(cells * lng_scale))
-        done = done.persist()
+        done = settle(done)
         found = done if found is None else found.unionByName(done)
         if last:
             break
-        left = left.join(done.select("id"), "id", "left_anti").persist()
+        left = left.join(done.select("id"), "id", "left_anti")
+        left = settle(left)
         if left.isEmpty():
             break
     return found
