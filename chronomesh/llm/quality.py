@@ -132,7 +132,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
                 ["votes", "x"],
             )
 
-    got = map_arrow(rows.orderBy("draw", "text").limit(sample), run, "votes array<int>, x binary").collect()
+    total = docs.count()
+    share = min(1.0, 1.5 * sample / max(1, total))  # so that the few rows that are drawn are all that is moved
+    drawn = rows.where(F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30)))
+    got = map_arrow(drawn.orderBy("draw", "text").limit(sample), run, "votes array<int>, x binary").collect()
     if not got:
         return np.zeros(FEATURES)
     good, _ = posteriors(np.array([r["votes"] for r in got]))
