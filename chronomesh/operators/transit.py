@@ -101,3 +101,37 @@ def egress(arrivals: DataFrame, access: DataFrame, walks: DataFrame) -> DataFram
     rides = arrivals.join(access.withColumnRenamed("seconds", "last"), "stop").groupBy("i", "j").agg(F.min(F.col("seconds") + F.col("last")).alias("ride"))
     both = rides.join(walks.withColumnRenamed("seconds", "walk"), ["i", "j"], "full_outer")
     return both.select("i", "j", F.least("ride", "walk").alias("seconds"))
+
+
+LEG = "array<struct<kind:string,start:bigint,stop:bigint,pattern:bigint,trip:bigint>>"
+
+
+def journeys(trips: DataFrame, foot: DataFrame, access: DataFrame, labels: DataFrame, targets: DataFrame, most: int = 100) -> DataFrame:
+    """(source, target, arr, legs) of targets (source, target): how each was reached, at most `most` legs.
+
+    Walks back from the labels: a stop that is a seed ends the journey; else a ride arrived there
+    just then, boarded at a stop that was reached in time; else a walk did. Of several rides the one of
+    smallest pattern, trip and boarding place counts. No row where the target has no label.
+    """
+    seeds = access.groupBy("source", F.col("stop").alias("at")).agg(F.min("arr").cast("long").alias("arr")).withColumn("seed", F.lit(True))
+    arrive = trips.select("pattern", "trip", F.col("pos").alias("last"), F.col("stop").alias("at"), "arr")
+    leave = trips.select("pattern", "trip", "pos", F.col("stop").alias("from"), "dep")
+    reached = labels.select("source", F.col("stop").alias("from"), F.col("arr").alias("before"))
+    todo = settle(targets.join(labels.withColumnRenamed("stop", "target"), ["source", "target"]).select("source", "target", F.col("arr").alias("end"), F.col("target").alias("at"), "arr", F.array().cast(LEG).alias("legs")))
+    found = None
+    for _ in range(most + 1):
+        marked = settle(todo.join(seeds, ["source", "at", "arr"], "left"))
+        done = settle(marked.where("seed").select("source", "target", F.col("end").alias("arr"), "legs"))
+        found = done if found is None else found.unionByName(done)
+        open_ = marked.where("seed is null").drop("seed")
+        if open_.isEmpty():
+            break
+        leg = lambda kind, pattern, trip: F.struct(F.lit(kind).alias("kind"), F.col("from").alias("start"), F.col("at").alias("stop"), pattern.cast("long").alias("pattern"), trip.cast("long").alias("trip"))
+        none = F.lit(None)
+        rode = open_.join(arrive, ["at", "arr"]).join(leave, ["pattern", "trip"]).where("pos < last").join(reached, ["source", "from"]).where("before <= dep and before < arr")
+        rode = rode.select("source", "target", "end", "legs", "before", F.lit(0).alias("rank"), "pattern", "trip", "pos", leg("ride", F.col("pattern"), F.col("trip")).alias("leg"))
+        hop = open_.join(foot.select(F.col("a").alias("from"), F.col("b").alias("at"), "sec"), "at").join(reached, ["source", "from"]).where("before + sec = arr and before < arr")
+        hop = hop.select("source", "target", "end", "legs", "before", F.lit(1).alias("rank"), F.col("from").alias("pattern"), none.cast("long").alias("trip"), none.cast("long").alias("pos"), leg("foot", none, none).alias("leg"))
+        step = rode.unionByName(hop).groupBy("source", "target").agg(F.min_by(F.struct("end", "legs", "before", "leg"), F.struct("rank", "pattern", "trip", "pos")).alias("s"))
+        todo = settle(step.select("source", "target", "s.end", F.col("s.leg.start").alias("at"), F.col("s.before").alias("arr"), F.concat(F.array("s.leg"), "s.legs").alias("legs")))
+    return found

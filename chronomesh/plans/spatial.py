@@ -257,6 +257,17 @@ _SCC = f"""{with_ctes('blocks', recursive=True)}, r AS (SELECT p_partkey // 100
 SELECT p_partkey AS node, CASE WHEN hi IS NOT NULL AND blk >= 1 AND p_partkey <= hi THEN 100 * blk ELSE p_partkey END AS component FROM part JOIN r ON p_partkey // 100 = blk"""
 
 
+@query("g14_alternative_cost")
+def g14(spark, sf):
+    """What the path of fewest metres costs in seconds: metres are made up from the ends, seconds are the weights."""
+    e = links(spark, sf)
+    by_metres = e.select("src", "dst", ((F.col("src") * 31 + F.col("dst") * 17) % 97 + 1).alias("w"))
+    labels = graph.sssp(by_metres, sources(spark, sf)).persist()
+    targets = labels.where("node % 97 = 5 and node <> source").select("source", F.col("node").alias("target"))
+    routes = graph.paths(labels, targets).withColumn("route", F.struct("source", "target"))
+    return graph.path_cost(routes, e).select("route.source", "route.target", F.col("cost").alias("seconds"))
+
+
 @query("g3_strong_components", _SCC)
 def g3(spark, sf):
     return graph.strong_components(blocks(spark, sf))
@@ -341,6 +352,15 @@ def g10(spark, sf):
     return transit.earliest_arrivals(timetable(spark, sf), foot_edges(spark), access(spark), rounds=2)
 
 
+@query("g12_journeys", raptor_sql(2).rsplit(" SELECT source", 1)[0] + " SELECT source, stop AS target, arr FROM l2 WHERE stop % 25 = 3")
+def g12(spark, sf):
+    """Journeys to some stops; each is walked back to a seed, so its arrival is the label's."""
+    t, foot, seeds = timetable(spark, sf), foot_edges(spark), access(spark)
+    labels = transit.earliest_arrivals(t, foot, seeds, rounds=2)
+    targets = labels.where("stop % 25 = 3").select("source", F.col("stop").alias("target"))
+    return transit.journeys(t, foot, seeds, labels, targets).select("source", "target", "arr")
+
+
 _EGRESS = "egress AS (SELECT s AS j, (s * 7 + k) % 100 AS stop, CAST(100 + 50 * k AS BIGINT) AS last FROM range(0, 20) AS a(s), range(0, 3) AS b(k)), walks AS (SELECT s AS i, (s + k) % 20 AS j, CAST(900 * k AS BIGINT) AS walk FROM range(0, 20) AS a(s), range(0, 4) AS b(k))"
 
 
