@@ -156,3 +156,18 @@ def test_payload(spark):
     assert files.read_payload(made, "n int").first().data.n == 3
     page = spark.range(1).select(files.stamped_page(F.lit('<script src="embedding.js?v=00aa">'), F.lit("12ab")).alias("p")).first().p
     assert page == '<script src="embedding.js?v=12ab">'
+
+
+def test_transit_matrix(spark):
+    from types import SimpleNamespace
+
+    nodes = spark.createDataFrame([(i, 47.6 + i * 0.01, -122.33) for i in range(11)], "id long, lat double, lng double")
+    ways = spark.createDataFrame([(1, list(range(11)), "residential", None, "yes")], "way long, nodes array<long>, highway string, maxspeed string, oneway string")
+    anchors = spark.createDataFrame([(0, 47.6, -122.33), (1, 47.7, -122.33), (2, 47.65, -122.33)], "id long, lat double, lng double")
+    stops = spark.createDataFrame([("f:A", "A", 47.6, -122.33), ("f:B", "B", 47.7, -122.33), ("f:C", "C", 40.0, -122.33)], "id string, name string, lat double, lng double")
+    trips = spark.createDataFrame([(1, 0, 0, "f:A", 29000, 29000), (1, 0, 1, "f:B", 29600, 29600)], "pattern long, trip long, pos long, stop string, arr long, dep long")
+    transfers = spark.createDataFrame([], "a string, b string, sec long")
+    t = SimpleNamespace(stops=stops, trips=trips, transfers=transfers)
+    got = {(r.i, r.j): r.seconds for r in providers.transit_matrix(anchors, ways, nodes, t, 28800).collect()}
+    step = 0.01 * 111.32 * 1000 / 1.35
+    assert got[0, 1] == 800 and got[1, 0] == round(10 * step) and got[0, 2] == round(5 * step) and got[0, 0] == 0
