@@ -253,4 +253,4 @@ def t5(spark, sf):
 
     e = table(spark, sf, "events").select(F.when(F.col("user_id") % 2 == 0, "drive").otherwise("transit").alias("mode"), F.when(F.col("event_type") == "view", "freeflow").otherwise(F.col("event_type")).alias("slice")).distinct()
     order = Window.orderBy(F.when(F.col("mode") == "drive", 0).otherwise(1), F.col("slice") != "freeflow", "slice")
-    return e.select("slice", "mode", F.row_number().over(order).alias("place"))
+    return e.select("slice", "mode", F.row_number().over(order).cast("long").alias("place"))
