@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.shared import forget, settle, shared_dir  # noqa: F401  used by the operators
+
 #: Rows in one Arrow batch; texts can be long, so batches are kept short.
 ROWS_A_BATCH = 256
 
@@ -17,34 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only on a local master that names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{tempfile.gettempdir()}/chronomesh-shared"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a settled frame that nothing reads any more."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/settled-" in folder:
-            path = hadoop(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ROWS_A_BATCH) -> DataFrame:
     """mapInArrow over batches of at most `rows` rows, however large the session's batches are."""
 

@@ -9,7 +9,8 @@ Queries go through in blocks of QUERIES, each of which every partition of candid
 once; only a block, PIVOTS vectors and a seed of candidates are ever sent out. Every partition gives at most k
 rows a query. Components become floor(scale * x) with x as double; scores are exact integers.
 Vectors that are null or empty, hold nulls or values that are not finite, have another length
-than the first query's, or components beyond 2**26 in size take no part, nor do rows without an id. Rows that
+than the first query's, or integer components beyond LARGEST, whose scores need not fit a long, take no part,
+nor do rows without an id. Rows that
 repeat an id are candidates of their own; a repeated query id is one query, its least vector. An
 empty table gives an empty result. Further columns are ignored.
 """
@@ -25,14 +26,14 @@ from .common import map_arrow, settle, small_batches, table
 
 SCALE, K, EVERY = 1024, 10, 100
 PIVOTS, QUERIES, ROWS, CHUNK = 24, 4_096, 4_096, 64
-#: Sums of 64 products of such components stay exact in a double.
-LARGEST = 1 << 20
+#: Sums of 64 products of components up to this size fit a long.
+LARGEST = 1 << 28
 
 
 def whole_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """(vec_id, v): usable rows with integer components."""
     x = F.col(vec_col)
-    fine = x.isNotNull() & (F.size(x) > 0) & F.col(id_col).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) <= float(LARGEST * 64 // scale)))
+    fine = x.isNotNull() & (F.size(x) > 0) & F.col(id_col).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) <= float(LARGEST // scale)))
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.when(fine, x).alias("x")).where("x is not null")
     return rows.select("vec_id", F.transform("x", lambda e: F.floor(e.cast("double") * scale).cast("long")).alias("v"))
 
@@ -83,7 +84,7 @@ def search_block(best: Best, query_ids: np.ndarray, queries: np.ndarray, pivots:
     for q in range(len(queries)):
         gap = np.abs(near_x - near_q[q]).max(axis=1)
         most = (norm_q[q] + norm_x - gap * gap) / 2
-        most += 1e-9 * (norm_q[q] + norm_x) + 1  # more than rounding can take away
+        most += 1e-6 * (norm_q[q] + norm_x) + 1  # more than rounding can take away
         fit = np.flatnonzero(most >= best.floor[q])
         fit = fit[np.argsort(-most[fit], kind="stable")]
         for at in range(0, len(fit), CHUNK):

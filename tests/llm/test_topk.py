@@ -22,6 +22,8 @@ def some_rows(n=300, d=8):
     rows[20] = (20, [None] + rows[20][1][1:])
     rows[30] = (30, [math.nan] + rows[30][1][1:])
     rows[40] = (40, [math.inf] + rows[40][1][1:])
+    rows[50] = (50, [200_000.0] * d)
+    rows[51] = (51, [-150_000.0] * d)
     rows += [(n + j, rows[11][1]) for j in range(15)]  # ties
     return rows
 
