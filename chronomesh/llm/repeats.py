@@ -324,17 +324,27 @@ def whole_characters(raw: bytes, cuts: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-def cut_texts(found: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(t1, t2, kept): each different text without its repeats, whole characters only."""
+def cut_texts(rows: DataFrame, found: DataFrame, key: tuple[str, str], text_col: str, depth: int = DEPTH) -> DataFrame:
+    """rows, which have a key but no text, with their texts without repeats, whole characters only.
+
+    Texts stay where repeated_spans has put them and the rows come there. Texts that are
+    removed whole are emptied before, so that copies of a large one are not made.
+    """
+    whole = (F.col("copies") > 1) & (F.octet_length("text") >= depth)
+    slim = found.select(F.col("t1").alias(key[0]), F.col("t2").alias(key[1]), F.struct(F.when(whole, "").otherwise(F.col("text")).alias("text"), F.when(~whole, F.col("spans")).alias("spans")).alias(text_col))
+    joined = rows.join(slim, list(key)).drop(*key)
+    at = joined.columns.index(text_col)
+    schema = ", ".join(f"`{f.name}` {'string' if f.name == text_col else f.dataType.simpleString()}" for f in joined.schema)
 
     def run(batches):
         for batch in batches:
             out = []
-            for raw, copies, spans in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                out.append(kept(raw, whole_characters(raw, removals(raw, copies, spans, depth))).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["t1", "t2", "kept"])
+            for x in batch.column(at).to_pylist():
+                raw = x["text"].encode()
+                out.append(kept(raw, whole_characters(raw, merged(x["spans"] or []))).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return map_arrow(found.select("t1", "t2", "text", "copies", "spans"), run, "t1 long, t2 long, kept string")
+    return map_arrow(joined, run, schema)
 
 
 def repeat_digests(found: DataFrame, depth: int = DEPTH) -> DataFrame:

@@ -84,4 +84,5 @@ def test_empty_table_and_characters(spark):
     raw = "aéb".encode()
     assert whole_characters(raw, [(0, 2)]) == [(0, 1)] and whole_characters(raw, [(2, 4)]) == [(3, 4)]
     docs = spark.createDataFrame([(1, "é" * 300 + "x"), (2, "é" * 300)], "doc_id long, text string")
-    assert sorted(r.kept for r in cut_texts(repeated_spans(docs)).collect()) == ["", "x"]
+    rows = with_key(docs).withColumnsRenamed({"t1": "a", "t2": "b"})
+    assert sorted(r.text for r in cut_texts(rows, repeated_spans(docs), ("a", "b"), "text").collect()) == ["", "x"]
