@@ -56,8 +56,9 @@ def land_anchors(points: DataFrame, water: DataFrame) -> DataFrame:
 
 def near_bridge(pairs: DataFrame, bridges=BRIDGES) -> DataFrame:
     """pairs with bridge, the number of the nearest bridge to the segment (lat, lng, r_lat, r_lng), where one is near enough."""
-    away = [segment_km(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng")) for _, lat, lng in bridges]
-    best = F.array_min(F.array(*(F.struct(d.alias("km"), F.lit(i).alias("bridge")) for i, d in enumerate(away))))
+    known = F.array(*(F.struct(F.lit(lat).alias("lat"), F.lit(lng).alias("lng"), F.lit(i).alias("i")) for i, (_, lat, lng) in enumerate(bridges)))
+    away = F.transform(known, lambda b: F.struct(segment_km(b["lat"], b["lng"], F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng")).alias("km"), b["i"].alias("bridge")))
+    best = F.array_min(away)
     return pairs.withColumn("_best", best).withColumn("bridge", F.when(F.col("_best.km") < BRIDGE_KM, F.col("_best.bridge"))).drop("_best")
 
 
