@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,8 +80,8 @@ def runs(raw: bytes, depth: int, anchor: int) -> tuple[np.ndarray, np.ndarray, n
     return place[first], first, np.r_[first[1:], len(place)] - 1
 
 
-def signed(values, kind=np.uint64) -> pa.Array:
-    return pa.array(np.array(values, kind).view(np.int64))
+def signed(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
 def text_key(text: Column | None = None) -> list[Column]:
@@ -95,7 +96,12 @@ def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def anchor_rows(texts: DataFrame, depth: int, anchor: int) -> DataFrame:
-    """One row for each run of windows: its anchor's hash, its stretch's hash, its text and place."""
+    """One row for each run of windows: its anchor's hash, its stretch's hash, its text and place.
+
+    Stretches that occur more than once in a batch are known to repeat: all their runs are
+    `done`, with a key of their own that spreads them, and one row goes on for the group. So a
+    stretch that is everywhere sends a row a batch to its anchor's task, not a row a copy.
+    """
 
     def run(batches):
         one, whole = xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest
@@ -107,14 +113,22 @@ def anchor_rows(texts: DataFrame, depth: int, anchor: int) -> DataFrame:
                 c += [whole(raw[a : b + depth], p - a) for p, a, b in zip(places, firsts, lasts, strict=True)]
                 row += [i] * len(places)
                 lo, hi, at = lo + firsts, hi + lasts, at + places
-            row = pa.array(row, pa.int32())
+            k, c = np.array(k, np.uint64), np.array(c, np.uint64)
+            order = np.lexsort((c, k))
+            new = np.flatnonzero(np.r_[True, (k[order][1:] != k[order][:-1]) | (c[order][1:] != c[order][:-1])]) if len(k) else np.zeros(0, int)
+            copies = np.diff(np.r_[new, len(k)])
+            done = order[np.repeat(copies > 1, copies)]
+            take = np.concatenate([order[new], done])
+            spread = k[take]
+            spread[len(new) :] = c[done] ^ (np.arange(len(done), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            row = pa.array(np.array(row, np.int64)[take])
             yield pa.RecordBatch.from_arrays(
-                [signed(k), signed(c), batch.column(0).take(row), batch.column(1).take(row), *(pa.array(x, pa.int32()) for x in (lo, hi, at))],
-                ["k", "c", "t1", "t2", "lo", "hi", "place"],
+                [pa.array(spread.view(np.int64)), pa.array(c[take].view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), *(pa.array(np.array(x, np.int32)[take]) for x in (lo, hi, at)), pa.array(np.arange(len(take)) >= len(new))],
+                ["k", "c", "t1", "t2", "lo", "hi", "place", "done"],
             )
 
     long_enough = texts.where(F.octet_length("text") >= depth).select("t1", "t2", "text", "copies")  # all columns, so that the shuffle of texts is one with the others
-    return map_arrow(long_enough, run, "k long, c long, t1 long, t2 long, lo int, hi int, place int")
+    return map_arrow(long_enough, run, "k long, c long, t1 long, t2 long, lo int, hi int, place int, done boolean")
 
 
 REPEATED, BYTES, WINDOWS = 0, 1, 2  # a run all of whose windows repeat; one to go on by its bytes; one to go on by its windows' hashes
@@ -149,7 +163,13 @@ def mark_runs(rows: DataFrame, most: int = HOT, held_rows: int = HELD) -> DataFr
                     yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(np.full(len(rows), kind, np.int32))], [*names, "kind"])
 
         for batch in batches:
-            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            known = batch.filter(batch.column(7))
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([known.column(0), *known.columns[2:7], pa.array(np.full(known.num_rows, REPEATED, np.int32))], [*names, "kind"])
+            batch = batch.filter(pc.invert(batch.column(7)))
+            if not batch.num_rows:
+                continue
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:7]]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
             k = held[0]
             cut = int(np.flatnonzero(k == k[-1])[0])  # the last anchor's rows may go on
