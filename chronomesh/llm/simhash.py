@@ -214,7 +214,8 @@ def assign(prints: DataFrame, radius: int) -> DataFrame:
     named = found.join(codes.withColumnRenamed("fp", "node"), "node")
     least = named.groupBy("root").agg(F.min("least").alias("far"))
     far = found.join(least, "root").select(F.col("node").alias("fp"), "far")
-    whole = codes.join(far, "fp", "left").select("fp", F.coalesce("far", "least").alias("component_id"))
+    # Written, so that both sides of the last join are plain shuffles and a fingerprint with very many rows can be split.
+    whole = settle(codes.join(far, "fp", "left").select("fp", F.coalesce("far", "least").alias("component_id")))
     return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
