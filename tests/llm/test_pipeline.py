@@ -88,3 +88,17 @@ def test_repeat_stage(spark):
     rows = {r.doc_id: r for r in corpus_pipeline.repeat_stage(spark, docs, DATA).collect()}
     assert (rows[1].text, rows[2].text, rows[3].text, rows[4].text) == (None, "x", "", "short") and rows[2].n_chars == 1
     assert rows[1].t1 == "n" and repeated_spans(docs).where(F.size("spans") > 0).count() == 2
+
+
+def test_a_repeated_line_does_not_make_copies(spark):
+    rng = np.random.default_rng(8)
+    line = " ".join(f"l{i}" for i in range(14))
+    texts = []
+    for _ in range(8):
+        own = [f"w{j}" for j in rng.integers(0, 100_000, 204)]
+        texts.append(" ".join([*own, *[line] * 20]))
+    for same in (44, 45):  # 49 shingles in each: 40 of 58 and 41 of 57 in both
+        texts += [" ".join([*[f"{same}s{i}" for i in range(same)], *[f"{same}{x}{i}" for i in range(9)]]) for x in "ab"]
+    assert max(len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in combinations(texts, 2)) < 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert corpus_pipeline.near_copy_stage(spark, docs, DATA).count() == len(texts)
