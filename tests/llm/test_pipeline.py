@@ -102,3 +102,18 @@ def test_a_repeated_line_does_not_make_copies(spark):
     assert max(len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in combinations(texts, 2)) < 0.8
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert corpus_pipeline.near_copy_stage(spark, docs, DATA).count() == len(texts)
+
+
+def test_pairs_around_the_bound(spark):
+    rng, texts, alike = np.random.default_rng(9), [], []
+    for n in range(200):
+        own = 244 + n % 30  # of 300 words at the front of both
+        tail = rng.integers(0, 1 << 40, 2 * (300 - own))
+        front = [f"w{i}" for i in rng.integers(0, 1 << 40, own)]
+        a, b = (" ".join([*front, *(f"w{i}" for i in t)]) for t in np.split(tail, 2))
+        x, y = shingles(a), shingles(b)
+        alike.append(len(x & y) / len(x | y) >= 0.8)
+        texts += [a, b]
+    assert 20 < sum(alike) < 180
+    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[2 * i + 1] == 2 * i for i in range(200)] == alike
