@@ -195,8 +195,8 @@ def mark_runs(rows: DataFrame, most: int = HOT, held_rows: int = HELD) -> DataFr
 
 
 def stretches(marks: DataFrame, texts: DataFrame, depth: int) -> DataFrame:
-    """The bytes of each run that goes on."""
-    wanted = marks.where(F.col("kind") > REPEATED).groupBy("t1", "t2").agg(F.collect_list(F.struct("k", "lo", "hi", "place", "kind")).alias("wanted"))
+    """The bytes of each run that goes on, once, though pieces of an anchor may tell of it more than once."""
+    wanted = marks.where(F.col("kind") > REPEATED).groupBy("t1", "t2").agg(F.collect_set(F.struct("k", "lo", "hi", "place", "kind")).alias("wanted"))
 
     def run(batches):
         for batch in batches:

@@ -72,6 +72,19 @@ def test_pieces_of_a_huge_anchor(spark):
     run_both(spark, some_texts(3), held_rows=3)
 
 
+def test_pieces_of_a_huge_anchor_without_repeats(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = min((word(64) for _ in range(20_000)), key=lambda x: int(repeats.rolling(np.frombuffer(x.encode(), np.uint8), 64)[0] * np.uint32(0xC2B2AE3D)))
+    docs = spark.createDataFrame([(word(200) + line + word(200),) for _ in range(20)], "text string")
+    texts = repeats.distinct_texts(docs, "text")
+    rows = repeats.anchor_rows(texts, 200, 64).cache()
+    hot = rows.groupBy("k").count().orderBy(F.desc("count")).first()
+    assert hot["count"] == 20
+    found = repeats.stretches(repeats.mark_runs(rows.where(F.col("k") == hot["k"]), held_rows=3), texts, 200)
+    assert found.count() == 20 and repeats.resolve_windows(found, 200).count() == 0
+
+
 def test_runs_cover_all_windows():
     raw = ("abc " * 100 + "xyz" * 90).encode()
     place, first, last = runs(raw, 200, 64)
