@@ -25,6 +25,8 @@ BUCKETS = 1 << BITS
 #: Bounds of the sample, landmarks of each language, and the ridge.
 LANGUAGES, PER_LANGUAGE, LANDMARKS, RIDGE = 64, 400, 40, 1e-3
 UNKNOWN = "und"
+#: A text is strange if less of its n-grams are its language's than this share of what 95% of the sample reach.
+STRANGE = 0.75
 
 
 def grams(text: str) -> np.ndarray:
@@ -61,19 +63,34 @@ class KernelModel:
             inner = self.kernel(sets[chosen]).astype(float)
             left = k.T @ k + ridge * len(labels) * inner + 1e-9 * np.eye(len(chosen))
             self.weights = np.linalg.solve(left, k.T @ signs).astype(np.float32)
+            self.count = np.array([sets[chosen[place[chosen] == i]][:, self.columns].sum(axis=0) for i in range(len(self.languages))])
+            own = np.zeros(len(sets), int)
+            own[chosen] = 1  # a landmark is held against the others
+            shared = self.known(sets, place, own)
+            self.least = STRANGE * float(np.quantile(shared, 0.05))
 
     def kernel(self, sets: np.ndarray) -> np.ndarray:
         own = np.maximum(sets.sum(axis=1), 1).astype(np.float32)
         return (sets[:, self.columns].astype(np.float32) @ self.marks.T) / np.sqrt(own[:, None] * self.sizes)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def known(self, sets: np.ndarray, place: np.ndarray, own: np.ndarray | int = 0) -> np.ndarray:
+        """Share of each set's n-grams that over `own` landmarks of its language have."""
+        least = np.broadcast_to(own, len(sets))
+        hits = [np.count_nonzero(x[self.columns] & (self.count[p] > n)) for x, p, n in zip(sets, place, least, strict=True)]
+        return np.array(hits) / np.maximum(sets.sum(axis=1), 1)
+
+    def predict(self, texts: list[str | None], strict: bool = False) -> tuple[list[str], list[float]]:
+        """Languages and scores; if strict, texts in none of the languages are unknown."""
         found, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         some = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
         if some:
-            values = self.kernel(np.array([grams(texts[i]) for i in some])) @ self.weights
+            sets = np.array([grams(texts[i]) for i in some])
+            values = self.kernel(sets) @ self.weights
             best = values.argmax(axis=1)
-            for i, b, v in zip(some, best.tolist(), np.clip((1 + values.max(axis=1)) / 2, 0, 1).tolist(), strict=True):
-                found[i], scores[i] = self.languages[b], v
+            stays = self.known(sets, best) >= self.least if strict else np.ones(len(some), bool)
+            for i, b, v, s in zip(some, best.tolist(), np.clip((1 + values.max(axis=1)) / 2, 0, 1).tolist(), stays.tolist(), strict=True):
+                if s:
+                    found[i], scores[i] = self.languages[b], v
         return found, scores
 
 
@@ -108,7 +125,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return KernelModel(np.array(sets).reshape(-1, BUCKETS), labels)
 
 
-def predicted(docs: DataFrame, model: KernelModel, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+def predicted(docs: DataFrame, model: KernelModel, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", strict: bool = False) -> DataFrame:
     """docs with two columns more, the language and its score."""
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
@@ -116,7 +133,7 @@ def predicted(docs: DataFrame, model: KernelModel, text_col: str = "text", lang_
 
     def run(batches):
         for batch in batches:
-            found, scores = model.predict(batch.column(at).to_pylist())
+            found, scores = model.predict(batch.column(at).to_pylist(), strict)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, lang_col, score_col])
 
     return map_arrow(docs, run, schema)

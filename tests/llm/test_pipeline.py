@@ -117,3 +117,20 @@ def test_pairs_around_the_bound(spark):
     assert 20 < sum(alike) < 180
     got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[2 * i + 1] == 2 * i for i in range(200)] == alike
+
+
+def test_texts_in_other_languages_go(spark):
+    foreign = [
+        "Съешь же ещё этих мягких французских булок, да выпей чаю, а потом иди домой",
+        "我能吞下玻璃而不伤身体。今天天气很好，我们去公园散步，然后回家吃晚饭。",
+        "הקיפודים אוהבים לאכול תותים בגינה שלנו",
+        "Suomen kielen sana jota käytetään esimerkkinä sisältää kaikki kirjaimet mutta ei ole kovin yleinen puheessa",
+        "Pchnąć w tę łódź jeża lub ośm skrzyń fig, a potem wrócić do domu przed zmrokiem bo będzie zimno",
+        "Pijamalı hasta yağız şoföre çabucak güvendi ve sonra evine dönmek için yola çıktı ama hava çok soğuktu",
+    ]
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    planted = docs.limit(1).crossJoin(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(foreign)], "n long, t string"))
+    planted = planted.withColumns({"doc_id": F.col("n").cast(docs.schema["doc_id"].dataType), "text": F.col("t"), "lang": F.lit(None).cast("string")}).select(*docs.columns)
+    kept = corpus_pipeline.language_stage(spark, docs.union(planted), sf)
+    assert kept.where("doc_id < 0").count() == 0 and kept.count() > 0.98 * docs.count()
