@@ -1,7 +1,9 @@
 """Token ids of whole texts by a byte-level BPE file of the tokenizers library.
 
 tiktoken runs the file's vocabulary, whose ids are its merge ranks, about five times as fast as
-the tokenizers library and gives the same ids; texts it refuses go to that library.
+the tokenizers library and gives the same ids. Texts that hold a string of the file's added tokens,
+texts it refuses, and all texts under a file with a normalizer, another pre-tokenizer, or options
+of its model that tiktoken has not, go to that library.
 """
 
 from __future__ import annotations
@@ -29,26 +31,34 @@ class Encoder:
         self.path = path
         with open(path) as f:
             said = json.load(f)
-        byte, special = byte_of_symbol(), {t["content"] for t in said["added_tokens"]}
-        vocab = said["model"]["vocab"]
-        ranks = {bytes(byte[s] for s in token): rank for token, rank in vocab.items() if token not in special}
-        first = min(vocab["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in said["model"]["merges"])
-        merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in said["model"]["merges"]]
-        self.by_rank = merged == list(range(first, first + len(merged)))
-        self.fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        byte, self.added = byte_of_symbol(), [t["content"] for t in said["added_tokens"]]
+        model = said["model"]
+        vocab = model["vocab"]
+        merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in model["merges"]]
+        self.by_rank = self.plain(said) and merged == list(range(min(merged, default=0), min(merged, default=0) + len(merged)))
+        if self.by_rank:
+            ranks = {bytes(byte[s] for s in token): rank for token, rank in vocab.items() if token not in self.added}
+            self.fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+    @staticmethod
+    def plain(said: dict) -> bool:
+        """Whether the file asks for nothing but the byte-level pre-tokenizer and merges."""
+        before, model = said.get("pre_tokenizer") or {}, said["model"]
+        byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        odd = any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        single = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in said["added_tokens"])
+        return byte_level and model.get("type") == "BPE" and not odd and single and not said.get("normalizer") and not said.get("truncation")
 
     @cached_property
     def slow(self):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(self.path)
-        found.encode_special_tokens = True  # their strings in a text are ordinary text
-        return found
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> bytes:
         """Ids as unsigned 32-bit numbers in the machine's (little-endian) order."""
-        if self.by_rank:
+        if self.by_rank and not any(a in text for a in self.added):
             try:
                 return array("I", self.fast.encode_ordinary(text)).tobytes()
             except BaseException as e:  # a panic of the library is no Exception

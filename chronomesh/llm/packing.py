@@ -3,15 +3,16 @@
 Documents become pieces of at most `capacity` tokens, and the pieces of each length are counted.
 From the counts alone, a table with a few entries a length, the driver plans the sequences:
 
-1. Large pieces, sorted by length, are cut into groups of equal cardinality, and each length is
-   rounded up to the largest of its group.
+1. Large pieces, sorted by length, are cut into at most GROUPS groups of equal cardinality, and
+   each length is rounded up to the largest of its group. Rounding costs at most as many
+   sequences as a group has pieces.
 2. Configurations of the few rounded sizes are chosen one after another: the largest size left,
    with the multiset of sizes that fills its sequence most, as often as the counts allow.
 3. Each place of a configuration takes actual pieces of its group, which are no longer.
 4. Small pieces go, longest first, where the least room that suffices is left.
 
-The plan is compared with plain best-fit of all lengths, and the shorter one is used. Pieces
-are then dealt by their rank within their length, which needs no piece to know another.
+Pieces are then dealt by their rank within their length, which needs no piece to know another.
+The plan's size depends on the lengths and groups alone, not on the number of pieces.
 
 Null and empty texts are a document of the end token alone. Equal and repeated rows are packed
 one by one. An empty table gives an empty result. Further columns are ignored.
@@ -33,7 +34,7 @@ from .common import map_arrow, settle, small_batches, table
 
 CAPACITY, END_ID = 1024, 2
 #: Groups of equal cardinality; the largest length that counts as small.
-GROUPS, SMALL = 256, 128
+GROUPS, SMALL = 16_384, 192
 #: Parts in which the pieces of a length are ranked.
 RANKED = 64
 
@@ -173,10 +174,8 @@ def together(places: list[list[tuple[int, int]]]) -> Iterator[tuple[int, list[in
 def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> tuple[int, list[Segment]]:
     """Number of sequences, and where the pieces of each length go by rank."""
     counts = {n: c for n, c in counts.items() if c and n < capacity}
-    grouped, plain = linear_grouping(counts, capacity, groups, small), Shelf(capacity)
-    plain.best_fit(list(counts.items()))
-    best = min(grouped, plain, key=lambda s: s.used)
-    return best.used, best.segments
+    shelf = linear_grouping(counts, capacity, groups, small)
+    return shelf.used, shelf.segments
 
 
 def cut(total: int, capacity: int) -> list[tuple[int, int]]:
