@@ -4,8 +4,10 @@ A file is a tree of boxes (size, four-letter type, body). `read_container` walks
 decodes the sample tables of the first track and returns codec, duration and byte ranges.
 `write_container` makes a file whose track holds 8-bit grey frames of 24 x 24 samples.
 
-Nulls count as empty texts. Bytes that are no such file give a null codec and no ranges.
-Rows that repeat give rows that repeat; an empty table gives an empty result.
+Null texts count as empty. A file that is null, cut off, or no such file gives a null codec, duration and
+ranges, and what a table states is checked against the file's size before anything is made of it.
+Samples of movie fragments are in no sample table: a fragmented file has its codec and duration,
+and no ranges. Rows that repeat give rows that repeat; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,70 +108,82 @@ def walk(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[
 
 @dataclass
 class Track:
-    """What the sample tables of a track say."""
+    """What the sample tables of a track say; samples and keyframes are rows (start, end) in bytes of the file."""
 
     codec: str = ""
     timescale: int = 0
     duration: int = 0
-    samples: list[tuple[int, int]] = field(default_factory=list)
-    keyframes: list[tuple[int, int]] = field(default_factory=list)
+    samples: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))
+    keyframes: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))
 
     @property
     def seconds(self) -> float:
         return self.duration / self.timescale if self.timescale else 0.0
 
 
-def read_container(data: bytes) -> Track | None:
+def read_container(data: bytes | None) -> Track | None:
     """Tables of the first track that has any; None where the bytes are no such file."""
     try:
-        return decode_tables(data)
+        return decode_tables(data or b"")
     except (ValueError, struct.error):
         return None
 
 
+def entries(body: bytes, at: int, n: int, kind: str = "u4", each: int = 1) -> np.ndarray:
+    """n big-endian entries of `each` numbers in a table's body."""
+    width = int(kind[1]) * each
+    if at + n * width > len(body):
+        raise ValueError("a table is shorter than it says")
+    return np.frombuffer(body, f">{kind}", n * each, at).astype(np.int64).reshape(n, each)
+
+
 def decode_tables(data: bytes) -> Track | None:
     track, found = Track(), set()
-    size_each, sizes, runs, chunks, sync = 0, [], [], [], None
-    numbers = lambda at, n, kind="I": list(struct.unpack_from(f">{n}{kind}", data, at))
+    sizes, runs, chunks, sync = np.zeros(0, np.int64), np.zeros((0, 3), np.int64), np.zeros(0, np.int64), None
     for kind, at, end in walk(data):
         if kind == b"trak" and b"stsz" in found:
             break
+        found.add(kind)
+        if kind not in (b"mdhd", b"stsd", b"stsz", b"stsc", b"stco", b"co64", b"stss"):
+            continue
+        body = data[at:end]
+        (version, count) = struct.unpack_from(">B3xI", body)
         if kind == b"mdhd":
-            wide = data[at] == 1
-            track.timescale, track.duration = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
+            track.timescale, track.duration = struct.unpack_from(">IQ", body, 20) if version == 1 else struct.unpack_from(">II", body, 12)
         elif kind == b"stsd":
-            track.codec = data[at + 12 : at + 16].decode("latin-1")
+            track.codec = struct.unpack_from("4s", body, 12)[0].decode("latin-1") if count else ""
         elif kind == b"stsz":
-            size_each, n = numbers(at + 4, 2)
-            sizes = [size_each] * n if size_each else numbers(at + 12, n)
+            n = struct.unpack_from(">I", body, 8)[0]
+            if count * n > len(data):
+                raise ValueError("more samples than the file has bytes")
+            sizes = np.full(n, count, np.int64) if count else entries(body, 12, n)[:, 0]
         elif kind == b"stsc":
-            flat = numbers(at + 8, 3 * numbers(at + 4, 1)[0])
-            runs = list(zip(flat[::3], flat[1::3], strict=True))
-        elif kind in (b"stco", b"co64"):
-            chunks = numbers(at + 8, numbers(at + 4, 1)[0], "I" if kind == b"stco" else "Q")
+            runs = entries(body, 8, count, each=3)
+            if (np.diff(runs[:, 0], prepend=0) <= 0).any():
+                raise ValueError("runs of chunks are not in order")
         elif kind == b"stss":
-            sync = numbers(at + 8, numbers(at + 4, 1)[0])
-        found.add(kind)
+            sync = entries(body, 8, count)[:, 0]
+        else:
+            chunks = entries(body, 8, count, "u4" if kind == b"stco" else "i8")[:, 0]
     if not {b"moov", b"stsd", b"stsz", b"stsc"} <= found:
         return None
-    next_sample = 0
-    for i, offset in enumerate(chunks):
-        count = next((c for first, c in reversed(runs) if first <= i + 1), 0) if len(runs) < 8 else runs[_last(runs, i + 1)][1]
-        own = sizes[next_sample : next_sample + count]
-        track.samples += [(offset + before, offset + after) for before, after in zip(accumulate(own, initial=0), accumulate(own))]
-        next_sample += len(own)
-    if track.samples and max(b for _, b in track.samples) > len(data):
+    track.samples = sample_ranges(sizes, runs, chunks)
+    if len(track.samples) and (track.samples.min() < 0 or track.samples[:, 1].max() > len(data)):
         raise ValueError("a sample lies outside the file")
-    track.keyframes = track.samples if sync is None else [track.samples[k - 1] for k in sync if 0 < k <= len(track.samples)]
+    track.keyframes = track.samples if sync is None else track.samples[sync[(sync > 0) & (sync <= len(track.samples))] - 1]
     return track
 
 
-def _last(runs: list[tuple[int, int]], chunk: int) -> int:
-    low, high = 0, len(runs)
-    while high - low > 1:
-        mid = (low + high) // 2
-        low, high = (mid, high) if runs[mid][0] <= chunk else (low, mid)
-    return low
+def sample_ranges(sizes: np.ndarray, runs: np.ndarray, chunks: np.ndarray) -> np.ndarray:
+    """Start and end of each sample: the samples of a chunk follow each other from the chunk's offset."""
+    run = np.searchsorted(runs[:, 0], np.arange(1, len(chunks) + 1), "right") - 1
+    held = np.where(run >= 0, runs[np.maximum(run, 0), 1] if len(runs) else 0, 0)
+    upto = np.minimum(np.cumsum(np.minimum(held, len(sizes))), len(sizes))  # a chunk beyond the last sample is empty
+    number = np.diff(upto, prepend=0)
+    used = sizes[: upto[-1] if len(upto) else 0]
+    before = np.concatenate([[0], np.cumsum(used)])
+    start = np.repeat(chunks - before[upto - number], number) + before[:-1]
+    return np.stack([start, start + used], axis=1)
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -190,25 +204,55 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 media = write_container(payload)
                 track = read_container(media)
                 files.append(media), sizes.append(size), codecs.append(track.codec)
-                spans.append(round(track.seconds * 1000)), keys.append([{"start": a, "end": b} for a, b in track.keyframes])
+                spans.append(round(track.seconds * 1000)), keys.append(ranges_of(track))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(files, pa.binary()), pa.array(codecs, pa.string()), pa.array(spans, pa.int64()), pa.array(keys, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(files, pa.binary()), pa.array(codecs, pa.string()), pa.array(spans, pa.int64()), pa.array(keys, RANGES)],
                 ["id", "n_bytes", "media", "codec", "duration_ms", "keyframes"],
             )
 
     return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, "id long, n_bytes long, media binary, codec string, duration_ms long, keyframes array<struct<start:long,end:long>>")
 
 
+RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def ranges_of(track: Track) -> list[dict]:
+    return [{"start": a, "end": b} for a, b in track.keyframes.tolist()]
+
+
+def probe_media(files: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
+    """(id, codec, duration_ms, keyframes) of a column of files from anywhere; nulls where one can't be read."""
+    small_batches(files.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            tracks = [read_container(m) for m in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([t and t.codec for t in tracks], pa.string()),
+                    pa.array([None if t is None else round(t.seconds * 1000) for t in tracks], pa.int64()),
+                    pa.array([t and ranges_of(t) for t in tracks], RANGES),
+                ],
+                ["id", "codec", "duration_ms", "keyframes"],
+            )
+
+    return map_arrow(files.select(F.col(id_col).cast("long"), F.col(media_col).cast("binary")), run, "id long, codec string, duration_ms long, keyframes array<struct<start:long,end:long>>")
+
+
 def media_digests(stored: DataFrame) -> DataFrame:
-    """What can be read back from stored media: payload digests and the tables as one string."""
+    """What can be read back from stored media: payload digests and the tables as one string; nulls where a file can't be read."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for n, media in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 track = read_container(media)
-                payload = b"".join(media[a:b] for a, b in track.samples)
-                ranges = zlib.crc32(b"".join(struct.pack("<QQ", *k) for k in track.keyframes))
+                if track is None:
+                    rows.append((n, *[None] * 6))
+                    continue
+                payload = b"".join(media[a:b] for a, b in track.samples.tolist())
+                ranges = zlib.crc32(track.keyframes.astype("<u8").tobytes())
                 feature = f"codec={track.codec.strip()};ticks={track.duration}/{track.timescale};samples={len(track.samples)};keyframes={len(track.keyframes)};ranges={ranges:08x}"
                 rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
