@@ -5,20 +5,23 @@ text, closer. Assistant turns stand between <s> and </s> and are the loss mask;
 between [INST] and [/INST]. The parser cuts at closers, and a body that still holds a control
 string is an error.
 
-Each conversation is rendered without escapes, parsed, and compared with its source; where they
+Each turn is rendered without escapes, parsed, and compared with its source; where they
 differ, control strings are escaped, and where they still differ, the escape character as well, which
-always agrees: level 0, 1 and 2. `~1` stands for a `<`, `~2` for a `[` that opens a control
-string, `~3` for a line feed in a role, `~0` for `~`.
+always agrees: level 0, 1 and 2. As a turn ends at its own closer, turns that come back alone come
+back together, so a conversation has the least level at which all its turns do. `~1` stands
+for a `<`, `~2` for a `[` that opens a control string, `~3` for a line feed in a role, `~0` for `~`.
 
 Turns are in the order of turn, role, text, nulls last. Null roles and texts count as empty. Rows
 that repeat are turns of their own; rows without conv_id are one conversation. An empty table
-gives an empty result; further columns are ignored. All turns of a conversation meet in one row,
-as its text needs them all.
+gives an empty result; further columns are ignored. Rendering, parsing and comparing take a row at
+a time, and places in the text are running sums over sorted rows, so the work of a conversation
+grows with its length only. Its finished text is one value, which Spark
+limits to 2 GB. Turns of a table's own conversation -1 join the query's probe.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -60,22 +63,6 @@ def rendered(turns: Column, level: int) -> Column:
     return F.concat(F.lit(f"{level}\n"), F.array_join(F.transform(turns, lambda t: F.concat(*turn_parts(t, level))), ""))
 
 
-def loss_spans(turns: Column, level: int) -> Column:
-    """Start (from 0) and length in the rendered text of each learned text, in code points."""
-
-    def step(seen: Column, turn: Column) -> Column:
-        opener, role, text, closer = turn_parts(turn, level)
-        start = seen["at"] + F.length(opener) + F.length(role)
-        span = F.struct(start.alias("start"), F.length(text).alias("length"))
-        return F.struct(
-            (start + F.length(text) + F.length(closer)).alias("at"),
-            F.when(turn["role"] == LEARNED, F.concat(seen["spans"], F.array(span))).otherwise(seen["spans"]).alias("spans"),
-        )
-
-    empty = F.array().cast("array<struct<start:int,length:int>>")
-    return F.aggregate(turns, F.struct(F.lit(2).alias("at"), empty.alias("spans")), step)["spans"]
-
-
 def parsed(formatted: Column, level: int) -> Column:
     """The turns of a rendered text; null if it isn't one."""
     pieces = F.split(F.substr(formatted, F.lit(3)), CLOSERS)
@@ -96,25 +83,39 @@ def by_level(level: Column, of) -> Column:
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
-    """(conv_id, level, formatted, loss_spans) of each conversation of rows (conv_id, turn, role, text)."""
-    turn = F.struct("turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    chats = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ordered"))
-    chats = chats.select("conv_id", F.transform("ordered", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    same = lambda level: F.coalesce(parsed(rendered(F.col("turns"), level), level) == F.col("turns"), F.lit(False))
-    chats = chats.withColumn("level", F.when(same(0), 0).when(same(1), 1).otherwise(2))
-    return chats.select(
-        "conv_id",
-        "level",
-        by_level(F.col("level"), lambda level: rendered(F.col("turns"), level)).alias("formatted"),
-        by_level(F.col("level"), lambda level: loss_spans(F.col("turns"), level)).alias("loss_spans"),
-    )
+    """(conv_id, level, formatted, loss_spans) of each conversation of rows (conv_id, turn, role, text).
+
+    A span has the place of a learned text in the formatted one: start (from 0) and length in code
+    points, byte_start and byte_length in UTF-8.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    turn, alone = F.struct("role", "text"), F.array(F.struct("role", "text"))
+    same = lambda level: F.coalesce(parsed(rendered(alone, level), level) == alone, F.lit(False))
+    turns = rows.select("conv_id", "turn", text("role"), text("text")).withColumns({"fine0": same(0), "fine1": same(1)})
+    chat = Window.partitionBy("conv_id")
+    order = chat.orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+    level = F.when(F.bool_and("fine0").over(chat), 0).when(F.bool_and("fine1").over(chat), 1).otherwise(2)
+    turns = turns.withColumns({"level": level, "place": F.row_number().over(order)}).drop("fine0", "fine1")
+    parts = by_level(F.col("level"), lambda n: F.struct(*(p.alias(x) for p, x in zip(turn_parts(turn, n), ("opener", "head", "body", "closer"), strict=True))))
+    turns = turns.select("conv_id", "turn", "level", "place", (F.col("role") == LEARNED).alias("learned"), parts.alias("p"))
+    turns = turns.select("conv_id", "level", "place", "learned", F.concat("p.opener", "p.head").alias("front"), "p.body", F.concat("p.opener", "p.head", "p.body", "p.closer").alias("piece"))
+    before = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = lambda size: (F.lit(2) + F.sum(size("piece")).over(before) - size("piece") + size("front")).cast("int")
+    span = F.struct(start(F.length).alias("start"), F.length("body").alias("length"), start(F.octet_length).alias("byte_start"), F.octet_length("body").alias("byte_length"))
+    turns = turns.select("conv_id", "level", F.struct("place", "piece", F.when(F.col("learned"), span).alias("span")).alias("t"))
+    chats = turns.groupBy("conv_id").agg(F.first("level").alias("level"), F.array_sort(F.collect_list("t")).alias("t"))
+    formatted = F.concat(F.col("level").cast("string"), F.lit("\n"), F.array_join("t.piece", ""))
+    return chats.select("conv_id", "level", formatted.alias("formatted"), F.filter("t.span", lambda s: s.isNotNull()).alias("loss_spans"))
 
 
 def read_chats(chats: DataFrame) -> DataFrame:
     """chats with the turns and the loss text that their formatted text holds."""
     level = F.substr("formatted", F.lit(1), F.lit(1)).cast("int")
-    masked = lambda n: F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substr(F.col("formatted"), s["start"] + 1, s["length"]), n)), "")
-    return chats.withColumns({"turns": by_level(level, lambda n: parsed(F.col("formatted"), n)), "loss_text": by_level(level, masked)})
+    raw = F.array(F.encode("formatted", "UTF-8"))  # encoded once, as bytes can be cut without counting characters from the start
+    cut = lambda data: F.transform("loss_spans", lambda s: F.decode(F.substr(data, s["byte_start"] + 1, s["byte_length"]), "UTF-8"))
+    masked = F.flatten(F.transform(raw, cut))
+    unmasked = by_level(level, lambda n: F.array_join(F.transform(masked, lambda x: unescaped(x, n)), ""))
+    return chats.withColumns({"turns": by_level(level, lambda n: parsed(F.col("formatted"), n)), "loss_text": unmasked})
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
