@@ -2,7 +2,8 @@
 
 The scorer works on hashed character n-grams of host and path. Their weights are fitted by
 gradient steps on a small labelled table, whose features the same expressions make; the table
-is a parameter of at most LABELLED rows.
+is a parameter of at most LABELLED rows. N-grams tell kin of words that the table has, not
+words that share nothing with it: an unknown word is judged by the rest of its url and the intercept.
 
 Null urls and urls without :// have an empty host and path and fit no rule; they get the scorer's
 verdict on no features, its intercept. Of rules of one length the one later in the alphabet wins.
@@ -13,6 +14,7 @@ further columns are ignored.
 from __future__ import annotations
 
 import math
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,29 +34,8 @@ RULES = (
     ("org", "/es/", "block"),
 )
 
-#: Labelled urls: hosts of kinds that are not wanted, and of kinds that are.
-BLOCKED = """
-http://casino-win.example.com/en/1 https://www.casino-royal.example.net/de/12 https://best-casino.example.org/play
-http://free-bets.example.com/fr/8 https://m.free-bets.example.net/en/3 https://online-bets.example.org/slots/1
-http://ads-track.example.org/en/5 https://blog.ads-track.example.com/es/7 https://track-ads.example.net/click?id=3
-http://spam-farm.example.com/en/9 https://www.spam-farm.example.net/fr/2 https://link-farm.example.org/seo/4
-http://cheap-pills.example.com/en/4 https://m.cheap-pills.example.org/de/6 https://buy-pills.example.net/viagra
-http://adult-x.example.net/en/8 https://www.adult-x.example.com/fr/1 https://adult-cams.example.org/xxx/2
-https://win-money.example.com/prize/1 https://free-prize.example.net/win/8 https://cheap-loans.example.org/apply
-https://poker-win.example.com/de/44 https://hot-adult.example.net/es/10 https://pills-shop.example.com/en/99
-""".split()
-ALLOWED = """
-http://news.example.com/en/1 https://www.times.example.net/de/12 https://blog.thering.example.org/en/3
-http://library.example.com/fr/8 https://m.therha.example.net/en/3 https://school.example.org/lessons/1
-http://weather.example.org/en/5 https://blog.tionsh.example.com/es/7 https://museum.example.net/visit?id=3
-http://ththan.example.com/en/9 https://www.thernd.example.net/fr/2 https://recipes.example.org/soup/4
-http://tionble.example.com/en/4 https://m.thther.example.org/de/6 https://travel.example.net/rome
-http://ththed.example.net/en/8 https://www.thering.example.com/fr/1 https://wiki.example.org/physics/2
-https://garden.example.com/roses/1 https://science.example.net/stars/8 https://history.example.org/castles
-https://tiontion.example.com/de/44 https://therst.example.net/es/10 https://ththly.example.com/en/99
-https://www.ththre.example.org/fr/5.html https://therwh.example.com/es/71/ https://docs.example.net/guide#top
-https://sport.example.com/en/2?page=2 https://blog.ththes.example.net/de/8 https://music.example.org/en/77
-""".split()
+#: Labelled urls that the query learns from: columns url and blocked.
+TABLE = "labelled_urls.tsv"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -126,21 +107,28 @@ def block_score(host: Column, path: Column, model: tuple[float, list[float]]) ->
     return 1 / (1 + F.exp(-z))
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    both = F.concat(F.array(*(F.struct(F.lit(u).alias("url"), F.lit(1).alias("blocked")) for u in BLOCKED)), F.array(*(F.struct(F.lit(u).alias("url"), F.lit(0).alias("blocked")) for u in ALLOWED)))
-    return spark.range(1).select(F.inline(both))
+def labelled_rows() -> list[tuple[str, int]]:
+    """The package's own labelled urls."""
+    lines = resources.files(__package__).joinpath(TABLE).read_text("utf-8").splitlines()[1:]
+    return [(url, int(blocked)) for url, blocked in (line.split("\t") for line in lines)]
 
 
-def judge(pages: DataFrame, model: tuple[float, list[float]], rules=RULES, url_col: str = "url") -> DataFrame:
-    """pages with host, path, rule, verdict and block_score (null where a rule decides)."""
-    host, path = host_and_path(F.col(url_col))
-    split = pages.withColumns({"host": host, "path": path})
-    ruled = split.withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules))
-    scored = ruled.withColumn("block_score", F.when(F.col("_rule").isNull(), block_score(F.col("host"), F.col("path"), model)))
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
-    return scored.withColumns({"rule": F.col("_rule.rule"), "verdict": verdict}).drop("_rule")
+def labelled_urls(spark: SparkSession, rows: list[tuple[str, int]] | None = None) -> DataFrame:
+    """(url, blocked) of the given rows, as literals; the package's own if none are given."""
+    rows = labelled_rows() if rows is None else rows
+    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(u).alias("url"), F.lit(b).alias("blocked")) for u, b in rows))))
+
+
+def judge(pages: DataFrame, model: tuple[float, list[float]], rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(page_id, url, host, path, rule, verdict, block_score); the score is null where a rule decides."""
+    url = F.col(url_col).cast("string")
+    host, path = host_and_path(url)
+    split = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"))
+    ruled = split.withColumn("fits", fitting_rule(F.col("host"), F.col("path"), rules))
+    scored = ruled.withColumn("block_score", F.when(F.col("fits").isNull(), block_score(F.col("host"), F.col("path"), model)))
+    verdict = F.coalesce(F.col("fits.verdict"), F.when(F.col("block_score") >= 0.5, "block").otherwise("allow"))
+    return scored.select("page_id", "url", "host", "path", F.col("fits.rule").alias("rule"), verdict.alias("verdict"), "block_score")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judge(pages, fit(labelled_urls(spark))).select("page_id", "host", "path", "rule", "verdict")
+    return judge(table(spark, sf_dir, "pages"), fit(labelled_urls(spark))).select("page_id", "host", "path", "rule", "verdict")
