@@ -91,7 +91,9 @@ def format_chats(rows: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     turn, alone = F.struct("role", "text"), F.array(F.struct("role", "text"))
     same = lambda level: F.coalesce(parsed(rendered(alone, level), level) == alone, F.lit(False))
-    turns = rows.select("conv_id", "turn", text("role"), text("text")).withColumns({"fine0": same(0), "fine1": same(1)})
+    turns = rows.select("conv_id", "turn", text("role"), text("text")).withColumn("fine0", same(0))
+    plain = F.col("fine0") & (F.instr(F.concat("role", "text"), "~") == 0)  # nothing to escape and nothing that looks escaped: level 1 writes and reads the same
+    turns = turns.withColumn("fine1", F.when(plain, True).otherwise(same(1)))
     chat = Window.partitionBy("conv_id")
     order = chat.orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     level = F.when(F.bool_and("fine0").over(chat), 0).when(F.bool_and("fine1").over(chat), 1).otherwise(2)
