@@ -45,6 +45,21 @@ def shingle_hashes(text: str | None, words: int) -> list[int]:
     return [digest(line[a : b - 1], SEED) for a, b in zip([0, *ends], ends[words - 1 :], strict=False)]
 
 
+#: The eight bits of each byte, one in each byte of a word.
+SPREAD = np.array([sum((b >> i & 1) << 8 * i for i in range(8)) for b in range(256)], np.uint64)
+
+
+def majority_bits(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A bit of each group of hashes, `sizes` of them in a row, is set where over half of them have it."""
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    parts = -(-sizes // 255)  # so that sums fit their bytes
+    part_of = np.concatenate([[0], np.cumsum(parts)[:-1]])
+    starts = np.repeat(first, parts) + 255 * (np.arange(parts.sum()) - np.repeat(part_of, parts))
+    sums = np.add.reduceat(SPREAD[flat.astype("<u8").view(np.uint8).reshape(-1, 8)], starts, axis=0)
+    counts = np.add.reduceat(sums.view(np.uint8).reshape(-1, BITS), part_of, axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
 def fingerprints(texts: list[str | None], words: int) -> np.ndarray:
     out = np.zeros(len(texts), np.uint64)
     hashes = [shingle_hashes(t, words) for t in texts]
@@ -52,9 +67,7 @@ def fingerprints(texts: list[str | None], words: int) -> np.ndarray:
     if some:
         sizes = np.array([len(hashes[i]) for i in some])
         flat = np.fromiter((x for i in some for x in hashes[i]), np.uint64, sizes.sum())
-        bits = np.unpackbits(flat.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0, dtype=np.int64)
-        out[some] = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        out[some] = majority_bits(flat, sizes)
     return out
 
 

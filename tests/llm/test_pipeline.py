@@ -3,7 +3,7 @@ from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
-from chronomesh.llm.nearcopies import cell_links, most_bits, near_copies, wide_fingerprints
+from chronomesh.llm.nearcopies import Judge, cell_forest, exact_links, near_copies, set_fingerprints, set_keys, shingle_set, strangers, without_copies
 from chronomesh.llm.repeats import repeated_spans
 from pyspark.sql import functions as F
 
@@ -58,29 +58,91 @@ def test_near_copies_are_found_and_others_stay(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [*range(30), *range(45, 60), 62]
 
 
-def test_cells_equal_brute_force():
-    rng = np.random.default_rng(7)
-    words = [f"w{i}" for i in range(300)]
-    texts = []
-    for _ in range(12):
-        b = [words[j] for j in rng.integers(0, 300, 80)]
-        for _ in range(10):
-            c = list(b)
-            for j in rng.integers(0, 80, rng.integers(0, 8)):
-                c[j] = words[rng.integers(0, 300)]
-            texts.append(" ".join(c))
-    codes, radius = wide_fingerprints(texts, 5), most_bits(0.8)
-    node = np.arange(len(texts))
-    u, v = cell_links(codes, np.zeros(len(texts), np.int64), node, radius)
-    root = dict(enumerate(range(len(texts)))) | dict(zip(u.tolist(), v.tolist(), strict=True))
-    want = list(range(len(texts)))
+def test_rows_and_not_ids_are_documents(spark):
+    rng = np.random.default_rng(16)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 9999, 80))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, a), (None, a), (None, c), (None, c + " more"), (3, ""), (4, None), (None, " "), (5, d)]
+    docs = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, t1 string, n long")
+    kept = without_copies(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == 5 and set(got) >= {(1, a), (1, b), (3, ""), (5, d)} and {t for i, t in got if i is None} <= {c, c + " more"}
+    assert without_copies(docs.limit(0)).count() == 0 and near_copies(docs.limit(0)).count() == 0
+
+
+def closure(texts, similarity=0.8):
+    sets = [shingles(t) if t.split() else set() for t in texts]
+    root = list(range(len(texts)))
     for a, b in combinations(range(len(texts)), 2):
-        if np.bitwise_count(codes[a] ^ codes[b]).sum() <= radius and want[a] != want[b]:
-            x, y = sorted((want[a], want[b]))
-            want = [x if w == y else w for w in want]
-    assert [root[i] for i in range(len(texts))] == want
-    far = [len(shingles(texts[a]) & shingles(texts[b])) / len(shingles(texts[a]) | shingles(texts[b])) for a, b in combinations(range(len(texts)), 2) if root[a] != root[b]]
-    assert max(far) < 0.85
+        if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) and root[a] != root[b]:
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+    return root
+
+
+def families(seed, groups=25, each=14, words=120):
+    """Texts of families whose members differ by none to a sixth of their words, and that share lines."""
+    rng = np.random.default_rng(seed)
+    lines = [" ".join(f"line{i}x{j}" for j in range(40)) for i in range(3)]
+    texts = []
+    for _ in range(groups):
+        base = [f"w{i}" for i in rng.integers(0, 1 << 40, words)]
+        for _ in range(each):
+            own = list(base)
+            for at in rng.integers(0, words, rng.integers(0, 4)):
+                own[at] = f"c{rng.integers(0, 1 << 40)}"
+            texts.append(" ".join([*own, *([lines[rng.integers(0, 3)]] * int(rng.integers(0, 2)))]))
+    return texts
+
+
+def test_near_copies_equal_brute_force(spark):
+    texts = families(11) + ["a b", "a b c", "a b c d e f", "a b c d e f g", "", " ", "A  b"]
+    want = closure(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for most in (4_096, 12):  # whole cells, and cells cut into blocks
+        got = {r.doc_id: r.component_id for r in near_copies(docs, most=most).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert 60 < len(set(want)) < len(texts) * 0.7
+
+
+def test_sets_and_keys():
+    texts = families(12, 3, 4) + ["", "a", "a b", "é É", "x\x0by  z\tq"]
+    for t in texts:
+        assert len(shingle_set(t, 5)) == (len(shingles(t)) if t.split() else 0)
+    assert (shingle_set("A b\n c d e f", 5) == shingle_set("a B c  d e f", 5)).all()
+    sets = [shingle_set(t, 5) for t in texts]
+    keys = set_keys(sets)
+    assert keys.shape == (len(texts), 16) and len(set(keys[0].tolist())) == 16 and not keys[12].any()
+    long = shingle_set("word " * 3 + " ".join(f"w{i}" for i in range(200_000)), 5)
+    assert len(long) == 200_003 - 4
+
+
+def test_share_of_pairs_that_share_a_key():
+    rng, met = np.random.default_rng(13), 0
+    for _ in range(2_000):
+        h = rng.integers(0, 1 << 63, 300, dtype=np.uint64)  # 240 of 300 in both
+        a, b = set_keys([np.sort(h[:270]), np.sort(h[30:])])
+        met += bool((a == b).any())
+    assert met >= 1_996
+
+
+def test_cells_equal_brute_force():
+    texts = families(14, 4, 30)
+    sets = [shingle_set(t, 5) for t in texts]
+    judge = Judge(set_fingerprints(sets), np.array([len(x) for x in sets]), 0.8)
+    one, alone = np.zeros(len(texts), np.int64), np.arange(len(texts))
+    a, b = exact_links(judge, one, alone, sets)
+    root = list(range(len(texts)))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        low, high = sorted((root[x], root[y]))
+        assert low != high  # a forest
+        root = [low if r == high else r for r in root]
+    assert root == closure(texts)
+    label = np.array(root)
+    u, v, _ = cell_forest(judge, one, alone)
+    assert len(u) < len(texts) and {*u.tolist(), *v.tolist()} >= {i for i in range(len(texts)) if root.count(root[i]) > 1}
+    assert len(exact_links(judge, one, label, sets)[0]) == 0 and len(strangers(judge, one, np.zeros(len(texts), int))) == 0
 
 
 def test_repeat_stage(spark):
@@ -119,6 +181,20 @@ def test_pairs_around_the_bound(spark):
     assert [got[2 * i + 1] == 2 * i for i in range(200)] == alike
 
 
+def test_a_large_group_around_the_bound(spark):
+    """Hundreds of texts, most pairs of which are a little below the bound: all links are found, and few pairs leave a task."""
+    rng = np.random.default_rng(15)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(400):
+        own = list(base)
+        for at in rng.integers(0, 200, 4):
+            own[at] = f"c{rng.integers(0, 1 << 40)}"
+        texts.append(" ".join(own))
+    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most=64).collect()}
+    assert [got[i] for i in range(400)] == closure(texts)
+
+
 def test_texts_in_other_languages_go(spark):
     foreign = [
         "Съешь же ещё этих мягких французских булок, да выпей чаю, а потом иди домой",
