@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +13,10 @@ from ..functions.geo import directions, drivable, edge_seconds, flat_km, haversi
 from . import spatial
 from .shared import forget, settle
 
-#: Edges of a graph that one task may hold; larger graphs go by rounds of joins.
+#: Edges of a graph that one task may hold, some 100 MB of arrays; larger graphs go by rounds of joins, with equal results.
 KERNEL_EDGES = 2_000_000
+#: Tables of improved labels that are merged into one once there are so many.
+DELTAS = 8
 WALK_MS = 1.35
 
 
@@ -73,85 +75,206 @@ def least_edges(edges: DataFrame) -> DataFrame:
     return edges.where("w is not null and src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w"))
 
 
-def fits_kernel(edges: DataFrame, most: int = KERNEL_EDGES) -> bool:
-    return edges.limit(most + 1).count() <= most
-
-
-def sssp(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, kernel: bool | None = None) -> DataFrame:
+class Arrays:
+    """A graph of at most KERNEL_EDGES edges as arrays: nodes in order, and the edges of each by index."""
+
+    def __init__(self, edges: DataFrame):
+        flat = edges.toArrow()
+        src, dst, w = (flat.column(c).to_numpy() for c in ("src", "dst", "w"))
+        self.nodes = np.unique(np.concatenate([src, dst]))
+        order = np.argsort(src, kind="stable")
+        self.src, self.dst, self.w = np.searchsorted(self.nodes, src[order]), np.searchsorted(self.nodes, dst[order]), w[order]
+        self.first = np.searchsorted(self.src, np.arange(len(self.nodes) + 1))
+        self.step = max(1, int(8 * self.w.mean())) if len(self.w) else 1  # wide buckets have many nodes to relax side by side
+
+    def place(self, nodes: np.ndarray) -> np.ndarray:
+        """Index of each node, -1 for those without an edge."""
+        at = np.minimum(np.searchsorted(self.nodes, nodes), max(0, len(self.nodes) - 1))
+        return np.where(self.nodes[at] == nodes, at, -1) if len(self.nodes) else np.full(len(nodes), -1)
+
+    def out(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges that leave some nodes, and the place of each edge's node among them."""
+        count = self.first[nodes + 1] - self.first[nodes]
+        at = np.repeat(np.arange(len(nodes)), count)
+        return np.repeat(self.first[nodes] - np.cumsum(count) + count, count) + np.arange(count.sum()), at
+
+    def distances(self, source: int, cutoff: float | None) -> tuple[np.ndarray, np.ndarray]:
+        """Distance of each node, and whether it is reached: buckets of distances are settled one after another, the nodes of one side by side."""
+        whole = self.w.dtype.kind == "i"
+        none = np.iinfo(np.int64).max // 2 if whole else np.inf
+        dist = np.full(len(self.nodes), none, np.int64 if whole else np.float64)
+        dist[source] = 0
+        now, later, upto = np.array([source]), [], self.step
+        while True:
+            while len(now):
+                e, at = self.out(now)
+                reach, to = dist[now][at] + self.w[e], self.dst[e]
+                better = reach < dist[to] if cutoff is None else (reach < dist[to]) & (reach <= cutoff)
+                reach, to = reach[better], to[better]
+                np.minimum.at(dist, to, reach)
+                to = np.unique(to)
+                near = dist[to] < upto
+                later.append(to[~near])
+                now = to[near]
+            far = np.unique(np.concatenate(later)) if later else now
+            far = far[dist[far] >= upto]
+            if not len(far):
+                return dist, dist < none
+            upto = int(dist[far].min()) + self.step
+            now, later = far[dist[far] < upto], [far[dist[far] >= upto]]
+
+    def previous(self, source: int, dist: np.ndarray, reached: np.ndarray) -> np.ndarray:
+        """The node before each reached one on a shortest path, the smallest there is; -1 at the source and where nothing is reached."""
+        tight = reached[self.src] & (dist[self.src] + self.w == dist[self.dst]) & (self.dst != source)
+        src, dst, w = self.src[tight], self.dst[tight], self.w[tight]
+        prev = np.full(len(self.nodes), len(self.nodes), np.int64)
+        np.minimum.at(prev, dst[w > 0], src[w > 0])
+        known = prev < len(self.nodes)
+        known[source] = True
+        while True:  # edges without weight lead on from nodes whose own way is known
+            more = known[src] & ~known[dst]
+            if not more.any():
+                break
+            np.minimum.at(prev, dst[more], src[more])
+            known[dst[more]] = True
+        prev[prev == len(self.nodes)] = -1
+        return prev
+
+
+def kernel_graph(edges: DataFrame, kernel: bool | None) -> tuple[DataFrame, bool]:
+    """The least edges, put away, and whether one task may hold them (unless that is said)."""
+    edges = settle(least_edges(edges))
+    return edges, edges.count() <= KERNEL_EDGES if kernel is None else kernel
+
+
+def sssp(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, kernel: bool | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(source, node, dist, prev) of every node a source reaches within cutoff; prev is null at the source.
 
     edges are (src, dst, w) with w >= 0, sources are (source). Of equal paths the one with the
-    smaller previous node counts. kernel: run a heap over the broadcast graph, which
-    is only done below KERNEL_EDGES; otherwise rounds of joins over the improved labels.
+    smaller previous node counts. targets (node) are all that is wanted, if given. kernel: search the broadcast
+    arrays for each source, which is only done below KERNEL_EDGES; otherwise rounds of joins over improved labels.
     """
-    edges = least_edges(edges)
-    if kernel is None:
-        kernel = fits_kernel(edges)
-    return _sssp_kernel(edges, sources, cutoff) if kernel else _sssp_rounds(edges, sources, cutoff)
+    edges, kernel = kernel_graph(edges, kernel)
+    return _sssp_kernel(edges, sources, cutoff, targets) if kernel else _sssp_rounds(edges, sources, cutoff, targets)
 
 
-def _sssp_kernel(edges: DataFrame, sources: DataFrame, cutoff: float | None) -> DataFrame:
-    whole = dict(edges.dtypes)["w"] in ("int", "bigint")
-    flat = edges.toArrow()
-    out: dict[int, list[tuple[int, float]]] = defaultdict(list)
-    for s, d, w in zip(*(flat.column(c).to_pylist() for c in ("src", "dst", "w")), strict=True):
-        out[s].append((d, w))
-    graph = edges.sparkSession.sparkContext.broadcast(dict(out))
+def _sssp_kernel(edges: DataFrame, sources: DataFrame, cutoff: float | None, targets: DataFrame | None) -> DataFrame:
+    kind = "long" if dict(edges.dtypes)["w"] in ("int", "bigint") else "double"
+    arrays = Arrays(edges)
+    wanted = None
+    if targets is not None:  # no more than the graph has nodes
+        known = edges.select(F.explode(F.array("src", "dst")).alias("node"))
+        wanted = np.sort(targets.select(F.col("node").cast("long")).distinct().join(known.distinct(), "node", "left_semi").toArrow().column("node").to_numpy())
+    sent = edges.sparkSession.sparkContext.broadcast((arrays, wanted))
 
     def run(batches):
-        adjacent = graph.value
+        graph, only = sent.value
+        keep = None if only is None else np.isin(graph.nodes, only)
         for batch in batches:
-            for source in batch.column(0).to_pylist():
-                best, prev, heap, done = {source: 0}, {source: None}, [(0, source)], set()
-                while heap:
-                    d, u = heapq.heappop(heap)
-                    if u in done:
-                        continue
-                    done.add(u)
-                    for v, w in adjacent.get(u, ()):
-                        reach = d + w
-                        if cutoff is not None and reach > cutoff:
-                            continue
-                        old = best.get(v)
-                        if old is None or reach < old or (reach == old and v not in done and prev[v] is not None and u < prev[v]):
-                            best[v], prev[v] = reach, u
-                            heapq.heappush(heap, (reach, v))
-                n = list(best)
-                yield pa.RecordBatch.from_arrays([pa.array([source] * len(n), pa.int64()), pa.array(n, pa.int64()), pa.array([best[v] for v in n], pa.int64() if whole else pa.float64()), pa.array([prev[v] for v in n], pa.int64())], ["source", "node", "dist", "prev"])
-
-    spread = sources.select(F.col("source").cast("long")).distinct().repartition(sources.sparkSession.sparkContext.defaultParallelism)
-    return spread.mapInArrow(run, f"source long, node long, dist {'long' if whole else 'double'}, prev long")
-
-
-def _sssp_rounds(edges: DataFrame, sources: DataFrame, cutoff: float | None) -> DataFrame:
+            ids = batch.column(0).to_numpy()
+            for source, at in zip(ids.tolist(), graph.place(ids).tolist(), strict=True):
+                if at < 0:  # a node without edges reaches itself
+                    if only is None:
+                        yield pa.RecordBatch.from_arrays([pa.array([source]), pa.array([source]), pa.array([0], pa.int64() if kind == "long" else pa.float64()), pa.array([None], pa.int64())], ["source", "node", "dist", "prev"])
+                    continue
+                dist, reached = graph.distances(at, cutoff)
+                prev = graph.previous(at, dist, reached)
+                n = np.flatnonzero(reached if keep is None else reached & keep)
+                before = pa.array(graph.nodes[prev[n]], pa.int64(), mask=prev[n] < 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), source)), pa.array(graph.nodes[n]), pa.array(dist[n]), before], ["source", "node", "dist", "prev"])
+
+    spread = sources.select(F.col("source").cast("long")).distinct().repartition(4 * sources.sparkSession.sparkContext.defaultParallelism)
+    found = spread.mapInArrow(run, f"source long, node long, dist {kind}, prev long")
+    if targets is None:
+        return found
+    alone = sources.select(F.col("source").cast("long").alias("source")).distinct().join(targets.select(F.col("node").cast("long").alias("source")).distinct(), "source", "left_semi")
+    alone = alone.join(edges.select(F.explode(F.array("src", "dst")).alias("source")).distinct(), "source", "left_anti")
+    return found.unionByName(alone.select("source", F.col("source").alias("node"), F.lit(0).cast(kind).alias("dist"), F.lit(None).cast("long").alias("prev")))
+
+
+def _sssp_rounds(edges: DataFrame, sources: DataFrame, cutoff: float | None, targets: DataFrame | None = None) -> DataFrame:
+    """Rounds of joins: a round reads all labels and writes only those that it improves."""
     zero = F.lit(0).cast(dict(edges.dtypes)["w"])
     start = sources.select(F.col("source").cast("long").alias("source")).distinct()
-    state = settle(start.select("source", F.col("source").alias("node"), zero.alias("dist"), F.lit(None).cast("long").alias("prev"), F.lit(True).alias("new")))
-    while not state.where("new").isEmpty():
-        step = state.where("new").join(edges, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("prev"), F.lit(1).alias("fresh"))
+    front = settle(start.select("source", F.col("source").alias("node"), zero.alias("dist"), F.lit(None).cast("long").alias("prev")))
+    key = F.struct("dist", F.coalesce("prev", F.lit(-(1 << 62))).alias("p"), "fresh")
+    least = lambda rows: rows.groupBy("source", "node").agg(F.min_by(F.struct("dist", "prev", "fresh"), key).alias("b")).select("source", "node", "b.dist", "b.prev", "b.fresh")
+    labels = [front]
+    while not front.isEmpty():
+        step = front.join(edges, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("prev"), F.lit(1).alias("fresh"))
         if cutoff is not None:
             step = step.where(F.col("dist") <= cutoff)
-        old = state.select("source", "node", "dist", "prev", F.lit(0).alias("fresh"))
-        key = F.struct("dist", F.coalesce("prev", F.lit(-(1 << 62))).alias("p"), "fresh")
-        best = old.unionByName(step).groupBy("source", "node").agg(F.min_by(F.struct("dist", "prev", "fresh"), key).alias("b"))
-        after = settle(best.select("source", "node", "b.dist", "b.prev", (F.col("b.fresh") == 1).alias("new")))
-        forget(state)
-        state = after
-    return state.drop("new")
-
+        if len(labels) > DELTAS:
+            merged = settle(least(_union(labels).withColumn("fresh", F.lit(0))).drop("fresh"))
+            for x in labels:
+                if x is not front:
+                    forget(x)
+            labels = [merged]
+        front = settle(least(_union(labels).withColumn("fresh", F.lit(0)).unionByName(step)).where("fresh = 1").drop("fresh"))
+        labels.append(front)
+    found = least(_union(labels).withColumn("fresh", F.lit(0))).drop("fresh")
+    return found if targets is None else found.join(targets.select(F.col("node").cast("long").alias("node")).distinct(), "node", "left_semi").select("source", "node", "dist", "prev")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def routes(edges: DataFrame, requests: DataFrame, kernel: bool | None = None) -> DataFrame:
+    """(source, target, dist, path) for rows (source, target) whose target is reached: the nodes of the shortest path, both ends among them."""
+    edges, kernel = kernel_graph(edges, kernel)
+    asked = requests.select(F.col("source").cast("long"), F.col("target").cast("long")).distinct()
+    if not kernel:
+        labels = settle(_sssp_rounds(edges, asked.select("source"), None))
+        ends = labels.select("source", F.col("node").alias("target"), "dist")
+        return paths(labels, asked).join(ends, ["source", "target"]).select("source", "target", "dist", "path")
+    kind = "long" if dict(edges.dtypes)["w"] in ("int", "bigint") else "double"
+    sent = edges.sparkSession.sparkContext.broadcast(Arrays(edges))
 
-def paths(labels: DataFrame, targets: DataFrame, most: int = 10_000) -> DataFrame:
-    """(source, target, path) for rows (source, target): nodes from source to target; no row where it isn't reached."""
+    def run(batches):
+        graph = sent.value
+        for batch in batches:
+            for source, targets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at, ends = graph.place(np.array([source]))[0], graph.place(np.array(targets, np.int64))
+                rows = [(source, t, 0, [t]) for t in targets if at < 0 and t == source]
+                if at >= 0:
+                    dist, reached = graph.distances(at, None)
+                    prev = graph.previous(at, dist, reached)
+                    for target, end in zip(targets, ends.tolist(), strict=True):
+                        if end >= 0 and reached[end]:
+                            path = [end]
+                            while path[-1] != at:
+                                path.append(int(prev[path[-1]]))
+                            rows.append((source, target, dist[end].item(), graph.nodes[path[::-1]].tolist()))
+                if rows:
+                    kinds = (pa.int64(), pa.int64(), pa.int64() if kind == "long" else pa.float64(), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["source", "target", "dist", "path"])
+
+    by_source = asked.groupBy("source").agg(F.collect_list("target").alias("targets")).repartition(4 * edges.sparkSession.sparkContext.defaultParallelism)
+    return by_source.mapInArrow(run, f"source long, target long, dist {kind}, path array<long>")
+
+
+def paths(labels: DataFrame, targets: DataFrame, most: int = 100_000) -> DataFrame:
+    """(source, target, path) for rows (source, target): nodes from source to target; no row where it isn't reached.
+
+    A step back a round; paths of more than `most` steps are an error, not a part of the result.
+    """
     walk = settle(targets.join(labels.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", F.col("prev").alias("at"), F.array("target").alias("path")))
     back = labels.select("source", F.col("node").alias("at"), "prev")
-    for _ in range(most):
-        if walk.where("at is not null").isEmpty():
-            break
-        on = walk.where("at is not null").join(back, ["source", "at"]).select("source", "target", F.col("prev").alias("at"), F.concat(F.array("at"), "path").alias("path"))
-        after = settle(on.unionByName(walk.where("at is null")))
-        forget(walk)
-        walk = after
-    return walk.select("source", "target", "path")
+    done = settle(walk.where("at is null").select("source", "target", "path"))
+    todo, found, steps = settle(walk.where("at is not null")), [done], 0
+    forget(walk)
+    while not todo.isEmpty():
+        if steps == most:
+            raise RuntimeError(f"a path has more than {most} steps")
+        steps += 1
+        walk = settle(todo.join(back, ["source", "at"]).select("source", "target", F.col("prev").alias("at"), F.concat(F.array("at"), "path").alias("path")))
+        found.append(walk.where("at is null").select("source", "target", "path"))
+        todo = walk.where("at is not null")
+    return _union(found)
 
 
 def path_cost(routes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -163,9 +286,9 @@ def path_cost(routes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def strong_components(edges: DataFrame, kernel: bool | None = None) -> DataFrame:
     """(node, component) of every node of an edge; a component is named by its smallest node."""
-    edges = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct()
+    edges = settle(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct())
     if kernel is None:
-        kernel = fits_kernel(edges)
+        kernel = edges.count() <= KERNEL_EDGES
     return _scc_kernel(edges) if kernel else _scc_colours(edges)
 
 
@@ -192,8 +315,9 @@ def _scc_kernel(edges: DataFrame) -> DataFrame:
                     if work:
                         low[work[-1][0]] = min(low[work[-1][0]], low[u])
                     if low[u] == index[u]:
-                        at = stack.index(u) if len(stack) < 2 or stack[-1] == u else max(i for i, x in enumerate(stack) if x == u)
-                        own, stack[at:] = stack[at:], []
+                        own = [stack.pop()]
+                        while own[-1] != u:
+                            own.append(stack.pop())
                         on.difference_update(own)
                         found.update(dict.fromkeys(own, min(own)))
                 elif v not in index:
@@ -209,16 +333,18 @@ def _scc_kernel(edges: DataFrame) -> DataFrame:
 
 
 def _spread(state: DataFrame, edges: DataFrame, better) -> DataFrame:
-    """Fixpoint of labels along edges; state is (node, label)."""
-    state = settle(state.withColumn("new", F.lit(True)))
-    while not state.where("new").isEmpty():
-        step = state.where("new").join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "label")
-        both = state.select("node", "label", F.col("label").alias("old")).unionByName(step.select("node", "label", F.lit(None).cast("long").alias("old")))
-        best = both.groupBy("node").agg(better("label").alias("label"), F.max("old").alias("old"))
-        after = settle(best.select("node", "label", (F.col("old").isNull() | (F.col("old") != F.col("label"))).alias("new")))
-        forget(state)
-        state = after
-    return state.drop("new")
+    """Fixpoint of labels along edges; state is (node, label). A round writes only the labels that it improves."""
+    front = settle(state.select("node", "label"))
+    labels = [front]
+    while not front.isEmpty():
+        step = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "label")
+        if len(labels) > DELTAS:
+            labels = [settle(_union(labels).groupBy("node").agg(better("label").alias("label")))]
+        both = _union(labels).select("node", "label", F.col("label").alias("old")).unionByName(step.select("node", "label", F.lit(None).cast("long").alias("old")))
+        best = both.groupBy("node").agg(better("label").alias("label"), better("old").alias("old"))
+        front = settle(best.where(F.col("old").isNull() | (F.col("old") != F.col("label"))).select("node", "label"))
+        labels.append(front)
+    return _union(labels).groupBy("node").agg(better("label").alias("label"))
 
 
 def _scc_colours(edges: DataFrame) -> DataFrame:
@@ -259,6 +385,7 @@ def csr(edges: DataFrame) -> DataFrame:
 
 def drive_matrix(edges: DataFrame, snapped: DataFrame) -> DataFrame:
     """(i, j, seconds) of anchors (id, node); no row for pairs without a route."""
-    labels = sssp(edges, snapped.select(F.col("node").alias("source")).distinct())
+    at = snapped.select("node").distinct()
+    labels = sssp(edges, at.withColumnRenamed("node", "source"), targets=at)
     a, b = snapped.select(F.col("id").alias("i"), F.col("node").alias("source")), snapped.select(F.col("id").alias("j"), "node")
     return labels.join(a, "source").join(b, "node").select("i", "j", F.floor(F.col("dist") + 0.5).cast("int").alias("seconds"))

@@ -43,38 +43,44 @@ def nearest(pairs: DataFrame, by: list[str], k: int, order: list) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def snap(points: DataFrame, nodes: DataFrame, metric: Metric, size: float | None = None, rounds: int = 12, lng_scale: float = 0.6) -> DataFrame:
-    """(id, node, d): the exact nearest node of every point, ties to the smaller node.
+def knn(points: DataFrame, nodes: DataFrame, k: int, metric: Metric, size: float | None = None, rounds: int = 12, edge: Callable[[float, float], float] | None = None) -> DataFrame:
+    """(id, node, d, rank): the exact k nearest nodes of every point, ties to the smaller node; all nodes where there are fewer.
 
     points have id, lat, lng; nodes have node, r_lat, r_lng. A round looks at 3 x 3 cells
-    and settles a point if its best lies no farther than one cell's edge, which nothing outside
-    can undercut; the others go on with cells four times as large. The first cells hold about four
-    nodes, unless `size` (degrees) is given. lng_scale is at most the
-    length of a degree of longitude over that of latitude where the points are. Points that
-    no round settles have no row.
+    and settles a point if its k-th best lies no farther than one cell's edge, which nothing outside
+    can undercut; the others go on with cells four times as large. The first cells hold about 4 k
+    nodes, unless `size` (degrees) is given. edge(size, latitude) is a length, in the metric's unit, that no step over a whole
+    cell undercuts; it is metres on the sphere unless given. The last round takes what it sees, by then 16 million times a cell's area.
     """
-    edge_m = lambda c: F.lit(c * 111_194.0)  # noqa: E731  metres of c degrees of latitude on the sphere, rounded down
+    edge = edge or (lambda c, lat: c * 111_194.0 * min(1.0, math.cos(math.radians(min(89.9, lat + c)))))  # the shorter side, a degree's length rounded down
+    box = nodes.agg(F.min("r_lat"), F.max("r_lat"), F.min("r_lng"), F.max("r_lng"), F.count("*")).first()
     if size is None:
-        box = nodes.agg(F.min("r_lat"), F.max("r_lat"), F.min("r_lng"), F.max("r_lng"), F.count("*")).first()
-        size = max(1e-4, 2 * math.sqrt(max(0.0, (box[1] - box[0]) * (box[3] - box[2])) / box[4])) if box[4] else 1.0
+        size = max(1e-4, 2 * math.sqrt(max(0.0, (box[1] - box[0]) * (box[3] - box[2])) * k / box[4])) if box[4] else 1.0
+    far = points.agg(F.max(F.abs("lat"))).first()[0] or 0.0
+    far = max(far, abs(box[0] or 0.0), abs(box[1] or 0.0))  # the latitude where degrees of longitude are shortest
     left, found = points, None
     for i in range(rounds):
-        cells = size * 4**i
+        cells, last = size * 4**i, i == rounds - 1
         pairs = binned_pairs(left, nodes, cells, cells).withColumn("d", metric(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng")))
-        best = pairs.groupBy("id").agg(F.min(F.struct("d", "node")).alias("b")).select("id", F.col("b.node").alias("node"), F.col("b.d").alias("d"))
-        last = i == rounds - 1
-        done = best if last else best.where(F.col("d") <= edge_m(cells * lng_scale))
-        done = settle(done)
-        found = done if found is None else found.unionByName(done)
+        best = nearest(pairs, ["id"], k, ["d", "node"]).select("id", "node", "d", "rank")
+        if not last:
+            whole = best.groupBy("id").agg(F.max("d").alias("last"), F.count("*").alias("n"))
+            best = best.join(whole.where((F.col("n") >= min(k, box[4])) & (F.col("last") <= edge(cells, far))).select("id"), "id", "left_semi")
+        best = settle(best)
+        found = best if found is None else found.unionByName(best)
         if last:
             break
-        left = left.join(done.select("id"), "id", "left_anti")
-        left = settle(left)
+        left = settle(left.join(best.where("rank = 1").select("id"), "id", "left_anti"))
         if left.isEmpty():
             break
     return found
 
 
+def snap(points: DataFrame, nodes: DataFrame, metric: Metric, size: float | None = None, rounds: int = 12) -> DataFrame:
+    """(id, node, d): the exact nearest node of every point, ties to the smaller node."""
+    return knn(points, nodes, 1, metric, size, rounds).drop("rank")
+
+
 def weighted_mean(pairs: DataFrame, by: list[str], values: dict[str, Column], eps: float) -> DataFrame:
     """Inverse squared distance weighting of each value over the pairs of each group."""
     w = 1 / (F.col("d") * F.col("d") + eps)

@@ -50,9 +50,18 @@ def declared_seconds(text) -> F.Column:
 
 
 def board(labels: DataFrame, trips: DataFrame) -> DataFrame:
-    """(source, pattern, pos, trip): the earliest trip that can be caught at each stop of each pattern."""
-    met = labels.join(trips.select("pattern", "pos", "trip", "stop", "dep"), "stop").where("dep >= arr")
-    return met.groupBy("source", "pattern", "pos").agg(F.min("trip").alias("trip"))
+    """(source, pattern, pos, trip): the earliest trip that can be caught at each stop of each pattern.
+
+    Departures and labels of a place are sorted by time together, so that a running minimum from the latest
+    departure on gives each label its trip; no label meets the trips one by one.
+    """
+    leave = trips.groupBy("pattern", "pos", "stop", "dep").agg(F.min("trip").alias("trip"))
+    places = trips.select("pattern", "pos", "stop").distinct()
+    met = labels.join(places, "stop").select("pattern", "pos", "stop", F.col("arr").alias("at"), "source", F.lit(None).cast("long").alias("trip"), F.lit(0).alias("kind"))
+    both = met.unionByName(leave.select("pattern", "pos", "stop", F.col("dep").cast(dict(labels.dtypes)["arr"]).alias("at"), F.lit(None).cast(dict(labels.dtypes)["source"]).alias("source"), F.col("trip").cast("long").alias("trip"), F.lit(1).alias("kind")))
+    later = Window.partitionBy("pattern", "pos", "stop").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    caught = both.withColumn("next", F.min("trip").over(later)).where("kind = 0 and next is not null")
+    return caught.groupBy("source", "pattern", "pos").agg(F.min("next").alias("trip"))
 
 
 def ride(boarded: DataFrame, trips: DataFrame) -> DataFrame:
@@ -64,33 +73,44 @@ def ride(boarded: DataFrame, trips: DataFrame) -> DataFrame:
     return on.join(trips.select("pattern", "pos", "trip", "stop", "arr"), ["pattern", "pos", "trip"]).groupBy("source", "stop").agg(F.min("arr").alias("arr"))
 
 
-def improve(labels: DataFrame, new: DataFrame) -> DataFrame:
-    """labels (source, stop, arr, fresh) after new (source, stop, arr): fresh marks strict improvements."""
-    both = labels.select("source", "stop", "arr", F.col("arr").alias("old"), "fresh").unionByName(new.select("source", "stop", "arr", F.lit(None).cast("long").alias("old"), F.lit(False).alias("fresh")))
-    best = both.groupBy("source", "stop").agg(F.min("arr").alias("arr"), F.min("old").alias("old"), F.max("fresh").alias("was"))
-    return best.select("source", "stop", "arr", (F.col("was") | F.col("old").isNull() | (F.col("arr") < F.col("old"))).alias("fresh"))
+def improve(labels: DataFrame, new: DataFrame, step: int) -> DataFrame:
+    """labels (source, stop, arr, step) after new (source, stop, arr): step is that of the last strict improvement."""
+    none = F.lit(None)
+    both = labels.select("source", "stop", "arr", F.col("arr").alias("old"), "step").unionByName(new.select("source", "stop", "arr", none.cast("long").alias("old"), none.cast("int").alias("step")))
+    best = both.groupBy("source", "stop").agg(F.min("arr").alias("arr"), F.min("old").alias("old"), F.max("step").alias("step"))
+    return best.select("source", "stop", "arr", F.when(F.col("old").isNull() | (F.col("arr") < F.col("old")), F.lit(step)).otherwise(F.col("step")).alias("step"))
 
 
-def on_foot(labels: DataFrame, foot: DataFrame) -> DataFrame:
-    """One hop from the stops that this round improved."""
-    return labels.where("fresh").join(foot, F.col("stop") == F.col("a")).select("source", F.col("b").alias("stop"), (F.col("arr") + F.col("sec")).alias("arr"))
+def on_foot(labels: DataFrame, foot: DataFrame, step: int) -> DataFrame:
+    """One hop from the stops that this step improved."""
+    return labels.where(F.col("step") == step).join(foot, F.col("stop") == F.col("a")).select("source", F.col("b").alias("stop"), (F.col("arr") + F.col("sec")).alias("arr"))
 
 
-def earliest_arrivals(trips: DataFrame, foot: DataFrame, access: DataFrame, rounds: int = 4) -> DataFrame:
-    """(source, stop, arr) for all sources at once; access is (source, stop, arr).
+def first_labels(access: DataFrame) -> DataFrame:
+    return access.groupBy("source", "stop").agg(F.min("arr").cast("long").alias("arr")).withColumn("step", F.lit(0))
+
+
+def arrival_steps(trips: DataFrame, foot: DataFrame, access: DataFrame, rounds: int = 4) -> list[DataFrame]:
+    """Labels (source, stop, arr, step) after each step: 0 is access, odd steps walk, even ones ride.
 
     A round boards from the labels of the round before, rides, and then walks one hop from
     what riding improved, so at most `rounds` vehicles are taken and walks don't chain.
     """
-    seeds = access.groupBy("source", "stop").agg(F.min("arr").cast("long").alias("arr")).withColumn("fresh", F.lit(True))
-    labels = settle(improve(seeds, on_foot(seeds, foot)))
-    for _ in range(rounds):
-        if labels.where("fresh").isEmpty():
+    steps = [settle(first_labels(access))]
+    steps.append(settle(improve(steps[0], on_foot(steps[0], foot, 0), 1)))
+    for step in range(2, 2 * rounds + 2, 2):
+        fresh = steps[-1].where(F.col("step") >= step - 2)
+        if fresh.isEmpty():
             break
-        rode = ride(board(labels.where("fresh").select("source", "stop", "arr"), trips), trips)
-        now = settle(improve(labels.withColumn("fresh", F.lit(False)), rode))
-        labels = settle(improve(now, on_foot(now, foot)))
-    return labels.select("source", "stop", "arr")
+        rode = ride(board(fresh.select("source", "stop", "arr"), trips), trips)
+        steps.append(settle(improve(steps[-1], rode, step)))
+        steps.append(settle(improve(steps[-1], on_foot(steps[-1], foot, step), step + 1)))
+    return steps
+
+
+def earliest_arrivals(trips: DataFrame, foot: DataFrame, access: DataFrame, rounds: int = 4) -> DataFrame:
+    """(source, stop, arr) for all sources at once; access is (source, stop, arr)."""
+    return arrival_steps(trips, foot, access, rounds)[-1].select("source", "stop", "arr")
 
 
 def egress(arrivals: DataFrame, access: DataFrame, walks: DataFrame) -> DataFrame:
@@ -106,32 +126,76 @@ def egress(arrivals: DataFrame, access: DataFrame, walks: DataFrame) -> DataFram
 LEG = "array<struct<kind:string,start:bigint,stop:bigint,pattern:bigint,trip:bigint>>"
 
 
-def journeys(trips: DataFrame, foot: DataFrame, access: DataFrame, labels: DataFrame, targets: DataFrame, most: int = 100) -> DataFrame:
-    """(source, target, arr, legs) of targets (source, target): how each was reached, at most `most` legs.
+def journeys(trips: DataFrame, foot: DataFrame, access: DataFrame, targets: DataFrame, rounds: int = 4) -> DataFrame:
+    """(source, target, arr, legs) of targets (source, target): how each was reached first. No row where a target is not reached.
 
-    Walks back from the labels: a stop that is a seed ends the journey; else a ride arrived there
-    just then, boarded at a stop that was reached in time; else a walk did. Of several rides the one of
-    smallest pattern, trip and boarding place counts. No row where the target has no label.
+    Walks back over the steps: what a step of riding improved was reached by a trip that was boarded at a stop as
+    it was labelled before the round, what a step of walking improved by a hop from what was ridden to just before. Of several
+    rides the one of smallest pattern, trip and boarding place counts, of several hops the one from the smallest stop.
     """
-    seeds = access.groupBy("source", F.col("stop").alias("at")).agg(F.min("arr").cast("long").alias("arr")).withColumn("seed", F.lit(True))
+    steps = arrival_steps(trips, foot, access, rounds)
+    history = steps[0]
+    for step, labels in enumerate(steps[1:], 1):
+        history = history.unionByName(labels.where(F.col("step") == step))
+    history = settle(history)
     arrive = trips.select("pattern", "trip", F.col("pos").alias("last"), F.col("stop").alias("at"), "arr")
     leave = trips.select("pattern", "trip", "pos", F.col("stop").alias("from"), "dep")
-    reached = labels.select("source", F.col("stop").alias("from"), F.col("arr").alias("before"))
-    todo = settle(targets.join(labels.withColumnRenamed("stop", "target"), ["source", "target"]).select("source", "target", F.col("arr").alias("end"), F.col("target").alias("at"), "arr", F.array().cast(LEG).alias("legs")))
-    found = None
-    for _ in range(most + 1):
-        marked = settle(todo.join(seeds, ["source", "at", "arr"], "left"))
-        done = settle(marked.where("seed").select("source", "target", F.col("end").alias("arr"), "legs"))
-        found = done if found is None else found.unionByName(done)
-        open_ = marked.where("seed is null").drop("seed")
+    before = history.select("source", F.col("stop").alias("from"), F.col("arr").alias("then"), F.col("step").alias("past"))
+    ends = steps[-1].withColumnRenamed("stop", "target")
+    todo = settle(targets.join(ends, ["source", "target"]).select("source", "target", F.col("arr").alias("end"), F.col("target").alias("at"), "arr", "step", F.array().cast(LEG).alias("legs")))
+    leg = lambda kind, pattern, trip: F.struct(F.lit(kind).alias("kind"), F.col("from").alias("start"), F.col("at").alias("stop"), pattern.cast("long").alias("pattern"), trip.cast("long").alias("trip"))
+    none, found = F.lit(None), []
+    while True:  # a step back lowers the step, so there are as many as steps at most
+        found.append(todo.where("step = 0").select("source", "target", F.col("end").alias("arr"), "legs"))
+        open_ = todo.where("step > 0")
         if open_.isEmpty():
             break
-        leg = lambda kind, pattern, trip: F.struct(F.lit(kind).alias("kind"), F.col("from").alias("start"), F.col("at").alias("stop"), pattern.cast("long").alias("pattern"), trip.cast("long").alias("trip"))
-        none = F.lit(None)
-        rode = open_.join(arrive, ["at", "arr"]).join(leave, ["pattern", "trip"]).where("pos < last").join(reached, ["source", "from"]).where("before <= dep and before < arr")
-        rode = rode.select("source", "target", "end", "legs", "before", F.lit(0).alias("rank"), "pattern", "trip", "pos", leg("ride", F.col("pattern"), F.col("trip")).alias("leg"))
-        hop = open_.join(foot.select(F.col("a").alias("from"), F.col("b").alias("at"), "sec"), "at").join(reached, ["source", "from"]).where("before + sec = arr and before < arr")
-        hop = hop.select("source", "target", "end", "legs", "before", F.lit(1).alias("rank"), F.col("from").alias("pattern"), none.cast("long").alias("trip"), none.cast("long").alias("pos"), leg("foot", none, none).alias("leg"))
-        step = rode.unionByName(hop).groupBy("source", "target").agg(F.min_by(F.struct("end", "legs", "before", "leg"), F.struct("rank", "pattern", "trip", "pos")).alias("s"))
-        todo = settle(step.select("source", "target", "s.end", F.col("s.leg.start").alias("at"), F.col("s.before").alias("arr"), F.concat(F.array("s.leg"), "s.legs").alias("legs")))
-    return found
+        rode = open_.where("step % 2 = 0").join(arrive, ["at", "arr"]).join(leave, ["pattern", "trip"]).where("pos < last").join(before, ["source", "from"]).where("past < step and then <= dep")
+        rode = rode.select("source", "target", "end", "legs", "from", "then", "past", leg("ride", F.col("pattern"), F.col("trip")).alias("leg"), F.array("pattern", "trip", "pos", -F.col("past")).alias("rank"))
+        hop = open_.where("step % 2 = 1").join(foot.select(F.col("a").alias("from"), F.col("b").alias("at"), "sec"), "at").join(before, ["source", "from"]).where("past = step - 1 and then + sec = arr")
+        hop = hop.select("source", "target", "end", "legs", "from", "then", "past", leg("foot", none, none).alias("leg"), F.array("from").alias("rank"))
+        both = rode.withColumn("rank", F.col("rank").cast("array<long>")).unionByName(hop.withColumn("rank", F.col("rank").cast("array<long>")))
+        back = both.groupBy("source", "target").agg(F.min_by(F.struct("end", "legs", "from", "then", "past", "leg"), "rank").alias("s"))
+        todo = settle(back.select("source", "target", "s.end", F.col("s.from").alias("at"), F.col("s.then").alias("arr"), F.col("s.past").alias("step"), F.concat(F.array("s.leg"), "s.legs").alias("legs")))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def leg_stops(journeys: DataFrame, trips: DataFrame, stops: DataFrame) -> DataFrame:
+    """(source, target, leg, kind, pattern, points): the stops that each leg of journeys passes, with their places (stop, lat, lng).
+
+    A ride takes the first place of its trip that is its start's and the first after it that is its end's. stops are (id, lat, lng).
+    """
+    legs = journeys.select("source", "target", F.posexplode("legs").alias("leg", "l")).select("source", "target", "leg", "l.*")
+    keys = ["source", "target", "leg", "kind", "pattern"]
+    calls = trips.select("pattern", "trip", "pos", F.col("stop").alias("call"))
+    on = legs.where("kind = 'ride'").join(calls, ["pattern", "trip"])
+    leave = on.groupBy(*keys, "trip", "start", "stop").agg(F.min(F.when(F.col("call") == F.col("start"), F.col("pos"))).alias("a"))
+    met = leave.join(calls, ["pattern", "trip"]).where("pos >= a")
+    upto = Window.partitionBy(*keys)
+    ends = met.withColumn("z", F.min(F.when((F.col("call") == F.col("stop")) & (F.col("pos") > F.col("a")), F.col("pos"))).over(upto)).where("pos <= z")
+    walked = legs.where("kind = 'foot'").select(*keys, F.posexplode(F.array("start", "stop")).alias("pos", "call"))
+    rows = ends.select(*keys, F.col("pos").cast("long").alias("pos"), "call").unionByName(walked.select(*keys, F.col("pos").cast("long").alias("pos"), "call"))
+    placed = rows.join(stops.select(F.col("id").alias("call"), "lat", "lng"), "call")
+    points = F.transform(F.array_sort(F.collect_list(F.struct("pos", "call", "lat", "lng"))), lambda x: F.struct(x["call"].alias("stop"), x["lat"].alias("lat"), x["lng"].alias("lng")))
+    return placed.groupBy(*keys).agg(points.alias("points"))
+
+
+def stop_access(anchors: DataFrame, walk: DataFrame, stops: DataFrame, nodes: DataFrame, cutoff: float = 720.0, gap_m: float = 300.0) -> DataFrame:
+    """(anchor, stop, seconds): stops within a walk of `cutoff` seconds of each anchor.
+
+    anchors are (id, node): already on the graph; walk is (src, dst, w) in seconds; stops (id, lat, lng) are snapped to
+    the nearest of nodes (node, r_lat, r_lng) and dropped beyond `gap_m`. The cutoff holds for the walk on the graph, before
+    the gap between the stop and its node is added. Seconds are whole.
+    """
+    from ..functions.geo import haversine_m
+    from .graph import WALK_MS, sssp
+
+    at = spatial.snap(stops, nodes, haversine_m).where(F.col("d") <= gap_m).select(F.col("id").alias("stop"), "node", (F.col("d") / WALK_MS).alias("gap"))
+    at = settle(at)
+    from_ = anchors.select(F.col("id").alias("anchor"), F.col("node").alias("source"))
+    labels = sssp(walk, from_.select("source").distinct(), cutoff=cutoff, targets=at.select("node"))
+    whole = F.floor(F.col("dist") + F.col("gap") + 0.5).cast("long")
+    return labels.join(at, "node").join(from_, "source").select("anchor", "stop", whole.alias("seconds"))

@@ -41,7 +41,7 @@ def pick(values, at) -> F.Column:
 
 def ways(spark: SparkSession, sf: str) -> DataFrame:
     """(way, nodes, highway, maxspeed, oneway): each order is a way through its lines' suppliers."""
-    lines = table(spark, sf, "lineitem").where("l_orderkey % 8 = 1")
+    lines = table(spark, sf, "lineitem")
     seq = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     way = lines.groupBy(F.col("l_orderkey").alias("way")).agg(F.transform(F.array_sort(F.collect_list(seq)), lambda s: s["l_suppkey"]).alias("nodes"))
     k = F.col("way")
@@ -67,19 +67,53 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
     return on.unionByName(back)
 
 
+def with_count(spark: SparkSession, sf: str, df: DataFrame) -> DataFrame:
+    """df with n, the number of suppliers: they stand for stops as well, numbered from 0."""
+    return df.crossJoin(F.broadcast(table(spark, sf, "supplier").agg(F.count("*").alias("n"))))
+
+
 def timetable(spark: SparkSession, sf: str) -> DataFrame:
-    """(pattern, trip, pos, stop, arr, dep): six-stop trips on fifty patterns."""
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 50).alias("p"))
-    from pyspark.sql import Window
+    """(pattern, trip, pos, stop, arr, dep): every order is a six-stop trip on one of fifty patterns."""
+    k = F.col("o_orderkey")
+    o = with_count(spark, sf, table(spark, sf, "orders").select((k % 50).alias("p"), F.expr("o_orderkey div 50").alias("trip")))
+    x = o.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    arr = F.expr("28800 + trip * 60 + (p % 13) * 40 + pos * (90 + p % 60)").cast("long")
+    return x.select(F.col("p").alias("pattern"), F.col("trip").cast("long").alias("trip"), F.col("pos").cast("long").alias("pos"), F.expr("(p * 17 + pos * (3 + p % 5)) % n").cast("long").alias("stop"), arr.alias("arr"), (arr + 10).alias("dep"))
+
+
+def seeds(spark: SparkSession, sf: str, step: int, near: int) -> DataFrame:
+    """(s, k, stop, n): each supplier as a place s, from 0, and the stops near it."""
+    s = with_count(spark, sf, table(spark, sf, "supplier").select((F.col("s_suppkey") - 1).cast("long").alias("s")))
+    return s.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(near - 1)))).withColumn("stop", ((F.col("s") * step + F.col("k")) % F.col("n")).cast("long"))
+
+
+def access(spark: SparkSession, sf: str) -> DataFrame:
+    return seeds(spark, sf, 5, 2).select(F.col("s").alias("source"), "stop", (28800 + 120 * F.col("k")).cast("long").alias("arr"))
+
+
+def foot_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return seeds(spark, sf, 1, 1).select(F.col("s").alias("a"), ((F.col("s") + 1) % F.col("n")).cast("long").alias("b"), F.lit(60).cast("long").alias("sec"))
+
+
+def egress_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    near = seeds(spark, sf, 7, 3).select(F.col("s").alias("j"), "stop", (100 + 50 * F.col("k")).cast("long").alias("seconds"))
+    walks = seeds(spark, sf, 1, 4).select(F.col("s").alias("i"), F.col("stop").alias("j"), (900 * F.col("k")).cast("long").alias("seconds"))
+    return near, walks
+
 
-    t = o.withColumn("trip", F.row_number().over(Window.partitionBy("p").orderBy("k")) - 1).where("trip < 20")
-    x = t.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(5))))
-    arr = F.expr("28800 + trip * 600 + (p % 13) * 40 + pos * (90 + p % 60)")
-    return x.select(F.col("p").alias("pattern"), F.col("trip").cast("long").alias("trip"), F.col("pos").cast("long").alias("pos"), F.expr("(p * 17 + pos * (3 + p % 5)) % 100").cast("long").alias("stop"), arr.cast("long").alias("arr"), (arr + 10).cast("long").alias("dep"))
+def sources(spark: SparkSession, sf: str) -> DataFrame:
+    """(supplier, source): the node of the part graph that each supplier is at."""
+    n = table(spark, sf, "part").agg(F.count("*").alias("n"))
+    s = table(spark, sf, "supplier").crossJoin(F.broadcast(n))
+    return s.select(F.col("s_suppkey").cast("long").alias("supplier"), ((F.col("s_suppkey") * 37) % F.col("n") + 1).cast("long").alias("source"))
 
 
-def foot_edges(spark: SparkSession) -> DataFrame:
-    return spark.range(0, 100, 3).select(F.col("id").alias("a"), ((F.col("id") + 1) % 100).alias("b"), F.lit(60).cast("long").alias("sec"))
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    """(source, target): every customer asks for a route from a supplier's node to a node of the part graph."""
+    s = with_count(spark, sf, table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("c")))
+    n = table(spark, sf, "part").agg(F.count("*").alias("parts"))
+    at = s.crossJoin(F.broadcast(n)).select((F.col("c") % F.col("n") + 1).alias("supplier"), ((F.col("c") * 7919) % F.col("parts") + 1).alias("target"))
+    return at.join(sources(spark, sf), "supplier").select("source", "target").distinct()
 
 
 def _values(values) -> str:
@@ -95,14 +129,19 @@ CTE = {
     "stops": f"SELECT CAST(c_custkey AS BIGINT) AS id, {_at('c_custkey')} FROM customer",
     "readings": "SELECT reading, r_lat, r_lng, CASE WHEN v / 60 < 1 THEN 1.0 ELSE least(v / 60, 4.0) END AS factor FROM (SELECT user_id AS reading, 47.5 + (user_id * 6151 % 2340) / 1e4 AS r_lat, -122.43 + (user_id * 3571 % 1900) / 1e4 AS r_lng, floor(avg(value) * 10000.0 + 0.5) / 10000.0 AS v FROM events GROUP BY user_id)",
     "ways": f"""SELECT way, nodes, ({_values(CLASSES)})[(way // 8) % {len(CLASSES)} + 1] AS highway, ({_values(SPEED_TAGS)})[(way // 8) % {len(SPEED_TAGS)} + 1] AS maxspeed, ({_values(ONEWAY_TAGS)})[(way // 16) % {len(ONEWAY_TAGS)} + 1] AS oneway
-      FROM (SELECT l_orderkey AS way, list(l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nodes FROM lineitem WHERE l_orderkey % 8 = 1 GROUP BY l_orderkey)""",
+      FROM (SELECT l_orderkey AS way, list(l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nodes FROM lineitem GROUP BY l_orderkey)""",
     "links": "SELECT p_partkey AS src, (p_partkey * a + b) % n AS dst, CAST(p_size + c AS BIGINT) AS w FROM part, (SELECT count(*) AS n FROM part), (VALUES (1, 1, 3), (7, 5, 9), (13, 11, 20)) AS t(a, b, c) WHERE (p_partkey * a + b) % n > 0",
     "blocks": "SELECT p_partkey AS src, p_partkey + 1 AS dst FROM part WHERE p_partkey < (SELECT max(p_partkey) FROM part) UNION ALL SELECT p_partkey, 100 * (p_partkey // 100) FROM part WHERE p_partkey % 100 = 10 + 4 * (p_partkey // 100) AND p_partkey >= 100",
-    "timetable": """SELECT p AS pattern, trip, pos, (p * 17 + pos * (3 + p % 5)) % 100 AS stop, 28800 + trip * 600 + (p % 13) * 40 + pos * (90 + p % 60) AS arr, 28810 + trip * 600 + (p % 13) * 40 + pos * (90 + p % 60) AS dep
-      FROM (SELECT o_orderkey % 50 AS p, row_number() OVER (PARTITION BY o_orderkey % 50 ORDER BY o_orderkey) - 1 AS trip FROM orders), range(0, 6) AS r(pos) WHERE trip < 20""",
-    "foot": "SELECT a, (a + 1) % 100 AS b, CAST(60 AS BIGINT) AS sec FROM range(0, 100, 3) AS r(a)",
+    "timetable": """SELECT p AS pattern, trip, pos, (p * 17 + pos * (3 + p % 5)) % n AS stop, 28800 + trip * 60 + (p % 13) * 40 + pos * (90 + p % 60) AS arr, 28810 + trip * 60 + (p % 13) * 40 + pos * (90 + p % 60) AS dep
+      FROM (SELECT o_orderkey % 50 AS p, o_orderkey // 50 AS trip FROM orders), range(0, 6) AS r(pos), (SELECT count(*) AS n FROM supplier)""",
+    "foot": "SELECT s_suppkey - 1 AS a, s_suppkey % n AS b, CAST(60 AS BIGINT) AS sec FROM supplier, (SELECT count(*) AS n FROM supplier)",
+    "access": "SELECT s_suppkey - 1 AS source, ((s_suppkey - 1) * 5 + k) % n AS stop, CAST(28800 + 120 * k AS BIGINT) AS arr FROM supplier, range(0, 2) AS b(k), (SELECT count(*) AS n FROM supplier)",
+    "egress": "SELECT s_suppkey - 1 AS j, ((s_suppkey - 1) * 7 + k) % n AS stop, CAST(100 + 50 * k AS BIGINT) AS last FROM supplier, range(0, 3) AS b(k), (SELECT count(*) AS n FROM supplier)",
+    "walks": "SELECT s_suppkey - 1 AS i, (s_suppkey - 1 + k) % n AS j, CAST(900 * k AS BIGINT) AS walk FROM supplier, range(0, 4) AS b(k), (SELECT count(*) AS n FROM supplier)",
+    "sources": "SELECT CAST(s_suppkey AS BIGINT) AS supplier, CAST((s_suppkey * 37) % n + 1 AS BIGINT) AS source FROM supplier, (SELECT count(*) AS n FROM part)",
+    "requests": "SELECT DISTINCT source, CAST((c_custkey * 7919) % parts + 1 AS BIGINT) AS target FROM customer, (SELECT count(*) AS n FROM supplier), (SELECT count(*) AS parts FROM part), sources WHERE supplier = c_custkey % n + 1",
 }
 
 
 def with_ctes(*names: str, recursive: bool = False) -> str:
-    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS ({CTE[n]})" for n in names)
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS MATERIALIZED ({CTE[n]})" for n in names)

@@ -155,12 +155,14 @@ def p25(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", geo.drawn_text(0.5 + F.col("o_orderkey") % 120 / F.lit(100.0)).alias("text"))
 
 
-@query("p26_caption", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'noted' WHEN event_id % 5 = 0 THEN 'free flow' ELSE strftime(ts - INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') END AS caption FROM events WHERE month(ts) IN (12, 1, 2)")
+@query("p26_caption", "SELECT event_id, CASE WHEN event_type = 'view' THEN 'noted' WHEN event_id % 5 = 0 THEN 'free flow' ELSE strftime(timezone('America/Los_Angeles', timezone('UTC', ts + to_hours(CAST(event_id % 8760 AS BIGINT)))), '%Y-%m-%d %H:%M') END AS caption FROM events")
 def p26(spark, sf):
-    e = table(spark, sf, "events").where(F.month("ts").isin(12, 1, 2))
+    """Captions with the city's time; captures are spread over a year, so that both daylight saving and standard time occur."""
+    at = F.expr("CAST(ts AS TIMESTAMP) + make_dt_interval(0, CAST(event_id % 8760 AS INT))")
     note = F.when(F.col("event_type") == "view", "noted")
     free = F.when(F.col("event_id") % 5 == 0, "free flow")
-    return e.select("event_id", F.coalesce(note, free, F.date_format(F.from_utc_timestamp("ts", "America/Los_Angeles"), "yyyy-MM-dd HH:mm")).alias("caption"))
+    local = F.date_format(F.from_utc_timestamp(at, "America/Los_Angeles"), "yyyy-MM-dd HH:mm")
+    return table(spark, sf, "events").select("event_id", F.coalesce(note, free, local).alias("caption"))
 
 
 @query("p27_dot_radius", f"SELECT event_id, {sql_round('1.5 + 0.7 * least(value / 120, 3.0)', 6)} AS radius FROM events")

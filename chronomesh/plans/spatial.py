@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.geo import rounded
 from ..operators import graph, spatial, transit
-from .bindings import anchors, blocks, foot_edges, links, readings, stops, table, timetable, ways, with_ctes
+from ..operators.shared import settle
+from .bindings import access, anchors, blocks, egress_tables, foot_edges, links, readings, requests, sources, stops, table, timetable, ways, with_count, with_ctes
 from .catalog import query, sql_haversine, sql_km, sql_round
 from .scalar import SQL_DIRECTIONS, SQL_DRIVABLE, SQL_MPH
 
@@ -85,10 +86,10 @@ def u2(spark, sf):
 GRID_STEP = 0.0045 * 111.32
 
 
-@query("j15_mesh_candidates", f"{with_ctes('stops')} SELECT a.id AS i, b.id AS j, {sql_round(sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng', 47.617), 6)} AS km FROM stops a, stops b WHERE a.id < b.id AND {sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng', 47.617)} <= 1.6 * {GRID_STEP!r}")
+@query("j15_mesh_candidates", f"{with_ctes('stops')} SELECT a.id AS i, b.id AS j, {sql_round(sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng', 47.617), 6)} AS km FROM stops a, stops b WHERE a.id < b.id AND {sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng', 47.617)} <= 4.5 * {GRID_STEP!r}")
 def j15(spark, sf):
     s = stops(spark, sf)
-    pairs = spatial.within(s, as_right(s, "j"), 1.6 * GRID_STEP, geo.KM_PER_LNG_GRID)
+    pairs = spatial.within(s, as_right(s, "j"), 4.5 * GRID_STEP, geo.KM_PER_LNG_GRID)
     return pairs.where(F.col("id") < F.col("j")).select(F.col("id").alias("i"), "j", rounded(F.col("d"), 6).alias("km"))
 
 
@@ -108,8 +109,6 @@ def j18(spark, sf):
     return warp_pairs(spark, sf).select("id", "anchor", "rank")
 
 
-
-
 @query("a3_vertex_warp", f"{with_ctes('stops', 'anchors')}, {_KNN}, w AS (SELECT id, sum((anchor % 7 - 3) * 0.001 / (d * d + 1e-6)) / sum(1 / (d * d + 1e-6)) AS dy, sum((anchor % 11 - 5) * 0.001 / (d * d + 1e-6)) / sum(1 / (d * d + 1e-6)) AS dx FROM k WHERE rank <= 6 GROUP BY id) SELECT s.id, {sql_round('lat + coalesce(dy, 0)', 6)} AS y, {sql_round('lng + coalesce(dx, 0)', 6)} AS x FROM stops s LEFT JOIN w ON s.id = w.id")
 def a3(spark, sf):
     """Points moved by the weighted shift of their anchors; those with no anchor near stay."""
@@ -122,35 +121,34 @@ def a3(spark, sf):
 _DEG = "(s.lat - a.lat) * (s.lat - a.lat) + (s.lng - a.lng) * (s.lng - a.lng)"
 
 
-def landmark_pairs(spark, sf):
-    """The anchors are a layout's, at most layout.ANCHORS of them, so the list can be sent along."""
-    a = as_right(anchors(spark, sf), "anchor")
-    p = stops(spark, sf).where("id % 10 = 0").crossJoin(F.broadcast(a))
-    return p.withColumn("q", geo.degrees_squared(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng")))
+def landmark_pairs(spark, sf, k=4):
+    """(id, anchor, q, rank): the exact nearest anchors by squared degrees, found by cells."""
+    found = spatial.knn(stops(spark, sf), as_right(anchors(spark, sf), "node"), k, geo.degrees_squared, edge=lambda size, _: size * size)
+    return found.select("id", F.col("node").alias("anchor"), F.col("d").alias("q"), "rank")
 
 
-@query("j19_landmark_anchors", f"{with_ctes('stops', 'anchors')}, n AS (SELECT s.id, a.id AS anchor, row_number() OVER (PARTITION BY s.id ORDER BY {_DEG}, a.id) AS rank FROM stops s, anchors a WHERE s.id % 10 = 0) SELECT id, anchor, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 4")
+@query("j19_landmark_anchors", f"{with_ctes('stops', 'anchors')}, n AS (SELECT s.id, a.id AS anchor, row_number() OVER (PARTITION BY s.id ORDER BY {_DEG}, a.id) AS rank FROM stops s, anchors a) SELECT id, anchor, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 4")
 def j19(spark, sf):
-    return spatial.nearest(landmark_pairs(spark, sf), ["id"], 4, ["q", "anchor"]).select("id", "anchor", "rank")
+    return landmark_pairs(spark, sf).select("id", "anchor", "rank")
 
 
-@query("a4_landmark_weights", f"{with_ctes('stops', 'anchors')}, n AS (SELECT s.id, a.id AS anchor, {_DEG} AS q, row_number() OVER (PARTITION BY s.id ORDER BY {_DEG}, a.id) AS rank FROM stops s, anchors a WHERE s.id % 10 = 0) SELECT id, anchor, {sql_round('1 / (q + 1e-9) / sum(1 / (q + 1e-9)) OVER (PARTITION BY id)', 6)} AS share FROM n WHERE rank <= 4")
+@query("a4_landmark_weights", f"{with_ctes('stops', 'anchors')}, n AS (SELECT s.id, a.id AS anchor, {_DEG} AS q, row_number() OVER (PARTITION BY s.id ORDER BY {_DEG}, a.id) AS rank FROM stops s, anchors a) SELECT id, anchor, {sql_round('1 / (q + 1e-9) / sum(1 / (q + 1e-9)) OVER (PARTITION BY id)', 6)} AS share FROM n WHERE rank <= 4")
 def a4(spark, sf):
-    near = spatial.nearest(landmark_pairs(spark, sf), ["id"], 4, ["q", "anchor"])
+    near = landmark_pairs(spark, sf)
     w = 1 / (F.col("q") + 1e-9)
     return near.select("id", "anchor", rounded(w / F.sum(w).over(Window.partitionBy("id")), 6).alias("share"))
 
 
-@query("x12_landmark_shift", f"{with_ctes('stops', 'anchors')}, n AS (SELECT s.id, a.id AS anchor, {_DEG} AS q, row_number() OVER (PARTITION BY s.id ORDER BY {_DEG}, a.id) AS rank FROM stops s, anchors a WHERE s.id % 10 = 0) SELECT id, {sql_round('sum((anchor % 7 - 3) * 0.001 / (q + 1e-9)) / sum(1 / (q + 1e-9))', 6)} AS dy FROM n WHERE rank <= 4 GROUP BY id")
+@query("x12_landmark_shift", f"{with_ctes('stops', 'anchors')}, n AS (SELECT s.id, a.id AS anchor, {_DEG} AS q, row_number() OVER (PARTITION BY s.id ORDER BY {_DEG}, a.id) AS rank FROM stops s, anchors a) SELECT id, {sql_round('sum((anchor % 7 - 3) * 0.001 / (q + 1e-9)) / sum(1 / (q + 1e-9))', 6)} AS dy FROM n WHERE rank <= 4 GROUP BY id")
 def x12(spark, sf):
-    near = spatial.nearest(landmark_pairs(spark, sf), ["id"], 4, ["q", "anchor"])
+    near = landmark_pairs(spark, sf)
     w = 1 / (F.col("q") + 1e-9)
     return near.groupBy("id").agg(rounded(F.sum(w * (F.col("anchor") % 7 - 3) * 0.001) / F.sum(w), 6).alias("dy"))
 
 
-@query("j20_nearest_anchor", f"{with_ctes('stops', 'anchors')} SELECT s.id, arg_min(a.id, {{'q': {_DEG}, 'a': a.id}}) AS anchor FROM stops s, anchors a WHERE s.id % 10 = 0 GROUP BY s.id")
+@query("j20_nearest_anchor", f"{with_ctes('stops', 'anchors')} SELECT s.id, arg_min(a.id, {{'q': {_DEG}, 'a': a.id}}) AS anchor FROM stops s, anchors a GROUP BY s.id")
 def j20(spark, sf):
-    return landmark_pairs(spark, sf).groupBy("id").agg(F.min_by("anchor", F.struct("q", "anchor")).alias("anchor"))
+    return landmark_pairs(spark, sf, 1).select("id", "anchor")
 
 
 # Road graphs. Every fourth supplier has no place, so that segments with a missing end drop out.
@@ -212,19 +210,15 @@ def g8(spark, sf):
     return graph.least_edges(e).select("src", "dst", rounded(F.col("w"), 3).alias("seconds"))
 
 
-def sssp_sql(extra="", cutoff=None):
+def sssp_sql(extra="", cutoff=None, weight="w", ctes=()):
     limit = f" AND d.dist + e.w <= {cutoff}" if cutoff is not None else ""
-    return f"""{with_ctes('links', recursive=True)}, e AS (SELECT src, dst, min(w) AS w FROM links WHERE src <> dst GROUP BY src, dst),
+    return f"""{with_ctes('links', 'sources', *ctes, recursive=True)}, e AS MATERIALIZED (SELECT src, dst, min({weight}) AS w FROM links WHERE src <> dst GROUP BY src, dst),
     d(source, node, dist) USING KEY (source, node) AS (
-      SELECT p_partkey, p_partkey, CAST(0 AS BIGINT) FROM part WHERE p_partkey % 50 = 1
+      SELECT DISTINCT source, source, CAST(0 AS BIGINT) FROM sources
       UNION SELECT n.source, n.node, n.dist FROM (SELECT d.source, e.dst AS node, min(d.dist + e.w) AS dist FROM d JOIN e ON d.node = e.src WHERE true{limit} GROUP BY d.source, e.dst) n
       LEFT JOIN recurring.d o ON n.source = o.source AND n.node = o.node WHERE o.dist IS NULL OR n.dist < o.dist){extra}"""
 
 
-def sources(spark, sf):
-    return table(spark, sf, "part").where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("source"))
-
-
 @query("g4_shortest_paths", sssp_sql() + " SELECT source, node, dist FROM d")
 def g4(spark, sf):
     return graph.sssp(links(spark, sf), sources(spark, sf)).select("source", "node", "dist")
@@ -235,37 +229,45 @@ def g5(spark, sf):
     return graph.sssp(links(spark, sf), sources(spark, sf), cutoff=60).select("source", "node", "dist")
 
 
-@query("g6_path_length", sssp_sql() + " SELECT source, node AS target, dist FROM d WHERE node % 97 = 5")
+@query("g6_path_length", sssp_sql(ctes=("requests",)) + " SELECT d.source, r.target, d.dist FROM d JOIN requests r ON d.source = r.source AND d.node = r.target")
 def g6(spark, sf):
-    """Rebuilt paths, each costed again from the edges."""
+    """Rebuilt paths of all requests, each costed again from the edges."""
     e = links(spark, sf)
-    labels = graph.sssp(e, sources(spark, sf)).persist()
-    targets = labels.where("node % 97 = 5").select("source", F.col("node").alias("target"))
-    p = graph.paths(labels, targets).withColumn("route", F.struct("source", "target"))
+    p = settle(graph.routes(e, requests(spark, sf))).withColumn("route", F.struct("source", "target"))
     cost = graph.path_cost(p, e).select("route.source", "route.target", F.col("cost").alias("dist"))
     alone = p.where("source = target").select("source", "target", F.lit(0).cast("long").alias("dist"))
     return cost.unionByName(alone)
 
 
-@query("g7_drive_matrix", sssp_sql() + " SELECT a.p_partkey AS i, b.p_partkey AS j, CAST(d.dist AS INTEGER) AS seconds FROM d JOIN part a ON d.source = a.p_partkey JOIN part b ON d.node = b.p_partkey AND b.p_partkey % 50 = 1")
+@query("g7_drive_matrix", sssp_sql() + " SELECT a.supplier AS i, b.supplier AS j, CAST(d.dist AS INTEGER) AS seconds FROM d JOIN sources a ON d.source = a.source JOIN sources b ON d.node = b.source")
 def g7(spark, sf):
-    at = sources(spark, sf).select(F.col("source").alias("id"), F.col("source").alias("node"))
-    return graph.drive_matrix(links(spark, sf), at)
+    """Every supplier to every supplier."""
+    return graph.drive_matrix(links(spark, sf), sources(spark, sf).select(F.col("supplier").alias("id"), F.col("source").alias("node")))
 
 
 _SCC = f"""{with_ctes('blocks', recursive=True)}, r AS (SELECT p_partkey // 100 AS blk, max(CASE WHEN p_partkey % 100 = 10 + 4 * (p_partkey // 100) THEN p_partkey END) AS hi FROM part GROUP BY 1)
 SELECT p_partkey AS node, CASE WHEN hi IS NOT NULL AND blk >= 1 AND p_partkey <= hi THEN 100 * blk ELSE p_partkey END AS component FROM part JOIN r ON p_partkey // 100 = blk"""
 
 
-@query("g14_alternative_cost")
+#: Metres are made up from the ends of a link; its weight is seconds.
+METRES = "(src * 31 + dst * 17) % 97 + 1"
+#: Walks back from each request's target by the smallest previous node, summing up seconds.
+WALK_BACK = """, pre AS MATERIALIZED (SELECT a.source, e.dst AS node, min(e.src) AS prev FROM d a JOIN e ON e.src = a.node JOIN d b ON b.source = a.source AND b.node = e.dst AND b.dist = a.dist + e.w WHERE e.dst <> a.source GROUP BY ALL),
+    sec AS MATERIALIZED (SELECT src, dst, min(w) AS s FROM links WHERE src <> dst GROUP BY src, dst),
+    t(source, target, spot, cost) AS (
+      SELECT r.source, r.target, r.target, CAST(0 AS BIGINT) FROM requests r JOIN d ON d.source = r.source AND d.node = r.target
+      UNION ALL SELECT t.source, t.target, pre.prev, CAST(t.cost + s AS BIGINT) FROM t JOIN pre ON pre.source = t.source AND pre.node = t.spot JOIN sec ON sec.src = pre.prev AND sec.dst = t.spot)"""
+
+
+def by_metres(spark, sf):
+    return links(spark, sf).withColumn("w", F.expr(METRES).cast("long"))
+
+
+@query("g14_alternative_cost", sssp_sql(WALK_BACK, weight=METRES, ctes=("requests",)) + " SELECT source, target, cost AS seconds FROM t WHERE spot = source AND source <> target")
 def g14(spark, sf):
-    """What the path of fewest metres costs in seconds: metres are made up from the ends, seconds are the weights."""
-    e = links(spark, sf)
-    by_metres = e.select("src", "dst", ((F.col("src") * 31 + F.col("dst") * 17) % 97 + 1).alias("w"))
-    labels = graph.sssp(by_metres, sources(spark, sf)).persist()
-    targets = labels.where("node % 97 = 5 and node <> source").select("source", F.col("node").alias("target"))
-    routes = graph.paths(labels, targets).withColumn("route", F.struct("source", "target"))
-    return graph.path_cost(routes, e).select("route.source", "route.target", F.col("cost").alias("seconds"))
+    """What the path of fewest metres of each request costs in seconds."""
+    routes = graph.routes(by_metres(spark, sf), requests(spark, sf)).withColumn("route", F.struct("source", "target"))
+    return graph.path_cost(routes, links(spark, sf)).select("route.source", "route.target", F.col("cost").alias("seconds"))
 
 
 @query("g3_strong_components", _SCC)
@@ -301,99 +303,81 @@ def w4(spark, sf):
     return timetable(spark, sf).groupBy("pattern", "stop").agg(F.min("pos").alias("pos"))
 
 
-_ACCESS = "access AS (SELECT s AS source, (s * 5 + k) % 100 AS stop, CAST(28800 + 120 * k AS BIGINT) AS arr FROM range(0, 20) AS a(s), range(0, 2) AS b(k))"
-
-
-def access(spark):
-    s, k = F.col("id") % 20, F.floor(F.col("id") / 20)
-    return spark.range(40).select(s.alias("source"), ((s * 5 + k) % 100).alias("stop"), (28800 + 120 * k).cast("long").alias("arr"))
-
-
 _BOARD = "SELECT l.source, t.pattern, t.pos, min(t.trip) AS trip FROM {labels} l JOIN timetable t ON l.stop = t.stop AND t.dep >= l.arr GROUP BY ALL"
 
 
-@query("j10_catchable_trip", f"{with_ctes('timetable')}, {_ACCESS}, l AS (SELECT source, stop, min(arr) AS arr FROM access GROUP BY ALL) {_BOARD.format(labels='l')}")
+@query("j10_catchable_trip", f"{with_ctes('timetable', 'access')}, l AS (SELECT source, stop, min(arr) AS arr FROM access GROUP BY ALL) {_BOARD.format(labels='l')}")
 def j10(spark, sf):
-    labels = access(spark).groupBy("source", "stop").agg(F.min("arr").alias("arr"))
+    labels = access(spark, sf).groupBy("source", "stop").agg(F.min("arr").alias("arr"))
     return transit.board(labels, timetable(spark, sf))
 
 
 def _round(k: int, labels: str) -> str:
-    return f"""b{k} AS ({_BOARD.format(labels=labels)}),
-    o{k} AS (SELECT x.source, x.pattern, x.pos, min(b.trip) OVER (PARTITION BY x.source, x.pattern ORDER BY x.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS trip FROM (SELECT DISTINCT b.source, b.pattern, t.pos FROM b{k} b JOIN timetable t ON b.pattern = t.pattern) x LEFT JOIN b{k} b ON b.source = x.source AND b.pattern = x.pattern AND b.pos = x.pos),
-    r{k} AS (SELECT o.source, t.stop, min(t.arr) AS arr FROM o{k} o JOIN timetable t ON o.pattern = t.pattern AND o.pos = t.pos AND o.trip = t.trip GROUP BY ALL)"""
+    return f"""b{k} AS MATERIALIZED ({_BOARD.format(labels=labels)}),
+    o{k} AS MATERIALIZED (SELECT x.source, x.pattern, x.pos, min(b.trip) OVER (PARTITION BY x.source, x.pattern ORDER BY x.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS trip FROM (SELECT DISTINCT b.source, b.pattern, t.pos FROM b{k} b JOIN timetable t ON b.pattern = t.pattern) x LEFT JOIN b{k} b ON b.source = x.source AND b.pattern = x.pattern AND b.pos = x.pos),
+    r{k} AS MATERIALIZED (SELECT o.source, t.stop, min(t.arr) AS arr FROM o{k} o JOIN timetable t ON o.pattern = t.pattern AND o.pos = t.pos AND o.trip = t.trip GROUP BY ALL)"""
 
 
 def raptor_sql(rounds: int) -> str:
     """Unrolled rounds; walking starts from what the phase before improved."""
-    ctes = [with_ctes("timetable", "foot"), _ACCESS, "s0 AS (SELECT source, stop, min(arr) AS arr FROM access GROUP BY ALL)", "l0 AS (SELECT source, stop, min(arr) AS arr FROM (SELECT * FROM s0 UNION ALL SELECT source, b, arr + sec FROM s0 JOIN foot ON stop = a) GROUP BY ALL)"]
+    ctes = [with_ctes("timetable", "foot", "access"), "s0 AS (SELECT source, stop, min(arr) AS arr FROM access GROUP BY ALL)", "l0 AS MATERIALIZED (SELECT source, stop, min(arr) AS arr FROM (SELECT * FROM s0 UNION ALL SELECT source, b, arr + sec FROM s0 JOIN foot ON stop = a) GROUP BY ALL)"]
     for k in range(1, rounds + 1):
-        ctes += [_round(k, f"l{k - 1}"), f"i{k} AS (SELECT r.* FROM r{k} r LEFT JOIN l{k - 1} l ON r.source = l.source AND r.stop = l.stop WHERE l.arr IS NULL OR r.arr < l.arr)", f"l{k} AS (SELECT source, stop, min(arr) AS arr FROM (SELECT * FROM l{k - 1} UNION ALL SELECT * FROM i{k} UNION ALL SELECT source, b, arr + sec FROM i{k} JOIN foot ON stop = a) GROUP BY ALL)"]
+        ctes += [_round(k, f"l{k - 1}"), f"i{k} AS MATERIALIZED (SELECT r.* FROM r{k} r LEFT JOIN l{k - 1} l ON r.source = l.source AND r.stop = l.stop WHERE l.arr IS NULL OR r.arr < l.arr)", f"l{k} AS MATERIALIZED (SELECT source, stop, min(arr) AS arr FROM (SELECT * FROM l{k - 1} UNION ALL SELECT * FROM i{k} UNION ALL SELECT source, b, arr + sec FROM i{k} JOIN foot ON stop = a) GROUP BY ALL)"]
     return ",\n".join(ctes) + f" SELECT source, stop, arr FROM l{rounds}"
 
 
-@query("w2_onboard_scan", f"{with_ctes('timetable')}, {_ACCESS}, {_round(1, 'access')} SELECT source, pattern, pos, trip FROM o1 WHERE trip IS NOT NULL")
+@query("w2_onboard_scan", f"{with_ctes('timetable', 'access')}, {_round(1, 'access')} SELECT source, pattern, pos, trip FROM o1 WHERE trip IS NOT NULL")
 def w2(spark, sf):
     t = timetable(spark, sf)
-    on = transit.board(access(spark), t)
+    on = transit.board(access(spark, sf), t)
     every = on.select("source", "pattern").distinct().join(t.select("pattern", "pos").distinct(), "pattern").join(on, ["source", "pattern", "pos"], "left")
     w = Window.partitionBy("source", "pattern").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return every.select("source", "pattern", "pos", F.min("trip").over(w).alias("trip")).where("trip is not null")
 
 
-@query("j11_foot_relax", f"{with_ctes('foot')}, {_ACCESS} SELECT source, stop, min(arr) AS arr FROM (SELECT * FROM access UNION ALL SELECT source, b, arr + sec FROM access JOIN foot ON stop = a) GROUP BY source, stop")
+@query("j11_foot_relax", f"{with_ctes('foot', 'access')} SELECT source, stop, min(arr) AS arr FROM (SELECT * FROM access UNION ALL SELECT source, b, arr + sec FROM access JOIN foot ON stop = a) GROUP BY source, stop")
 def j11(spark, sf):
-    seeds = access(spark).groupBy("source", "stop").agg(F.min("arr").alias("arr")).withColumn("fresh", F.lit(True))
-    return transit.improve(seeds, transit.on_foot(seeds, foot_edges(spark))).select("source", "stop", "arr")
+    start = transit.first_labels(access(spark, sf))
+    return transit.improve(start, transit.on_foot(start, foot_edges(spark, sf), 0), 1).select("source", "stop", "arr")
 
 
-@query("g10_raptor", raptor_sql(2))
+@query("g10_raptor", raptor_sql(4))
 def g10(spark, sf):
-    return transit.earliest_arrivals(timetable(spark, sf), foot_edges(spark), access(spark), rounds=2)
+    return transit.earliest_arrivals(timetable(spark, sf), foot_edges(spark, sf), access(spark, sf))
 
 
-@query("g12_journeys", raptor_sql(2).rsplit(" SELECT source", 1)[0] + " SELECT source, stop AS target, arr FROM l2 WHERE stop % 25 = 3")
+@query("g12_journeys", raptor_sql(4).rsplit(" SELECT source", 1)[0] + ", wanted AS (SELECT DISTINCT c_custkey % n AS source, c_custkey * 7 % n AS target FROM customer, (SELECT count(*) AS n FROM supplier)) SELECT l4.source, target, arr FROM l4 JOIN wanted w ON l4.source = w.source AND stop = target")
 def g12(spark, sf):
-    """Journeys to some stops; each is walked back to a seed, so its arrival is the label's."""
-    t, foot, seeds = timetable(spark, sf), foot_edges(spark), access(spark)
-    labels = transit.earliest_arrivals(t, foot, seeds, rounds=2)
-    targets = labels.where("stop % 25 = 3").select("source", F.col("stop").alias("target"))
-    return transit.journeys(t, foot, seeds, labels, targets).select("source", "target", "arr")
+    """A journey for each customer; each is walked back to a seed, so its arrival is the label's."""
+    t, foot, start = settle(timetable(spark, sf)), foot_edges(spark, sf), access(spark, sf)
+    c = with_count(spark, sf, table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("c")))
+    targets = c.select((F.col("c") % F.col("n")).alias("source"), (F.col("c") * 7 % F.col("n")).alias("target")).distinct()
+    return transit.journeys(t, foot, start, targets).select("source", "target", "arr")
 
 
-_EGRESS = "egress AS (SELECT s AS j, (s * 7 + k) % 100 AS stop, CAST(100 + 50 * k AS BIGINT) AS last FROM range(0, 20) AS a(s), range(0, 3) AS b(k)), walks AS (SELECT s AS i, (s + k) % 20 AS j, CAST(900 * k AS BIGINT) AS walk FROM range(0, 20) AS a(s), range(0, 4) AS b(k))"
+EGRESS = with_ctes("egress", "walks").removeprefix("WITH ")
 
 
-def egress_tables(spark):
-    s = F.col("id") % 20
-    k = F.floor(F.col("id") / 20)
-    near = spark.range(60).select(s.alias("j"), ((s * 7 + k) % 100).alias("stop"), (100 + 50 * k).cast("long").alias("seconds"))
-    walks = spark.range(80).select(s.alias("i"), ((s + k) % 20).alias("j"), (900 * k).cast("long").alias("seconds"))
-    return near, walks
-
-
-@query("g11_transit_matrix", raptor_sql(2).rsplit(" SELECT source", 1)[0] + f", {_EGRESS}, z AS (SELECT source AS i, j, min(arr - 28800 + last) AS ride FROM l2 JOIN egress USING (stop) GROUP BY ALL) SELECT coalesce(z.i, w.i) AS i, coalesce(z.j, w.j) AS j, least(ride, walk) AS seconds FROM z FULL OUTER JOIN walks w ON z.i = w.i AND z.j = w.j")
+@query("g11_transit_matrix", raptor_sql(4).rsplit(" SELECT source", 1)[0] + f", {EGRESS}, z AS (SELECT source AS i, j, min(arr - 28800 + last) AS ride FROM l4 JOIN egress USING (stop) GROUP BY ALL) SELECT coalesce(z.i, w.i) AS i, coalesce(z.j, w.j) AS j, least(ride, walk) AS seconds FROM z FULL OUTER JOIN walks w ON z.i = w.i AND z.j = w.j")
 def g11(spark, sf):
-    near, walks = egress_tables(spark)
-    got = transit.earliest_arrivals(timetable(spark, sf), foot_edges(spark), access(spark), rounds=2)
+    near, walks = egress_tables(spark, sf)
+    got = transit.earliest_arrivals(timetable(spark, sf), foot_edges(spark, sf), access(spark, sf))
     return transit.egress(got.select(F.col("source").alias("i"), "stop", (F.col("arr") - 28800).alias("seconds")), near, walks)
 
 
-@query("j12_egress", f"WITH {_ACCESS}, {_EGRESS}, z AS (SELECT source AS i, j, min(arr - 28800 + last) AS ride FROM access JOIN egress USING (stop) GROUP BY ALL) SELECT coalesce(z.i, w.i) AS i, coalesce(z.j, w.j) AS j, least(ride, walk) AS seconds FROM z FULL OUTER JOIN walks w ON z.i = w.i AND z.j = w.j")
+@query("j12_egress", f"{with_ctes('access', 'egress', 'walks')}, z AS (SELECT source AS i, j, min(arr - 28800 + last) AS ride FROM access JOIN egress USING (stop) GROUP BY ALL) SELECT coalesce(z.i, w.i) AS i, coalesce(z.j, w.j) AS j, least(ride, walk) AS seconds FROM z FULL OUTER JOIN walks w ON z.i = w.i AND z.j = w.j")
 def j12(spark, sf):
-    near, walks = egress_tables(spark)
-    return transit.egress(access(spark).select(F.col("source").alias("i"), "stop", (F.col("arr") - 28800).alias("seconds")), near, walks)
+    near, walks = egress_tables(spark, sf)
+    return transit.egress(access(spark, sf).select(F.col("source").alias("i"), "stop", (F.col("arr") - 28800).alias("seconds")), near, walks)
 
 
-@query("t7_best_egress", f"WITH {_ACCESS}, {_EGRESS} SELECT source AS i, j, arg_min(stop, {{'t': arr + last, 's': stop}}) AS stop FROM access JOIN egress USING (stop) GROUP BY source, j")
+@query("t7_best_egress", f"{with_ctes('access', 'egress', 'walks')} SELECT source AS i, j, arg_min(stop, {{'t': arr + last, 's': stop}}) AS stop FROM access JOIN egress USING (stop) GROUP BY source, j")
 def t7(spark, sf):
-    near, _ = egress_tables(spark)
-    met = access(spark).join(near, "stop").withColumn("t", F.col("arr") + F.col("seconds"))
+    near, _ = egress_tables(spark, sf)
+    met = access(spark, sf).join(near, "stop").withColumn("t", F.col("arr") + F.col("seconds"))
     return met.groupBy(F.col("source").alias("i"), "j").agg(F.min_by("stop", F.struct("t", "stop")).alias("stop"))
 
 
-
-
 def stop_times(spark, sf):
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     t = table(spark, sf, "lineitem").withColumn("seq", F.row_number().over(order))

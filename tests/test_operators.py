@@ -201,7 +201,6 @@ def test_journeys(spark):
     trips = spark.createDataFrame([(1, 0, 0, 1, 100, 110), (1, 0, 1, 2, 200, 210), (2, 0, 0, 3, 300, 310), (2, 0, 1, 5, 400, 410)], "pattern long, trip long, pos long, stop long, arr long, dep long")
     foot = spark.createDataFrame([(2, 3, 30), (3, 4, 30)], "a long, b long, sec long")
     access = spark.createDataFrame([(0, 1, 90)], "source long, stop long, arr long")
-    labels = transit.earliest_arrivals(trips, foot, access)
     targets = spark.createDataFrame([(0, 5), (0, 1), (0, 77)], "source long, target long")
-    got = {r.target: (r.arr, [(x.kind, x.start, x.stop, x.pattern) for x in r.legs]) for r in transit.journeys(trips, foot, access, labels, targets).collect()}
+    got = {r.target: (r.arr, [(x.kind, x.start, x.stop, x.pattern) for x in r.legs]) for r in transit.journeys(trips, foot, access, targets).collect()}
     assert got == {1: (90, []), 5: (400, [("ride", 1, 2, 1), ("foot", 2, 3, None), ("ride", 3, 5, 2)])}
