@@ -9,8 +9,8 @@ after a pass leave it, so passes get small quickly:
    anchor, so one row stands for such a run; runs whose anchor occurs once are done.
 2. Among runs with one anchor, the whole stretch that a run's windows cover is the next digit.
    Equal stretches repeat with all their windows. One of each different stretch goes on.
-3. The windows of those stretches are bucketed DIGIT bytes at a time until all `depth` bytes
-   are used; buckets with two windows are repeats.
+3. The windows of those stretches are sorted by their bytes, DIGIT at a time from the most
+   significant on, until all `depth` bytes are used; groups of two windows or more are repeats.
 
 Each digit of pass 1 and 2 is a 64-bit hash, so equal runs agree on 128 bits. Equal texts meet
 before the first pass, and only one of them takes part. An anchor with more than HOT different
@@ -36,7 +36,8 @@ from .common import map_arrow, small_batches, table
 
 DEPTH = 200
 ANCHOR = 64
-DIGIT = 50
+#: Bytes of a digit of the third pass, and windows that a task sorts at once.
+DIGIT, WINDOWS_AT_ONCE = 8, 1 << 18
 #: Different stretches of one anchor, and rows of one anchor, that a task holds at once.
 HOT, HELD = 4_096, 1 << 19
 
@@ -213,68 +214,84 @@ def stretches(marks: DataFrame, texts: DataFrame, depth: int) -> DataFrame:
     return map_arrow(joined, run, "k long, t1 long, t2 long, lo int, hi int, place int, kind int, data binary", rows=64)
 
 
-def radix_repeats(windows: list[tuple[int, bytes, int]], depth: int, digit: int = DIGIT) -> list[int]:
-    """Indices of windows that equal another one; a window is (first digit, bytes, offset of its start)."""
-    groups: dict = {}
-    for i, (name, _, _) in enumerate(windows):
-        groups.setdefault(name, []).append(i)
-    alive = [g for g in groups.values() if len(g) > 1]
-    for at in range(0, depth, digit):
-        width, parts = min(digit, depth - at), []
-        for group in alive:
-            buckets: dict[bytes, list[int]] = {}
-            for i in group:
-                _, data, start = windows[i]
-                buckets.setdefault(data[start + at : start + at + width], []).append(i)
-            parts += [b for b in buckets.values() if len(b) > 1]
-        alive = parts
-    return [i for g in alive for i in g]
-
-
-def spans_of(places: list[int], depth: int) -> list[tuple[int, int]]:
-    """Union of the windows that start at these places."""
-    out: list[list[int]] = []
-    for s in sorted(places):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s + depth)
-        else:
-            out.append([s, s + depth])
-    return [(a, b) for a, b in out]
+def radix_repeats(group: np.ndarray, at: np.ndarray, raw: np.ndarray, depth: int) -> np.ndarray:
+    """Indices of the windows raw[at : at + depth] that equal another window of their group.
+
+    Passes over digits of DIGIT bytes, the most significant first: windows of one group and digit are a group of the next pass, and those that are alone leave.
+    """
+    words = np.zeros(len(raw), np.uint64)
+    padded = np.concatenate([raw, np.zeros(DIGIT, np.uint8)]).astype(np.uint64)
+    for i in range(DIGIT):
+        words = words << np.uint64(8) | padded[i : i + len(raw)]
+    alive = np.arange(len(at))
+
+    def parted(alive, group, digit):
+        order = np.lexsort((digit, group)) if digit is not None else np.argsort(group, kind="stable")
+        new = group[order][1:] != group[order][:-1]
+        if digit is not None:
+            new |= digit[order][1:] != digit[order][:-1]
+        first = np.flatnonzero(np.r_[True, new]) if len(order) else np.zeros(0, int)
+        size = np.diff(np.r_[first, len(order)])
+        name = np.repeat(np.arange(len(first)), size)
+        keep = np.repeat(size > 1, size)
+        return alive[order[keep]], name[keep]
+
+    alive, group = parted(alive, group, None)
+    for done in range(0, depth, DIGIT):
+        width = min(DIGIT, depth - done)
+        alive, group = parted(alive, group, words[at[alive] + done] >> np.uint64(8 * (DIGIT - width)))
+    return alive
 
 
 SPANS = "t1 long, t2 long, start int, end int"
 
 
-def resolve_bytes(found: DataFrame, depth: int) -> DataFrame:
-    """Pass 3 over stretches that share an anchor."""
+def stretch_spans(k: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, data: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of each repeated span of stretches; those of one key k share an anchor.
 
-    def group_spans(rows):
-        windows = [(s - place, data, s - lo) for _, _, lo, hi, place, data in rows for s in range(lo, hi + 1)]
-        owner = [i for i, r in enumerate(rows) for _ in range(r[2], r[3] + 1)]
-        hits: dict[int, list[int]] = {}
-        for w in radix_repeats(windows, depth):
-            hits.setdefault(owner[w], []).append(rows[owner[w]][2] + windows[w][2])
-        return [(rows[i][0], rows[i][1], a, b) for i, places in hits.items() for a, b in spans_of(places, depth)]
+    Equal windows have it at equal places, so the place of the anchor in a window is the first digit.
+    """
+    number = (hi - lo + 1).astype(np.int64)
+    row = np.repeat(np.arange(len(k)), number)
+    offset = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+    begin = np.concatenate([[0], np.cumsum([len(d) for d in data])[:-1]]) if len(data) else np.zeros(0, np.int64)
+    start = lo[row] + offset
+    group = np.unique(k, return_inverse=True)[1][row] * (depth + 1) + (place[row] - start)
+    hits = np.sort(radix_repeats(group, begin[row] + offset, np.frombuffer(b"".join(data), np.uint8), depth))  # by row and start
+    r, s = row[hits], start[hits]
+    first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (s[1:] - s[:-1] > depth)]) if len(hits) else np.zeros(0, int)
+    last = np.r_[first[1:], len(hits)][: len(first)] - 1
+    return r[first], s[first], s[last] + depth
+
+
+def resolve_bytes(found: DataFrame, depth: int, windows: int = WINDOWS_AT_ONCE) -> DataFrame:
+    """Pass 3 over stretches that share an anchor."""
 
     def run(batches):
-        key, group, out = None, [], []
+        held, size = [], 0
 
-        def flush():
-            columns = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["t1", "t2", "start", "end"])
+        def joined():
+            columns = [np.concatenate(x) for x in zip(*(h[:6] for h in held), strict=True)]
+            return [*columns, [d for h in held for d in h[6]]]
+
+        def spans(part):
+            k, t1, t2, lo, hi, place, data = part
+            r, start, end = stretch_spans(k, lo, hi, place, data, depth)
+            return pa.RecordBatch.from_arrays([pa.array(t1[r]), pa.array(t2[r]), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["t1", "t2", "start", "end"])
 
         for batch in batches:
-            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != key:
-                    out += group_spans(group)
-                    key, group = k, []
-                    if len(out) > 20_000:
-                        yield flush()
-                        out = []
-                group.append(row)
-        out += group_spans(group)
-        if out:
-            yield flush()
+            own = [*(c.to_numpy() for c in batch.columns[:6]), batch.column(6).to_pylist()]
+            held.append(own)
+            size += int((own[4] - own[3] + 1).sum())
+            if size < windows:
+                continue
+            part = joined()
+            if cut := int(np.flatnonzero(part[0] == part[0][-1])[0]):  # the last key may go on
+                yield spans([x[:cut] for x in part])
+            held = [[x[cut:] for x in part]]
+            size = int((held[0][4] - held[0][3] + 1).sum())
+        if size:
+            yield spans(joined())
 
     rows = found.where(F.col("kind") == BYTES).select("k", "t1", "t2", "lo", "hi", "place", "data")
     return map_arrow(rows.repartition("k").sortWithinPartitions("k"), run, SPANS, rows=1024)

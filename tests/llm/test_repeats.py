@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -85,6 +86,29 @@ def test_pieces_of_a_huge_anchor_without_repeats(spark):
     assert found.count() == 20 and repeats.resolve_windows(found, 200).count() == 0
 
 
+def test_radix_passes_equal_brute_force():
+    rng = random.Random(6)
+    for depth in (1, 7, 8, 20, 64):
+        raw = bytes(rng.choice(b"ab") for _ in range(300)) * 2 + bytes(rng.choice(b"abc") for _ in range(400))
+        at = np.array([rng.randrange(len(raw) - depth) for _ in range(500)])
+        group = np.array([rng.randrange(3) for _ in at])
+        seen = Counter((g, raw[a : a + depth]) for g, a in zip(group.tolist(), at.tolist(), strict=True))
+        want = [i for i, (g, a) in enumerate(zip(group.tolist(), at.tolist(), strict=True)) if seen[g, raw[a : a + depth]] > 1]
+        assert sorted(repeats.radix_repeats(group, at, np.frombuffer(raw, np.uint8), depth).tolist()) == want
+    none = np.zeros(0, int)
+    assert len(repeats.radix_repeats(none, none, np.zeros(0, np.uint8), 8)) == 0
+
+
+def test_long_texts_null_and_repeated_ids(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = word(700)
+    texts = [word(300_000) + shared + word(10), shared + word(200_000), word(500) + shared]
+    docs = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, None), (2, "x" * 150)], "doc_id long, text string")
+    rows = with_key(docs).join(repeat_digests(repeated_spans(docs)), ["t1", "t2"]).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans) for r in rows) == sorted((len(t), n, int(n > 0)) for t, n in ((texts[0], 700), (texts[1], 700), (texts[2], 700), ("", 0), ("x" * 150, 0)))
+
+
 def test_runs_cover_all_windows():
     raw = ("abc " * 100 + "xyz" * 90).encode()
     place, first, last = runs(raw, 200, 64)
