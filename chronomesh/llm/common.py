@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.shared import forget, settle, shared_dir  # noqa: F401  used by the operators
 
-#: Rows in one Arrow batch; texts can be long, so batches are kept short.
-ROWS_A_BATCH = 256
+#: Rows and bytes in one Arrow batch; texts can be long, so batches are kept short.
+ROWS_A_BATCH, BYTES_A_BATCH = 256, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = ROWS_A_BATCH) -> DataFrame:
-    """mapInArrow over batches of at most `rows` rows, however large the session's batches are."""
+    """mapInArrow over batches of at most `rows` rows and, but for a single row, BYTES_A_BATCH bytes, however large the session's batches are."""
+
+    def light(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if batch.num_rows > 1 and batch.nbytes > BYTES_A_BATCH:
+            half = batch.num_rows // 2
+            yield from light(batch.slice(0, half))
+            yield from light(batch.slice(half))
+        else:
+            yield batch
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
-                yield batch.slice(at, rows)
+                yield from light(batch.slice(at, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from fn(cut(batches))
