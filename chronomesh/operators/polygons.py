@@ -60,19 +60,23 @@ def densified(vertices: DataFrame, metres: float = 300.0) -> DataFrame:
     return many.select("ring", "k", "cut", (F.col("lat1") + (F.col("lat2") - F.col("lat1")) * t).alias("lat"), (F.col("lng1") + (F.col("lng2") - F.col("lng1")) * t).alias("lng"))
 
 
-def thinned(points: F.Column, metres: float) -> F.Column:
-    """Of an array of struct(lat, lng): the first, the last, and each at least `metres` from the last one kept."""
-    km = lambda a, b: F.sqrt(F.pow((a["lat"] - b["lat"]) * KM_PER_DEG, 2) + F.pow((a["lng"] - b["lng"]) * KM_PER_LNG, 2))
+def thinned_by(points: F.Column, far) -> F.Column:
+    """Of an array of struct(lat, lng): the first, the last, and each that is far(last one kept, it)."""
     start = F.slice(points, 1, 1)
 
     def step(kept, p):
-        far = km(F.element_at(kept, -1), p) * 1000 >= metres
-        return F.when(far, F.concat(kept, F.array(p))).otherwise(kept)
+        return F.when(far(F.element_at(kept, -1), p), F.concat(kept, F.array(p))).otherwise(kept)
 
     inner = F.aggregate(F.slice(points, F.lit(2), F.greatest(F.size(points) - 2, F.lit(0))), start, step)
     return F.when(F.size(points) > 1, F.concat(inner, F.slice(points, F.size(points), F.lit(1)))).otherwise(points)
 
 
+def thinned(points: F.Column, metres: float) -> F.Column:
+    """Of an array of struct(lat, lng): the first, the last, and each at least `metres` from the last one kept."""
+    km = lambda a, b: F.sqrt(F.pow((a["lat"] - b["lat"]) * KM_PER_DEG, 2) + F.pow((a["lng"] - b["lng"]) * KM_PER_LNG, 2))
+    return thinned_by(points, lambda a, b: km(a, b) * 1000 >= metres)
+
+
 def without_repeats(points: F.Column) -> F.Column:
     """The array without elements that equal the one before."""
     return F.filter(points, lambda p, i: (i == 0) | (p != F.get(points, i - 1)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.geo import rounded
-from ..operators import graph, polygons, transit
+from ..operators import graph, polygons, reports, transit
 from ..sources.files import csv_fields
 from ..sources.http import matrix_blocks
 from ..operators.shared import settle
@@ -122,12 +122,19 @@ def x8(spark, sf):
     return ways(spark, sf).select("way", F.explode("nodes").alias("node")).join(known, "node", "left_semi").groupBy("way").agg(F.count("*").alias("known"))
 
 
-@query("x10_street_tiers", f"{with_ctes('ways')} SELECT way, CASE WHEN highway LIKE 'motorway%' THEN 0 WHEN highway LIKE 'trunk%' OR highway LIKE 'primary%' THEN 1 ELSE 2 END AS tier FROM ways WHERE highway IN ('motorway', 'motorway_link', 'trunk', 'trunk_link', 'primary', 'primary_link', 'secondary', 'tertiary')")
+_TIERS = "CASE highway " + " ".join(f"WHEN '{h}' THEN {t}" for h, t in reports.TIERS.items()) + " END"
+
+
+@query("x10_street_tiers", f"{with_ctes('ways')} SELECT way, {_TIERS} AS tier FROM ways WHERE {_TIERS} IS NOT NULL")
 def x10(spark, sf):
     """Tiers of drawn streets; residential streets and links below primary are not drawn."""
-    h = F.col("highway")
-    drawn = h.isin("motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "tertiary")
-    return ways(spark, sf).where(drawn).select("way", F.when(F.startswith(h, F.lit("motorway")), 0).when(F.startswith(h, F.lit("trunk")) | F.startswith(h, F.lit("primary")), 1).otherwise(2).alias("tier"))
+    return ways(spark, sf).select("way", reports.street_tier(F.col("highway")).alias("tier")).where("tier is not null")
+
+
+@query("x9_known_chain_nodes", f"{with_ctes('ways', 'anchors')}, u AS (SELECT way, unnest(nodes) AS node, unnest(range(len(nodes))) AS pos FROM ways) SELECT way, string_agg(CAST(node AS VARCHAR), ',' ORDER BY pos) AS nodes FROM u WHERE node IN (SELECT id FROM anchors WHERE id % 4 <> 0) GROUP BY way")
+def x9(spark, sf):
+    """Nodes without a place leave their ways before ways are joined."""
+    return reports.known_nodes(ways(spark, sf), known(spark, sf)).select("way", F.concat_ws(",", F.col("nodes").cast("array<string>")).alias("nodes"))
 
 
 @query("x15_fallback_path", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN [o_orderkey, o_custkey] ELSE [o_orderkey, 0, o_custkey] END AS path FROM orders")
@@ -200,10 +207,13 @@ def g9(spark, sf):
     return transit.stop_access(at.select("id", F.col("id").alias("node")), walk, stops(spark, sf), nodes)
 
 
+CLIP_BOX = (47.55, 47.68, -122.4, -122.28)
+
+
 @query("g21_clip_rings")
 def g21(spark, sf):
     """Rings cut by the middle of the city, with the area that is left."""
-    box = (47.55, 47.68, -122.4, -122.28)
+    box = CLIP_BOX
 
     def kernel(pdf):
         import pandas as pd
@@ -216,7 +226,53 @@ def g21(spark, sf):
 
 @query("g26_basemap")
 def g26(spark, sf):
-    """Drawn streets of each tier, stitched at shared nodes."""
-    tiered = x10(spark, sf).join(ways(spark, sf), "way")
-    line = tiered.select(F.col("tier").cast("long").alias("tier"), F.col("way").alias("line"), F.col("nodes"))
-    return polygons.stitched_lines(line).select("tier", "chain", F.size("nodes").alias("nodes"))
+    """Drawn streets of each tier, joined at shared nodes and thinned."""
+    return reports.basemap(ways(spark, sf), known(spark, sf)).select("tier", "chain", F.size("points").alias("vertices"), F.to_json("points").alias("points"))
+
+
+def water_elements(spark, sf):
+    """Nested elements: each nation's pond as a closed way, and once more as a relation of two open halves; a coast from north to south."""
+    from .layouts import ponds
+
+    point = F.struct(F.col("lat"), F.col("lng").alias("lon"))
+    ring = ponds(spark, sf).groupBy(F.col("ring").cast("long").alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", point.alias("p")))), lambda s: s["p"]).alias("g"))
+    shut = F.concat("g", F.slice("g", 1, 1))
+    half = F.floor(F.size("g") / 2).cast("int")
+    member = lambda geometry: F.struct(F.lit("way").alias("type"), F.lit("outer").alias("role"), geometry.alias("geometry"))
+    two = F.array(member(F.slice(shut, F.lit(1), half + 1)), member(F.slice(shut, half + 1, F.size("g"))))
+    tags = F.create_map(F.lit("natural"), F.lit("water"))
+    members, geometry = "array<struct<type:string,role:string,geometry:array<struct<lat:double,lon:double>>>>", "array<struct<lat:double,lon:double>>"
+    ways_ = ring.select(F.col("n").alias("id"), F.lit("way").alias("type"), tags.alias("tags"), shut.cast(geometry).alias("geometry"), F.lit(None).cast(members).alias("members"))
+    parts = ring.select((F.col("n") + 100).alias("id"), F.lit("relation").alias("type"), tags.alias("tags"), F.lit(None).cast(geometry).alias("geometry"), two.cast(members).alias("members"))
+    line = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct((47.734 - i * 0.0585).alias("lat"), F.lit(-122.425).alias("lon")))
+    coast = spark.range(1).select(F.lit(999).cast("long").alias("id"), F.lit("way").alias("type"), F.create_map(F.lit("natural"), F.lit("coastline")).alias("tags"), line.cast(geometry).alias("geometry"), F.lit(None).cast(members).alias("members"))
+    return ways_.unionByName(parts).unionByName(coast)
+
+
+CITY = (47.5, 47.734, -122.43, -122.24)
+
+
+@query("g22_assembled_rings")
+def g22(spark, sf):
+    """Open halves of ponds, joined to rings again."""
+    segments_ = polygons.water_segments(water_elements(spark, sf)).where("layer = 'open'")
+
+    def kernel(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["part", "pos"])
+        rings_, chains = polygons.rings_and_chains([[(p["lat"], p["lon"]) for p in points] for points in pdf["points"]])
+        return pd.DataFrame({"closed": [True] * len(rings_) + [False] * len(chains), "vertices": [len(r) for r in (*rings_, *chains)]})
+
+    return segments_.groupBy("layer").applyInPandas(kernel, "closed boolean, vertices int")
+
+
+@query("x4_water_layers", "SELECT layer, count(*) AS parts FROM (SELECT DISTINCT 'closed' AS layer, c_nationkey AS n, 0 AS half FROM customer UNION ALL SELECT DISTINCT 'open', c_nationkey, half FROM customer, range(2) AS t(half) UNION ALL SELECT 'coast', 0, 0) GROUP BY layer")
+def x4(spark, sf):
+    return polygons.water_segments(water_elements(spark, sf)).groupBy("layer").agg(F.count("*").alias("parts"))
+
+
+@query("g24_water")
+def g24(spark, sf):
+    """Rings of water inside the city from nested elements: ponds, joined ponds, and the sea west of a coast that the border closes."""
+    return polygons.build_water(water_elements(spark, sf), CITY)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.geo import rounded
-from ..operators import graph, grid, layout, polygons
+from ..operators import graph, grid, layout, polygons, reports
+from ..operators.shared import settle
 from .bindings import anchors, links, sources, stops, table, with_ctes
 from .catalog import query, sql_km, sql_round
 from .scalar import SYNTHETIC, synthetic
-from .spatial import sssp_sql
+from .spatial import ROAD, segments, sssp_sql
 
 # A matrix with holes: one way unknown for some pairs, both for others, one row without any.
 _HOLES = f"m AS MATERIALIZED ({SYNTHETIC}), h AS MATERIALIZED (SELECT i, j, CASE WHEN i <> j AND ((i * 7 + j) % 11 = 0 OR (i + j) % 13 = 0) THEN NULL ELSE CAST(seconds AS DOUBLE) END AS d FROM m)"
@@ -131,6 +132,12 @@ def x20(spark, sf):
     return anchors(spark, sf).join(geography(spark, sf), "id").select("id", "lat", "lng", rounded(F.col("x"), 3).alias("tx"), rounded(F.col("y"), 3).alias("ty"))
 
 
+@query("g15_classical_scaling")
+def g15(spark, sf):
+    """Seed of a layout from the two largest eigenvectors of the double-centred matrix."""
+    return layout.classical_mds(full(spark, sf))
+
+
 @query("g18_embedding")
 def g18(spark, sf):
     """The whole driver on the anchors, from a matrix with holes to an aligned layout."""
@@ -229,11 +236,18 @@ def g19(spark, sf):
     return grid.grid_points(spark).select("row", "col", rounded(F.col("lat"), 6).alias("lat"), rounded(F.col("lng"), 6).alias("lng"))
 
 
+def ponds(spark, sf):
+    """Each nation's ring, made small around a place of its own: 25 ponds."""
+    n = F.col("ring")
+    y, x = 47.52 + n * 37 % 19 / F.lit(100.0), -122.42 + n * 53 % 17 / F.lit(100.0)
+    return rings(spark, sf).select("ring", "k", (y + (F.col("lat") - 47.617) * 0.1).alias("lat"), (x + (F.col("lng") + 122.335) * 0.1).alias("lng"))
+
+
 @query("g20_mesh")
 def g20(spark, sf):
-    """Grid points outside the rings of the driver's customers, and the mesh between them."""
-    water = rings(spark, sf).where("ring = 1")
-    return grid.mesh(grid.land_anchors(grid.grid_points(spark), water), water)
+    """Grid points outside the ponds of all nations, and the mesh between them."""
+    water = settle(ponds(spark, sf))
+    return grid.mesh(settle(grid.land_anchors(grid.grid_points(spark), water)), water)
 
 
 def _seg(lat, lng):
@@ -321,16 +335,39 @@ def g29(spark, sf):
     return e.select("route", *(rounded(F.col(s), 4).alias(s) for s in ("click", "view", "purchase")))
 
 
-@query("g28_route_report", f"{with_ctes('anchors')}, m AS MATERIALIZED ({SYNTHETIC}) SELECT m.i, m.j, {sql_round('(m.seconds + k.seconds) / 2.0 / 60', 1)} AS minutes, {sql_round('sqrt(pow((a.lat - b.lat) * 120, 2) + pow((a.lng - b.lng) * 70, 2)) / ' + sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng'), 2)} AS factor, {sql_round(sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng') + ' / 1.60934', 1)} AS miles FROM m JOIN m k ON m.i = k.j AND m.j = k.i JOIN anchors a ON m.i = a.id JOIN anchors b ON m.j = b.id WHERE m.j = m.i + 1")
+def _ways(name: str, weight: str) -> str:
+    """Shortest paths by a weight, walked back by the smallest previous node: steps, metres and seconds of each request."""
+    return f"""l{name} AS MATERIALIZED (SELECT src, dst, min({weight}) AS w FROM e WHERE src <> dst AND {weight} IS NOT NULL GROUP BY src, dst),
+    d{name}(source, node, dist) USING KEY (source, node) AS (SELECT DISTINCT id, id, CAST(0 AS DOUBLE) FROM q
+      UNION SELECT n.source, n.node, n.dist FROM (SELECT d.source, l.dst AS node, min(d.dist + l.w) AS dist FROM d{name} d JOIN l{name} l ON d.node = l.src GROUP BY d.source, l.dst) n
+      LEFT JOIN recurring.d{name} o ON n.source = o.source AND n.node = o.node WHERE o.dist IS NULL OR n.dist < o.dist),
+    p{name} AS MATERIALIZED (SELECT a.source, l.dst AS node, min(l.src) AS prev FROM d{name} a JOIN l{name} l ON l.src = a.node JOIN d{name} b ON b.source = a.source AND b.node = l.dst AND b.dist = a.dist + l.w WHERE l.dst <> a.source GROUP BY ALL),
+    t{name}(source, target, spot, metres, seconds) AS (
+      SELECT k.id, k.id + 1, k.id + 1, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM q k JOIN d{name} d ON d.source = k.id AND d.node = k.id + 1
+      UNION ALL SELECT t.source, t.target, p.prev, t.metres + b.m, t.seconds + b.s FROM t{name} t JOIN p{name} p ON p.source = t.source AND p.node = t.spot JOIN both_ways b ON b.src = p.prev AND b.dst = t.spot),
+    r{name} AS MATERIALIZED (SELECT source, metres, seconds FROM t{name} WHERE spot = source)"""
+
+
+_REPORT = f"""{ROAD.replace('WITH ', 'WITH RECURSIVE ', 1)}, m AS MATERIALIZED ({SYNTHETIC}), both_ways AS MATERIALIZED (SELECT src, dst, min(metres) AS m, min(seconds) AS s FROM e WHERE src <> dst GROUP BY src, dst),
+  {_ways('fast', 'seconds')}, {_ways('short', 'metres')}
+  SELECT m.i AS route, {sql_round('(m.seconds + k.seconds) / 2.0 / 60', 1)} AS minutes,
+    {sql_round('sqrt(pow((a.lat - b.lat) * 120, 2) + pow((a.lng - b.lng) * 70, 2)) / ' + sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng'), 2)} AS factor,
+    {sql_round(sql_km('a.lat', 'a.lng', 'b.lat', 'b.lng') + ' / 1.60934', 1)} AS miles, {sql_round('f.metres / 1609.34', 1)} AS fast_miles,
+    {sql_round('h.metres / 1609.34', 1)} AS alt_miles, {sql_round('h.seconds / 60', 1)} AS alt_minutes
+  FROM m JOIN m k ON m.i = k.j AND m.j = k.i JOIN anchors a ON m.i = a.id JOIN anchors b ON m.j = b.id LEFT JOIN rfast f ON f.source = m.i LEFT JOIN rshort h ON h.source = m.i WHERE m.j = m.i + 1"""
+
+
+@query("g28_route_report", _REPORT)
 def g28(spark, sf):
-    """Minutes both ways, drawn over true distance, and miles of routes between neighbouring keys; the drawn map is a stretched one."""
-    m = synthetic(spark, sf)
-    back = m.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("seconds").alias("back"))
-    at = lambda k, n: anchors(spark, sf).select(F.col("id").alias(k), F.col("lat").alias(f"y{n}"), F.col("lng").alias(f"x{n}"))
-    r = m.where("j = i + 1").join(back, ["i", "j"]).join(at("i", 1), "i").join(at("j", 2), "j")
-    true = geo.flat_km(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2"))
-    dy, dx = (F.col("y1") - F.col("y2")) * 120, (F.col("x1") - F.col("x2")) * 70
-    return r.select("i", "j", rounded(geo.round_trip(F.col("seconds"), F.col("back")) / 60, 1).alias("minutes"), rounded(F.sqrt(dy * dy + dx * dx) / true, 2).alias("factor"), rounded(true / 1.60934, 1).alias("miles"))
+    """Routes between neighbouring keys on the streets of all orders; the drawn map is a stretched one."""
+    a = anchors(spark, sf)
+    routes = a.select(F.col("id").alias("route"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    slice_ = [F.lit("drive").alias("mode"), F.lit("freeflow").alias("slice")]
+    matrices = settle(synthetic(spark, sf).select(*slice_, "i", "j", "seconds"))
+    drawn = a.select(*slice_, "id", (F.col("lng") * 70).alias("tx"), (F.col("lat") * 120).alias("ty"))
+    streets = settle(graph.road_edges(segments(spark, sf)))
+    found = reports.route_report(routes, a.withColumn("node", F.col("id")), matrices, drawn, {"freeflow": streets}, a)
+    return found.select("route", "minutes", "factor", "miles", "fast_miles", "alt_miles", "alt_minutes")
 
 
 @query("j24_slice_metadata", "SELECT e.event_id, coalesce(n.n_name, e.event_type) AS label FROM events e LEFT JOIN nation n ON e.event_id % 40 = n.n_nationkey")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import gtfs_seconds
 from ..operators import transit
-from .files import csv_table, zip_lines
+from ..operators.shared import settle
+from .files import csv_table, lines_of, zip_lines
 
 #: Degrees around the box in which a trip must have a stop.
 PAD = 0.05
@@ -23,13 +24,13 @@ class Timetable:
     transfers: DataFrame  # a, b, sec
 
 
-def load(spark: SparkSession, path: str, day: str, box: tuple[float, float, float, float] | None = None) -> Timetable:
-    """Every feed under path on a service day (YYYYMMDD); box is south, north, west, east.
+def load(spark: SparkSession, path: str | DataFrame, day: str, box: tuple[float, float, float, float] | None = None) -> Timetable:
+    """Every feed under path, or of archives (path, content), on a service day (YYYYMMDD); box is south, north, west, east.
 
     All stops are kept; a trip is kept if it has two known stops with both times, and any of its
     stops is in the padded box. Calendars, exceptions and transfers may be missing.
     """
-    lines = zip_lines(spark, path).persist()
+    lines = settle(zip_lines(spark, path) if isinstance(path, str) else lines_of(path))
     named = lambda c: F.concat_ws(":", "feed", c)
     stops = csv_table(lines, "stops.txt", ["stop_id", "stop_name", "stop_lat", "stop_lon"], 2)
     stops = stops.select(named("stop_id").alias("id"), F.col("stop_name").alias("name"), F.col("stop_lat").try_cast("double").alias("lat"), F.col("stop_lon").try_cast("double").alias("lng")).where("lat is not null and lng is not null")

@@ -107,6 +107,8 @@ class OverpassSource(DataSource):
 
 
 class OverpassReader(DataSourceReader):
+    """Asks each endpoint in turn; an answer without elements is an error."""
+
     def __init__(self, options):
         self.query, self.endpoints = options["query"], options["endpoints"].split()
 
@@ -122,6 +124,44 @@ class OverpassReader(DataSourceReader):
             yield (json.dumps(e),)
 
 
+def kept(df_of: Callable[[], DataFrame], spark, folder: str, force: bool = False) -> DataFrame:
+    """What df_of gives, written to a folder once and read from there afterwards; force asks again."""
+    from .files import exists
+
+    if force or not exists(spark, f"{folder}/_SUCCESS"):
+        df_of().write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def overpass(spark, query: str, endpoints: Iterable[str], folder: str, force: bool = False) -> DataFrame:
+    """(element) of an Overpass query, one JSON text a row, kept in a folder."""
+    spark.dataSource.register(OverpassSource)
+    return kept(lambda: spark.read.format("overpass").option("query", query).option("endpoints", " ".join(endpoints)).load(), spark, folder, force)
+
+
+def feed_archives(spark, feeds: dict[str, list[str]], folder: str, force: bool = False, ask: Fetch = fetch) -> DataFrame:
+    """(path, content) of timetable archives, kept in a folder: each feed from the first of its mirrors that answers with a zip archive."""
+
+    def run(batches):
+        for batch in batches:
+            for name, urls in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                failures = []
+                for url in urls:
+                    try:
+                        data = first_answer([url], None, ask)
+                        if data[:2] == b"PK":
+                            break
+                        failures.append(f"{url}: no archive")
+                    except OSError as e:
+                        failures.append(str(e))
+                else:
+                    raise OSError("; ".join(failures) or f"no mirror of {name}")
+                yield pa.RecordBatch.from_arrays([pa.array([f"{name}.zip"]), pa.array([data], pa.binary())], ["path", "content"])
+
+    rows = spark.createDataFrame(sorted(feeds.items()), "name string, urls array<string>")
+    return kept(lambda: rows.repartition(len(feeds)).mapInArrow(run, "path string, content binary"), spark, folder, force)
+
+
 def flow_reading(status: int, headers: dict, data: bytes, sleep=time.sleep, closure: float = 1.0) -> tuple[float, float | None, float | None]:
     """(factor, current, free flow) of one answer of a flow service.
 
@@ -146,7 +186,10 @@ def flow_reading(status: int, headers: dict, data: bytes, sleep=time.sleep, clos
 
 
 def flow_readings(points: DataFrame, url: str, tasks: int = 4, qps_each: float = 1.0, ask: Fetch = fetch) -> DataFrame:
-    """(id, lat, lng, factor, current_kmh, freeflow_kmh) of points (id, lat, lng); url has {lat} and {lng}. Points that fail are free flow."""
+    """(id, lat, lng, factor, current_kmh, freeflow_kmh, status) of points (id, lat, lng); url has {lat} and {lng}.
+
+    Points that fail are free flow, and status says why: it is 'ok', 'no road', or what went wrong.
+    """
 
     def run(batches):
         pace = Pace(qps_each)
@@ -159,12 +202,16 @@ def flow_readings(points: DataFrame, url: str, tasks: int = 4, qps_each: float =
                     return flow_reading(*ask(url.format(lat=lat, lng=lng), None))
 
                 try:
-                    rows.append(retry(one))
-                except Exception:  # one sample of many: it stays at free flow
-                    rows.append((1.0, None, None))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.float64()) for c in zip(*rows, strict=True))], ["id", "lat", "lng", "factor", "current_kmh", "freeflow_kmh"])
-
-    return points.select(F.col("id").cast("long"), "lat", "lng").repartition(tasks).mapInArrow(run, "id long, lat double, lng double, factor double, current_kmh double, freeflow_kmh double")
+                    rows.append((*retry(one), "ok"))
+                except Permanent:
+                    rows.append((1.0, None, None, "no road"))
+                except Exception as e:  # one sample of many: it stays at free flow
+                    rows.append((1.0, None, None, f"{type(e).__name__}: {e}"[:200]))
+            kinds = (pa.float64(), pa.float64(), pa.float64(), pa.string())
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["id", "lat", "lng", "factor", "current_kmh", "freeflow_kmh", "status"])
+
+    return points.select(F.col("id").cast("long"), "lat", "lng").repartition(tasks).mapInArrow(run, "id long, lat double, lng double, factor double, current_kmh double, freeflow_kmh double, status string")
 
 
 def matrix_blocks(anchors: DataFrame, size: int = 25) -> DataFrame:
