@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.shared import forget, settle, shared_dir  # noqa: F401  used by the operators
 
@@ -47,6 +48,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names, in whatever case."""
+    gone = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what the JVM hands to Python at once, unless the session has a tighter bound."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

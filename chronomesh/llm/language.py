@@ -5,25 +5,27 @@ in both: k(x, y) = |X & Y| / sqrt(|X| |Y|), presence only, all orders blended. K
 regression, one language against the rest, is fitted on a bounded sample through a few landmark
 texts, and a batch of texts is scored by two matrix products.
 
-The sample has at most `per_language` texts of each of the `languages` most frequent languages,
-chosen by hash; only their n-gram sets come to the driver. Labels, ids and sources are never
-inputs of a prediction. Null texts and texts without a letter are `und` with score 0. Equal texts
-get equal predictions. If nothing can be learned, all texts are `und`.
+The sample has at most `per_language` labelled texts of each language and `sample` in all, shared evenly
+where there are many languages, chosen by hash; every language that has a label is learned. Texts become
+n-gram sets of 4 KB where they lie, and only sets are moved. Labels, ids and sources are never
+inputs of a prediction. Null texts and texts without a letter are `und` with score 0; texts of any
+length are taken whole. Equal texts get equal predictions. If nothing can be learned, all texts are
+`und`. Columns of a table that have the names of the result are replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, small_batches, table
+from .common import map_arrow, small_batches, table, without
 
 BITS = 15
 BUCKETS = 1 << BITS
-#: Bounds of the sample, landmarks of each language, and the ridge.
-LANGUAGES, PER_LANGUAGE, LANDMARKS, RIDGE = 64, 400, 40, 1e-3
+#: Bounds of the labelled sample, in all and of each language, landmarks of each language, and the ridge.
+SAMPLE, PER_LANGUAGE, LANDMARKS, RIDGE = 25_600, 400, 40, 1e-3
 UNKNOWN = "und"
 #: A text is strange if less of its n-grams are its language's than this share of what 95% of the sample reach.
 STRANGE = 0.75
@@ -99,35 +101,37 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: int = LANGUAGES, per_language: int = PER_LANGUAGE) -> KernelModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> KernelModel:
     """Learn from texts with a language that are not held out."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(sample + 1).collect()}
+    if len(counts) > sample:
+        raise ValueError(f"more than {sample} languages: give a larger sample")
     if not counts:
         return KernelModel(np.zeros((0, BUCKETS), bool), [])
+    each = min(per_language, sample // len(counts))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 1.5 * per_language / n) * (1 << 30)))))
-    sample = rows.select("lang", "text", draw.alias("draw")).where(F.col("draw") < F.coalesce(share[F.col("lang")], F.lit(0)))
-    sample = sample.orderBy("draw", "text").limit(2 * per_language * len(counts))
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, (1.5 * each + 10) / n) * (1 << 30)))))
+    drawn = rows.select("lang", "text", draw.alias("draw"), F.xxhash64("text").alias("tie")).where(F.col("draw") < share[F.col("lang")])
 
     def run(batches):
         for batch in batches:
             sets = [np.packbits(grams(t)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.binary())], ["lang", "draw", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(sets, pa.binary())], ["lang", "draw", "tie", "grams"])
 
-    taken, sets, labels = dict.fromkeys(counts, 0), [], []
-    for r in sorted(map_arrow(sample, run, "lang string, draw long, grams binary").collect(), key=lambda r: (r["draw"], r["lang"])):
-        if taken[r["lang"]] < per_language:
-            taken[r["lang"]] += 1
-            sets.append(np.unpackbits(np.frombuffer(r["grams"], np.uint8)).astype(bool))
-            labels.append(r["lang"])
-    return KernelModel(np.array(sets).reshape(-1, BUCKETS), labels)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "tie"))
+    taken = map_arrow(drawn, run, "lang string, draw long, tie long, grams binary").withColumn("place", place).where(F.col("place") <= each)
+    got = sorted(taken.collect(), key=lambda r: (r["draw"], r["tie"], r["lang"]))
+    sets = np.array([np.unpackbits(np.frombuffer(r["grams"], np.uint8)).astype(bool) for r in got])
+    return KernelModel(sets.reshape(-1, BUCKETS), [r["lang"] for r in got])
 
 
 def predicted(docs: DataFrame, model: KernelModel, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", strict: bool = False) -> DataFrame:
     """docs with two columns more, the language and its score."""
     small_batches(docs.sparkSession)
+    docs = without(docs, lang_col, score_col)
     at = docs.columns.index(text_col)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{lang_col}` string, `{score_col}` double"])
 

@@ -5,9 +5,11 @@ on the votes of a bounded sample estimates how often each voter says what of a g
 text, and with it how likely each sampled text is good. These posteriors train a
 logistic scorer on hashed features: runs of four character shapes, and the statistics in steps.
 
-The sample has `sample` texts chosen by hash (SAMPLE unless given). Null and empty texts have no
-feature but the constant one, whose weight is that of an average text, and are judged by it.
-Equal texts get equal scores. If the sample is empty, every score is 0.5 and all are kept.
+The sample has `sample` texts chosen by hash (SAMPLE unless given); votes and features, 4 KB a text, are
+made where texts lie, and only they are moved. Null and empty texts have no
+feature but the constant one, whose weight is that of an average text, and are judged by it. Texts of
+any length are taken whole. Equal texts get equal scores. If the sample is empty, every score is 0.5 and
+all are kept. A column of a table that has the name of the score is replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, small_batches, table
+from .common import map_arrow, small_batches, table, without
 
 SAMPLE, FEATURES, KEEP = 2_000, 2_048, 0.5
 #: Feature 0 is constant; statistics in steps have the features after it.
@@ -127,15 +129,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             stats = [statistics(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([votes(s[None], np.array([sentence_ends(t)]))[0].tolist() for t, s in zip(texts, stats, strict=True)], pa.list_(pa.int32())), pa.array([features(t, s).astype("<f2").tobytes() for t, s in zip(texts, stats, strict=True)], pa.binary())],
-                ["votes", "x"],
-            )
+            said = [votes(s[None], np.array([sentence_ends(t)]))[0].tolist() for t, s in zip(texts, stats, strict=True)]
+            seen = [features(t, s).astype("<f2").tobytes() for t, s in zip(texts, stats, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(said, pa.list_(pa.int32())), pa.array(seen, pa.binary())], ["draw", "tie", "votes", "x"])
 
     total = docs.count()
-    share = min(1.0, 1.5 * sample / max(1, total))  # so that the few rows that are drawn are all that is moved
-    drawn = rows.where(F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30)))
-    got = map_arrow(drawn.orderBy("draw", "text").limit(sample), run, "votes array<int>, x binary").collect()
+    share = min(1.0, (1.5 * sample + 10) / max(1, total))  # so that the few rows that are drawn are all that is worked on
+    drawn = rows.where(F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30))).withColumn("tie", F.xxhash64("text"))
+    got = map_arrow(drawn, run, "draw long, tie long, votes array<int>, x binary").orderBy("draw", "tie").limit(sample).collect()
     if not got:
         return np.zeros(FEATURES)
     good, _ = posteriors(np.array([r["votes"] for r in got]))
@@ -150,6 +151,7 @@ def scores(texts: list[str | None], weights: np.ndarray) -> list[float]:
 def scored(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
     """docs with one column more, the score."""
     small_batches(docs.sparkSession)
+    docs = without(docs, score_col)
     at = docs.columns.index(text_col)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{score_col}` double"])
 
