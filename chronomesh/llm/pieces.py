@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by suffix-array matching, for BPE models.
 
-The new units of a batch of texts, words with the space before them, are concatenated and
+The different units of a batch of texts, words with the space before them, are concatenated and
 indexed by a suffix array as deep as the longest piece. Binary search finds the range of
 suffixes that begin with each piece, which gives all edges (start, end, piece) at once. Edges are
 sorted by end and relaxed: an edge wins its end if the piece before its start and its own piece
@@ -8,8 +8,10 @@ stay apart under the model's merges, and of all edges to an end at most one does
 exactly if all its neighbours stay apart, so the winners are the library's ids.
 
 No piece holds a space after another character, so units don't depend on each other; a model
-that has such a piece is encoded in whole texts. A worker keeps the ids of KEPT units. Characters
-without a piece become byte pieces, or the unknown id if the model has none.
+that has such a piece is encoded in whole texts. Nothing but merges of pairs is kept from one batch
+to the next. Characters without a piece become byte pieces, or the unknown id if the model has none.
+A batch is indexed in parts of some INDEXED characters, but a unit is not cut, so a task
+needs about 200 bytes for each character of the longest run without a space.
 
 Null and empty texts have no ids. Equal texts have equal ids, repeated rows stay, an empty table
 gives an empty result, and further columns are ignored. The sign for a space, U+2581, is decoded as a
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, small_batches, table
 
 SPACE = "▁"
-#: Units and pairs of pieces that a worker keeps; characters of units that are indexed at once.
-KEPT, KEPT_PAIRS, INDEXED = 500_000, 2_000_000, 1 << 19
+#: Pairs of pieces that a worker keeps; characters of units that are indexed at once; texts of a batch.
+KEPT_PAIRS, INDEXED, TEXTS = 2_000_000, 1 << 19, 1_024
 
 
 class Pieces:
@@ -65,7 +67,6 @@ class Pieces:
             self.length[self.id_of[p]], self.text[self.id_of[p]] = len(p), p
         self.depth = max(map(len, self.usable), default=1)
         self.alphabet = sorted({c for p in self.usable for c in p})
-        self.units: dict[str, bytes] = {}
         self.apart: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -201,11 +202,10 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit numbers in the machine's (little-endian) order."""
-        if len(self.units) > KEPT:
-            self.units.clear()
-        units, split = self.units, [self.cut(t) for t in texts]
+        units: dict[str, bytes] = {}
+        split = [self.cut(t) for t in texts]
         prefix = SPACE if self.by_unit else ""
-        new = sorted(set().union(*split) - units.keys()) if split else []
+        new = sorted(set().union(*split))
         group, held = [], 0
         for i, u in enumerate(new):
             group.append(u)
@@ -236,7 +236,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             ids = pieces(path).encode([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, "doc_id long, ids binary")
+    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, "doc_id long, ids binary", rows=TEXTS)
 
 
 def decode_texts(encoded: DataFrame, path: str) -> DataFrame:
@@ -266,4 +266,4 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return map_arrow(docs, run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return map_arrow(docs, run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean", rows=TEXTS)

@@ -27,6 +27,11 @@ def test_odd_texts():
     assert ours(texts) == [LIBRARY.encode(t) for t in texts]
 
 
+def test_long_runs_without_spaces():
+    texts = ["abcde" * 20_000, "a " + "é" * 40_000 + " b", "http://" + "x/y?z=" * 10_000]
+    assert ours(texts) == [LIBRARY.encode(t) for t in texts]
+
+
 def test_documents_equal_the_library(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     encoded = encode_texts(docs, PATH)
