@@ -2,8 +2,9 @@
 
 A text's fingerprint has a bit set where over half of its shingles' XXH64 values have it.
 Fingerprints link when few bits differ. Equal fingerprints are first reduced to one. With
-the 64 bits cut into `radius + 1` parts, two fingerprints within the radius agree on one
-part at least, so those that share a part's value meet in one cell. A cell is indexed as
+the 64 bits cut into `radius + n` parts, two fingerprints within the radius agree on n
+parts at least, so those that share the values of n parts meet in one cell; n is one, and grows with the
+number of fingerprints so that cells do not. A cell is indexed as
 a tree: its codes are sorted by Gray rank, every node keeps the bits that all codes below it share, and
 two nodes whose shared bits already differ too often are dropped with all below them.
 A cell gives a spanning forest of its links, not the links, so its output is linear in its
@@ -16,7 +17,7 @@ but never name one. An empty table gives an empty result; further columns are ig
 
 from __future__ import annotations
 
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,10 @@ SEED = 42
 BITS = 64
 #: Codes in one block of a cell, children of a node, and pairs held at once.
 CELL, FAN, PAIRS = 16_384, 16, 1 << 21
+#: Fingerprints of a cell on average, beyond which keys get more bits; keys that may be counted in a broadcast table.
+MEAN_CELL, MOST_KEYS = 4_096, 1 << 16
+#: Fingerprints with a share of the rows of one in so many or more, at most HOT of them, are joined by broadcast.
+HOT = 1_000
 
 
 def shingle_hashes(text: str | None, words: int) -> list[int]:
@@ -170,24 +175,31 @@ def link_codes(codes: np.ndarray, cell: np.ndarray, radius: int) -> tuple[np.nda
     return unique[moved], unique[forest.root[moved]]
 
 
-def part_masks(radius: int) -> list[int]:
-    """Masks of radius + 1 parts of the 64 bits, as signed longs."""
-    cuts = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    masks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+def part_masks(radius: int, same: int = 1) -> list[int]:
+    """Masks, as signed longs, of every choice of `same` parts of radius + same parts of the 64 bits."""
+    n = radius + same
+    cuts = [BITS * i // n for i in range(n + 1)]
+    parts = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in (sum(c) for c in combinations(parts, same))]
 
 
-def fingerprint_links(codes: DataFrame, radius: int = 4) -> DataFrame:
+def parts_for(codes: int, radius: int) -> int:
+    """Parts that must agree so that cells hold MEAN_CELL fingerprints on average at most, three if that is not enough."""
+    return next((same for same in (1, 2) if codes <= MEAN_CELL << BITS * same // (radius + same)), 3)
+
+
+def fingerprint_links(codes: DataFrame, radius: int = 4, same: int | None = None) -> DataFrame:
     """(u, v): edges between distinct fingerprints (column fp) with the components that all links have.
 
-    There are at most (radius + 1) * 2**ceil(64 / (radius + 1)) keys, 40,960 at radius 4; the
-    table of their counts is the only thing that is broadcast.
+    The counts of keys are broadcast only if there are MOST_KEYS keys at most, 40,960 at radius 4 and one part.
     """
-    parts = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(part_masks(radius)))))
+    masks = part_masks(radius, parts_for(codes.count(), radius) if same is None else same)
+    parts = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks))))
     keyed = codes.select("fp", parts.alias("key")).select("fp", "key.part", "key.bits")
     blocks = keyed.groupBy("part", "bits").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / CELL).cast("int"))
+    few = len(masks) << max((m & (1 << BITS) - 1).bit_count() for m in masks) <= MOST_KEYS
     dealt = (
-        keyed.join(F.broadcast(blocks), ["part", "bits"])
+        keyed.join(F.broadcast(blocks) if few else blocks.hint("merge"), ["part", "bits"])
         .withColumn("own", F.pmod(F.xxhash64("fp", "part"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("fp", F.xxhash64("part", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
@@ -220,16 +232,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return assign(settle(simhash(docs, id_col, text_col, words)), radius)
 
 
-def assign(prints: DataFrame, radius: int) -> DataFrame:
+def assign(prints: DataFrame, radius: int, same: int | None = None) -> DataFrame:
     """Components of a settled table (doc_id, fp)."""
-    codes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(fingerprint_links(codes.select("fp"), radius))
+    codes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    found = components(fingerprint_links(codes.select("fp"), radius, same))
     named = found.join(codes.withColumnRenamed("fp", "node"), "node")
     least = named.groupBy("root").agg(F.min("least").alias("far"))
     far = found.join(least, "root").select(F.col("node").alias("fp"), "far")
-    # Written, so that both sides of the last join are plain shuffles and a fingerprint with very many rows can be split.
-    whole = settle(codes.join(far, "fp", "left").select("fp", F.coalesce("far", "least").alias("component_id")))
-    return prints.join(whole, "fp").select("doc_id", "fp", "component_id")
+    # Written, so that both sides of the last join are plain shuffles.
+    whole = settle(codes.join(far, "fp", "left").select("fp", "n", F.coalesce("far", "least").alias("component_id")))
+    return spread_join(prints, whole, "fp").select("doc_id", "fp", "component_id")
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """rows joined to values (key, n, ...), n being how many rows a key has: keys with very many rows don't meet in one task.
+
+    They are the keys with one in HOT of the rows or more, so there are HOT at most, and go by broadcast.
+    """
+    total = rows.count()
+    hot = values.where(F.col("n") * HOT >= total).where(F.col("n") > 1)
+    met = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return met.unionByName(rest.join(values.where((F.col("n") * HOT < total) | (F.col("n") == 1)), key)).drop("n")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

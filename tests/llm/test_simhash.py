@@ -1,12 +1,14 @@
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import xxhash
 from chronomesh.llm.components import components
-from chronomesh.llm.simhash import assign, fingerprints, link_codes, near_duplicates
+from chronomesh.llm.simhash import assign, fingerprints, link_codes, near_duplicates, part_masks, parts_for, spread_join
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 
 def plain(text, k=4):
@@ -72,10 +74,26 @@ def test_links_over_cells_and_blocks(spark, monkeypatch):
     monkeypatch.setattr("chronomesh.llm.simhash.CELL", 50)
     codes = some_codes(np.random.default_rng(2), 600)
     prints = spark.createDataFrame([(i, int(c)) for i, c in enumerate(codes.view(np.int64).tolist())], "doc_id long, fp long")
-    got = {r.fp % (1 << 64): r.component_id for r in assign(prints, 4).collect()}
     want = closure(map(int, codes))
     number = {int(c): i for i, c in enumerate(codes)}
-    assert got == {c: min(number[x] for x in want if want[x] == r) for c, r in want.items()}
+    for same in (None, 2, 3):  # parts that must agree
+        got = {r.fp % (1 << 64): r.component_id for r in assign(prints, 4, same).collect()}
+        assert got == {c: min(number[x] for x in want if want[x] == r) for c, r in want.items()}
+
+
+def test_parts_grow_with_the_fingerprints():
+    assert [parts_for(n, 4) for n in (0, 10**6, 10**7, 10**8, 10**9, 10**11)] == [1, 1, 1, 2, 2, 3]
+    assert [len(part_masks(4, n)) for n in (1, 2, 3)] == [5, 15, 35]
+    for n in (1, 2, 3):
+        for bits in combinations(range(0, 64, 9), 4):
+            assert any(not sum(1 << b for b in bits) & m & (1 << 64) - 1 for m in part_masks(4, n))
+
+
+def test_hot_and_rare_keys_join_alike(spark):
+    rows = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(6_000)], "doc_id long, fp long")
+    values = rows.groupBy("fp").count().withColumnRenamed("count", "n").withColumn("x", F.col("fp") * 2)
+    got = spread_join(rows, values, "fp")
+    assert got.count() == 6_000 and got.where("x <> 2 * fp").count() == 0 and got.columns == ["fp", "doc_id", "x"]
 
 
 def test_documents(spark):
