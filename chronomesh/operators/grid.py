@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEG, KM_PER_LNG_GRID, rounded, segment_km
 from . import polygons, spatial
+from .shared import settle
 
 #: South, north, west, east of the city, and the spacing of rows in degrees.
 BOX, ROW = (47.5, 47.734, -122.43, -122.24), 0.0045
@@ -66,7 +67,8 @@ def mesh(anchors: DataFrame, water: DataFrame, row: float = ROW) -> DataFrame:
     """(i, j, kind): 0 between neighbours on land, 1 for the two shortest crossings of each bridge."""
     right = anchors.select(F.col("id").alias("j"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"))
     step = row * KM_PER_DEG
-    pairs = spatial.within(anchors, right, CROSSING_STEPS * step, KM_PER_LNG_GRID).where(F.col("id") < F.col("j")).withColumnRenamed("id", "i").withColumn("pair", F.xxhash64("i", "j")).persist()
+    pairs = spatial.within(anchors, right, CROSSING_STEPS * step, KM_PER_LNG_GRID).where(F.col("id") < F.col("j")).withColumnRenamed("id", "i")
+    pairs = settle(pairs.withColumn("pair", F.xxhash64("i", "j")))
     t = F.explode(F.array(*map(F.lit, (0.2, 0.35, 0.5, 0.65, 0.8))))
     samples = pairs.withColumn("t", t).select(F.col("pair").alias("id"), (F.col("lat") + (F.col("r_lat") - F.col("lat")) * F.col("t")).alias("lat"), (F.col("lng") + (F.col("r_lng") - F.col("lng")) * F.col("t")).alias("lng"), "t")
     spot = samples.withColumn("id", F.struct("id", "t"))

@@ -82,8 +82,8 @@ def timetable(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, sf: str, step: int, near: int) -> DataFrame:
-    """(s, k, stop, n): each supplier as a place s, from 0, and the stops near it."""
-    s = with_count(spark, sf, table(spark, sf, "supplier").select((F.col("s_suppkey") - 1).cast("long").alias("s")))
+    """(s, k, stop, n): each supplier as a place s, and the stops near it."""
+    s = with_count(spark, sf, table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("s")))
     return s.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(near - 1)))).withColumn("stop", ((F.col("s") * step + F.col("k")) % F.col("n")).cast("long"))
 
 
@@ -105,14 +105,14 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     """(supplier, source): the node of the part graph that each supplier is at."""
     n = table(spark, sf, "part").agg(F.count("*").alias("n"))
     s = table(spark, sf, "supplier").crossJoin(F.broadcast(n))
-    return s.select(F.col("s_suppkey").cast("long").alias("supplier"), ((F.col("s_suppkey") * 37) % F.col("n") + 1).cast("long").alias("source"))
+    return s.select(F.col("s_suppkey").cast("long").alias("supplier"), ((F.col("s_suppkey") * 37) % F.col("n")).cast("long").alias("source"))
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     """(source, target): every customer asks for a route from a supplier's node to a node of the part graph."""
     s = with_count(spark, sf, table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("c")))
     n = table(spark, sf, "part").agg(F.count("*").alias("parts"))
-    at = s.crossJoin(F.broadcast(n)).select((F.col("c") % F.col("n") + 1).alias("supplier"), ((F.col("c") * 7919) % F.col("parts") + 1).alias("target"))
+    at = s.crossJoin(F.broadcast(n)).select((F.col("c") % F.col("n")).alias("supplier"), ((F.col("c") * 7919) % F.col("parts")).alias("target"))
     return at.join(sources(spark, sf), "supplier").select("source", "target").distinct()
 
 
@@ -134,12 +134,12 @@ CTE = {
     "blocks": "SELECT p_partkey AS src, p_partkey + 1 AS dst FROM part WHERE p_partkey < (SELECT max(p_partkey) FROM part) UNION ALL SELECT p_partkey, 100 * (p_partkey // 100) FROM part WHERE p_partkey % 100 = 10 + 4 * (p_partkey // 100) AND p_partkey >= 100",
     "timetable": """SELECT p AS pattern, trip, pos, (p * 17 + pos * (3 + p % 5)) % n AS stop, 28800 + trip * 60 + (p % 13) * 40 + pos * (90 + p % 60) AS arr, 28810 + trip * 60 + (p % 13) * 40 + pos * (90 + p % 60) AS dep
       FROM (SELECT o_orderkey % 50 AS p, o_orderkey // 50 AS trip FROM orders), range(0, 6) AS r(pos), (SELECT count(*) AS n FROM supplier)""",
-    "foot": "SELECT s_suppkey - 1 AS a, s_suppkey % n AS b, CAST(60 AS BIGINT) AS sec FROM supplier, (SELECT count(*) AS n FROM supplier)",
-    "access": "SELECT s_suppkey - 1 AS source, ((s_suppkey - 1) * 5 + k) % n AS stop, CAST(28800 + 120 * k AS BIGINT) AS arr FROM supplier, range(0, 2) AS b(k), (SELECT count(*) AS n FROM supplier)",
-    "egress": "SELECT s_suppkey - 1 AS j, ((s_suppkey - 1) * 7 + k) % n AS stop, CAST(100 + 50 * k AS BIGINT) AS last FROM supplier, range(0, 3) AS b(k), (SELECT count(*) AS n FROM supplier)",
-    "walks": "SELECT s_suppkey - 1 AS i, (s_suppkey - 1 + k) % n AS j, CAST(900 * k AS BIGINT) AS walk FROM supplier, range(0, 4) AS b(k), (SELECT count(*) AS n FROM supplier)",
-    "sources": "SELECT CAST(s_suppkey AS BIGINT) AS supplier, CAST((s_suppkey * 37) % n + 1 AS BIGINT) AS source FROM supplier, (SELECT count(*) AS n FROM part)",
-    "requests": "SELECT DISTINCT source, CAST((c_custkey * 7919) % parts + 1 AS BIGINT) AS target FROM customer, (SELECT count(*) AS n FROM supplier), (SELECT count(*) AS parts FROM part), sources WHERE supplier = c_custkey % n + 1",
+    "foot": "SELECT s_suppkey AS a, (s_suppkey + 1) % n AS b, CAST(60 AS BIGINT) AS sec FROM supplier, (SELECT count(*) AS n FROM supplier)",
+    "access": "SELECT s_suppkey AS source, (s_suppkey * 5 + k) % n AS stop, CAST(28800 + 120 * k AS BIGINT) AS arr FROM supplier, range(0, 2) AS b(k), (SELECT count(*) AS n FROM supplier)",
+    "egress": "SELECT s_suppkey AS j, (s_suppkey * 7 + k) % n AS stop, CAST(100 + 50 * k AS BIGINT) AS last FROM supplier, range(0, 3) AS b(k), (SELECT count(*) AS n FROM supplier)",
+    "walks": "SELECT s_suppkey AS i, (s_suppkey + k) % n AS j, CAST(900 * k AS BIGINT) AS walk FROM supplier, range(0, 4) AS b(k), (SELECT count(*) AS n FROM supplier)",
+    "sources": "SELECT CAST(s_suppkey AS BIGINT) AS supplier, CAST((s_suppkey * 37) % n AS BIGINT) AS source FROM supplier, (SELECT count(*) AS n FROM part)",
+    "requests": "SELECT DISTINCT source, CAST((c_custkey * 7919) % parts AS BIGINT) AS target FROM customer, (SELECT count(*) AS n FROM supplier), (SELECT count(*) AS parts FROM part), sources WHERE supplier = c_custkey % n",
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import feeds, layouts, scalar, spatial  # noqa: F401  they register their queries
+from . import archives, feeds, layouts, scalar, spatial  # noqa: F401  they register their queries
 from .catalog import ORACLES, QUERIES
 
 
