@@ -176,7 +176,7 @@ def sortable(score: int) -> bytes | None:
     if abs(score) < 1 << 62:
         return None
     raw = abs(score).to_bytes(-(-score.bit_length() // 8), "big")
-    framed = b"\1" + len(raw).to_bytes(4, "big") + raw
+    framed = b"\xff" + len(raw).to_bytes(4, "big") + raw
     return framed if score > 0 else bytes(255 - b for b in framed)
 
 
