@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from array import array
-from collections.abc import Iterable
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -67,7 +67,8 @@ class Pieces:
             self.length[self.id_of[p]], self.text[self.id_of[p]] = len(p), p
         self.depth = max(map(len, self.usable), default=1)
         self.alphabet = sorted({c for p in self.usable for c in p})
-        self.apart: dict[int, bool] = {}
+        self.pairs, self.answers = np.array([-1], np.int64), np.array([True])  # pairs of pieces in order, and whether they stay two
+        self.recent: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """BPE itself on a short string: the best pair first, the leftmost of equals."""
@@ -88,18 +89,27 @@ class Pieces:
         out = np.ones(len(left), bool)
         both = np.flatnonzero((left < self.size) & (right < self.size))
         keys, back = np.unique(left[both] * self.size + right[both], return_inverse=True)
-        known, answers = self.apart, []
-        for key in keys.tolist():
-            answer = known.get(key)
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        answers, known = self.answers[at], self.pairs[at] == keys
+        for i in np.flatnonzero(~known).tolist():
+            key = int(keys[i])
+            answer = self.recent.get(key)
             if answer is None:
                 a, b = self.text[key // self.size], self.text[key % self.size]
-                answer = known[key] = self.merged(a + b) == [a, b]
-            answers.append(answer)
-        out[both] = np.array(answers, bool)[back]
-        if len(known) > KEPT_PAIRS:
-            known.clear()
+                answer = self.recent[key] = self.merged(a + b) == [a, b]
+            answers[i] = answer
+        out[both] = answers[back]
         return out
 
+    def remember(self) -> None:
+        """Sort the pairs of late into those that are looked up side by side."""
+        if len(self.pairs) + len(self.recent) > KEPT_PAIRS:
+            self.pairs, self.answers = np.array([-1], np.int64), np.array([True])
+        pairs = np.concatenate([self.pairs, np.array(list(self.recent), np.int64)])
+        order = np.argsort(pairs, kind="stable")
+        self.pairs, self.answers = pairs[order], np.concatenate([self.answers, np.array(list(self.recent.values()), bool)])[order]
+        self.recent = {}
+
     def edges(self, codes: np.ndarray, n_symbols: int, symbol: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Start and piece of every occurrence of a piece in codes, by a suffix array; code 0 ends a unit."""
         wide = 1 if n_symbols < 255 else 2 if n_symbols < 65_535 else 4
@@ -122,8 +132,8 @@ class Pieces:
         at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
         return suffixes[at], np.repeat(ids, count)
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        """Ids of each unit, a string that needs no other."""
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit, a string that needs no other, as unsigned 32-bit numbers."""
         lengths = np.array([len(u) for u in units], np.int64)
         starts = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
         text = "\0".join(units) + "\0"
@@ -166,20 +176,23 @@ class Pieces:
             at = at - np.where(won < self.size, self.length[np.minimum(won, self.size - 1)], 1)
             where.append(at), what.append(won)
         if not where:
-            return [[] for _ in units]
+            return [b""] * len(units)
         where, what = np.concatenate(where), np.concatenate(what)
         order = np.argsort(where)
-        flat, counts = what[order].tolist(), np.bincount(unit_of[where], minlength=len(units)).tolist()
-        out, i = [], 0
-        for n in counts:
-            ids = flat[i : i + n]
-            i += n
-            out.append(ids if max(ids, default=0) < self.size else [x for p in ids for x in self.spelled(p)])
-        return out
-
-    def spelled(self, piece: int) -> Iterable[int]:
-        if piece < self.size:
-            return (piece,)
+        where, what = where[order], what[order]
+        odd = np.flatnonzero(what >= self.size)  # characters without a piece become several ids
+        spelled = [self.spelled(x) for x in what[odd].tolist()]
+        times = np.ones(len(what), np.int64)
+        times[odd] = [len(x) for x in spelled]
+        flat, first = np.repeat(what, times), np.cumsum(times) - times
+        if spelled:
+            flat[np.repeat(first[odd], times[odd]) + np.concatenate([np.arange(len(x)) for x in spelled])] = [i for x in spelled for i in x]
+        ends = 4 * np.cumsum(np.bincount(unit_of[where], times, minlength=len(units)).astype(np.int64))
+        data = flat.astype("<u4").tobytes()
+        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def spelled(self, piece: int) -> Sequence[int]:
+        """Ids of a character without a piece."""
         return [self.byte_id.get(b, self.unknown) for b in chr(piece - self.size).encode()] if self.byte_id else (self.unknown,)
 
     def cut(self, text: str) -> list[str]:
@@ -212,8 +225,9 @@ class Pieces:
             held += len(u) + 2
             if held > INDEXED or i == len(new) - 1:
                 whole = [prefix + g if prefix else (SPACE * self.dummy_prefix + g.replace(" ", SPACE)) for g in group]
-                units.update((g, array("I", ids).tobytes()) for g, ids in zip(group, self.encode_units(whole), strict=True))
+                units.update(zip(group, self.encode_units(whole), strict=True))
                 group, held = [], 0
+        self.remember()
         return [b"".join(map(units.__getitem__, s)) for s in split]
 
     def decode(self, ids: bytes) -> str:
