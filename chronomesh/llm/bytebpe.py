@@ -3,7 +3,7 @@
 tiktoken runs the file's vocabulary, whose ids are its merge ranks, about five times as fast as
 the tokenizers library and gives the same ids. Texts that hold a string of the file's added tokens,
 texts it refuses, and all texts under a file with a normalizer, another pre-tokenizer, or options
-of its model that tiktoken has not, go to that library.
+of its model that tiktoken has not, go to that library. Plain ids take strings of added tokens as ordinary text.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ class Encoder:
         model = said["model"]
         vocab = model["vocab"]
         merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in model["merges"]]
+        self.data = {rank: bytes(byte[s] for s in token) for token, rank in vocab.items() if all(s in byte for s in token)}
         self.by_rank = self.plain(said) and merged == list(range(min(merged, default=0), min(merged, default=0) + len(merged)))
         if self.by_rank:
             ranks = {bytes(byte[s] for s in token): rank for token, rank in vocab.items() if token not in self.added}
@@ -56,14 +57,15 @@ class Encoder:
 
         return Tokenizer.from_file(self.path)
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str, plain: bool = False) -> bytes:
         """Ids as unsigned 32-bit numbers in the machine's (little-endian) order."""
-        if self.by_rank and not any(a in text for a in self.added):
+        if self.by_rank and (plain or not any(a in text for a in self.added)):
             try:
-                return array("I", self.fast.encode_ordinary(text)).tobytes()
+                return bytes(self.fast.encode_to_tiktoken_buffer(text, set()))
             except BaseException as e:  # a panic of the library is no Exception
                 if isinstance(e, (KeyboardInterrupt, SystemExit)):
                     raise
+        self.slow.encode_special_tokens = plain
         return array("I", self.slow.encode(text, add_special_tokens=False).ids).tobytes()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_token_alignment
 from .chat import OP1_SQL, op1_chat_format
 from .language import op4_language_id
 from .media import op10_media_columns
@@ -26,6 +27,7 @@ def queries():
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_media_columns": op10_media_columns,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
