@@ -11,6 +11,7 @@ from .pieces import op2_sentencepiece
 from .quality import op6_quality
 from .repeats import op3_suffix_dedup
 from .simhash import op9_simhash
+from .spelling import op12_spelling_variants
 from .topk import OP5_SQL, op5_top_k
 from .urls import op7_url_filter
 
@@ -27,6 +28,7 @@ def queries():
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_media_columns": op10_media_columns,
+        "op12_spelling_variants": op12_spelling_variants,
         "op13_token_alignment": op13_token_alignment,
     }
 
