@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .alignment import op13_token_alignment
 from .chat import OP1_SQL, op1_chat_format
+from .edits import op11_edit_fingerprint
 from .language import op4_language_id
 from .media import op10_media_columns
 from .packing import op8_packing
@@ -28,6 +29,7 @@ def queries():
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
         "op10_media_columns": op10_media_columns,
+        "op11_edit_fingerprint": op11_edit_fingerprint,
         "op12_spelling_variants": op12_spelling_variants,
         "op13_token_alignment": op13_token_alignment,
     }
