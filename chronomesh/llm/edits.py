@@ -22,7 +22,7 @@ and pass through one task one by one. A text needs about 40 bytes a letter while
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import accumulate
 from operator import getitem, itemgetter
 
@@ -37,12 +37,14 @@ from .simhash import Forest, spread_join
 
 WALKS, CELLS = 4, 64
 #: Steps after which a walk's bits repeat; letters it tells apart.
-PERIOD, LETTERS = 4096, 256
+PERIOD, LETTERS = 512, 64
 EMPTY = "-"
 #: Bands of near copies, digits of a band, and the least likeness.
 BANDS, DIGITS, LIKE = 24, 6, 0.75
 #: Fingerprints of one block of a cell.
 BLOCK = 2_048
+#: Texts that go side by side at least, and letters of them at most; letters of texts that are held at once, but for one text.
+FEW, ROOM, HELD = 8, 1 << 19, 1 << 20
 #: Parts of the order of ids, at most.
 MOST_PARTS = 1 << 16
 
@@ -55,78 +57,115 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-class Walk:
-    """One walk: states by step, each a list of the state after each letter and, last, its own step."""
-
-    def __init__(self, number: int):
-        self.number = number
-        bits = mix(np.arange(PERIOD * LETTERS, dtype=np.uint64) + np.uint64(1 + number << 40)).reshape(PERIOD, LETTERS) >> np.uint64(63)
-        after = np.empty((PERIOD, LETTERS), np.int64)
-        for letter in range(LETTERS):
-            on = np.flatnonzero(bits[:, letter])
-            after[:, letter] = (np.append(on, on[0])[np.searchsorted(on, np.arange(PERIOD))] + 1) % PERIOD
-        self.states = [[] for _ in range(PERIOD)]
-        for step, (state, row) in enumerate(zip(self.states, after.tolist(), strict=True)):
-            state += [self.states[s] for s in row]
-            state.append(step)
+class Walks:
+    """Tables of all walks. A state is (walk * PERIOD + step) * LETTERS, so that a state and a letter are a place in a table of states."""
+
+    def __init__(self):
+        bits = mix(np.arange(WALKS * PERIOD * LETTERS, dtype=np.uint64)).reshape(WALKS, PERIOD, LETTERS) >> np.uint64(63)
+        self.after = np.empty((WALKS, PERIOD, LETTERS), np.int64)
+        for walk in range(WALKS):
+            for letter in range(LETTERS):
+                on = np.flatnonzero(bits[walk, :, letter])
+                step = (np.append(on, on[0])[np.searchsorted(on, np.arange(PERIOD))] + 1) % PERIOD
+                self.after[walk, :, letter] = (walk * PERIOD + step) * LETTERS
+        self.after = self.after.ravel()
         self.places = self.orders()
 
-    def orders(self) -> np.ndarray:
+    @staticmethod
+    def orders(most: int = 96) -> np.ndarray:
         """Places of each cell that come before all smaller ones in its order, ascending; the last below a length is the cell's for it."""
-        u = (mix(np.arange(CELLS * 128, dtype=np.uint64) + np.uint64(1 + self.number << 20)) >> np.uint64(11)).astype(float).reshape(CELLS, 128) / 2**53
-        out, now = np.empty((CELLS, 129), np.int64), np.zeros(CELLS)
-        out[:, 0] = 0
-        for i in range(128):
+        n = WALKS * CELLS
+        u = (mix(np.arange(n * most, dtype=np.uint64) + np.uint64(1 << 40)) >> np.uint64(11)).astype(float).reshape(n, most) / 2**53
+        out, now = np.zeros((n, most + 1), np.int64), np.zeros(n)
+        for i in range(most):
             now = np.minimum(np.floor((now + 1) / np.maximum(u[:, i], 1e-9)), 2.0**60)
             out[:, i + 1] = now
+        return out.reshape(WALKS, CELLS, -1)
+
+    @cached_property
+    def lists(self) -> list[list]:
+        """The same table for one text alone: each state is a list of the state after each letter and, last, its own number."""
+        states = [[] for _ in range(WALKS * PERIOD)]
+        for i, (state, row) in enumerate(zip(states, (self.after // LETTERS).reshape(-1, LETTERS).tolist(), strict=True)):
+            state += [states[x] for x in row]
+            state.append(i * LETTERS)
+        return states
+
+    def read(self, letters: list[np.ndarray], starts: list[np.ndarray]) -> list[np.ndarray]:
+        """For each text the states, a row a walk, in which the walks come to each letter, and leave the last. Texts of about one length go side by side."""
+        out: list[np.ndarray] = [None] * len(letters)
+        sizes = np.array([len(x) for x in letters], np.int64)
+        group: list[int] = []
+
+        def close():
+            if len(group) >= FEW:
+                for i, x in zip(group, self.side_by_side([letters[i] for i in group], [starts[i] for i in group]), strict=True):
+                    out[i] = x
+            for i in group if len(group) < FEW else ():
+                own = letters[i].tobytes()
+                out[i] = np.stack([np.fromiter(map(itemgetter(LETTERS), accumulate(own, getitem, initial=self.lists[s // LETTERS])), np.int64, len(own) + 1) for s in starts[i].tolist()])
+            group.clear()
+
+        for i in np.argsort(-sizes, kind="stable").tolist():
+            if group and (2 * sizes[i] + 64 < sizes[group[0]] or sizes[group[0]] * (len(group) + 1) > ROOM):
+                close()
+            group.append(i)
+        close()
         return out
 
-    def read(self, letters: bytes, start: int = 0) -> np.ndarray:
-        """The step, modulo PERIOD, at which the walk comes to each letter, and leaves the last."""
-        return np.fromiter(map(itemgetter(LETTERS), accumulate(letters, getitem, initial=self.states[start])), np.int64, len(letters) + 1)
-
-    def digits(self, points: np.ndarray, steps: np.ndarray) -> str:
-        stays = np.diff(steps) % PERIOD
+    def side_by_side(self, letters: list[np.ndarray], starts: list[np.ndarray]) -> list[np.ndarray]:
+        n, most = len(letters), max(map(len, letters))
+        grid = np.zeros((n, most), np.int64)
+        for row, own in zip(grid, letters, strict=True):
+            row[: len(own)] = own
+        grid = np.tile(grid.T, WALKS)
+        out = np.empty((most + 1, WALKS * n), np.int64)
+        out[0] = np.stack(starts, axis=1).ravel()
+        at, after = np.empty(WALKS * n, np.int64), self.after
+        for now, then, own in zip(out, out[1:], grid, strict=False):
+            np.add(now, own, out=at)
+            after.take(at, out=then, mode="clip")
+        lanes = np.ascontiguousarray(out.T).reshape(WALKS, n, most + 1)
+        return [lanes[:, i, : len(own) + 1] for i, own in enumerate(letters)]
+
+    def digits(self, points: np.ndarray, states: np.ndarray) -> str:
+        stays = np.diff(states) // LETTERS % PERIOD
         stays[stays == 0] = PERIOD
-        ends = np.cumsum(stays)
-        place = self.places[np.arange(CELLS), (self.places < ends[-1]).sum(axis=1) - 1]
-        letter = points[np.searchsorted(ends, place, "right")].astype(np.uint64)
-        found = mix(mix(letter + np.uint64(self.number << 32)) + place.astype(np.uint64)) >> np.uint64(60)
+        ends = np.cumsum(stays, axis=1)
+        count = (self.places < ends[:, -1, None, None]).sum(axis=2)
+        place = np.take_along_axis(self.places, count[:, :, None] - 1, axis=2)[:, :, 0]
+        letter = np.stack([points[np.searchsorted(own, at, "right")] for own, at in zip(ends, place, strict=True)]).astype(np.uint64)
+        walk = np.arange(WALKS, dtype=np.uint64)[:, None] << np.uint64(32)
+        found = mix(mix(letter + walk) + place.astype(np.uint64)) >> np.uint64(60)
         return found.astype(np.uint8).tobytes().hex()[1::2]
 
 
 @lru_cache(maxsize=1)
-def walks() -> list[Walk]:
-    return [Walk(n) for n in range(WALKS)]
-
-
-def points_of(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-
+def walks() -> Walks:
+    return Walks()
 
-def letters_of(points: np.ndarray) -> bytes:
-    return (points & (LETTERS - 1)).astype(np.uint8).tobytes()
 
+class Readings:
+    """Texts, the states of all walks on them, and their fingerprints: CELLS digits of each walk."""
 
-class Reading:
-    """A text, its walks, and its fingerprint: CELLS digits of each walk."""
+    def __init__(self, texts: list[str | None]):
+        self.texts = [t or "" for t in texts]
+        points = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in self.texts]
+        first = np.arange(WALKS, dtype=np.int64) * PERIOD * LETTERS
+        self.states = walks().read([(p & (LETTERS - 1)).astype(np.uint8) for p in points], [first] * len(points))
+        self.prints = [walks().digits(p, s) if len(p) else EMPTY * (WALKS * CELLS) for p, s in zip(points, self.states, strict=True)]
 
-    def __init__(self, text: str | None):
-        self.text = text or ""
-        points = points_of(self.text)
-        self.steps = [w.read(letters_of(points)) for w in walks()]
-        self.print = "".join(w.digits(points, own) for w, own in zip(walks(), self.steps, strict=True)) if self.text else EMPTY * (WALKS * CELLS)
-
-    def edited(self, then: str) -> tuple[str, str]:
-        """The text with its last half replaced by the first letters of another, and that text's fingerprint. The walks don't read the first half again."""
-        half = len(self.text) // 2
-        head = len(self.text) - half
-        edited = self.text[:head] + then[:half]
-        if edited == self.text:
-            return edited, self.print
-        points = points_of(edited)
-        tail = letters_of(points[head:])
-        return edited, "".join(w.digits(points, np.concatenate([own[:head], w.read(tail, int(own[head]))])) for w, own in zip(walks(), self.steps, strict=True))
+    def edited(self, then: list[str]) -> list[tuple[str, str]]:
+        """Each text with its last half replaced by the first letters of another, and its fingerprint. The walks don't read the first half again."""
+        halves = [len(t) // 2 for t in self.texts]
+        texts = [t[: len(t) - h] + other[:h] for t, h, other in zip(self.texts, halves, then, strict=True)]
+        heads = [len(t) - h for t, h in zip(self.texts, halves, strict=True)]
+        points = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in texts]
+        tails = walks().read([(p[n:] & (LETTERS - 1)).astype(np.uint8) for p, n in zip(points, heads, strict=True)], [s[:, n] for s, n in zip(self.states, heads, strict=True)])
+        return [
+            (t, walks().digits(p, np.concatenate([s[:, :n], tail], axis=1)) if t else own)
+            for t, p, s, n, tail, own in zip(texts, points, self.states, heads, tails, self.prints, strict=True)
+        ]
 
 
 def likeness(a: str, b: str) -> float:
@@ -134,13 +173,27 @@ def likeness(a: str, b: str) -> float:
     return float(np.mean(np.frombuffer(a.encode(), np.uint8) == np.frombuffer(b.encode(), np.uint8)))
 
 
+def held_at_once(rows: list, text_of=lambda row: row):
+    """Runs of rows whose texts have HELD letters together, or of one row."""
+    own, size = [], 0
+    for row in rows:
+        n = len(text_of(row) or "")
+        if own and size + n > HELD:
+            yield own
+            own, size = [], 0
+        own.append(row)
+        size += n
+    if own:
+        yield own
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint) of each row."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([Reading(t).print for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for own in held_at_once(batch.column(1).to_pylist()) for x in Readings(own).prints], pa.string())], ["doc_id", "fingerprint"])
 
     return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, "doc_id long, fingerprint string")
 
@@ -245,18 +298,23 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kinds = (pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64())
 
     def run(batches):
-        held = None  # id and reading of the row whose next document is still to come
+        waits = None  # (id, text) of the row whose next document is still to come
         for batch in batches:
-            out = []
+            met = []
             for border, doc_id, text in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                if border and held is None:
-                    continue
-                now = Reading(text)
-                if held is not None:
-                    own_id, own = held
-                    edited, print_ = own.edited(now.text)
-                    out.append((own_id, len(own.text), hashlib.sha256(edited.encode()).hexdigest(), own.print, print_, likeness(own.print, print_), likeness(own.print, now.print)))
-                held = None if border else (doc_id, now)
+                if waits is not None:
+                    met.append((*waits, text or ""))
+                waits = None if border else (doc_id, text or "")
+            out = []
+            for own in held_at_once(met, lambda row: row[1]):
+                ids, texts, then = zip(*own, strict=True)
+                found = Readings(texts)
+                # A row's next document is mostly the row after it.
+                new = Readings([t for t, after in zip(then, [*texts[1:], None], strict=True) if t is not after])
+                late = iter(new.prints)
+                prints = [p if t is after else next(late) for t, after, p in zip(then, [*texts[1:], None], [*found.prints[1:], ""], strict=True)]
+                for doc_id, text, own_print, (edited, print_), next_print in zip(ids, texts, found.prints, found.edited(then), prints, strict=True):
+                    out.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), own_print, print_, likeness(own_print, print_), likeness(own_print, next_print)))
             columns = zip(*out, strict=True) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 

@@ -14,29 +14,43 @@ def by_steps(text):
         return edits.EMPTY * (edits.WALKS * edits.CELLS)
     out = ""
     for n in range(edits.WALKS):
-        bit = lambda step, c: int(edits.mix(edits.np.array([step % edits.PERIOD * edits.LETTERS + ord(c) % edits.LETTERS + (1 + n << 40)]))[0]) >> 63  # noqa: B023, E731
+        bit = lambda step, c: int(edits.mix(edits.np.array([(n * edits.PERIOD + step % edits.PERIOD) * edits.LETTERS + ord(c) % edits.LETTERS]))[0]) >> 63  # noqa: B023, E731
         i, written = 0, []
         while i < len(text):
             written.append(text[i])
             i += bit(len(written) - 1, text[i])
-        for own in edits.walks()[n].places.tolist():
+        for own in edits.walks().places[n].tolist():
             place = max(p for p in own if p < len(written))
             x = edits.np.array([ord(written[place]) + (n << 32)], edits.np.uint64)
             out += f"{int(edits.mix(edits.mix(x) + edits.np.uint64(place))[0]) >> 60:x}"
     return out
 
 
+def print_of(text):
+    return edits.Readings([text]).prints[0]
+
+
+def test_side_by_side_equals_alone(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc dé") for _ in range(rng.choice((0, 1, 5, 90, 100, 700)))) for _ in range(120)]
+    then = texts[1:] + texts[:1]
+    together = edits.Readings(texts)
+    monkeypatch.setattr(edits, "FEW", 10**9)
+    alone = edits.Readings(texts)
+    assert together.prints == alone.prints and together.edited(then) == alone.edited(then)
+
+
 @pytest.mark.parametrize("text", [None, "", "a", "ab", "wörter 日本 😀", "the quick brown fox " * 20])
 def test_fingerprint_equals_steps(text):
-    assert edits.Reading(text).print == by_steps(text)
+    assert print_of(text) == by_steps(text)
 
 
 def test_places_are_spread_over_the_whole_writing():
     for length in (1, 10, 1_000, 10**6, 10**9):
-        taken = [max(p for p in own if p < length) for w in edits.walks() for own in w.places.tolist()]
+        taken = [max(p for p in own if p < length) for w in edits.walks().places for own in w.tolist()]
         if length > 100:
             assert abs(sum(taken) / len(taken) / length - 0.5) < 0.06
-    close = sum(max(p for p in own if p < 1_000) == max(p for p in own if p < 1_050) for w in edits.walks() for own in w.places.tolist())
+    close = sum(max(p for p in own if p < 1_000) == max(p for p in own if p < 1_050) for w in edits.walks().places for own in w.tolist())
     assert close > 0.9 * 256
 
 
@@ -87,7 +101,7 @@ def test_given_documents(spark):
     for (doc_id, text), (_, then) in zip(rows, [*rows[1:], rows[0]], strict=True):
         half, r = len(text or "") // 2, got[doc_id]
         edited = (text or "")[: len(text or "") - half] + (then or "")[:half]
-        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.fingerprint == edits.Reading(text).print and r.edited_fingerprint == edits.Reading(edited).print
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.fingerprint == print_of(text) and r.edited_fingerprint == print_of(edited)
         if r.n_chars >= 200 and text != then:
             assert r.near_edited > 0.4 and r.near_edited > r.near_next
     assert sum(r.near_edited for r in got.values()) / len(got) > 0.5 > 0.25 > sum(r.near_next for r in got.values()) / len(got)
@@ -101,7 +115,7 @@ def test_few_edits_stay_near():
         for _ in range(5):
             at = rng.randrange(len(edited))
             edited[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "e"])
-        kept += edits.likeness(edits.Reading(text).print, edits.Reading("".join(edited)).print)
+        kept += edits.likeness(print_of(text), print_of("".join(edited)))
     assert kept / 40 > 0.6
 
 
@@ -115,7 +129,7 @@ def test_classes_equal_all_pairs(spark):
             texts.append(base[:at] + rng.choice("xyz") + base[at + 1 :])
     rng.shuffle(texts)
     df = spark.createDataFrame([(i, t, "f", 1) for i, t in enumerate(texts)], "doc_id int, text string, fingerprint string, node int")
-    prints, root = [edits.Reading(t).print for t in texts], list(range(len(texts)))
+    prints, root = [print_of(t) for t in texts], list(range(len(texts)))
     for _ in range(4):
         for i in range(len(texts)):
             for j in range(len(texts)):
