@@ -1,9 +1,10 @@
 """URL filter: host and path rules, and a logistic scorer for the rest; DataFrame functions only.
 
-The scorer works on hashed character n-grams of host and path. Their weights are fitted by
+The scorer works on hashed character n-grams of host and path, single characters among them. Their weights are fitted by
 gradient steps on a small labelled table, whose features the same expressions make; the table
-is a parameter of at most LABELLED rows. N-grams tell kin of words that the table has, not
-words that share nothing with it: an unknown word is judged by the rest of its url and the intercept.
+is a parameter of at most LABELLED rows. The package's own table has public kinds of blocked and of ordinary hosts. What it teaches of
+kinds that it has not is their form: blocked hosts are mostly words joined by hyphens, or have digits. A blocked host
+that looks like an ordinary word passes, and an ordinary one of joined words may not.
 
 Null urls and urls without :// have an empty host and path and fit no rule; they get the scorer's
 verdict on no features, its intercept. Of rules of one length the one later in the alphabet wins.
@@ -13,15 +14,15 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import math
 from importlib import resources
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-BUCKETS, GRAMS = 2_048, (3, 4)
+BUCKETS, GRAMS = 2_048, (1, 2, 3, 4)
 LABELLED, MOST_RULES = 10_000, 1_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,8 +35,9 @@ RULES = (
     ("org", "/es/", "block"),
 )
 
-#: Labelled urls that the query learns from: columns url and blocked.
-TABLE = "labelled_urls.tsv"
+#: Kinds of hosts that the query learns from: columns kind, blocked (0 or 1), hosts. A rule makes each host's urls.
+TABLE = "labelled_kinds.tsv"
+DOMAINS, LANGUAGES, URLS = ("com", "net", "org"), ("en", "fr", "de", "es"), 6
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -81,20 +83,17 @@ def fit(labelled: DataFrame, rounds: int = 400, rate: float = 0.5, ridge: float
     if len(rows) > LABELLED:
         raise ValueError(f"more than {LABELLED} labelled urls")
     rows = sorted((r["y"], sorted(r["g"])) for r in rows)
-    bias, w = 0.0, [0.0] * BUCKETS
-    for _ in range(rounds):
-        push, slope = 0.0, {}
-        for y, g in rows:
-            size = math.sqrt(len(g)) or 1.0
-            z = bias + sum(w[i] for i in g) / size
-            off = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y) / len(rows)
-            push += off
-            for i in g:
-                slope[i] = slope.get(i, 0.0) + off / size
-        bias -= rate * push
-        for i, s in slope.items():
-            w[i] -= rate * 10 * (s + ridge * w[i] / 10)
-    return round(bias, 6), [round(x, 6) for x in w]
+    y = np.array([r[0] for r in rows], float)
+    size = np.array([len(r[1]) for r in rows], np.int64)
+    row, gram = np.repeat(np.arange(len(rows)), size), np.array([i for r in rows for i in r[1]], np.int64)
+    scale = 1 / np.sqrt(np.maximum(size, 1))[row]
+    bias, w = 0.0, np.zeros(BUCKETS)
+    for _ in range(rounds if rows else 0):
+        z = bias + np.bincount(row, w[gram] * scale, len(rows))
+        off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
+        bias -= rate * off.sum()
+        w -= 10 * rate * (np.bincount(gram, off[row] * scale, BUCKETS) + ridge * w / 10)
+    return round(float(bias), 6), w.round(6).tolist()
 
 
 def block_score(host: Column, path: Column, model: tuple[float, list[float]]) -> Column:
@@ -107,16 +106,28 @@ def block_score(host: Column, path: Column, model: tuple[float, list[float]]) ->
     return 1 / (1 + F.exp(-z))
 
 
-def labelled_rows() -> list[tuple[str, int]]:
-    """The package's own labelled urls."""
+def labelled_kinds() -> dict[str, tuple[int, list[str]]]:
+    """The package's own kinds: whether they are blocked, and their hosts."""
     lines = resources.files(__package__).joinpath(TABLE).read_text("utf-8").splitlines()[1:]
-    return [(url, int(blocked)) for url, blocked in (line.split("\t") for line in lines)]
+    return {kind: (int(blocked), hosts.split()) for kind, blocked, hosts in (line.split("\t") for line in lines)}
+
+
+def labelled_rows(kinds: dict[str, tuple[int, list[str]]] | None = None) -> list[tuple[str, int]]:
+    """(url, blocked): URLS urls of each host; domain, subdomain, language and number go by the host's place, so they tell nothing."""
+    hosts = [(h, blocked) for blocked, own in (kinds or labelled_kinds()).values() for h in own]
+    out = []
+    for i, (host, blocked) in enumerate(hosts):
+        for k in range(URLS):
+            n = URLS * i + k
+            front = ("", "www.", "", "m.", "blog.")[n % 5]
+            end = ("", ".html", "?page=2", "/", "#top")[n // 5 % 5]
+            out.append((f"http{'s' * (n % 2)}://{front}{host}.example.{DOMAINS[n % 3]}/{LANGUAGES[n // 3 % 4]}/{n * 37 % 1000}{end}", blocked))
+    return out
 
 
 def labelled_urls(spark: SparkSession, rows: list[tuple[str, int]] | None = None) -> DataFrame:
-    """(url, blocked) of the given rows, as literals; the package's own if none are given."""
-    rows = labelled_rows() if rows is None else rows
-    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(u).alias("url"), F.lit(b).alias("blocked")) for u, b in rows))))
+    """(url, blocked) of the given rows; the package's own if none are given."""
+    return spark.createDataFrame(labelled_rows() if rows is None else rows, "url string, blocked int")
 
 
 def judge(pages: DataFrame, model: tuple[float, list[float]], rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -1,7 +1,7 @@
 import math
 import re
 
-from chronomesh.llm.urls import RULES, fit, judge, labelled_rows, labelled_urls
+from chronomesh.llm.urls import GRAMS, RULES, fit, judge, labelled_kinds, labelled_rows, labelled_urls
 from pyspark.sql import functions as F
 
 
@@ -37,35 +37,49 @@ def test_scorer_equals_plain_regression(spark):
     model = fit(labelled_urls(spark))
     urls = ["http://casinos.example.com/en/7", "http://garden.example.org/roses", "", None]
     parts = [plain(u)[:2] for u in urls]
-    grams = sorted({(mark, f"^{text}$"[i : i + n]) for host, path in parts for mark, text in (("h", host), ("p", path)) if text for n in (3, 4) for i in range(len(text) + 3 - n)})
+    grams = sorted({(mark, f"^{text}$"[i : i + n]) for host, path in parts for mark, text in (("h", host), ("p", path)) if text for n in GRAMS for i in range(len(text) + 3 - n)})
     places = {(r.m, r.g): r.place for r in spark.createDataFrame(grams, "m string, g string").select("m", "g", F.pmod(F.hash("m", "g"), F.lit(2048)).alias("place")).collect()}
     bias, w = model
     for (host, path), got in zip(parts, scores(spark, model, urls), strict=True):
-        own = {places[mark, f"^{text}$"[i : i + n]] for mark, text in (("h", host), ("p", path)) if text for n in (3, 4) for i in range(len(text) + 3 - n)}
+        own = {places[mark, f"^{text}$"[i : i + n]] for mark, text in (("h", host), ("p", path)) if text for n in GRAMS for i in range(len(text) + 3 - n)}
         assert abs(got - 1 / (1 + math.exp(-bias - sum(w[i] for i in own) / math.sqrt(len(own) or 1)))) < 1e-9
 
 
-def test_labelled_hosts_that_are_held_out(spark):
-    """Five folds of the labelled table: a url is judged by a model that has not seen its host."""
-    rows, right = labelled_rows(), 0
-    host = lambda u: re.sub(r"^(www|m|blog)\.", "", plain(u)[0]).split(".")[0]
-    fold = {h: i % 5 for i, h in enumerate(sorted({host(u) for u, _ in rows}))}
-    for k in range(5):
-        kept, out = ([r for r in rows if (fold[host(r[0])] == k) is away] for away in (False, True))
-        found = scores(spark, fit(labelled_urls(spark, kept)), [u for u, _ in out])
-        right += sum((s >= 0.5) == bool(b) for s, (_, b) in zip(found, out, strict=True))
-    assert right >= 0.85 * len(rows), right / len(rows)
+PAGES = "/root/testdata/sf0.1/pages.parquet"
 
 
-def test_pages_whose_words_the_table_has_not(spark):
-    """Ordinary hosts stay, and kin of blocked words go, though the table has none of these hosts."""
+def page_hosts(spark):
+    return {re.sub(r"^(www|m|blog)\.", "", plain(r.url)[0]).split(".")[0] for r in spark.read.parquet(PAGES).select("url").collect()}
+
+
+def test_table_has_no_name_of_the_pages(spark):
+    """No host of the given pages, and no part between hyphens of their hosts, is in the table."""
+    own = {h for _, hosts in labelled_kinds().values() for h in hosts}
+    parts = {p for h in page_hosts(spark) for p in h.split("-")}
+    assert not parts & {p for h in own for p in h.split("-")} and len(own) > 150
+
+
+def test_kinds_left_out_whole(spark):
+    """A model that has seen nothing of a kind judges its hosts."""
+    kinds, hit, miss = labelled_kinds(), [0, 0], [0, 0]
+    for kind in kinds:
+        model = fit(labelled_urls(spark, labelled_rows({k: v for k, v in kinds.items() if k != kind})))
+        blocked, hosts = kinds[kind]
+        for s in scores(spark, model, [f"http://{h}.example.org/en/5" for h in hosts]):
+            hit[blocked] += (s >= 0.5) == bool(blocked)
+            miss[blocked] += 1
+    print("right on kinds left out, ordinary and blocked:", hit, miss)
+    assert hit[1] >= 0.85 * miss[1] and hit[0] >= 0.75 * miss[0]
+
+
+def test_pages_whose_names_the_table_has_not(spark):
+    """The given pages' bad hosts are of names the table has not, and others of kinds that neither has; ordinary ones stay."""
     model = fit(labelled_urls(spark))
-    seen = {u for u, _ in labelled_rows()}
-    pages = [r.url for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").collect()]
-    assert not seen & set(pages)
-    bad = re.compile("casino|bets|ads|spam|pills|adult")
+    pages = [r.url for r in spark.read.parquet(PAGES).select("url").collect()]
     found = list(zip(pages, scores(spark, model, pages), strict=True))
-    plain_pages = [s for u, s in found if not bad.search(u)]
-    assert sum(s >= 0.5 for s in plain_pages) <= 0.02 * len(plain_pages)
-    kin = ["http://casinos-4u.example.org/en/4", "https://megabets.example.net/es/2", "http://adultshow.example.com/de/1", "https://pokerist.example.net/en/2", "http://superslots.example.org/fr/1", "http://lotteries.example.com/win"]
-    assert sum(s >= 0.5 for s in scores(spark, model, kin)) >= 5
+    bad = [s for u, s in found if "-" in plain(u)[0]]
+    ordinary = [s for u, s in found if "-" not in plain(u)[0]]
+    print("pages:", sum(s >= 0.5 for s in bad), len(bad), sum(s >= 0.5 for s in ordinary), len(ordinary))
+    assert sum(s >= 0.5 for s in bad) >= 0.65 * len(bad) and sum(s >= 0.5 for s in ordinary) <= 0.02 * len(ordinary)
+    kinds = ["forex-signals", "phish-login", "malware-drop", "hacked-accounts", "essay-writers", "gold-seller", "timeshare-exit", "voucher-leak", "ringtone-club", "horoscope-hotline"]
+    assert sum(s >= 0.5 for s in scores(spark, model, [f"https://{h}.example.com/de/3" for h in kinds])) >= 8
