@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from .shared import forget, settle
 
 #: Edges of a graph that one task may hold, some 100 MB of arrays; larger graphs go by rounds of joins, with equal results.
 KERNEL_EDGES = 2_000_000
+#: Far nodes whose distances bound those of others; targets of one source up to which each has a search of its own.
+LANDMARKS, ALONE = 6, 4
 #: Tables of improved labels that are merged into one once there are so many.
 DELTAS = 8
 WALK_MS = 1.35
@@ -75,6 +78,13 @@ def least_edges(edges: DataFrame) -> DataFrame:
     return edges.where("w is not null and src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w"))
 
 
+def once(nodes: np.ndarray, seat: np.ndarray) -> np.ndarray:
+    """Each of some nodes once; seat is room for a number a node."""
+    places = np.arange(len(nodes))
+    seat[nodes] = places
+    return nodes[seat[nodes] == places]
+
+
 class Arrays:
     """A graph of at most KERNEL_EDGES edges as arrays: nodes in order, and the edges of each by index."""
 
@@ -85,7 +95,43 @@ class Arrays:
         order = np.argsort(src, kind="stable")
         self.src, self.dst, self.w = np.searchsorted(self.nodes, src[order]), np.searchsorted(self.nodes, dst[order]), w[order]
         self.first = np.searchsorted(self.src, np.arange(len(self.nodes) + 1))
+        self.whole = self.w.dtype.kind == "i"
+        self.none = np.iinfo(np.int64).max // 4 if self.whole else np.inf
         self.step = max(1, int(8 * self.w.mean())) if len(self.w) else 1  # wide buckets have many nodes to relax side by side
+        self.into = np.argsort(self.dst, kind="stable")  # edges by their ends, for walks back
+        self.last = np.searchsorted(self.dst[self.into], np.arange(len(self.nodes) + 1))
+        self.landmarks: list[tuple[np.ndarray, np.ndarray]] = []  # distances from far nodes, and to them
+
+    def turned(self) -> Arrays:
+        """The same nodes with all edges the other way."""
+        back = copy(self)
+        back.src, back.dst, back.w, back.first = self.dst[self.into], self.src[self.into], self.w[self.into], self.last
+        return back
+
+    def with_landmarks(self, number: int = LANDMARKS) -> Arrays:
+        """Also the distances from and to a few nodes, each as far as can be from those before it."""
+        if len(self.nodes):
+            back, far = self.turned(), np.full(len(self.nodes), self.none)
+            at = 0
+            for _ in range(number + 1):
+                away = self.distances(at)
+                far = np.minimum(far, np.where(away < self.none, away, -1))
+                if len(self.landmarks) < number and _:
+                    self.landmarks.append((away, back.distances(at)))
+                at = int(far.argmax())
+        return self
+
+    def least_to(self, nodes: np.ndarray, target: int) -> np.ndarray:
+        """A lower bound of the way from each node to the target by the triangle with each landmark; none if there is no way."""
+        best = np.zeros(len(nodes), self.w.dtype if not self.whole else np.int64)
+        for away, back in self.landmarks:
+            for here, there in ((away[nodes], away[target]), (back[target], back[nodes])):
+                # From a landmark: there - here; to it: here stands for the target. What reaches one end but not the other has no way.
+                open_ = here < self.none
+                cut = open_ & (there >= self.none)
+                gap = np.where(open_ & ~cut, there - np.where(open_, here, 0), 0)
+                best = np.where(cut, self.none, np.maximum(best, gap))
+        return best if self.whole else best * (1 - 1e-9)  # sums of doubles are not exact
 
     def place(self, nodes: np.ndarray) -> np.ndarray:
         """Index of each node, -1 for those without an edge."""
@@ -98,30 +144,90 @@ class Arrays:
         at = np.repeat(np.arange(len(nodes)), count)
         return np.repeat(self.first[nodes] - np.cumsum(count) + count, count) + np.arange(count.sum()), at
 
-    def distances(self, source: int, cutoff: float | None) -> tuple[np.ndarray, np.ndarray]:
-        """Distance of each node, and whether it is reached: buckets of distances are settled one after another, the nodes of one side by side."""
-        whole = self.w.dtype.kind == "i"
-        none = np.iinfo(np.int64).max // 2 if whole else np.inf
-        dist = np.full(len(self.nodes), none, np.int64 if whole else np.float64)
+    def distances(self, source: int, cutoff: float | None = None, goals: np.ndarray | None = None) -> np.ndarray:
+        """Distance of each node, `none` where there is no way: buckets of distances are settled one after another, the nodes of one side by side.
+
+        With goals, the search ends when all of them are settled; of other nodes only those no farther than the farthest goal are exact then.
+        """
+        dist = np.full(len(self.nodes), self.none)
         dist[source] = 0
+        seat = np.empty(len(self.nodes), np.int64)
         now, later, upto = np.array([source]), [], self.step
         while True:
             while len(now):
-                e, at = self.out(now)
-                reach, to = dist[now][at] + self.w[e], self.dst[e]
-                better = reach < dist[to] if cutoff is None else (reach < dist[to]) & (reach <= cutoff)
-                reach, to = reach[better], to[better]
-                np.minimum.at(dist, to, reach)
-                to = np.unique(to)
-                near = dist[to] < upto
-                later.append(to[~near])
-                now = to[near]
-            far = np.unique(np.concatenate(later)) if later else now
-            far = far[dist[far] >= upto]
+                now, far = self.relaxed(dist, seat, now, lambda nodes, upto=upto: dist[nodes] < upto, cutoff)
+                later.append(far)
+            if goals is not None and (dist[goals] < upto).all():
+                return dist
+            far = np.concatenate(later) if later else now
+            far = once(far[dist[far] >= upto], seat)
             if not len(far):
-                return dist, dist < none
+                return dist
             upto = int(dist[far].min()) + self.step
-            now, later = far[dist[far] < upto], [far[dist[far] >= upto]]
+            near = dist[far] < upto
+            now, later = far[near], [far[~near]]
+
+    def relaxed(self, dist: np.ndarray, seat: np.ndarray, now: np.ndarray, near, cutoff: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Relax the edges that leave some nodes; what is improved, apart by whether it is near."""
+        e, at = self.out(now)
+        reach, to = dist[now][at] + self.w[e], self.dst[e]
+        better = reach < dist[to] if cutoff is None else (reach < dist[to]) & (reach <= cutoff)
+        reach, to = reach[better], to[better]
+        np.minimum.at(dist, to, reach)
+        to = once(to, seat)
+        close = near(to)
+        return to[close], to[~close]
+
+    def toward(self, source: int, target: int) -> tuple[np.ndarray, int]:
+        """Distances of a search that is drawn to one target, exact on all shortest ways to it, and how many nodes it has relaxed.
+
+        Buckets are of a node's distance and its lower bound together; the search ends when no open node can lead to a shorter way.
+        """
+        dist, bound = np.full(len(self.nodes), self.none), np.full(len(self.nodes), -1, np.int64 if self.whole else np.float64)
+        dist[source] = 0
+        seat = np.empty(len(self.nodes), np.int64)
+
+        def total(nodes: np.ndarray) -> np.ndarray:
+            new = nodes[bound[nodes] < 0]
+            bound[new] = self.least_to(new, target)
+            return dist[nodes] + bound[nodes]
+
+        now, later, count = np.array([source]), [], 0
+        first = total(now)[0]
+        if first >= self.none:
+            return dist, 0
+        step = self.step / 8  # narrow: few nodes lie off the way if bounds are good
+        upto = first + step
+        while True:
+            while len(now):
+                count += len(now)
+                now, far = self.relaxed(dist, seat, now, lambda nodes, upto=upto: total(nodes) < upto)
+                later.append(far)
+            far = once(np.concatenate(later), seat)
+            sums = total(far)
+            fine = (sums >= upto) & (sums < self.none) & (sums <= dist[target] * (1 if self.whole else 1 + 1e-9))
+            far, sums = far[fine], sums[fine]
+            if not len(far):
+                return dist, count
+            upto = sums.min() + step
+            near = sums < upto
+            now, later = far[near], [far[~near]]
+
+    def way(self, source: int, target: int, dist: np.ndarray) -> list[int]:
+        """Nodes of the shortest way to a node that is reached, by the smallest previous node of each; distances must be exact on all shortest ways to it."""
+        path = [target]
+        while path[-1] != source:
+            v = path[-1]
+            e = self.into[self.last[v] : self.last[v + 1]]
+            before, w = self.src[e], self.w[e]
+            tight = (w > 0) & (dist[before] + w == dist[v])
+            if not tight.any():  # edges without weight depend on more than the step before
+                prev = self.previous(source, dist, dist < self.none)
+                while path[-1] != source:
+                    path.append(int(prev[path[-1]]))
+                break
+            path.append(int(before[tight].min()))
+        return path[::-1]
 
     def previous(self, source: int, dist: np.ndarray, reached: np.ndarray) -> np.ndarray:
         """The node before each reached one on a shortest path, the smallest there is; -1 at the source and where nothing is reached."""
@@ -147,18 +253,18 @@ def kernel_graph(edges: DataFrame, kernel: bool | None) -> tuple[DataFrame, bool
     return edges, edges.count() <= KERNEL_EDGES if kernel is None else kernel
 
 
-def sssp(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, kernel: bool | None = None, targets: DataFrame | None = None) -> DataFrame:
-    """(source, node, dist, prev) of every node a source reaches within cutoff; prev is null at the source.
+def sssp(edges: DataFrame, sources: DataFrame, cutoff: float | None = None, kernel: bool | None = None, targets: DataFrame | None = None, previous: bool = True) -> DataFrame:
+    """(source, node, dist, prev) of every node a source reaches within cutoff; prev is null at the source, and everywhere if it is not asked for.
 
     edges are (src, dst, w) with w >= 0, sources are (source). Of equal paths the one with the
-    smaller previous node counts. targets (node) are all that is wanted, if given. kernel: search the broadcast
+    smaller previous node counts. targets (node) are all that is wanted, if given, and a search ends with the last of them. kernel: search the broadcast
     arrays for each source, which is only done below KERNEL_EDGES; otherwise rounds of joins over improved labels.
     """
     edges, kernel = kernel_graph(edges, kernel)
-    return _sssp_kernel(edges, sources, cutoff, targets) if kernel else _sssp_rounds(edges, sources, cutoff, targets)
+    return _sssp_kernel(edges, sources, cutoff, targets, previous) if kernel else _sssp_rounds(edges, sources, cutoff, targets)
 
 
-def _sssp_kernel(edges: DataFrame, sources: DataFrame, cutoff: float | None, targets: DataFrame | None) -> DataFrame:
+def _sssp_kernel(edges: DataFrame, sources: DataFrame, cutoff: float | None, targets: DataFrame | None, previous: bool) -> DataFrame:
     kind = "long" if dict(edges.dtypes)["w"] in ("int", "bigint") else "double"
     arrays = Arrays(edges)
     wanted = None
@@ -169,7 +275,7 @@ def _sssp_kernel(edges: DataFrame, sources: DataFrame, cutoff: float | None, tar
 
     def run(batches):
         graph, only = sent.value
-        keep = None if only is None else np.isin(graph.nodes, only)
+        goals = None if only is None else graph.place(only)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for source, at in zip(ids.tolist(), graph.place(ids).tolist(), strict=True):
@@ -177,10 +283,14 @@ def _sssp_kernel(edges: DataFrame, sources: DataFrame, cutoff: float | None, tar
                     if only is None:
                         yield pa.RecordBatch.from_arrays([pa.array([source]), pa.array([source]), pa.array([0], pa.int64() if kind == "long" else pa.float64()), pa.array([None], pa.int64())], ["source", "node", "dist", "prev"])
                     continue
-                dist, reached = graph.distances(at, cutoff)
-                prev = graph.previous(at, dist, reached)
-                n = np.flatnonzero(reached if keep is None else reached & keep)
-                before = pa.array(graph.nodes[prev[n]], pa.int64(), mask=prev[n] < 0)
+                dist = graph.distances(at, cutoff, goals)
+                reached = dist < graph.none
+                n = np.flatnonzero(reached) if goals is None else goals[reached[goals]]
+                if previous:
+                    prev = graph.previous(at, dist, reached)[n]
+                    before = pa.array(graph.nodes[prev], pa.int64(), mask=prev < 0)
+                else:
+                    before = pa.nulls(len(n), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), source)), pa.array(graph.nodes[n]), pa.array(dist[n]), before], ["source", "node", "dist", "prev"])
 
     spread = sources.select(F.col("source").cast("long")).distinct().repartition(4 * sources.sparkSession.sparkContext.defaultParallelism)
@@ -192,8 +302,11 @@ def _sssp_kernel(edges: DataFrame, sources: DataFrame, cutoff: float | None, tar
     return found.unionByName(alone.select("source", F.col("source").alias("node"), F.lit(0).cast(kind).alias("dist"), F.lit(None).cast("long").alias("prev")))
 
 
-def _sssp_rounds(edges: DataFrame, sources: DataFrame, cutoff: float | None, targets: DataFrame | None = None) -> DataFrame:
-    """Rounds of joins: a round reads all labels and writes only those that it improves."""
+def _sssp_rounds(edges: DataFrame, sources: DataFrame, cutoff: float | None, targets: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """Rounds of joins: a round reads all labels and writes only those that it improves.
+
+    If only some ends (source, target) are asked for, a source whose ends all have labels goes no farther than the largest of them.
+    """
     zero = F.lit(0).cast(dict(edges.dtypes)["w"])
     start = sources.select(F.col("source").cast("long").alias("source")).distinct()
     front = settle(start.select("source", F.col("source").alias("node"), zero.alias("dist"), F.lit(None).cast("long").alias("prev")))
@@ -210,6 +323,10 @@ def _sssp_rounds(edges: DataFrame, sources: DataFrame, cutoff: float | None, tar
                 if x is not front:
                     forget(x)
             labels = [merged]
+        if asked is not None:
+            ends = _union(labels).groupBy("source", F.col("node").alias("target")).agg(F.min("dist").alias("end"))
+            farthest = asked.join(ends, ["source", "target"], "left").groupBy("source").agg(F.max("end").alias("end"), F.count_if(F.col("end").isNull()).alias("open"))
+            step = step.join(farthest, "source").where("open > 0 or dist <= end").drop("end", "open")
         front = settle(least(_union(labels).withColumn("fresh", F.lit(0)).unionByName(step)).where("fresh = 1").drop("fresh"))
         labels.append(front)
     found = least(_union(labels).withColumn("fresh", F.lit(0))).drop("fresh")
@@ -224,15 +341,19 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def routes(edges: DataFrame, requests: DataFrame, kernel: bool | None = None) -> DataFrame:
-    """(source, target, dist, path) for rows (source, target) whose target is reached: the nodes of the shortest path, both ends among them."""
+    """(source, target, dist, path) for rows (source, target) whose target is reached: the nodes of the shortest path, both ends among them.
+
+    No search settles the whole graph for one target: a source of up to ALONE targets has a search for each that lower bounds by landmarks draw
+    to it, one of more targets a search that ends with the last of them. Rounds of joins drop labels beyond a source's farthest target.
+    """
     edges, kernel = kernel_graph(edges, kernel)
     asked = requests.select(F.col("source").cast("long"), F.col("target").cast("long")).distinct()
     if not kernel:
-        labels = settle(_sssp_rounds(edges, asked.select("source"), None))
+        labels = settle(_sssp_rounds(edges, asked.select("source"), None, asked=asked))
         ends = labels.select("source", F.col("node").alias("target"), "dist")
         return paths(labels, asked).join(ends, ["source", "target"]).select("source", "target", "dist", "path")
     kind = "long" if dict(edges.dtypes)["w"] in ("int", "bigint") else "double"
-    sent = edges.sparkSession.sparkContext.broadcast(Arrays(edges))
+    sent = edges.sparkSession.sparkContext.broadcast(Arrays(edges).with_landmarks())
 
     def run(batches):
         graph = sent.value
@@ -240,15 +361,12 @@ def routes(edges: DataFrame, requests: DataFrame, kernel: bool | None = None) ->
             for source, targets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at, ends = graph.place(np.array([source]))[0], graph.place(np.array(targets, np.int64))
                 rows = [(source, t, 0, [t]) for t in targets if at < 0 and t == source]
-                if at >= 0:
-                    dist, reached = graph.distances(at, None)
-                    prev = graph.previous(at, dist, reached)
-                    for target, end in zip(targets, ends.tolist(), strict=True):
-                        if end >= 0 and reached[end]:
-                            path = [end]
-                            while path[-1] != at:
-                                path.append(int(prev[path[-1]]))
-                            rows.append((source, target, dist[end].item(), graph.nodes[path[::-1]].tolist()))
+                known = [(t, end) for t, end in zip(targets, ends.tolist(), strict=True) if at >= 0 and end >= 0]
+                dist = graph.distances(at, goals=np.array([end for _, end in known])) if len(known) > ALONE else None
+                for target, end in known:
+                    own = graph.toward(at, end)[0] if dist is None else dist
+                    if own[end] < graph.none:
+                        rows.append((source, target, own[end].item(), graph.nodes[graph.way(at, end, own)].tolist()))
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.int64() if kind == "long" else pa.float64(), pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["source", "target", "dist", "path"])
@@ -386,6 +504,6 @@ def csr(edges: DataFrame) -> DataFrame:
 def drive_matrix(edges: DataFrame, snapped: DataFrame) -> DataFrame:
     """(i, j, seconds) of anchors (id, node); no row for pairs without a route."""
     at = snapped.select("node").distinct()
-    labels = sssp(edges, at.withColumnRenamed("node", "source"), targets=at)
+    labels = sssp(edges, at.withColumnRenamed("node", "source"), targets=at, previous=False)
     a, b = snapped.select(F.col("id").alias("i"), F.col("node").alias("source")), snapped.select(F.col("id").alias("j"), "node")
     return labels.join(a, "source").join(b, "node").select("i", "j", F.floor(F.col("dist") + 0.5).cast("int").alias("seconds"))
