@@ -4,13 +4,16 @@ Documents become pieces of at most `capacity` tokens, and the pieces of each len
 From the counts alone, a table with a few entries a length, the driver plans the sequences:
 
 1. Large pieces, sorted by length, are cut into at most GROUPS groups of equal cardinality, and
-   each length is rounded up to the largest of its group. Rounding costs at most as many
-   sequences as a group has pieces.
-2. Configurations of the few rounded sizes are chosen one after another: the largest size left,
-   with the multiset of sizes that fills its sequence most, as often as the counts allow.
-3. Each place of a configuration takes actual pieces of its group, which are no longer.
+   each length is rounded up to the largest of its group, so that few sizes are left.
+2. Configurations of the rounded sizes are chosen one after another: the largest size left,
+   with the multiset of sizes that fills its sequence most, as often as the counts allow. If large pieces are longer than a third of a
+   sequence, a configuration has two of them at most, and taking the fullest partner of the largest size needs as few sequences as can be.
+3. Each place of a configuration takes actual pieces of its group, which are no longer, the shortest ones of all its groups
+   together, so that what rounding wastes becomes rooms that can be used.
 4. Small pieces go, longest first, where the least room that suffices is left.
 
+This is done for each bound of small pieces in SMALL, and the plan of fewest sequences counts.
+
 Pieces are then dealt by their rank within their length, which needs no piece to know another.
 The plan's size depends on the lengths and groups alone, not on the number of pieces.
 
@@ -33,8 +36,8 @@ from .bytebpe import encoder
 from .common import map_arrow, settle, small_batches, table
 
 CAPACITY, END_ID = 1024, 2
-#: Groups of equal cardinality; the largest length that counts as small.
-GROUPS, SMALL = 16_384, 192
+#: Groups of equal cardinality; the largest length that counts as small, of which the better is taken.
+GROUPS, SMALL = 256, (480, 192)
 #: Parts in which the pieces of a length are ranked.
 RANKED = 64
 
@@ -171,10 +174,10 @@ def together(places: list[list[tuple[int, int]]]) -> Iterator[tuple[int, list[in
                 r.pop()
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> tuple[int, list[Segment]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: tuple[int, ...] = SMALL) -> tuple[int, list[Segment]]:
     """Number of sequences, and where the pieces of each length go by rank."""
     counts = {n: c for n, c in counts.items() if c and n < capacity}
-    shelf = linear_grouping(counts, capacity, groups, small)
+    shelf = min((linear_grouping(counts, capacity, groups, n) for n in small), key=lambda shelf: shelf.used)
     return shelf.used, shelf.segments
 
 
@@ -203,7 +206,7 @@ def token_pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacit
     return pieces.withColumn("row", F.monotonically_increasing_id())
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, groups: int = GROUPS, small: int = SMALL) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, groups: int = GROUPS, small: tuple[int, ...] = SMALL) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece.
 
     The driver gets the number of pieces of each length in each of RANKED parts, at most

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+from chronomesh.llm import packing
 from chronomesh.llm.bytebpe import encoder
 from chronomesh.llm.packing import Shelf, cut, fullest, pack, plan
 from hypothesis import given, settings
@@ -115,7 +116,26 @@ def test_groups_round_up():
     rng = random.Random(4)
     counts = Counter(rng.randint(1, 1023) for _ in range(5_000))
     for groups in (4, 64, 1024):
-        assert plan(counts, groups=groups)[0] <= plan(counts)[0] + 5_000 / groups + 1
+        assert plan(counts, groups=groups)[0] <= plan(counts, groups=16_384)[0] + 5_000 / groups + 1
+
+
+def test_given_documents_are_rounded(spark, monkeypatch):
+    """Fewer sizes than lengths go into configurations, and no more sequences than best-fit takes."""
+    seen = []
+
+    def spied(sizes, left, room):
+        seen.append(len(left))
+        return fullest(sizes, left, room)
+
+    monkeypatch.setattr(packing, "fullest", spied)
+    for sf in ("sf0.01", "sf0.1"):
+        counts = Counter(n for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("text").collect() for _, n in cut(len(encoder(PATH).encode(r.text or "")) // 4 + 1, 1024))
+        counts = {n: c for n, c in counts.items() if n < 1024}
+        lengths, groups = sum(n > packing.SMALL[0] for n in counts), min(packing.GROUPS, sum(c for n, c in counts.items() if n > packing.SMALL[0]))
+        seen.clear()
+        used, least = check_plan(counts)
+        assert max(seen) <= groups < lengths
+        assert least <= used <= best_fit(counts)
 
 
 def test_plan_size_does_not_grow_with_the_pieces():
