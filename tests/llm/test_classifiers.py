@@ -1,4 +1,5 @@
 import math
+import pickle
 
 import numpy as np
 from chronomesh.llm import language, quality
@@ -50,7 +51,7 @@ def test_language_equals_brute_force():
     text = lambda lang, n: " ".join(rng.choice(words[lang], n))
     labels = [lang for _ in range(15) for lang in words]
     texts = [text(lang, 8) for lang in labels]
-    model = language.KernelModel(np.array([language.grams(t) for t in texts]), labels, landmarks=4)
+    model = language.KernelModel(language.packed(texts), labels, landmarks=4)
     sets = [plain_grams(t) for t in texts]
     marks = [sets[i] for lang in sorted(words) for i in [k for k, x in enumerate(labels) if x == lang][:4]]
     kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
@@ -78,6 +79,28 @@ def test_many_languages_long_texts_and_clashing_names(spark):
     assert language.predicted(docs.limit(0), model).count() == 0
 
 
+def test_a_thousand_languages():
+    """The model's size is bounded, and rare languages are still told apart."""
+    rng = np.random.default_rng(1)
+    words = {f"l{i:04}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for i in range(1_000)}
+    labels = [lang for _ in range(6) for lang in words]
+    model = language.KernelModel(language.packed([" ".join(rng.choice(words[x], 10)) for x in labels]), labels)
+    assert len(model.packed) == language.ALL_LANDMARKS and len(np.unique(model.of)) == 1_000
+    assert len(pickle.dumps(model)) < 20 << 20
+    asked = list(words)[::25]
+    assert sum(a == b for a, b in zip(asked, model.predict([" ".join(words[x]) for x in asked])[0], strict=True)) >= 38
+
+
+def test_scores_do_not_depend_on_the_texts_beside(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(256).collect()]
+    labels = [("aa", "bb", "cc")[i % 3] for i in range(120)]
+    model = language.KernelModel(language.packed([t or "x" for t in texts[:120]]), labels)
+    alone = [model.predict([t]) for t in texts]
+    assert model.predict(texts) == ([x[0][0] for x in alone], [x[1][0] for x in alone])
+    weights = np.random.default_rng(1).normal(size=quality.FEATURES)
+    assert quality.scores(texts, weights) == [quality.scores([t], weights)[0] for t in texts]
+
+
 def plain_features(text, stats):
     """The features of a text, from their definition."""
     out = [0.0] * quality.FEATURES
