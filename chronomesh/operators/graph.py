@@ -18,6 +18,8 @@ from .shared import forget, settle
 KERNEL_EDGES = 2_000_000
 #: Far nodes whose distances bound those of others; targets of one source up to which each has a search of its own.
 LANDMARKS, ALONE = 6, 4
+#: Edges of a part of a graph whose strong components are sought, parts at most, and what a graph has shrunk by to be treated so again.
+PART_EDGES, MOST_PARTS, SHRUNK = 1 << 15, 10_000, 0.7
 #: Tables of improved labels that are merged into one once there are so many.
 DELTAS = 8
 WALK_MS = 1.35
@@ -402,52 +404,150 @@ def path_cost(routes: DataFrame, edges: DataFrame) -> DataFrame:
     return legs.join(least_edges(edges), ["src", "dst"]).groupBy("route").agg(F.sum("w").alias("cost"), F.count("*").alias("legs"))
 
 
-def strong_components(edges: DataFrame, kernel: bool | None = None) -> DataFrame:
-    """(node, component) of every node of an edge; a component is named by its smallest node."""
+def strong_components(edges: DataFrame, part_edges: int = PART_EDGES) -> DataFrame:
+    """(node, component) of every node of an edge; a component is named by its smallest node.
+
+    Edges are dealt to parts of about part_edges of them. A part merges what goes in circles inside it and lets go of nodes that only it
+    knows if that makes no more edges: those without in- or out-edges, and those that lead on from one node to another. What is left of
+    all parts is a smaller graph, which is treated likewise; then each part finds its own nodes' components once more, with
+    those of the smaller graph known. A graph that no longer becomes smaller goes by rounds of colours.
+    """
     edges = settle(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct())
-    if kernel is None:
-        kernel = edges.count() <= KERNEL_EDGES
-    return _scc_kernel(edges) if kernel else _scc_colours(edges)
+    found = settle(_components_by_parts(edges, part_edges))
+    least = found.groupBy("component").agg(F.min("node").alias("least")).where("least < component")
+    return found.join(least, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+
+
+def _components_by_parts(edges: DataFrame, part_edges: int) -> DataFrame:
+    """(node, component) with components named by any of their nodes."""
+    count = edges.where("src <> dst").count()
+    parts = -(-count // part_edges)
+    if parts <= 1:
+        return _in_parts(edges.select(F.lit(0).alias("part"), "src", "dst", F.lit(0).alias("kind")), _last_part, "node long, component long")
+    dealt = settle(_dealt(edges, parts, part_edges))
+    ends = dealt.select("part", F.explode(F.array("src", "dst")).alias("node"))
+    shared = settle(ends.groupBy("node").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("node"))
+    marks = ends.join(shared, "node", "left_semi").distinct().select("part", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1).alias("kind"))
+    rest = settle(_in_parts(dealt.withColumn("kind", F.lit(0)).unionByName(marks), _summary, "src long, dst long").distinct())
+    known = settle(_components_by_parts(rest, part_edges) if rest.where("src <> dst").count() < SHRUNK * count else _scc_colours(rest))
+    # What a part needs to know of the smaller graph: the components of its own nodes in it.
+    told = ends.distinct().join(known, "node").select("part", F.col("node").alias("src"), F.col("component").alias("dst"), F.lit(2).alias("kind"))
+    found = _in_parts(dealt.withColumn("kind", F.lit(0)).unionByName(told), _last_part, "node long, component long")
+    return found.join(known.select("node"), "node", "left_anti").unionByName(known)
+
+
+def _dealt(edges: DataFrame, parts: int, part_edges: int) -> DataFrame:
+    """(part, src, dst): edges by ranges of their first nodes, or of their last ones where very many leave a node."""
+    cuts = edges.agg(F.percentile_approx("src", [i / parts for i in range(1, min(parts, MOST_PARTS))], 10_000)).first()[0]
+    bounds = np.unique(np.array(cuts, np.int64))
+
+    @F.pandas_udf("int")
+    def part(node):
+        import pandas as pd
+
+        return pd.Series(np.searchsorted(bounds, node.to_numpy(), "left").astype(np.int32))
+
+    hot = edges.groupBy("src").count().where(F.col("count") > part_edges).select("src")
+    by = lambda rows, end: rows.select(part(end).alias("part"), "src", "dst")
+    return by(edges.join(hot, "src", "left_anti"), "src").unionByName(by(edges.join(hot, "src", "left_semi"), "dst"))
+
+
+def _in_parts(rows: DataFrame, kernel, schema: str) -> DataFrame:
+    """Run kernel(edges, marks, told) on the rows (part, src, dst, kind) of each part, one part after another."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
+    def table(pairs):
+        pairs = list(pairs)
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names)
 
-def _scc_kernel(edges: DataFrame) -> DataFrame:
     def run(batches):
-        out: dict[int, list[int]] = defaultdict(list)
-        nodes: set[int] = set()
+        now, held = None, ([], [], [])
         for batch in batches:
-            for s, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out[s].append(d)
-                nodes.update((s, d))
-        index, low, stack, on, found = {}, {}, [], set(), {}
-        for root in sorted(nodes):
-            if root in index:
-                continue
-            work = [(root, iter(out.get(root, ())))]
-            index[root] = low[root] = len(index)
-            stack.append(root), on.add(root)
-            while work:
-                u, rest = work[-1]
-                v = next(rest, None)
-                if v is None:
-                    work.pop()
-                    if work:
-                        low[work[-1][0]] = min(low[work[-1][0]], low[u])
-                    if low[u] == index[u]:
-                        own = [stack.pop()]
-                        while own[-1] != u:
-                            own.append(stack.pop())
-                        on.difference_update(own)
-                        found.update(dict.fromkeys(own, min(own)))
-                elif v not in index:
-                    index[v] = low[v] = len(index)
-                    stack.append(v), on.add(v)
-                    work.append((v, iter(out.get(v, ()))))
-                elif v in on:
-                    low[u] = min(low[u], index[v])
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["node", "component"])
-
-    return edges.repartition(1).mapInArrow(run, "node long, component long")
+            for part, src, dst, kind in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield table(kernel(*held))
+                    now, held = part, ([], [], [])
+                held[kind].append((src, dst))
+        if now is not None:
+            yield table(kernel(*held))
+
+    return rows.select("part", "src", "dst", "kind").repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
+def _last_part(edges, marks, told):
+    """(node, component) of a part, its nodes of one told component being one."""
+    first, own = {}, dict(told)
+    circles = [e for node, c in told for e in ((node, first.setdefault(c, node)), (first[c], node))]
+    return [(node, own.get(c, c)) for node, c in _circles([*edges, *circles], own).items()]
+
+
+def _circles(edges, preferred=()) -> dict[int, int]:
+    """Strong component of each node, named by a preferred node if it has one, else by its smallest."""
+    out: dict[int, list[int]] = defaultdict(list)
+    for s, d in edges:
+        out[s].append(d)
+        out[d]
+    index, low, stack, on, found = {}, {}, [], set(), {}
+    for root in out:
+        if root in index:
+            continue
+        work = [(root, iter(out[root]))]
+        index[root] = low[root] = len(index)
+        stack.append(root), on.add(root)
+        while work:
+            u, rest = work[-1]
+            v = next(rest, None)
+            if v is None:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[u])
+                if low[u] == index[u]:
+                    own = [stack.pop()]
+                    while own[-1] != u:
+                        own.append(stack.pop())
+                    on.difference_update(own)
+                    found.update(dict.fromkeys(own, min((n for n in own if n in preferred), default=min(own))))
+            elif v not in index:
+                index[v] = low[v] = len(index)
+                stack.append(v), on.add(v)
+                work.append((v, iter(out[v])))
+            elif v in on:
+                low[u] = min(low[u], index[v])
+    return found
+
+
+def _summary(edges, marks, told):
+    """Edges of a part that say as much of ways between its shared nodes, with circles merged and own nodes let go."""
+    shared = {n for n, _ in marks}
+    name = _circles(edges, shared)
+    out, into = defaultdict(set), defaultdict(set)
+    for s, d in edges:
+        s, d = name[s], name[d]
+        if s != d:
+            out[s].add(d), into[d].add(s)
+    todo = [n for n in set(name.values()) if n not in shared]
+    gone = set()
+    while todo:
+        n = todo.pop()
+        before, after = into[n], out[n]
+        if n in gone or len(before) * len(after) > len(before) + len(after):
+            continue
+        gone.add(n)
+        for b in before:
+            out[b].discard(n)
+            out[b] |= after  # never b itself: circles are merged
+        for x in after:
+            into[x].discard(n)
+            into[x] |= before
+        todo += [x for x in (*before, *after) if x not in shared and x not in gone]
+    for n in name.values():
+        if n not in gone:
+            yield n, n
+            yield from ((n, d) for d in out[n])
+    for n in shared:
+        if name[n] != n:
+            yield from ((n, name[n]), (name[n], n))
 
 
 def _spread(state: DataFrame, edges: DataFrame, better) -> DataFrame:
