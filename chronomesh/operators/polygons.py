@@ -1,19 +1,18 @@
 """Rings and polylines: containment, area, clipping, stitching, closing, thinning.
 
-Containment, area and densifying are joins and folds over vertex rows. Clipping, stitching and
-closing depend on the order of what they made before, so they run as kernels over one
-group of segments at a time.
+Containment, area and densifying are joins and folds over vertex rows. Chains are made by pairing the ends of
+lines that meet and ranking lines by pointers that double, so that no task holds a layer. Clipping and closing work on one ring
+or chain at a time.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEG, KM_PER_LNG, crosses_ray
+from .shared import settle
 
 Point = tuple[float, float]  # latitude, longitude
 Box = tuple[float, float, float, float]  # south, north, west, east
@@ -103,52 +102,97 @@ def clip(ring: list[Point], box: Box) -> list[Point]:
     return ring
 
 
-def stitch(segments: list[list], turn: bool = True, name=lambda p: p) -> list[list]:
-    """Segments joined at equal ends into the longest chains that greed finds, in order.
+def links_of(lines: DataFrame, turn: bool = True) -> DataFrame:
+    """(dart, next): lines (seg, tier, line, head, tail) joined where their ends meet.
 
-    Each chain grows at its tail, then at its head, by the first unused segment in order that
-    has that end. turn allows segments to be reversed; name gives what ends are compared by.
+    A dart is a line in one direction, 2 * seg as it is and 2 * seg + 1 turned. The ends at one place are paired in order of
+    their lines, the first with the second, the third with the fourth. Without turn a line's end goes with another's beginning,
+    the first in order with the first.
+    """
+    side = lambda n, c: F.struct(F.lit(n).alias("side"), F.col(c).alias("place"))
+    ends = lines.select("seg", "tier", "line", F.inline(F.array(side(0, "head"), side(1, "tail"))))
+    here = ["tier", "place"] if turn else ["tier", "place", "side"]
+    ranked = ends.withColumn("rank", F.row_number().over(Window.partitionBy(*here).orderBy("line", "side")) - 1)
+    if turn:
+        pairs = ranked.withColumn("pair", F.floor(F.col("rank") / 2)).groupBy("tier", "place", "pair").agg(F.min(F.struct("rank", "seg", "side")).alias("a"), F.max(F.struct("rank", "seg", "side")).alias("b"))
+        met = pairs.where("a.rank < b.rank").select("a.seg", "a.side", F.col("b.seg").alias("other"), F.col("b.side").alias("other_side"))
+    else:
+        begin = ranked.where("side = 0").select("tier", "place", "rank", F.col("seg").alias("other"), F.lit(0).alias("other_side"))
+        met = ranked.where("side = 1").join(begin, ["tier", "place", "rank"]).select("seg", "side", "other", "other_side")
+    # Who leaves by its tail goes forward, who enters by its head too.
+    link = lambda a, a_side, b, b_side: F.struct((2 * F.col(a) + 1 - F.col(a_side)).alias("dart"), (2 * F.col(b) + F.col(b_side)).alias("next"))
+    return met.select(F.inline(F.array(link("seg", "side", "other", "other_side"), link("other", "other_side", "seg", "side"))))
+
+
+def ranked_darts(darts: DataFrame) -> DataFrame:
+    """(dart, next, least, steps) for rows (dart, next, least): how many darts follow, and the least label of a dart and those that follow.
+
+    Each round doubles how far a pointer goes. Darts in a circle keep a pointer, and have the least label of the circle.
+    """
+    now = settle(darts.select("dart", "next", "least", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.lit(True).alias("moved")))
+    while now.where("moved and next is not null").limit(1).count():
+        ahead = now.select(F.col("dart").alias("next"), F.col("next").alias("far"), F.col("least").alias("other"), F.col("steps").alias("more"))
+        met = now.where("next is not null").join(ahead, "next")
+        less = F.least("least", "other")
+        step = met.select("dart", F.col("far").alias("next"), less.alias("least"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("far").isNull() | (less != F.col("least"))).alias("moved"))
+        after = settle(now.where("next is null").withColumn("moved", F.lit(False)).unionByName(step))
+        if not after.where("moved").limit(1).count():
+            return after.drop("moved")
+        now = after.withColumn("moved", F.lit(True))
+    return now.drop("moved")
+
+
+def chains(lines: DataFrame, turn: bool = True) -> DataFrame:
+    """(tier, chain, nodes, closed) of lines (tier, line, nodes, head, tail): lines of a tier joined where their ends, head and tail, are equal.
+
+    A chain is named by its first line in order, which goes the way it is drawn; a closed one begins with it. Lines without
+    nodes are left out. Joints hold a node once.
     """
-    ends: dict = defaultdict(list)
-    for i, s in enumerate(segments):
-        ends[name(s[0])].append(i)
-        ends[name(s[-1])].append(i)
-    free, out = [True] * len(segments), []
-
-    def follower(end, at_tail: bool):
-        for j in ends[name(end)]:
-            s = segments[j]
-            forward = name(s[0] if at_tail else s[-1]) == name(end)
-            if free[j] and (forward or turn):
-                free[j] = False
-                return s if forward else s[::-1]
-        return None
-
-    for i, s in enumerate(segments):
-        if not free[i]:
-            continue
-        free[i], chain = False, list(s)
-        while (more := follower(chain[-1], True)) is not None:
-            chain += more[1:]
-        while (more := follower(chain[0], False)) is not None:
-            chain[:0] = more[:-1]
-        out.append(chain)
-    return out
-
-
-def six_digits(p: Point) -> tuple[str, str]:
-    return f"{p[0]:.6f}", f"{p[1]:.6f}"
-
-
-def rings_and_chains(segments: list[list[Point]], turn: bool = True) -> tuple[list[list[Point]], list[list[Point]]]:
-    """Stitched chains: those that close on themselves with over three points, and the others."""
-    rings, chains = [], []
-    for c in stitch(segments, turn, six_digits):
-        if len(c) > 3 and six_digits(c[0]) == six_digits(c[-1]):
-            rings.append(c[:-1])
-        else:
-            chains.append(c)
-    return rings, chains
+    own = settle(lines.where(F.size("nodes") > 0).select("tier", "line", "nodes", "head", "tail").withColumn("seg", F.monotonically_increasing_id()))
+    flat = own.select("seg", "tier", "line", "head", "tail")
+    links = settle(links_of(flat, turn))
+    name = F.struct("line", F.col("turned"), F.col("dart"))
+    both = own.select("line", F.inline(F.array(*(F.struct((2 * F.col("seg") + n).alias("dart"), F.lit(n).alias("turned")) for n in (0, 1)))))
+    darts = settle(both.join(links, "dart", "left").select("dart", "next", name.alias("least")))
+    ranked = settle(ranked_darts(darts))
+    circles = ranked.where("next is not null").select("dart", "least")
+    # A circle is cut before its first line, in the direction in which that line is not turned.
+    cut = darts.select("dart", "next").join(circles.where("least.turned = 0"), "dart").select("dart", F.when(F.col("next") != F.col("least.dart"), F.col("next")).alias("next"), "least")
+    wheels = ranked_darts(cut).select("dart", F.col("least.line").alias("chain"), "steps")
+    # What follows a dart's mirror is what comes before the dart.
+    open_ = ranked.where("next is null").select(F.floor(F.col("dart") / 2).alias("seg"), (F.col("dart") % 2).alias("turned"), "least", "steps")
+    way = lambda n: open_.where(f"turned = {n}").select("seg", F.col("least").alias(f"least{n}"), F.col("steps").alias(f"steps{n}"))
+    sides = way(0).join(way(1), "seg")
+    ahead = F.col("least0.line") <= F.col("least1.line")
+    forward = F.when(ahead, F.col("least0.turned") == 0).otherwise(F.col("least1.turned") == 1)
+    rows = sides.select((2 * F.col("seg") + F.when(forward, 0).otherwise(1)).alias("dart"), F.least("least0.line", "least1.line").alias("chain"), F.when(forward, F.col("steps0")).otherwise(F.col("steps1")).alias("steps"))
+    placed = rows.unionByName(wheels).select("chain", "steps", F.floor(F.col("dart") / 2).alias("seg"), (F.col("dart") % 2 == 1).alias("turned"))
+    drawn = placed.join(own, "seg").select(
+        "tier", "chain", (-F.col("steps")).alias("at"), F.when(F.col("turned"), F.reverse("nodes")).otherwise(F.col("nodes")).alias("nodes"),
+        F.when(F.col("turned"), F.col("tail")).otherwise(F.col("head")).alias("head"), F.when(F.col("turned"), F.col("head")).otherwise(F.col("tail")).alias("tail"),
+    )
+    whole = drawn.groupBy("tier", "chain").agg(F.array_sort(F.collect_list(F.struct("at", "nodes"))).alias("parts"), F.min_by("head", "at").alias("head"), F.max_by("tail", "at").alias("tail"))
+    rest = F.flatten(F.transform("parts", lambda p, i: F.when(i == 0, p["nodes"]).otherwise(F.slice(p["nodes"], F.lit(2), F.size(p["nodes"])))))
+    return whole.select("tier", "chain", rest.alias("nodes"), (F.col("head") == F.col("tail")).alias("closed"))
+
+
+def stitched_lines(lines: DataFrame) -> DataFrame:
+    """(tier, chain, nodes) of lines (tier, line, nodes): chains of one tier, joined at shared end nodes."""
+    ended = lines.withColumns({"head": F.element_at("nodes", 1), "tail": F.element_at("nodes", -1)}).where(F.size("nodes") > 0)
+    return chains(ended).select("tier", "chain", "nodes")
+
+
+def six_digits(point: F.Column) -> F.Column:
+    return F.concat_ws(",", *(F.format_string("%.6f", point[c]) for c in ("lat", "lon")))
+
+
+def assembled(segments: DataFrame, turn: bool = True) -> DataFrame:
+    """(layer, chain, closed, points) of segments (layer, part, pos, points): chains of points; those that close on themselves with over
+    three points are rings, and hold their first point once."""
+    named = segments.where(F.size("points") > 0).select(F.col("layer").alias("tier"), F.struct("part", "pos").alias("line"), F.col("points").alias("nodes"))
+    ended = named.withColumns({"head": six_digits(F.element_at("nodes", 1)), "tail": six_digits(F.element_at("nodes", -1))})
+    ring = F.col("closed") & (F.size("nodes") > 3)
+    return chains(ended, turn).select(F.col("tier").alias("layer"), "chain", ring.alias("closed"), F.when(ring, F.slice("nodes", F.lit(1), F.size("nodes") - 1)).otherwise(F.col("nodes")).alias("points"))
 
 
 def holds(ring: list[Point], p: Point) -> bool:
@@ -208,26 +252,26 @@ def water_segments(elements: DataFrame) -> DataFrame:
 
 
 def build_water(elements: DataFrame, box: Box, least_km2: float = 0.2) -> DataFrame:
-    """(ring, k, lat, lng): rings of water inside a box. A layer's segments meet in one task; they are one city's."""
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["part", "pos"])
-        lines = [[(p["lat"], p["lon"]) for p in points] for points in pdf["points"]]
-        layer = pdf["layer"].iloc[0]
-        if layer == "closed":
-            rings = [line[:-1] for line in lines]
-        elif layer == "open":
-            rings, _ = rings_and_chains(lines)
-        else:  # closed coasts are islands
-            _, chains = rings_and_chains(lines, turn=False)
-            rings = [r for c in chains if (r := closed_by_border(c, box))]
-        rows = []
-        for i, ring in enumerate(clip(r, box) for r in rings):
-            if len(ring) >= 4 and area_km2(ring) >= least_km2:
-                rows += [(f"{layer}-{i}", k, lat, lng) for k, (lat, lng) in enumerate(ring)]
-        return pd.DataFrame(rows, columns=["ring", "k", "lat", "lng"])
-
-    return water_segments(elements).groupBy("layer").applyInPandas(kernel, "ring string, k int, lat double, lng double")
+    """(ring, k, lat, lng): rings of water inside a box; ring names a ring's layer and first part. Coasts keep their direction, and closed ones are islands."""
+    parts = settle(water_segments(elements))
+    one = F.struct("part", "pos").alias("chain")
+    shut = parts.where("layer = 'closed'").select("layer", one, F.slice("points", F.lit(1), F.size("points") - 1).alias("points"))
+    joined = assembled(parts.where("layer = 'open'")).where("closed").select("layer", "chain", "points")
+    coasts = assembled(parts.where("layer = 'coast'"), turn=False).where("not closed").select("layer", "chain", "points")
+    rows = shut.unionByName(joined).unionByName(coasts).select("layer", F.concat_ws("-", "layer", "chain.part", "chain.pos").alias("ring"), "points")
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for layer, ring, points in zip(pdf["layer"], pdf["ring"], pdf["points"], strict=True):
+                line = [(p["lat"], p["lon"]) for p in points]
+                whole = closed_by_border(line, box) if layer == "coast" else line
+                kept = clip(whole, box) if whole else []
+                if len(kept) >= 4 and area_km2(kept) >= least_km2:
+                    out += [(ring, k, lat, lng) for k, (lat, lng) in enumerate(kept)]
+            yield pd.DataFrame(out, columns=["ring", "k", "lat", "lng"])
+
+    return rows.mapInPandas(run, "ring string, k int, lat double, lng double")
 
 
 #: Places that must be wet or dry: latitude, longitude, name, wet (fixed values).
@@ -245,14 +289,3 @@ def water_failures(vertices: DataFrame, probes=PROBES) -> DataFrame:
     got = in_rings(p.select("id", "lat", "lng"), vertices).select("id").distinct().withColumn("in", F.lit(True))
     is_wet = F.coalesce("in", F.lit(False))
     return p.join(got, "id", "left").where(is_wet != F.col("wet")).select("name", F.when(F.col("wet"), "water").otherwise("land").alias("expected"))
-
-
-def stitched_lines(lines: DataFrame) -> DataFrame:
-    """(tier, chain, nodes) of lines (tier, line, nodes): chains of one tier, joined at shared end nodes."""
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line")
-        chains = stitch([list(n) for n in pdf["nodes"] if len(n)])
-        return pd.DataFrame({"tier": pdf["tier"].iloc[0], "chain": range(len(chains)), "nodes": chains})
-
-    return lines.groupBy("tier").applyInPandas(kernel, "tier long, chain int, nodes array<long>")

@@ -252,19 +252,11 @@ def water_elements(spark, sf):
 CITY = (47.5, 47.734, -122.43, -122.24)
 
 
-@query("g22_assembled_rings")
+@query("g22_assembled_rings", "SELECT c_nationkey + 100 AS part, true AS closed, count(*) AS vertices FROM customer GROUP BY 1")
 def g22(spark, sf):
     """Open halves of ponds, joined to rings again."""
-    segments_ = polygons.water_segments(water_elements(spark, sf)).where("layer = 'open'")
-
-    def kernel(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["part", "pos"])
-        rings_, chains = polygons.rings_and_chains([[(p["lat"], p["lon"]) for p in points] for points in pdf["points"]])
-        return pd.DataFrame({"closed": [True] * len(rings_) + [False] * len(chains), "vertices": [len(r) for r in (*rings_, *chains)]})
-
-    return segments_.groupBy("layer").applyInPandas(kernel, "closed boolean, vertices int")
+    found = polygons.assembled(polygons.water_segments(water_elements(spark, sf)).where("layer = 'open'"))
+    return found.select("chain.part", "closed", F.size("points").cast("long").alias("vertices"))
 
 
 @query("x4_water_layers", "SELECT layer, count(*) AS parts FROM (SELECT DISTINCT 'closed' AS layer, c_nationkey AS n, 0 AS half FROM customer UNION ALL SELECT DISTINCT 'open', c_nationkey, half FROM customer, range(2) AS t(half) UNION ALL SELECT 'coast', 0, 0) GROUP BY layer")

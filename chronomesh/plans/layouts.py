@@ -295,14 +295,18 @@ def p21(spark, sf):
     return p.join(wet, "id", "left").select("id", F.coalesce("w", F.lit(False)).alias("wet"))
 
 
-@query("j22_stitch_chains", "SELECT p_size % 5 AS tier, count(*) AS nodes FROM part GROUP BY 1")
+@query(
+    "j22_stitch_chains",
+    """SELECT p_size % 5 AS tier, min(p_partkey) AS chain, CASE WHEN min(p_partkey) % 2 = 0 THEN string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey)
+      ELSE string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey DESC) END AS nodes FROM part GROUP BY 1""",
+)
 def j22(spark, sf):
-    """Two-node lines along the part keys of each tier, stitched; a tier's chain holds all its nodes again."""
+    """Two-node lines along the part keys of each tier, every other one turned, stitched; a chain goes as its first line is drawn."""
     part = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("k"), (F.col("p_size") % 5).cast("int").alias("tier"))
     w = Window.partitionBy("tier").orderBy("k")
     pairs = part.withColumn("n", F.lead("k").over(w)).where("n is not null")
-    line = pairs.select(F.col("tier").cast("long").alias("tier"), F.xxhash64("k").alias("line"), F.when(F.col("k") % 2 == 0, F.array("k", "n")).otherwise(F.array("n", "k")).alias("nodes"))
-    return polygons.stitched_lines(line).groupBy(F.col("tier").cast("int").alias("tier")).agg(F.sum(F.size("nodes")).cast("long").alias("nodes"))
+    line = pairs.select("tier", F.col("k").alias("line"), F.when(F.col("k") % 2 == 0, F.array("k", "n")).otherwise(F.array("n", "k")).alias("nodes"))
+    return polygons.stitched_lines(line).select("tier", "chain", F.concat_ws(",", F.col("nodes").cast("array<string>")).alias("nodes"))
 
 
 # Reports.

@@ -140,15 +140,11 @@ def test_dense_and_spread_matrices_agree(spark, monkeypatch):
     assert np.allclose([r[1:] for r in dense], [r[1:] for r in layout.smacof(m, seed, 2).collect()])
 
 
-def test_clipping_stitching_closing():
+def test_clipping_closing():
     box = (0.0, 1.0, 0.0, 1.0)
     square = [(-0.5, -0.5), (-0.5, 0.5), (0.5, 0.5), (0.5, -0.5)]
     assert sorted(polygons.clip(square, box)) == [(0.0, 0.0), (0.0, 0.5), (0.5, 0.0), (0.5, 0.5)]
     assert polygons.clip([(2.0, 2.0), (2.0, 3.0), (3.0, 3.0)], box) == []
-    assert polygons.stitch([[1, 2], [4, 3], [2, 3], [9, 8], [0, 1]]) == [[0, 1, 2, 3, 4], [9, 8]]
-    assert polygons.stitch([[1, 2], [3, 2]], turn=False) == [[1, 2], [3, 2]]
-    rings, chains = polygons.rings_and_chains([[(0.0, 0.0), (0.0, 1.0)], [(0.0, 1.0), (1.0, 1.0), (0.0, 0.0)], [(5.0, 5.0), (6.0, 6.0)]])
-    assert len(rings) == 1 and len(rings[0]) == 3 and len(chains) == 1
     coast = [(0.0, 0.5), (0.5, 0.5), (1.0, 0.5)]  # northwards: water is on the right, the east
     ring = polygons.closed_by_border(coast, box, probe_km=5)
     assert polygons.holds(ring, (0.5, 0.9)) and not polygons.holds(ring, (0.5, 0.1))
@@ -167,9 +163,9 @@ def test_water(spark):
     schema = "id long, type string, tags map<string,string>, geometry array<struct<lat double, lon double>>, members array<struct<type string, role string, geometry array<struct<lat double, lon double>>>>"
     got = polygons.build_water(spark.createDataFrame(rows, schema), box)
     areas = {r.ring: r.km2 for r in polygons.ring_areas(got).collect()}
-    assert sorted(areas) == ["closed-0", "coast-0", "open-0"] and areas["closed-0"] == pytest.approx(areas["open-0"])
+    assert sorted(areas) == ["closed-1-0", "coast-4-0", "open-2-0"] and areas["closed-1-0"] == pytest.approx(areas["open-2-0"])
     points = spark.createDataFrame([(0, 47.62, -122.33), (1, 47.6, -122.44), (2, 47.6, -122.4)], "id int, lat double, lng double")
-    assert {(r.id, r.ring) for r in polygons.in_rings(points, got).collect()} == {(0, "closed-0"), (0, "open-0"), (1, "coast-0")}
+    assert {(r.id, r.ring) for r in polygons.in_rings(points, got).collect()} == {(0, "closed-1-0"), (0, "open-2-0"), (1, "coast-4-0")}
     assert "Elliott Bay" in {r.name for r in polygons.water_failures(got).collect()}
 
 

@@ -6,6 +6,7 @@ from chronomesh.operators import grid, polygons, reports
 from chronomesh.plans import feeds, layouts
 from chronomesh.plans.registry import oracle_sql, queries
 
+from .chains import walked_chains
 from .oracle import compare
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_all_others_are_held_against_brute_force():
-    assert queries().keys() - oracle_sql().keys() == {"g15_classical_scaling", "g18_embedding", "g20_mesh", "g21_clip_rings", "g22_assembled_rings", "g24_water", "g26_basemap"}
+    assert queries().keys() - oracle_sql().keys() == {"g15_classical_scaling", "g18_embedding", "g20_mesh", "g21_clip_rings", "g24_water", "g26_basemap"}
 
 
 def rings_of(frame):
@@ -95,35 +96,26 @@ def test_g21_clip_rings(spark):
 
 
 def test_g26_basemap(spark):
-    """Every street's step lies in one chain of its tier, and chains are thinned from their nodes."""
+    """Every drawn street by walks from line to line, thinned node by node."""
     at = {r.id: (r.lat, r.lng) for r in feeds.known(spark, SF).collect()}
-    ways = feeds.ways(spark, SF).collect()
-    steps = defaultdict(int)
-    for w in ways:
-        tier = reports.TIERS.get(w.highway)
-        nodes = [n for n in w.nodes if n in at]
-        if tier is not None and len(w.nodes) >= 2:
-            for a, b in zip(nodes, nodes[1:], strict=False):
-                steps[tier, min(a, b), max(a, b)] += 1
-    drawn = feeds.ways(spark, SF).select("way", "nodes", reports.street_tier(feeds.F.col("highway")).cast("long").alias("tier")).where("tier is not null and size(nodes) >= 2")
-    chains = polygons.stitched_lines(reports.known_nodes(drawn, feeds.known(spark, SF)).withColumnRenamed("way", "line")).collect()
-    seen = defaultdict(int)
-    for c in chains:
-        for a, b in zip(c.nodes, c.nodes[1:], strict=False):
-            seen[c.tier, min(a, b), max(a, b)] += 1
-    assert seen == steps
+    lines = defaultdict(dict)
+    for w in feeds.ways(spark, SF).collect():
+        tier, nodes = reports.TIERS.get(w.highway), [n for n in w.nodes if n in at]
+        if tier is not None and len(w.nodes) >= 2 and nodes:
+            lines[tier][w.way] = nodes
     metres = lambda p, q: 2 * 6371000 * math.asin(math.sqrt(min(1, math.sin(math.radians(q[0] - p[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(q[0])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2)))
     want = {}
-    for c in chains:
-        kept = []
-        for k, n in enumerate(c.nodes):
-            if not kept or k == len(c.nodes) - 1 or metres(kept[-1], at[n]) >= 90:
-                kept.append(at[n])
-        if len(kept) >= 2:
-            want[c.tier, c.chain] = [[math.floor(x * 1e4 + 0.5) / 1e4 for x in p] for p in kept]
+    for tier, own in lines.items():
+        for chain, nodes in walked_chains(own).items():
+            kept = []
+            for k, n in enumerate(nodes):
+                if not kept or k == len(nodes) - 1 or metres(kept[-1], at[n]) >= 90:
+                    kept.append(at[n])
+            if len(kept) >= 2:
+                want[tier, chain] = [[math.floor(x * 1e4 + 0.5) / 1e4 for x in p] for p in kept]
     got = {(r.tier, r.chain): [[p.lat, p.lng] for p in r.points] for r in reports.basemap(feeds.ways(spark, SF), feeds.known(spark, SF)).collect()}
-    assert got.keys() == want.keys() and all(sum(abs(a - b) for p, q in zip(got[k], want[k], strict=True) for a, b in zip(p, q, strict=True)) < 1e-6 for k in want)
-    assert queries()["g26_basemap"](spark, SF).count() == len(want)
+    assert got.keys() == want.keys() and all(len(got[k]) == len(want[k]) and sum(abs(a - b) for p, q in zip(got[k], want[k], strict=True) for a, b in zip(p, q, strict=True)) < 1e-6 for k in want)
+    assert queries()["g26_basemap"](spark, SF).count() == len(want) > 10
 
 
 def test_g15_classical_scaling(spark):
@@ -146,15 +138,10 @@ def test_g15_classical_scaling(spark):
     assert np.allclose(np.abs(found), np.abs(want), rtol=0.05, atol=0.05 * np.abs(want).max())
 
 
-def test_g22_and_g24_water(spark):
+def test_g24_water(spark):
     """Joined halves are the ponds again, and the sea is the strip west of the coast."""
-    n = len(rings_of(layouts.ponds(spark, SF)))
-    whole = queries()["g22_assembled_rings"](spark, SF).collect()
-    assert len(whole) == n and all(r.closed for r in whole)
-    sizes = sorted(len(r) for r in rings_of(layouts.ponds(spark, SF)).values())
-    assert sorted(r.vertices for r in whole) == sizes
     got = rings_of(queries()["g24_water"](spark, SF))
     areas = {k: polygons.area_km2(r) for k, r in got.items()}
     big = [r for r in rings_of(layouts.ponds(spark, SF)).values() if len(r) >= 4 and polygons.area_km2(polygons.clip(r, feeds.CITY)) >= 0.2]
     assert sum(k.startswith("closed") for k in got) == sum(k.startswith("open") for k in got) == len(big)
-    assert areas["coast-0"] == pytest.approx(0.005 * 0.234 * 111.32**2 * math.cos(math.radians(47.61)), rel=0.01)
+    assert areas["coast-999-0"] == pytest.approx(0.005 * 0.234 * 111.32**2 * math.cos(math.radians(47.61)), rel=0.01)
