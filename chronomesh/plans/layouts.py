@@ -132,6 +132,13 @@ def x20(spark, sf):
     return anchors(spark, sf).join(geography(spark, sf), "id").select("id", "lat", "lng", rounded(F.col("x"), 3).alias("tx"), rounded(F.col("y"), 3).alias("ty"))
 
 
+@query("g15_block_product", f"{MATRIX}, {_GEO} SELECT i AS id, {sql_round('sum(d * (g.x + 9000))', 2)} AS x, {sql_round('sum(d * (g.y - 5000))', 2)} AS y FROM f JOIN g ON f.j = g.id GROUP BY i")
+def g15_product(spark, sf):
+    """One step of the power iteration: the matrix times two vectors, in tiles."""
+    v = geography(spark, sf).select("id", (F.col("x") + 9000).alias("x"), (F.col("y") - 5000).alias("y"))
+    return layout.block_product(settle(full(spark, sf)), "d", v).select("id", rounded(F.col("x"), 2).alias("x"), rounded(F.col("y"), 2).alias("y"))
+
+
 @query("g15_classical_scaling")
 def g15(spark, sf):
     """Seed of a layout from the two largest eigenvectors of the double-centred matrix."""

@@ -132,12 +132,23 @@ def test_layout_recovers_a_map(spark):
     assert all(np.allclose(back[i], xy[i]) for i in range(30))
 
 
-def test_dense_and_spread_matrices_agree(spark, monkeypatch):
-    m = spark.createDataFrame([(i, j, float(abs(i - j))) for i in range(8) for j in range(8)], "i long, j long, d double")
-    seed = spark.createDataFrame([(i, float(i % 3), float(i)) for i in range(8)], "id long, x double, y double")
-    dense = layout.smacof(m, seed, 2).collect()
-    monkeypatch.setattr(layout, "DENSE", 0)
-    assert np.allclose([r[1:] for r in dense], [r[1:] for r in layout.smacof(m, seed, 2).collect()])
+def test_tiles_of_any_size_agree(spark, monkeypatch):
+    """Iterations over tiles equal steps by joins, whatever the tiles and partitions."""
+    rng = np.random.default_rng(6)
+    ids = sorted(rng.choice(1000, 23, replace=False).tolist())
+    m = spark.createDataFrame([(i, j, float(abs(i - j) + (i * j) % 7)) for i in ids for j in ids], "i long, j long, d double").repartition(5)
+    seed = spark.createDataFrame([(i, float(i % 3), float(i)) for i in ids], "id long, x double, y double")
+    want = {r.id: (r.x, r.y) for r in layout.smacof_step(m, layout.smacof_step(m, seed)).collect()}
+    v = rng.random((23, 2))
+    d = np.array([[abs(i - j) + (i * j) % 7 for j in ids] for i in ids], float)
+    for block, width in ((128, 2048), (3, 4), (1, 23), (23, 1)):
+        monkeypatch.setattr(layout, "BLOCK", block)
+        monkeypatch.setattr(layout, "WIDTH", width)
+        got = {r.id: (r.x, r.y) for r in layout.smacof(m, seed, 2).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[i], want[i]) for i in ids)
+        vectors = spark.createDataFrame([(i, *map(float, x)) for i, x in zip(ids, v, strict=True)], "id long, x double, y double")
+        product = {r.id: (r.x, r.y) for r in layout.block_product(m, "d", vectors).collect()}
+        assert np.allclose([product[i] for i in ids], d @ v)
 
 
 def test_clipping_closing():
