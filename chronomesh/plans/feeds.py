@@ -9,9 +9,9 @@ from ..functions import geo
 from ..functions.geo import rounded
 from ..operators import graph, polygons, reports, transit
 from ..sources.files import csv_fields
-from ..sources.http import matrix_blocks
+from ..sources.http import matrix_blocks, public_roads
 from ..operators.shared import settle
-from .bindings import CTE, anchors, links, readings, stops, table, timetable, ways, with_ctes
+from .bindings import CTE, anchors, links, pick, readings, stops, table, timetable, ways, with_ctes
 from .catalog import query, sql_haversine, sql_km, sql_round
 from .layouts import rings
 from .spatial import ROAD, known, segments
@@ -32,11 +32,19 @@ def s12(spark, sf):
     return member_counts(table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("feed"), F.col("l_linestatus").alias("member")))
 
 
-@query("s9_road_predicate", f"{with_ctes('ways')} SELECT way, highway FROM ways WHERE regexp_full_match(highway, 'motorway|trunk|primary|secondary|tertiary|unclassified|residential|living_street|motorway_link|trunk_link|primary_link|secondary_link|tertiary_link') AND NOT coalesce(oneway = 'no', false)")
+ACCESS_TAGS = (None, "no", "permissive", "private", "destination")
+
+
+@query(
+    "s9_road_predicate",
+    f"""{with_ctes('ways')}, t AS (SELECT way, highway, (['', 'no', 'permissive', 'private', 'destination'])[(way // 4) % 5 + 1] AS access FROM ways)
+      SELECT way AS id, highway, nullif(access, '') AS access FROM t WHERE regexp_full_match(highway, 'motorway|trunk|primary|secondary|tertiary|unclassified|residential|living_street|motorway_link|trunk_link|primary_link|secondary_link|tertiary_link')
+      AND NOT regexp_full_match(access, 'no|private')""",
+)
 def s9(spark, sf):
-    """Ways of a drivable class without an access that forbids; oneway stands in for the access tag."""
-    w = ways(spark, sf)
-    return w.where(F.rlike("highway", F.lit("^(" + "|".join(geo.CLASS_MPH) + ")$")) & ~F.coalesce(F.col("oneway") == "no", F.lit(False))).select("way", "highway")
+    """Ways of a drivable class whose access does not forbid; those without the tag stay."""
+    tagged = ways(spark, sf).select(F.col("way").alias("id"), "highway", pick(ACCESS_TAGS, F.floor(F.col("way") / 4) % len(ACCESS_TAGS)).alias("access"))
+    return public_roads(tagged)
 
 
 @query("s14_matrix_blocks", f"{with_ctes('anchors')}, z AS (SELECT id FROM anchors) SELECT a.id // 25 AS bi, b.id // 25 AS bj, count(*) AS cells FROM z a, z b GROUP BY ALL")

@@ -8,6 +8,7 @@ partitions times the rate of one is what a provider sees.
 from __future__ import annotations
 
 import json
+import re
 import time
 import urllib.error
 import urllib.parse
@@ -17,7 +18,7 @@ from collections.abc import Callable, Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, Not
 
 from ..functions.geo import CLASS_MPH
 
@@ -124,6 +125,96 @@ class OverpassReader(DataSourceReader):
             yield (json.dumps(e),)
 
 
+#: Tags of a way that are columns of the source, and so can be filtered on by the server.
+WAY_TAGS = ("highway", "access", "maxspeed", "oneway", "name")
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+
+
+def tag_filter(f: Filter) -> str | None:
+    """What the server calls a condition on a tag, with the same answer for ways without that tag; None if it has no word for it."""
+    inner = f.child if isinstance(f, Not) else f
+    if not hasattr(inner, "attribute") or len(inner.attribute) != 1 or inner.attribute[0] not in WAY_TAGS:
+        return None
+    key = json.dumps(inner.attribute[0])
+    one = lambda value, sign: f"[{key}{sign}{json.dumps(value, ensure_ascii=False)}]"
+    among = lambda values, sign: one(f"^({'|'.join(map(re.escape, sorted(values)))})$", sign)
+    there, absent = f"[{key}]", f"[!{key}]"
+    plain = isinstance(f, Filter) and inner is f
+    if isinstance(inner, IsNull | IsNotNull):
+        return there if plain == isinstance(inner, IsNotNull) else absent
+    if isinstance(inner, EqualNullSafe) and isinstance(inner.value, str):
+        return one(inner.value, "=" if plain else "!=")
+    if isinstance(inner, EqualTo) and isinstance(inner.value, str):  # unknown is not unequal
+        return one(inner.value, "=") if plain else there + one(inner.value, "!=")
+    if isinstance(inner, In) and inner.value and all(isinstance(v, str) for v in inner.value):
+        return among(inner.value, "~") if plain else there + among(inner.value, "!~")
+    return None
+
+
+class OverpassWays(DataSource):
+    """spark.read.format("overpass_ways"): the ways of a box, a partition a tile of it; conditions on tags run on the server.
+
+    Options: endpoints, south, north, west, east, and tiles, the number of rows and columns of tiles. A way that lies in several
+    tiles is a row of each. A tile without ways has no rows.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "overpass_ways"
+
+    def schema(self) -> str:
+        return "id long, nodes array<long>, " + ", ".join(f"{t} string" for t in WAY_TAGS)
+
+    def reader(self, schema):
+        return OverpassWaysReader(self.options)
+
+
+class Tile(InputPartition):
+    def __init__(self, south: float, north: float, west: float, east: float):
+        self.box = south, north, west, east
+
+
+class OverpassWaysReader(DataSourceReader):
+    def __init__(self, options):
+        self.endpoints, self.tiles = options["endpoints"].split(), int(options.get("tiles", 1))
+        self.box = tuple(float(options[k]) for k in ("south", "north", "west", "east"))
+        self.filters: list[str] = []
+
+    def pushFilters(self, filters):
+        for f in filters:
+            said = tag_filter(f)
+            if said is None:
+                yield f
+            else:
+                self.filters.append(said)
+
+    def partitions(self):
+        south, north, west, east = self.box
+        edge = lambda a, b, k: a + (b - a) * k / self.tiles if k < self.tiles else b
+        return [Tile(edge(south, north, y), edge(south, north, y + 1), edge(west, east, x), edge(west, east, x + 1)) for y in range(self.tiles) for x in range(self.tiles)]
+
+    def read(self, partition):
+        text = f"[out:json][timeout:300];way{''.join(self.filters)}({_box(*partition.box)});out qt;"
+        answer = first_answer(self.endpoints, urllib.parse.urlencode({"data": text}).encode())
+        for e in json.loads(answer)["elements"]:
+            tags = e.get("tags", {})
+            yield (e["id"], e.get("nodes", []), *(tags.get(t) for t in WAY_TAGS))
+
+
+def overpass_ways(spark, endpoints: Iterable[str], south: float, north: float, west: float, east: float, tiles: int = 1) -> DataFrame:
+    """Ways of a box as the source gives them. Turns the session's setting on by which conditions reach Python sources."""
+    spark.conf.set(PUSHDOWN, "true")
+    spark.dataSource.register(OverpassWays)
+    box = {"south": south, "north": north, "west": west, "east": east}
+    return spark.read.format("overpass_ways").options(endpoints=" ".join(endpoints), tiles=str(tiles), **{k: repr(v) for k, v in box.items()}).load()
+
+
+def public_roads(ways: DataFrame) -> DataFrame:
+    """Ways of a drivable class whose access tag, if they have one, does not forbid; a way of several tiles once."""
+    open_ = ~F.col("access").eqNullSafe("no") & ~F.col("access").eqNullSafe("private")
+    return ways.where(F.col("highway").isin(*CLASS_MPH) & open_).dropDuplicates(["id"])
+
+
 def kept(df_of: Callable[[], DataFrame], spark, folder: str, force: bool = False) -> DataFrame:
     """What df_of gives, written to a folder once and read from there afterwards; force asks again."""
     from .files import exists
