@@ -13,7 +13,7 @@ from ..sources.http import matrix_blocks, public_roads
 from ..operators.shared import settle
 from .bindings import CTE, anchors, links, pick, readings, stops, table, timetable, ways, with_ctes
 from .catalog import query, sql_haversine, sql_km, sql_round
-from .layouts import rings
+from .layouts import RINGS, rings
 from .spatial import ROAD, known, segments
 
 
@@ -218,7 +218,29 @@ def g9(spark, sf):
 CLIP_BOX = (47.55, 47.68, -122.4, -122.28)
 
 
-@query("g21_clip_rings")
+def _clip_pass(name: str, before: str, axis: str, bound: float, sign: int) -> str:
+    """One side of the box: what lies inside stays, and where an edge crosses the side there is a new vertex after its first one."""
+    share = "(d / (d - d2))"
+    met = {"lat": f"lat + {share} * (lat2 - lat)", "lng": f"lng + {share} * (lng2 - lng)"} | {axis: str(bound)}
+    w = "PARTITION BY ring ORDER BY k"
+    return f"""{name}n AS (SELECT ring, k, lat, lng, coalesce(lead(lat) OVER ({w}), first(lat) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS lat2,
+      coalesce(lead(lng) OVER ({w}), first(lng) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS lng2 FROM {before}),
+    {name}d AS (SELECT *, {sign} * ({axis} - {bound}) AS d, {sign} * ({axis}2 - {bound}) AS d2 FROM {name}n),
+    {name} AS MATERIALIZED (SELECT ring, row_number() OVER (PARTITION BY ring ORDER BY k, part) AS k, lat, lng FROM (SELECT ring, k, 0 AS part, lat, lng FROM {name}d WHERE d >= 0
+      UNION ALL SELECT ring, k, 1, {met['lat']}, {met['lng']} FROM {name}d WHERE (d >= 0) <> (d2 >= 0)))"""
+
+
+_SIDES = (("lat", CLIP_BOX[1], -1), ("lat", CLIP_BOX[0], 1), ("lng", CLIP_BOX[3], -1), ("lng", CLIP_BOX[2], 1))
+_CLIPPED = ",\n".join(_clip_pass(f"c{n + 1}", f"c{n}" if n else "v", *side) for n, side in enumerate(_SIDES))
+
+
+@query(
+    "g21_clip_rings",
+    f"""WITH {RINGS}, {_CLIPPED}, z AS (SELECT ring, lat, lng, coalesce(lead(lat) OVER w, first(lat) OVER f) AS lat2, coalesce(lead(lng) OVER w, first(lng) OVER f) AS lng2 FROM c4
+      WINDOW w AS (PARTITION BY ring ORDER BY k), f AS (PARTITION BY ring ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    t AS (SELECT ring, count(*) AS n, abs(sum(lng2 * lat - lng * lat2) / 2 * 111.32 * cos(radians(47.61)) * 111.32) AS km2 FROM z GROUP BY ring)
+    SELECT CAST(r.ring AS BIGINT) AS ring, CAST(coalesce(t.n, 0) AS INTEGER) AS vertices, {sql_round('coalesce(t.km2, 0.0)', 3)} AS km2 FROM (SELECT DISTINCT ring FROM v) r LEFT JOIN t ON r.ring = t.ring""",
+)
 def g21(spark, sf):
     """Rings cut by the middle of the city, with the area that is left."""
     box = CLIP_BOX
@@ -229,7 +251,8 @@ def g21(spark, sf):
         ring = polygons.clip(list(zip(pdf.sort_values("k")["lat"], pdf.sort_values("k")["lng"], strict=True)), box)
         return pd.DataFrame({"ring": [pdf["ring"].iloc[0]], "vertices": [len(ring)], "km2": [polygons.area_km2(ring) if ring else 0.0]})
 
-    return rings(spark, sf).select(F.col("ring").cast("long").alias("ring"), "k", "lat", "lng").groupBy("ring").applyInPandas(kernel, "ring long, vertices int, km2 double")
+    cut = rings(spark, sf).select(F.col("ring").cast("long").alias("ring"), "k", "lat", "lng").groupBy("ring").applyInPandas(kernel, "ring long, vertices int, km2 double")
+    return cut.select("ring", "vertices", rounded(F.col("km2"), 3).alias("km2"))
 
 
 @query("g26_basemap")

@@ -153,7 +153,7 @@ def g18(spark, sf):
 
 # Polygons: each nation's customers, in the order of their keys, are a ring.
 
-_RINGS = "v AS (SELECT c_nationkey AS ring, c_custkey AS k, 47.5 + (c_custkey * 7919 % 2340) / 1e4 AS lat, -122.43 + (c_custkey * 104729 % 1900) / 1e4 AS lng FROM customer), e AS MATERIALIZED (SELECT ring, k, lat AS lat1, lng AS lng1, coalesce(lead(lat) OVER w, first(lat) OVER w2) AS lat2, coalesce(lead(lng) OVER w, first(lng) OVER w2) AS lng2 FROM v WINDOW w AS (PARTITION BY ring ORDER BY k), w2 AS (PARTITION BY ring ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+RINGS = "v AS (SELECT c_nationkey AS ring, c_custkey AS k, 47.5 + (c_custkey * 7919 % 2340) / 1e4 AS lat, -122.43 + (c_custkey * 104729 % 1900) / 1e4 AS lng FROM customer), e AS MATERIALIZED (SELECT ring, k, lat AS lat1, lng AS lng1, coalesce(lead(lat) OVER w, first(lat) OVER w2) AS lat2, coalesce(lead(lng) OVER w, first(lng) OVER w2) AS lng2 FROM v WINDOW w AS (PARTITION BY ring ORDER BY k), w2 AS (PARTITION BY ring ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
 
 
 def rings(spark, sf):
@@ -161,22 +161,22 @@ def rings(spark, sf):
     return c.join(stops(spark, sf).withColumnRenamed("id", "k"), "k").select("ring", "k", "lat", "lng")
 
 
-@query("w7_ring_edges", f"WITH {_RINGS} SELECT * FROM e")
+@query("w7_ring_edges", f"WITH {RINGS} SELECT * FROM e")
 def w7(spark, sf):
     return polygons.ring_edges(rings(spark, sf))
 
 
-@query("p17_ring_area", f"WITH {_RINGS} SELECT ring, count(*) AS vertices, {sql_round('abs(sum(lng2 * lat1 - lng1 * lat2) / 2 * 111.32 * cos(radians(47.61)) * 111.32)', 2)} AS km2 FROM e GROUP BY ring")
+@query("p17_ring_area", f"WITH {RINGS} SELECT ring, count(*) AS vertices, {sql_round('abs(sum(lng2 * lat1 - lng1 * lat2) / 2 * 111.32 * cos(radians(47.61)) * 111.32)', 2)} AS km2 FROM e GROUP BY ring")
 def p17(spark, sf):
     return polygons.ring_areas(rings(spark, sf)).select("ring", "vertices", rounded(F.col("km2"), 2).alias("km2"))
 
 
-@query("x5_ring_filter", f"WITH {_RINGS} SELECT ring FROM e GROUP BY ring HAVING count(*) >= 4 AND abs(sum(lng2 * lat1 - lng1 * lat2) / 2 * 111.32 * cos(radians(47.61)) * 111.32) >= 0.2")
+@query("x5_ring_filter", f"WITH {RINGS} SELECT ring FROM e GROUP BY ring HAVING count(*) >= 4 AND abs(sum(lng2 * lat1 - lng1 * lat2) / 2 * 111.32 * cos(radians(47.61)) * 111.32) >= 0.2")
 def x5(spark, sf):
     return polygons.ring_areas(rings(spark, sf)).where("vertices >= 4 and km2 >= 0.2D").select("ring")
 
 
-_INSIDE = f"WITH {_RINGS}, s AS (SELECT c_custkey AS id, 47.50005 + (c_custkey * 7919 % 2340) / 1e4 AS lat, -122.42995 + (c_custkey * 104729 % 1900) / 1e4 AS lng FROM customer), i AS (SELECT s.id, e.ring FROM s JOIN e ON (lat1 > lat) <> (lat2 > lat) AND lng < (lng2 - lng1) * (lat - lat1) / (lat2 - lat1) + lng1 GROUP BY s.id, e.ring HAVING count(*) % 2 = 1)"
+_INSIDE = f"WITH {RINGS}, s AS (SELECT c_custkey AS id, 47.50005 + (c_custkey * 7919 % 2340) / 1e4 AS lat, -122.42995 + (c_custkey * 104729 % 1900) / 1e4 AS lng FROM customer), i AS (SELECT s.id, e.ring FROM s JOIN e ON (lat1 > lat) <> (lat2 > lat) AND lng < (lng2 - lng1) * (lat - lat1) / (lat2 - lat1) + lng1 GROUP BY s.id, e.ring HAVING count(*) % 2 = 1)"
 
 
 def probes(spark, sf):
@@ -194,7 +194,7 @@ def p16(spark, sf):
     return p.join(polygons.in_rings(p, rings(spark, sf)), "id", "left_anti").select("id")
 
 
-@query("g25_water_probes", f"WITH {_RINGS}, p AS (SELECT * FROM (VALUES " + ", ".join(f"({lat}, {lng}, '{name}', {wet})" for lat, lng, name, wet in polygons.PROBES).replace("True", "true").replace("False", "false") + ") AS t(lat, lng, name, wet)), i AS (SELECT p.name FROM p JOIN e ON (lat1 > lat) <> (lat2 > lat) AND lng < (lng2 - lng1) * (lat - lat1) / (lat2 - lat1) + lng1 GROUP BY p.name, e.ring HAVING count(*) % 2 = 1) SELECT name, CASE WHEN wet THEN 'water' ELSE 'land' END AS expected FROM p WHERE (name IN (SELECT name FROM i)) <> wet")
+@query("g25_water_probes", f"WITH {RINGS}, p AS (SELECT * FROM (VALUES " + ", ".join(f"({lat}, {lng}, '{name}', {wet})" for lat, lng, name, wet in polygons.PROBES).replace("True", "true").replace("False", "false") + ") AS t(lat, lng, name, wet)), i AS (SELECT p.name FROM p JOIN e ON (lat1 > lat) <> (lat2 > lat) AND lng < (lng2 - lng1) * (lat - lat1) / (lat2 - lat1) + lng1 GROUP BY p.name, e.ring HAVING count(*) % 2 = 1) SELECT name, CASE WHEN wet THEN 'water' ELSE 'land' END AS expected FROM p WHERE (name IN (SELECT name FROM i)) <> wet")
 def g25(spark, sf):
     return polygons.water_failures(rings(spark, sf))
 
@@ -202,7 +202,7 @@ def g25(spark, sf):
 _LEN = "floor(sqrt(pow((lat2 - lat1) * 111.32, 2) + pow((lng2 - lng1) * 111.32 * cos(radians(47.61)), 2)) * 1000 / 300.0)"
 
 
-@query("w6_ring_densify", f"WITH {_RINGS}, d AS (SELECT *, CAST({_LEN} AS INTEGER) AS cuts FROM e), u AS (SELECT *, unnest(range(0, cuts + 1)) AS cut FROM d) SELECT ring, k, CAST(cut AS INTEGER) AS cut, {sql_round('lat1 + (lat2 - lat1) * (cut / CAST(cuts + 1 AS DOUBLE))', 6)} AS lat, {sql_round('lng1 + (lng2 - lng1) * (cut / CAST(cuts + 1 AS DOUBLE))', 6)} AS lng FROM u")
+@query("w6_ring_densify", f"WITH {RINGS}, d AS (SELECT *, CAST({_LEN} AS INTEGER) AS cuts FROM e), u AS (SELECT *, unnest(range(0, cuts + 1)) AS cut FROM d) SELECT ring, k, CAST(cut AS INTEGER) AS cut, {sql_round('lat1 + (lat2 - lat1) * (cut / CAST(cuts + 1 AS DOUBLE))', 6)} AS lat, {sql_round('lng1 + (lng2 - lng1) * (cut / CAST(cuts + 1 AS DOUBLE))', 6)} AS lng FROM u")
 def w6(spark, sf):
     return polygons.densified(rings(spark, sf)).select("ring", "k", "cut", rounded(F.col("lat"), 6).alias("lat"), rounded(F.col("lng"), 6).alias("lng"))
 
@@ -217,7 +217,7 @@ _KM = sql_km("t.lat", "t.lng", "n.lat", "n.lng")
 
 @query(
     "w5_decimate",
-    f"WITH RECURSIVE {_RINGS}, n AS (SELECT *, row_number() OVER (PARTITION BY ring ORDER BY k) AS rn, count(*) OVER (PARTITION BY ring) AS cnt FROM v), t AS (SELECT ring, rn, lat, lng, 1 AS kept FROM n WHERE rn = 1 UNION ALL SELECT n.ring, n.rn, CASE WHEN n.rn = n.cnt OR {_KM} >= 9.0 THEN n.lat ELSE t.lat END, CASE WHEN n.rn = n.cnt OR {_KM} >= 9.0 THEN n.lng ELSE t.lng END, CASE WHEN n.rn = n.cnt OR {_KM} >= 9.0 THEN 1 ELSE 0 END FROM t JOIN n ON n.ring = t.ring AND n.rn = t.rn + 1) SELECT ring, CAST(sum(kept) AS BIGINT) AS kept, {sql_round('sum(kept * lat)', 4)} AS lats FROM t GROUP BY ring",
+    f"WITH RECURSIVE {RINGS}, n AS (SELECT *, row_number() OVER (PARTITION BY ring ORDER BY k) AS rn, count(*) OVER (PARTITION BY ring) AS cnt FROM v), t AS (SELECT ring, rn, lat, lng, 1 AS kept FROM n WHERE rn = 1 UNION ALL SELECT n.ring, n.rn, CASE WHEN n.rn = n.cnt OR {_KM} >= 9.0 THEN n.lat ELSE t.lat END, CASE WHEN n.rn = n.cnt OR {_KM} >= 9.0 THEN n.lng ELSE t.lng END, CASE WHEN n.rn = n.cnt OR {_KM} >= 9.0 THEN 1 ELSE 0 END FROM t JOIN n ON n.ring = t.ring AND n.rn = t.rn + 1) SELECT ring, CAST(sum(kept) AS BIGINT) AS kept, {sql_round('sum(kept * lat)', 4)} AS lats FROM t GROUP BY ring",
 )
 def w5(spark, sf):
     kept = lines(spark, sf).withColumn("t", polygons.thinned(F.col("p"), 9000.0))
@@ -292,7 +292,7 @@ def t3(spark, sf):
     return p.withColumn("rank", F.row_number().over(w)).where("rank <= 2").select("i", "j", "bridge")
 
 
-@query("p21_segment_samples", f"WITH {_RINGS}, s AS (SELECT c_custkey AS id, 47.50005 + (c_custkey * 7919 % 2340) / 1e4 AS lat, -122.42995 + (c_custkey * 104729 % 1900) / 1e4 AS lng FROM customer), p AS (SELECT id, t, lat + 0.01 * t AS lat, lng - 0.02 * t AS lng FROM s, (SELECT unnest([0.2, 0.35, 0.5, 0.65, 0.8])::DOUBLE AS t)), i AS (SELECT id FROM p JOIN e ON (lat1 > lat) <> (lat2 > lat) AND lng < (lng2 - lng1) * (lat - lat1) / (lat2 - lat1) + lng1 GROUP BY id, t, ring HAVING count(*) % 2 = 1) SELECT id, id IN (SELECT id FROM i) AS wet FROM s")
+@query("p21_segment_samples", f"WITH {RINGS}, s AS (SELECT c_custkey AS id, 47.50005 + (c_custkey * 7919 % 2340) / 1e4 AS lat, -122.42995 + (c_custkey * 104729 % 1900) / 1e4 AS lng FROM customer), p AS (SELECT id, t, lat + 0.01 * t AS lat, lng - 0.02 * t AS lng FROM s, (SELECT unnest([0.2, 0.35, 0.5, 0.65, 0.8])::DOUBLE AS t)), i AS (SELECT id FROM p JOIN e ON (lat1 > lat) <> (lat2 > lat) AND lng < (lng2 - lng1) * (lat - lat1) / (lat2 - lat1) + lng1 GROUP BY id, t, ring HAVING count(*) % 2 = 1) SELECT id, id IN (SELECT id FROM i) AS wet FROM s")
 def p21(spark, sf):
     """Whether any of five samples of a short segment from each point is in a ring."""
     p = probes(spark, sf)
@@ -329,7 +329,7 @@ def j23(spark, sf):
     return graph.path_cost(s.select(F.col("source").alias("route"), path.alias("path")), links(spark, sf)).where("legs = 2").select("route", F.col("cost").cast("long").alias("cost"))
 
 
-@query("a19_path_length", f"WITH {_RINGS}, d AS (SELECT ring, {sql_km('lat', 'lng', 'lead(lat) OVER w', 'lead(lng) OVER w')} AS km FROM v WINDOW w AS (PARTITION BY ring ORDER BY k)) SELECT ring, {sql_round('sum(km) * 1000 / 1609.34', 1)} AS miles FROM d GROUP BY ring")
+@query("a19_path_length", f"WITH {RINGS}, d AS (SELECT ring, {sql_km('lat', 'lng', 'lead(lat) OVER w', 'lead(lng) OVER w')} AS km FROM v WINDOW w AS (PARTITION BY ring ORDER BY k)) SELECT ring, {sql_round('sum(km) * 1000 / 1609.34', 1)} AS miles FROM d GROUP BY ring")
 def a19(spark, sf):
     w = Window.partitionBy("ring").orderBy("k")
     d = rings(spark, sf).withColumn("km", geo.flat_km(F.col("lat"), F.col("lng"), F.lead("lat").over(w), F.lead("lng").over(w)))

@@ -245,6 +245,31 @@ def g7(spark, sf):
     return graph.drive_matrix(links(spark, sf), sources(spark, sf).select(F.col("supplier").alias("id"), F.col("source").alias("node")))
 
 
+_MASKED = f"""{ROAD.replace('WITH ', 'WITH RECURSIVE ', 1)}, g AS MATERIALIZED (SELECT DISTINCT src, dst FROM e),
+    reach(a, b) AS (SELECT src, src FROM g UNION SELECT dst, dst FROM g UNION SELECT r.a, g.dst FROM reach r JOIN g ON r.b = g.src),
+    comp AS MATERIALIZED (SELECT x.a AS node, min(x.b) AS c FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+    big AS MATERIALIZED (SELECT c FROM comp GROUP BY c ORDER BY count(*) DESC, c LIMIT 1),
+    loc AS MATERIALIZED (SELECT node FROM (SELECT a AS node, highway FROM seg UNION ALL SELECT b, highway FROM seg) GROUP BY node HAVING bool_or(highway NOT IN ('motorway', 'motorway_link'))),
+    spots AS MATERIALIZED (SELECT q.id, q.lat, q.lng FROM q JOIN comp ON q.id = comp.node JOIN big ON comp.c = big.c JOIN loc ON q.id = loc.node),
+    sn AS MATERIALIZED (SELECT s.id, arg_min(a.id, {{'d': {sql_haversine('s.lat', 's.lng', 'a.lat', 'a.lng')}, 'a': a.id}}) AS node FROM anchors s, spots a GROUP BY s.id),
+    l AS MATERIALIZED (SELECT src, dst, min(seconds) AS w FROM e WHERE src <> dst AND seconds IS NOT NULL GROUP BY src, dst),
+    d(source, node, dist) USING KEY (source, node) AS (SELECT DISTINCT node, node, CAST(0 AS DOUBLE) FROM sn
+      UNION SELECT n.source, n.node, n.dist FROM (SELECT d.source, l.dst AS node, min(d.dist + l.w) AS dist FROM d JOIN l ON d.node = l.src GROUP BY d.source, l.dst) n
+      LEFT JOIN recurring.d o ON n.source = o.source AND n.node = o.node WHERE o.dist IS NULL OR n.dist < o.dist)
+    SELECT a.id AS i, b.id AS j, CAST(floor(d.dist + 0.5) AS INTEGER) AS seconds FROM sn a CROSS JOIN sn b LEFT JOIN d ON d.source = a.node AND d.node = b.node"""
+
+
+@query("g7_masked_matrix", _MASKED)
+def g7_masked(spark, sf):
+    """The whole drive matrix on the streets: largest component, snapping to its local nodes, shortest paths; null where there is no way."""
+    from ..sources.providers import road_matrix
+
+    a = anchors(spark, sf)
+    found = road_matrix(a, ways(spark, sf), known(spark, sf))
+    every = a.select(F.col("id").alias("i")).crossJoin(a.select(F.col("id").alias("j")))
+    return every.join(found, ["i", "j"], "left").select("i", "j", "seconds")
+
+
 _SCC = f"""{with_ctes('blocks', recursive=True)}, r AS (SELECT p_partkey // 100 AS blk, max(CASE WHEN p_partkey % 100 = 10 + 4 * (p_partkey // 100) THEN p_partkey END) AS hi FROM part GROUP BY 1)
 SELECT p_partkey AS node, CASE WHEN hi IS NOT NULL AND blk >= 1 AND p_partkey <= hi THEN 100 * blk ELSE p_partkey END AS component FROM part JOIN r ON p_partkey // 100 = blk"""
 
