@@ -371,13 +371,37 @@ def g10(spark, sf):
     return transit.earliest_arrivals(timetable(spark, sf), foot_edges(spark, sf), access(spark, sf))
 
 
-@query("g12_journeys", raptor_sql(4).rsplit(" SELECT source", 1)[0] + ", wanted AS (SELECT DISTINCT c_custkey % n AS source, c_custkey * 7 % n AS target FROM customer, (SELECT count(*) AS n FROM supplier)) SELECT l4.source, target, arr FROM l4 JOIN wanted w ON l4.source = w.source AND stop = target")
+def journeys_sql(rounds: int) -> str:
+    """All improvements of labels by step, what led to each, and walks back from the wanted ends."""
+    steps = ["SELECT source, stop, arr, 0 AS step FROM s0", "SELECT l.source, l.stop, l.arr, 1 FROM l0 l LEFT JOIN s0 s ON l.source = s.source AND l.stop = s.stop WHERE s.arr IS NULL OR l.arr < s.arr"]
+    for k in range(1, rounds + 1):
+        rode = f"SELECT source, stop, min(arr) AS arr FROM (SELECT * FROM l{k - 1} UNION ALL SELECT * FROM i{k}) GROUP BY ALL"
+        steps += [f"SELECT source, stop, arr, {2 * k} FROM i{k}", f"SELECT l.source, l.stop, l.arr, {2 * k + 1} FROM l{k} l LEFT JOIN ({rode}) s ON l.source = s.source AND l.stop = s.stop WHERE s.arr IS NULL OR l.arr < s.arr"]
+    labels = raptor_sql(rounds).rsplit(" SELECT source", 1)[0].replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"""{labels}, h AS MATERIALIZED ({' UNION ALL '.join(steps)}),
+    wanted AS (SELECT DISTINCT c_custkey % n AS source, c_custkey * 7 % n AS target FROM customer, (SELECT count(*) AS n FROM supplier)),
+    led AS MATERIALIZED (
+      SELECT h.source, h.stop AS spot, h.arr, h.step, arg_min({{'spot': t.stop, 'arr': p.arr, 'step': p.step, 'leg': 'ride ' || t.stop || ' ' || h.stop || ' ' || t.pattern || ' ' || t.trip}}, {{'p': t.pattern, 't': t.trip, 'o': t.pos, 's': -p.step}}) AS m
+      FROM h JOIN timetable a ON a.stop = h.stop AND a.arr = h.arr JOIN timetable t ON t.pattern = a.pattern AND t.trip = a.trip AND t.pos < a.pos
+      JOIN h p ON p.source = h.source AND p.stop = t.stop AND p.step < h.step AND p.arr <= t.dep WHERE h.step % 2 = 0 AND h.step > 0 GROUP BY h.source, h.stop, h.arr, h.step
+      UNION ALL SELECT h.source, h.stop, h.arr, h.step, arg_min({{'spot': p.stop, 'arr': p.arr, 'step': p.step, 'leg': 'foot ' || p.stop || ' ' || h.stop}}, p.stop)
+      FROM h JOIN foot ON foot.b = h.stop JOIN h p ON p.source = h.source AND p.stop = foot.a AND p.step = h.step - 1 AND p.arr + foot.sec = h.arr WHERE h.step % 2 = 1 GROUP BY h.source, h.stop, h.arr, h.step),
+    ends AS (SELECT source, stop, arg_max(arr, step) AS arr, max(step) AS step FROM h GROUP BY source, stop),
+    back(source, target, arr, spot, now, step, legs) AS (
+      SELECT w.source, w.target, e.arr, w.target, e.arr, e.step, '' FROM wanted w JOIN ends e ON e.source = w.source AND e.stop = w.target
+      UNION ALL SELECT k.source, k.target, k.arr, led.m.spot, led.m.arr, led.m.step, led.m.leg || CASE WHEN k.legs = '' THEN '' ELSE ';' END || k.legs
+      FROM back k JOIN led ON led.source = k.source AND led.spot = k.spot AND led.arr = k.now AND led.step = k.step)
+    SELECT source, target, arr, legs FROM back WHERE step = 0"""
+
+
+@query("g12_journeys", journeys_sql(4))
 def g12(spark, sf):
-    """A journey for each customer; each is walked back to a seed, so its arrival is the label's."""
+    """A journey for each customer, with the legs by which it was reached first."""
     t, foot, start = settle(timetable(spark, sf)), foot_edges(spark, sf), access(spark, sf)
     c = with_count(spark, sf, table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("c")))
     targets = c.select((F.col("c") % F.col("n")).alias("source"), (F.col("c") * 7 % F.col("n")).alias("target")).distinct()
-    return transit.journeys(t, foot, start, targets).select("source", "target", "arr")
+    said = F.transform("legs", lambda g: F.concat_ws(" ", g["kind"], g["start"], g["stop"], g["pattern"], g["trip"]))
+    return transit.journeys(t, foot, start, targets).select("source", "target", "arr", F.concat_ws(";", said).alias("legs"))
 
 
 EGRESS = with_ctes("egress", "walks").removeprefix("WITH ")
