@@ -102,7 +102,7 @@ class Arrays:
         self.step = max(1, int(8 * self.w.mean())) if len(self.w) else 1  # wide buckets have many nodes to relax side by side
         self.into = np.argsort(self.dst, kind="stable")  # edges by their ends, for walks back
         self.last = np.searchsorted(self.dst[self.into], np.arange(len(self.nodes) + 1))
-        self.landmarks: list[tuple[np.ndarray, np.ndarray]] = []  # distances from far nodes, and to them
+        self.away = self.back = np.empty((len(self.nodes), 0))  # of each node, the distances from far nodes, and to them
 
     def turned(self) -> Arrays:
         """The same nodes with all edges the other way."""
@@ -112,28 +112,30 @@ class Arrays:
 
     def with_landmarks(self, number: int = LANDMARKS) -> Arrays:
         """Also the distances from and to a few nodes, each as far as can be from those before it."""
+        away, back = [], []
         if len(self.nodes):
-            back, far = self.turned(), np.full(len(self.nodes), self.none)
-            at = 0
-            for _ in range(number + 1):
-                away = self.distances(at)
-                far = np.minimum(far, np.where(away < self.none, away, -1))
-                if len(self.landmarks) < number and _:
-                    self.landmarks.append((away, back.distances(at)))
+            turned, far, at = self.turned(), np.full(len(self.nodes), self.none), 0
+            for k in range(number + 1):
+                own = self.distances(at)
+                far = np.minimum(far, np.where(own < self.none, own, -1))
+                if k:  # the first node is anywhere
+                    away.append(own), back.append(turned.distances(at))
                 at = int(far.argmax())
+            self.away, self.back = np.stack(away, axis=1), np.stack(back, axis=1)
         return self
 
     def least_to(self, nodes: np.ndarray, target: int) -> np.ndarray:
-        """A lower bound of the way from each node to the target by the triangle with each landmark; none if there is no way."""
-        best = np.zeros(len(nodes), self.w.dtype if not self.whole else np.int64)
-        for away, back in self.landmarks:
-            for here, there in ((away[nodes], away[target]), (back[target], back[nodes])):
-                # From a landmark: there - here; to it: here stands for the target. What reaches one end but not the other has no way.
-                open_ = here < self.none
-                cut = open_ & (there >= self.none)
-                gap = np.where(open_ & ~cut, there - np.where(open_, here, 0), 0)
-                best = np.where(cut, self.none, np.maximum(best, gap))
-        return best if self.whole else best * (1 - 1e-9)  # sums of doubles are not exact
+        """A lower bound of the way from each node to the target by the triangle with each landmark; none if there is no way.
+
+        What a landmark reaches has no way to what it doesn't, and likewise for those that reach it; then a gap is about `none`.
+        """
+        best = np.zeros(len(nodes))
+        if self.away.shape[1] and len(nodes):
+            with np.errstate(invalid="ignore"):  # none less none tells nothing
+                gaps = np.fmax(self.away[target] - self.away[nodes], self.back[nodes] - self.back[target])
+            best = np.fmax(np.fmax.reduce(gaps, axis=1), 0)
+        best = np.where(best > self.none / 2, self.none, best)
+        return best.astype(np.int64) if self.whole else best * (1 - 1e-9)  # sums of doubles are not exact
 
     def place(self, nodes: np.ndarray) -> np.ndarray:
         """Index of each node, -1 for those without an edge."""
@@ -198,7 +200,7 @@ class Arrays:
         first = total(now)[0]
         if first >= self.none:
             return dist, 0
-        step = self.step / 8  # narrow: few nodes lie off the way if bounds are good
+        step = self.step / 2  # few nodes lie off the way if bounds are good
         upto = first + step
         while True:
             while len(now):
