@@ -1,13 +1,14 @@
 """HTTP sources: street and water documents, timetable archives, congestion readings, matrices.
 
 Requests go through `fetch`, a function from (url, body or None) to (status, headers, bytes); tests and
-boxes without a network hand in their own. Rates hold for each task, so the number of
-partitions times the rate of one is what a provider sees.
+boxes without a network hand in their own. Rates hold for the whole job: its tasks take turns
+by the clock, so a provider sees one rate however many of them ask.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 import time
 import urllib.error
@@ -16,6 +17,7 @@ import urllib.request
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, Not
@@ -63,6 +65,31 @@ class Pace:
         self.next = max(now, self.next) + self.gap
 
 
+class Turns:
+    """Lets the calls of all of a job's tasks through at most `qps` times a second.
+
+    Time is cut into slots of 1 / qps seconds, the same for all tasks, and task k of n has every n-th slot from the k-th on. A call starts where
+    a slot does, and a slot is used once, so no two calls of the job are closer than a slot, whenever tasks begin, wait or begin anew.
+    Executors must have the same time of day, as clusters do.
+    """
+
+    def __init__(self, qps: float, task: int, tasks: int, clock=time.time, sleep=time.sleep):
+        self.qps, self.task, self.tasks, self.clock, self.sleep, self.used = qps, task, tasks, clock, sleep, -1
+
+    def wait(self) -> None:
+        slot = max(math.floor(self.clock() * self.qps), self.used) + 1
+        slot += (self.task - slot) % self.tasks
+        self.used = slot
+        while (now := self.clock()) < slot / self.qps:
+            self.sleep(slot / self.qps - now)
+
+
+def own_turns(qps: float, tasks: int) -> Turns:
+    """The turns of the task that this runs in."""
+    context = TaskContext.get()
+    return Turns(qps, context.partitionId() if context else 0, tasks)
+
+
 def first_answer(urls: Iterable[str], body: bytes | None, ask: Fetch = fetch) -> bytes:
     """The body of the first of several endpoints that answers with something."""
     failures = []
@@ -276,14 +303,16 @@ def flow_reading(status: int, headers: dict, data: bytes, sleep=time.sleep, clos
     return min(max(ratio, 1.0), 4.0), flow.get("currentSpeed"), flow.get("freeFlowSpeed")
 
 
-def flow_readings(points: DataFrame, url: str, tasks: int = 4, qps_each: float = 1.0, ask: Fetch = fetch) -> DataFrame:
+def flow_readings(points: DataFrame, url: str, tasks: int = 4, qps: float = 4.0, ask: Fetch = fetch) -> DataFrame:
     """(id, lat, lng, factor, current_kmh, freeflow_kmh, status) of points (id, lat, lng); url has {lat} and {lng}.
 
+    `tasks` tasks ask at once, together qps times a second at most.
+
     Points that fail are free flow, and status says why: it is 'ok', 'no road', or what went wrong.
     """
 
     def run(batches):
-        pace = Pace(qps_each)
+        pace = own_turns(qps, tasks)
         for batch in batches:
             rows = []
             for lat, lng in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -320,11 +349,11 @@ def block_seconds(data: bytes) -> list[list[int | None]]:
     return [[(e.get("duration_in_traffic") or e["duration"])["value"] if e["status"] == "OK" else None for e in row["elements"]] for row in said["rows"]]
 
 
-def matrix_seconds(blocks: DataFrame, url: str, qps: float = 0.8, ask: Fetch = fetch) -> DataFrame:
-    """(i, j, seconds) of matrix_blocks; url has {origins} and {destinations}. One task asks, as such services are paid by rate."""
+def matrix_seconds(blocks: DataFrame, url: str, qps: float = 0.8, ask: Fetch = fetch, tasks: int = 4) -> DataFrame:
+    """(i, j, seconds) of matrix_blocks; url has {origins} and {destinations}. `tasks` tasks ask at once, together qps times a second at most."""
 
     def run(batches):
-        pace = Pace(qps)
+        pace = own_turns(qps, tasks)
         for batch in batches:
             for origins, destinations in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 said = ["|".join(f"{p['lat']},{p['lng']}" for p in side) for side in (origins, destinations)]
@@ -339,4 +368,4 @@ def matrix_seconds(blocks: DataFrame, url: str, qps: float = 0.8, ask: Fetch = f
                 rows = [(o["id"], d["id"], 0 if o["id"] == d["id"] else s) for o, row in zip(origins, retry(one), strict=True) for d, s in zip(destinations, row, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["i", "j", "seconds"])
 
-    return blocks.select("origins", "destinations").repartition(1).mapInArrow(run, "i long, j long, seconds int")
+    return blocks.select("origins", "destinations").repartition(tasks).mapInArrow(run, "i long, j long, seconds int")

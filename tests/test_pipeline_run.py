@@ -124,7 +124,7 @@ def test_failed_readings_say_why(spark):
         return (200, {}, flow) if url.endswith("1.0") else (400, {}, b"") if url.endswith("2.0") else (403, {}, b"")
 
     points = spark.createDataFrame([(i, float(i), 0.0) for i in (1, 2, 3)], "id long, lat double, lng double")
-    rows = {r.id: (r.factor, r.status) for r in http.flow_readings(points, "u://{lng}?{lat}", tasks=1, qps_each=1000, ask=ask).collect()}
+    rows = {r.id: (r.factor, r.status) for r in http.flow_readings(points, "u://{lng}?{lat}", tasks=1, qps=1000, ask=ask).collect()}
     assert rows[1] == (1.5, "ok") and rows[2] == (1.0, "no road") and rows[3][0] == 1.0 and "403" in rows[3][1]
 
 

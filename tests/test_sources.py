@@ -1,5 +1,7 @@
 import gzip
 import json
+import math
+import random
 import zipfile
 
 import pytest
@@ -110,6 +112,38 @@ def test_http_helpers():
     assert "motorway" in http.road_query(1, 2, 3, 4) and http.water_query(1, 2, 3, 4).count("(1,3,2,4)") == 5
 
 
+@pytest.mark.parametrize("tasks", [1, 3, 8])
+@pytest.mark.parametrize("qps", [0.8, 4.0, 7.3])
+def test_one_rate_for_all_tasks(tasks, qps):
+    """Tasks that begin at any time, and whose calls take any time, never ask sooner than a slot after another."""
+    rng, calls = random.Random(tasks), []
+    for task in range(tasks):
+        now = [1.7e9 + rng.random() * 20]
+        turns = http.Turns(qps, task, tasks, clock=lambda now=now: now[0], sleep=lambda s, now=now: now.__setitem__(0, now[0] + s))
+        for _ in range(40):
+            turns.wait()
+            calls.append(now[0])
+            now[0] += rng.choice((0, 0.01, 0.3, 5 * rng.random()))
+    calls.sort()
+    assert min(b - a for a, b in zip(calls, calls[1:], strict=False)) > 0.999 / qps
+    for at in calls:
+        assert sum(at <= c < at + 1 for c in calls) <= math.ceil(qps)
+
+
+def test_tasks_take_their_own_turns(spark):
+    """In a job each task has slots of its own, and all of them together keep the rate."""
+    points = spark.createDataFrame([(i, 47.6, -122.3) for i in range(12)], "id long, lat double, lng double")
+
+    def flow(url, body):
+        import time
+
+        return 200, {}, json.dumps({"flowSegmentData": {"currentTravelTime": 10, "freeFlowTravelTime": 10, "currentSpeed": time.time(), "freeFlowSpeed": 30}}).encode()
+
+    rows = http.flow_readings(points, "http://x/{lat},{lng}", 4, 10.0, flow).collect()
+    at = sorted(r.current_kmh for r in rows)
+    assert len(at) == 12 and min(b - a for a, b in zip(at, at[1:], strict=False)) > 0.04 and at[-1] - at[0] >= 1.05
+
+
 def test_http_sources(spark):
     points = spark.createDataFrame([(0, 47.6, -122.3), (1, 47.7, -122.3)], "id long, lat double, lng double")
 
