@@ -112,6 +112,46 @@ def test_http_helpers():
     assert "motorway" in http.road_query(1, 2, 3, 4) and http.water_query(1, 2, 3, 4).count("(1,3,2,4)") == 5
 
 
+MEMBERS = ["", "\n\n", "a\n\nb\n\n\n", "\ufeffhead\r\nrow\r\n", "no end", "cr\rinside\nlast\r", "é日本😀\n" * 5_000, "x" * 100_000 + "\n\n" + "y", "\r\n\r\nz"]
+
+
+def plain_lines(text):
+    lines = text.encode().decode("utf-8-sig").replace("\r\n", "\n").split("\n")
+    while lines and not lines[-1]:
+        lines.pop()
+    return lines
+
+
+@pytest.mark.parametrize("packing", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED])
+@pytest.mark.parametrize("step", [1, 7, 1 << 20])
+def test_unpacked_lines(packing, step):
+    import zlib
+
+    for text in MEMBERS if step > 1 else MEMBERS[:6]:
+        data = text.encode()
+        pack = zlib.compressobj(wbits=-15)
+        packed = data if packing == zipfile.ZIP_STORED else pack.compress(data) + pack.flush()
+        assert list(files.unpacked_lines(packing, zlib.crc32(data), packed, step)) == plain_lines(text)
+        with pytest.raises(ValueError):
+            list(files.unpacked_lines(packing, zlib.crc32(data) ^ 1, packed, step))
+
+
+def test_members_are_dealt_one_by_one(spark, tmp_path):
+    """One archive of many members is unpacked by many tasks, to the same lines as by the library."""
+    with zipfile.ZipFile(tmp_path / "all.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.mkdir("folder")
+        for i in range(40):
+            z.writestr(f"folder/m{i}.txt", MEMBERS[i % len(MEMBERS)], zipfile.ZIP_STORED if i % 5 else zipfile.ZIP_DEFLATED)
+    rows = files.zip_lines(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.member, r.line)):
+        assert r.feed == "all" and r.line == len(got.setdefault(r.member, []))
+        got[r.member].append(r.text)
+    assert got == {f"folder/m{i}.txt": lines for i in range(40) if (lines := plain_lines(MEMBERS[i % len(MEMBERS)]))}
+    packed = files.members_of(spark.read.format("binaryFile").load(f"{tmp_path}/all.zip"))
+    assert packed.count() == 40 and packed.repartition(8, "feed", "member").withColumn("t", F.spark_partition_id()).select("t").distinct().count() > 4
+
+
 @pytest.mark.parametrize("tasks", [1, 3, 8])
 @pytest.mark.parametrize("qps", [0.8, 4.0, 7.3])
 def test_one_rate_for_all_tasks(tasks, qps):
