@@ -36,7 +36,7 @@ def made(kind, rng):
 
 
 @pytest.mark.parametrize("kind", ["chain", "hub", "ring", "sparse", "dense"])
-@pytest.mark.parametrize("part_edges", [20, 64])
+@pytest.mark.parametrize("part_edges", [24])
 def test_parts_equal_reach(spark, kind, part_edges):
     edges = made(kind, random.Random(7))
     got = graph.strong_components(spark.createDataFrame(edges * 2, "src int, dst int").repartition(3), part_edges=part_edges).collect()
