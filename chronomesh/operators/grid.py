@@ -56,11 +56,19 @@ def land_anchors(points: DataFrame, water: DataFrame) -> DataFrame:
 
 
 def near_bridge(pairs: DataFrame, bridges=BRIDGES) -> DataFrame:
-    """pairs with bridge, the number of the nearest bridge to the segment (lat, lng, r_lat, r_lng), where one is near enough."""
-    known = F.array(*(F.struct(F.lit(lat).alias("lat"), F.lit(lng).alias("lng"), F.lit(i).alias("i")) for i, (_, lat, lng) in enumerate(bridges)))
-    away = F.transform(known, lambda b: F.struct(segment_km(b["lat"], b["lng"], F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng")).alias("km"), b["i"].alias("bridge")))
-    best = F.array_min(away)
-    return pairs.withColumn("_best", best).withColumn("bridge", F.when(F.col("_best.km") < BRIDGE_KM, F.col("_best.bridge"))).drop("_best")
+    """The pairs whose segment (lat, lng, r_lat, r_lng) passes near enough to a bridge, with bridge, the number of the nearest one.
+
+    Distances are columns of one projection, which Spark compiles and in which it works out shared parts once; a lambda over an array
+    of bridges is not compiled. The array of one element keeps the condition above the projection.
+    """
+    km = [segment_km(F.lit(lat), F.lit(lng), F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng")) for _, lat, lng in bridges]
+    away = pairs.select("*", *(k.alias(f"_km{i}") for i, k in enumerate(km)))
+    best = F.least(*(f"_km{i}" for i in range(len(km))))
+    bridge = F.lit(len(km) - 1)
+    for i in reversed(range(len(km) - 1)):
+        bridge = F.when(F.col(f"_km{i}") == best, F.lit(i)).otherwise(bridge)
+    found = away.select(*pairs.columns, F.explode(F.array(F.when(best < BRIDGE_KM, bridge))).alias("bridge"))
+    return found.where("bridge is not null")
 
 
 def mesh(anchors: DataFrame, water: DataFrame, row: float = ROW) -> DataFrame:
@@ -74,6 +82,6 @@ def mesh(anchors: DataFrame, water: DataFrame, row: float = ROW) -> DataFrame:
     spot = samples.withColumn("id", F.struct("id", "t"))
     wet = polygons.in_rings(spot, water).select(F.col("id.id").alias("pair")).distinct()
     land = pairs.where(F.col("d") <= LAND_STEPS * step).join(wet, "pair", "left_anti").select("i", "j", F.lit(0).alias("kind"))
-    crossing = near_bridge(pairs.join(wet, "pair", "left_semi")).where("bridge is not null")
+    crossing = near_bridge(pairs.join(wet, "pair", "left_semi"))
     short = spatial.nearest(crossing, ["bridge"], PER_BRIDGE, ["d", "i", "j"]).select("i", "j", F.lit(1).alias("kind"))
     return land.unionByName(short)
