@@ -7,11 +7,13 @@ or chain at a time.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import KM_PER_DEG, KM_PER_LNG, crosses_ray
+from ..functions.geo import KM_PER_DEG, KM_PER_LNG
 from .shared import settle
 
 Point = tuple[float, float]  # latitude, longitude
@@ -29,15 +31,31 @@ def ring_edges(vertices: DataFrame) -> DataFrame:
 def in_rings(points: DataFrame, vertices: DataFrame) -> DataFrame:
     """(id, ring) for every ring that holds a point: an odd number of its edges cross the point's ray.
 
-    Rings are a mask of a city, at most thousands of edges; points meet only edges whose
-    band of latitudes, in cells of CELL degrees, they lie in.
+    Different places meet the edges of one ring in one band of latitudes, CELL degrees high. Of each latitude in it the edges that
+    cross are found once and sorted by where they cross, so that a place looks up how many lie east of it.
     """
     edges = ring_edges(vertices).where("lat1 <> lat2")
     low, high = F.floor(F.least("lat1", "lat2") / CELL), F.floor(F.greatest("lat1", "lat2") / CELL)
-    banded = edges.withColumn("band", F.explode(F.sequence(low, high)))
-    met = points.withColumn("band", F.floor(F.col("lat") / CELL)).join(banded, "band")
-    hit = crosses_ray(F.col("lat"), F.col("lng"), F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))
-    return met.where(hit).groupBy("id", "ring").count().where("count % 2 = 1").select("id", "ring")
+    banded = edges.select("ring", "lat1", "lng1", "lat2", "lng2", F.explode(F.sequence(low, high)).alias("band"))
+    places = points.select("lat", "lng").distinct().withColumn("band", F.floor(F.col("lat") / CELL))
+    met = places.join(banded.select("band", "ring").distinct(), "band").select("lat", "lng", F.col("band").alias("own_band"), F.col("ring").alias("own_ring"))
+    schema = f"lat double, lng double, ring {vertices.schema['ring'].dataType.simpleString()}"
+    held = met.groupBy("own_band", "own_ring").cogroup(banded.groupBy("band", "ring")).applyInArrow(_odd_places, schema)
+    return points.join(held, ["lat", "lng"]).select("id", "ring")
+
+
+def _odd_places(places: pa.Table, edges: pa.Table) -> pa.Table:
+    """The places east of which an odd number of a ring's edges cross their latitude; half-open in latitude, as geo.crosses_ray."""
+    lat, lng = (places.column(c).to_numpy() for c in ("lat", "lng"))
+    lat1, lng1, lat2, lng2 = (edges.column(c).to_numpy() for c in ("lat1", "lng1", "lat2", "lng2"))
+    order = np.argsort(lat, kind="stable")
+    odd = np.zeros(len(lat), bool)
+    for own in np.split(order, np.flatnonzero(np.diff(lat[order])) + 1) if len(lat) else ():
+        y = lat[own[0]]
+        cross = (lat1 > y) != (lat2 > y)
+        at = np.sort((lng2[cross] - lng1[cross]) * (y - lat1[cross]) / (lat2[cross] - lat1[cross]) + lng1[cross])
+        odd[own] = (len(at) - np.searchsorted(at, lng[own], side="right")) % 2 == 1
+    return places.select(["lat", "lng", "own_ring"]).rename_columns(["lat", "lng", "ring"]).filter(pa.array(odd))
 
 
 CELL = 0.01
