@@ -110,6 +110,32 @@ def test_snap_equals_brute_force(spark):
     assert got == {p[0]: min(nodes, key=lambda n: metres(p, n))[0] for p in points}
 
 
+def test_places_share_a_search_and_no_pair_is_sorted(spark):
+    rng = random.Random(5)
+    nodes = [(i, 47.5 + i % 9 * 0.01, -122.4 + rng.random() * 0.1) for i in range(60)]
+    nodes += [(100 + i, *nodes[i][1:]) for i in range(60)] + [(999, None, -122.4)]
+    points = [(i, 47.5 + i % 7 * 0.012, -122.4 + i % 5 * 0.02) for i in range(140)] + [(999, None, -122.4)]
+    df = spark.createDataFrame(points, "id long, lat double, lng double")
+    nd = spark.createDataFrame(nodes, "node long, r_lat double, r_lng double")
+    km = lambda p, n: math.hypot((p[1] - n[1]) * geo.KM_PER_DEG, (p[2] - n[2]) * geo.KM_PER_LNG)
+    whole = lambda p: sorted((km(p, n), n[0]) for n in nodes[:-1])
+    lists, spatial.LIST = spatial.LIST, 7
+    try:
+        places = spatial.nearest_places(df, nd, 5, geo.flat_km, **spatial.within_km(1.5))
+        got = {r.id: [x.node for x in r.best] for r in df.join(places, ["lat", "lng"]).collect()}
+        assert got == {p[0]: [n for d, n in whole(p) if d <= 1.5][:5] for p in points[:-1]}
+        window = lambda p: [n for n in nodes[:-1] if all(abs(math.floor(n[i] / c) - math.floor(p[i] / c)) <= 1 for i, c in ((1, 0.0108), (2, 0.016)))]
+        near = spatial.nearest_in_window(df, nd, 6, 0.0108, 0.016, 1)
+        got = {r.id: [x.node for x in r.best] for r in df.join(near, ["lat", "lng"]).collect()}
+        want = {p[0]: [n for _, n in sorted((km(p, n), n[0]) for n in window(p))][:6] for p in points[:-1]}
+        assert got == {p: n for p, n in want.items() if n}
+        # Nodes are sorted, and the best of a place; 140 points with all 120 nodes in sight are 28 rows, not 28 * 120.
+        one = spatial._nearest_in_cells(df.select("lat", "lng").where("lat is not null").distinct(), nd.where("r_lat is not null"), 5, geo.flat_km, 1.0, 4)
+        assert one.count() == len({p[1:] for p in points[:-1]}) and "Window" in one._jdf.queryExecution().executedPlan().toString().split("Join")[-1]
+    finally:
+        spatial.LIST = lists
+
+
 def test_layout_recovers_a_map(spark):
     rng = np.random.default_rng(4)
     xy = rng.random((30, 2)) * 10
