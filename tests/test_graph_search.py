@@ -115,3 +115,16 @@ def test_routes_for_few_and_many_targets(spark, kernel):
     if not kernel:  # a node without edges is reached by itself in both
         assert got.pop((7777, 7777), (0, [7777])) == want.pop((7777, 7777))
     assert got == want
+
+
+def test_searches_from_both_ends_see_little_of_a_random_graph_and_clear_what_they_touched(spark):
+    n = 20_000
+    edges = [(i, (i * a + b) % n, 1 + (i * 7919 + b) % 50) for i in range(n) for a, b in ((1, 1), (7, 5), (13, 11))]
+    df = spark.createDataFrame(edges, "src long, dst long, w long")
+    arrays = graph.Arrays(graph.least_edges(df)).with_landmarks()
+    for k in range(30):
+        at, end = k * 661 % n, (k * 7907 + 13) % n
+        got, count = arrays.toward(at, end)
+        whole = arrays.distances(at)
+        assert got[end] == whole[end] and arrays.way(at, end, got) == arrays.way(at, end, whole)
+        assert count < n / 20  # landmarks alone prune next to nothing here
