@@ -38,10 +38,9 @@ def trip_patterns(stop_times: DataFrame) -> tuple[DataFrame, DataFrame]:
 def near_transfers(stops: DataFrame, km: float = 0.2) -> DataFrame:
     """(a, b, sec) between stops (id, lat, lng) at most km apart, both ways."""
     right = stops.select(F.col("id").alias("b"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"))
-    pairs = spatial.within(stops, right, km).where(F.col("id") < F.col("b"))
+    pairs = spatial.within(stops, right, km).where(F.col("id") != F.col("b"))
     sec = F.greatest(F.lit(30), F.floor(1.3 * F.col("d") * 1000 / 1.35 + 0.5)).cast("long")
-    one = pairs.select(F.col("id").alias("a"), "b", sec.alias("sec"))
-    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "sec"))
+    return pairs.select(F.col("id").alias("a"), "b", sec.alias("sec"))
 
 
 def declared_seconds(text) -> F.Column:

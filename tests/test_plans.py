@@ -21,3 +21,10 @@ def test_a_matrix_of_anchors_moves_no_pair(spark, name):
 def test_pairs_of_anchors_are_dealt_to_tasks_and_compiled(spark, name):
     plan = plan_of(spark, name)
     assert "REPARTITION_BY_NUM" in plan and "lambdafunction" not in plan
+
+
+@pytest.mark.parametrize("name", ["j3_radius_join", "j5_transfers", "u2_all_transfers", "j15_mesh_candidates", "j14_all_pairs", "j21_access_lookup"])
+def test_pairs_are_dealt_to_tasks_by_their_number_and_not_moved(spark, name):
+    plan = plan_of(spark, name)
+    assert "REPARTITION_BY_NUM" in plan
+    assert "Exchange" not in plan.split("Join")[0]  # nothing after the last join
