@@ -28,3 +28,10 @@ def test_pairs_are_dealt_to_tasks_by_their_number_and_not_moved(spark, name):
     plan = plan_of(spark, name)
     assert "REPARTITION_BY_NUM" in plan
     assert "Exchange" not in plan.split("Join")[0]  # nothing after the last join
+
+
+def test_a_route_report_makes_the_times_of_its_routes_alone(spark):
+    from chronomesh.plans import layouts, scalar
+
+    got = {(r.i, r.j): r.seconds for r in layouts.neighbour_times(spark, SF).collect()}
+    assert got == {(r.i, r.j): r.seconds for r in scalar.synthetic(spark, SF).collect() if abs(r.i - r.j) == 1}
