@@ -48,30 +48,45 @@ def declared_seconds(text) -> F.Column:
     return F.greatest(F.coalesce(F.nullif(text, F.lit("")).try_cast("long"), F.lit(120)), F.lit(30))
 
 
-def board(labels: DataFrame, trips: DataFrame) -> DataFrame:
-    """(source, pattern, pos, trip): the earliest trip that can be caught at each stop of each pattern.
+def catches(labels: DataFrame, trips: DataFrame) -> DataFrame:
+    """(stop, arr, pattern, pos, trip): the earliest trip of each pattern that can be caught by someone who is at a stop at a time.
 
-    Departures and labels of a place are sorted by time together, so that a running minimum from the latest
-    departure on gives each label its trip; no label meets the trips one by one.
+    That depends on no source, so each time (arr) at a stop is looked up once, however many sources have it. Departures after a
+    stop's last time are one row, and those before its first none; the others and the times are sorted together, so that a
+    running minimum from the latest departure on gives each time its trip.
     """
-    leave = trips.groupBy("pattern", "pos", "stop", "dep").agg(F.min("trip").alias("trip"))
-    places = trips.select("pattern", "pos", "stop").distinct()
-    met = labels.join(places, "stop").select("pattern", "pos", "stop", F.col("arr").alias("at"), "source", F.lit(None).cast("long").alias("trip"), F.lit(0).alias("kind"))
-    both = met.unionByName(leave.select("pattern", "pos", "stop", F.col("dep").cast(dict(labels.dtypes)["arr"]).alias("at"), F.lit(None).cast(dict(labels.dtypes)["source"]).alias("source"), F.col("trip").cast("long").alias("trip"), F.lit(1).alias("kind")))
+    times = settle(labels.select("stop", "arr").distinct())
+    kind = dict(times.dtypes)["arr"]
+    span = times.groupBy("stop").agg(F.min("arr").alias("first"), F.max("arr").alias("last"))
+    leave = trips.join(span, "stop").where(F.col("dep") >= F.col("first")).groupBy("pattern", "pos", "stop", F.least(F.col("dep").cast(kind), "last").alias("at")).agg(F.min("trip").cast("long").alias("trip"))
+    leave = settle(leave)
+    met = times.join(leave.select("pattern", "pos", "stop").distinct(), "stop").select("pattern", "pos", "stop", F.col("arr").alias("at"), F.lit(None).cast("long").alias("trip"), F.lit(0).alias("kind"))
+    both = met.unionByName(leave.withColumn("kind", F.lit(1)))
     later = Window.partitionBy("pattern", "pos", "stop").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     caught = both.withColumn("next", F.min("trip").over(later)).where("kind = 0 and next is not null")
-    return caught.groupBy("source", "pattern", "pos").agg(F.min("next").alias("trip"))
+    return caught.select("stop", F.col("at").alias("arr"), "pattern", "pos", F.col("next").alias("trip"))
+
+
+def board(labels: DataFrame, trips: DataFrame, caught: DataFrame | None = None) -> DataFrame:
+    """(source, pattern, pos, trip): the earliest trip that can be caught at each stop of each pattern; caught are the catches of labels, if known."""
+    found = catches(labels, trips) if caught is None else caught
+    return labels.join(found, ["stop", "arr"]).groupBy("source", "pattern", "pos").agg(F.min("trip").alias("trip"))
 
 
 def ride(boarded: DataFrame, trips: DataFrame) -> DataFrame:
     """(source, stop, arr): arrivals further along, by the least trip boarded at any earlier stop."""
-    places = trips.select("pattern", "pos").distinct()
-    every = boarded.select("source", "pattern").distinct().join(places, "pattern").join(boarded, ["source", "pattern", "pos"], "left")
-    earlier = Window.partitionBy("source", "pattern").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    on = every.withColumn("on", F.min("trip").over(earlier)).where("on is not null").select("source", "pattern", "pos", F.col("on").alias("trip"))
+    places = trips.select("pattern", F.col("pos").alias("to")).distinct()
+    on = boarded.join(places, "pattern").where("pos < to").groupBy("source", "pattern", F.col("to").alias("pos")).agg(F.min("trip").alias("trip"))
     return on.join(trips.select("pattern", "pos", "trip", "stop", "arr"), ["pattern", "pos", "trip"]).groupBy("source", "stop").agg(F.min("arr").alias("arr"))
 
 
+def ridden(labels: DataFrame, trips: DataFrame) -> DataFrame:
+    """(source, stop, arr): where a vehicle takes those of labels. Only trips that someone catches are met; labels are dealt by source once, and the rest is done there."""
+    caught = settle(catches(labels, trips))
+    few = settle(trips.join(caught.select("pattern", "trip").distinct(), ["pattern", "trip"]))
+    return ride(board(labels.repartition("source"), trips, caught), few)
+
+
 def improve(labels: DataFrame, new: DataFrame, step: int) -> DataFrame:
     """labels (source, stop, arr, step) after new (source, stop, arr): step is that of the last strict improvement."""
     none = F.lit(None)
@@ -101,8 +116,7 @@ def arrival_steps(trips: DataFrame, foot: DataFrame, access: DataFrame, rounds:
         fresh = steps[-1].where(F.col("step") >= step - 2)
         if fresh.isEmpty():
             break
-        rode = ride(board(fresh.select("source", "stop", "arr"), trips), trips)
-        steps.append(settle(improve(steps[-1], rode, step)))
+        steps.append(settle(improve(steps[-1], ridden(fresh.select("source", "stop", "arr"), trips), step)))
         steps.append(settle(improve(steps[-1], on_foot(steps[-1], foot, step), step + 1)))
     return steps
 
