@@ -163,7 +163,10 @@ def journeys(trips: DataFrame, foot: DataFrame, access: DataFrame, targets: Data
         open_ = todo.where("step > 0")
         if open_.isEmpty():
             break
-        rode = open_.where("step % 2 = 0").join(arrive, ["at", "arr"]).join(leave, ["pattern", "trip"]).where("pos < last").join(before, ["source", "from"]).where("past < step and then <= dep")
+        # What few ends ask for is written before it meets a large table again, so that neither trips nor labels are moved for it.
+        left = settle(open_.where("step % 2 = 0").join(arrive, ["at", "arr"]))
+        left = settle(left.join(leave, ["pattern", "trip"]).where("pos < last"))
+        rode = left.join(before, ["source", "from"]).where("past < step and then <= dep")
         rode = rode.select("source", "target", "end", "legs", "from", "then", "past", leg("ride", F.col("pattern"), F.col("trip")).alias("leg"), F.array("pattern", "trip", "pos", -F.col("past")).alias("rank"))
         hop = open_.where("step % 2 = 1").join(foot.select(F.col("a").alias("from"), F.col("b").alias("at"), "sec"), "at").join(before, ["source", "from"]).where("past = step - 1 and then + sec = arr")
         hop = hop.select("source", "target", "end", "legs", "from", "then", "past", leg("foot", none, none).alias("leg"), F.array("from").alias("rank"))
