@@ -35,3 +35,19 @@ def test_a_route_report_makes_the_times_of_its_routes_alone(spark):
 
     got = {(r.i, r.j): r.seconds for r in layouts.neighbour_times(spark, SF).collect()}
     assert got == {(r.i, r.j): r.seconds for r in scalar.synthetic(spark, SF).collect() if abs(r.i - r.j) == 1}
+
+
+def test_a_drive_matrix_moves_no_pair(spark):
+    plan = plan_of(spark, "g7_masked_matrix")
+    assert "Join" not in plan and "Cartesian" not in plan
+
+
+def test_a_drive_matrix_with_holes_equals_rounds_of_joins(spark):
+    from chronomesh.operators import graph
+
+    edges = spark.createDataFrame([(1, 2, 1.4), (2, 3, 1.2), (3, 1, 0.3), (2, 1, None), (3, 4, 5.0)], "src long, dst long, w double")
+    snapped = spark.createDataFrame([(10, 1), (11, 1), (12, 3), (13, 4), (14, 9), (15, 9)], "id long, node long")
+    rows = lambda **how: {(r.i, r.j): r.seconds for r in graph.drive_matrix(edges, snapped, **how).collect()}
+    whole, known = rows(holes=True), rows()
+    assert len(whole) == 36 and whole == rows(holes=True, kernel=False) and known == rows(kernel=False) == {k: v for k, v in whole.items() if v is not None}
+    assert (whole[10, 12], whole[10, 13], whole[13, 10], whole[14, 15], whole[14, 10]) == (3, 8, None, 0, None)
