@@ -75,7 +75,7 @@ def fetch_matrix(spark: SparkSession, folder: str, mode: str, slice: str, env: M
             found = providers.google_matrix(anchors, env, int(env["CHRONOMESH_DEPARTURE"]))
         else:
             found = providers.synthetic_matrix(anchors)
-    files.write_json(documents.matrix_document(found, mode, slice, provider), f"{folder}/matrix-{mode}-{slice}.json")
+    files.write_json_lines(documents.matrix_lines(found, mode, slice, provider), f"{folder}/matrix-{mode}-{slice}.json")
 
 
 def embed(spark: SparkSession, folder: str, mode: str, slice: str, rounds: int = 150) -> None:

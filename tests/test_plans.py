@@ -51,3 +51,13 @@ def test_a_drive_matrix_with_holes_equals_rounds_of_joins(spark):
     whole, known = rows(holes=True), rows()
     assert len(whole) == 36 and whole == rows(holes=True, kernel=False) and known == rows(kernel=False) == {k: v for k, v in whole.items() if v is not None}
     assert (whole[10, 12], whole[10, 13], whole[13, 10], whole[14, 15], whole[14, 10]) == (3, 8, None, 0, None)
+
+
+def test_a_matrix_is_written_in_lines_where_its_rows_are_made(spark, monkeypatch):
+    from chronomesh.sources import files
+
+    made, write = [], files.write_json_lines
+    monkeypatch.setattr(files, "write_json_lines", lambda df, path: made.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, path))
+    plan_of(spark, "s3_json_sink")
+    own = made[0].split("Union")[-1].split("BroadcastNestedLoopJoin")[0]
+    assert len(made) == 1 and "BroadcastNestedLoopJoin" in made[0] and "Exchange" not in own and "collect_list" not in made[0]

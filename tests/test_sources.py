@@ -47,6 +47,19 @@ def test_grid_traffic_matrix_documents(spark, tmp_path):
     assert files.read_slices(spark, f"{tmp_path}/m", "drive", "s").count() == 2
 
 
+def test_a_matrix_in_lines_equals_the_whole_document(spark, tmp_path):
+    m = spark.createDataFrame([(0, 0, 0), (0, 2, 7), (4, 1, 5), (2, 3, None)], "i long, j long, seconds int").repartition(3)
+    path = f"{tmp_path}/m.json"
+    lines = documents.matrix_lines(m, "drive", "x", "road")
+    files.write_json_lines(lines, path)
+    back = files.read_json(spark, path, schemas.MATRIX)
+    assert back.count() == lines.count() == 5 and {r.n for r in back.collect()} == {5}  # no value holds more than a row
+    rows = lambda doc: {(r.i, r.j): r.seconds for r in documents.matrix_rows(doc).collect()}
+    assert rows(back) == rows(documents.matrix_document(m, "drive", "x", "road")) and len(rows(back)) == 25
+    none = documents.matrix_lines(m.limit(0), "drive", "x", "road")
+    assert none.first().seconds == [] and set(none.columns) == set(back.columns)
+
+
 def test_csv_fields(spark):
     lines = ['a,"b,c","d""e",', "x", "", '"",1']
     df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string")
