@@ -121,7 +121,7 @@ def clip(ring: list[Point], box: Box) -> list[Point]:
 
 
 def links_of(lines: DataFrame, turn: bool = True) -> DataFrame:
-    """(dart, next): lines (seg, tier, line, head, tail) joined where their ends meet.
+    """(dart, next): lines (seg, tier, line, head, tail) joined where their ends meet; next is null where nothing follows.
 
     A dart is a line in one direction, 2 * seg as it is and 2 * seg + 1 turned. The ends at one place are paired in order of
     their lines, the first with the second, the third with the fourth. Without turn a line's end goes with another's beginning,
@@ -133,31 +133,53 @@ def links_of(lines: DataFrame, turn: bool = True) -> DataFrame:
     ranked = ends.withColumn("rank", F.row_number().over(Window.partitionBy(*here).orderBy("line", "side")) - 1)
     if turn:
         pairs = ranked.withColumn("pair", F.floor(F.col("rank") / 2)).groupBy("tier", "place", "pair").agg(F.min(F.struct("rank", "seg", "side")).alias("a"), F.max(F.struct("rank", "seg", "side")).alias("b"))
-        met = pairs.where("a.rank < b.rank").select("a.seg", "a.side", F.col("b.seg").alias("other"), F.col("b.side").alias("other_side"))
+        two = F.col("a.rank") < F.col("b.rank")
+        met = pairs.select("a.seg", "a.side", F.when(two, F.col("b.seg")).alias("other"), F.when(two, F.col("b.side")).alias("other_side"))
     else:
-        begin = ranked.where("side = 0").select("tier", "place", "rank", F.col("seg").alias("other"), F.lit(0).alias("other_side"))
-        met = ranked.where("side = 1").join(begin, ["tier", "place", "rank"]).select("seg", "side", "other", "other_side")
+        begin = ranked.where("side = 0").select("tier", "place", "rank", F.col("seg").alias("other"), F.col("side").alias("other_side"))
+        met = ranked.where("side = 1").join(begin, ["tier", "place", "rank"], "full_outer").select("seg", "side", "other", "other_side")
     # Who leaves by its tail goes forward, who enters by its head too.
     link = lambda a, a_side, b, b_side: F.struct((2 * F.col(a) + 1 - F.col(a_side)).alias("dart"), (2 * F.col(b) + F.col(b_side)).alias("next"))
-    return met.select(F.inline(F.array(link("seg", "side", "other", "other_side"), link("other", "other_side", "seg", "side"))))
+    return met.select(F.inline(F.array(link("seg", "side", "other", "other_side"), link("other", "other_side", "seg", "side")))).where("dart is not null")
 
 
-def ranked_darts(darts: DataFrame) -> DataFrame:
-    """(dart, next, least, steps) for rows (dart, next, least): how many darts follow, and the least label of a dart and those that follow.
+def ranked_darts(darts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dart, end, steps) for rows (dart, next): the last dart that follows, and how many follow; and the darts (dart) that go in circles.
 
-    Each round doubles how far a pointer goes. Darts in a circle keep a pointer, and have the least label of the circle.
+    Each round doubles how far a pointer goes. A dart that has its end stays only while others point to it, and a round in which none
+    gets its end leaves circles alone.
     """
-    now = settle(darts.select("dart", "next", "least", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.lit(True).alias("moved")))
-    while now.where("moved and next is not null").limit(1).count():
-        ahead = now.select(F.col("dart").alias("next"), F.col("next").alias("far"), F.col("least").alias("other"), F.col("steps").alias("more"))
-        met = now.where("next is not null").join(ahead, "next")
-        less = F.least("least", "other")
-        step = met.select("dart", F.col("far").alias("next"), less.alias("least"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("far").isNull() | (less != F.col("least"))).alias("moved"))
-        after = settle(now.where("next is null").withColumn("moved", F.lit(False)).unionByName(step))
+    # 0 has no end yet, 1 got it in this round, 2 had it and is pointed to, 3 is not and stays out of the rounds that follow.
+    now = settle(darts.select("dart", F.coalesce("next", "dart").alias("to"), F.col("next").isNotNull().cast("long").alias("steps"), F.col("next").isNull().cast("int").alias("state")))
+    out = []
+    while True:
+        here = now.where("state <> 3")
+        kinds = {r["state"]: r["count"] for r in now.groupBy("state").count().collect()}
+        if not kinds.get(0) or not kinds.get(1):
+            break
+        x = here.where("state = 0").select("dart", "to", "steps")
+        y = here.select(F.col("dart").alias("at"), F.col("to").alias("far"), F.col("steps").alias("more"), (F.col("state") > 0).alias("ended"))
+        row = lambda dart, to, steps, state: F.struct(F.col(dart).alias("dart"), F.col(to).alias("to"), steps.alias("steps"), state.cast("int").alias("state"))
+        led = F.col("dart").isNotNull()
+        moved = F.when(led, row("dart", "far", F.col("steps") + F.col("more"), F.col("ended")))
+        stays = F.when(F.col("ended"), row("at", "far", F.col("more"), F.when(led, 2).otherwise(3)))
+        out.append(now.where("state = 3"))
+        now = settle(x.join(y, F.col("to") == F.col("at"), "full_outer").select(F.inline(F.filter(F.array(moved, stays), F.isnotnull))))
+    ended = now.where("state > 0")
+    for part in out:
+        ended = ended.unionByName(part)
+    return ended.select("dart", F.col("to").alias("end"), "steps"), now.where("state = 0").select("dart")
+
+
+def circle_starts(darts: DataFrame) -> DataFrame:
+    """(dart, least) for rows (dart, next) that all go in circles: the least dart of each one's circle."""
+    now = settle(darts.select("dart", "next", F.col("dart").alias("least")))
+    while True:
+        ahead = now.select(F.col("dart").alias("next"), F.col("next").alias("far"), F.col("least").alias("other"))
+        after = settle(now.join(ahead, "next").select("dart", F.col("far").alias("next"), F.least("least", "other").alias("least"), (F.col("other") < F.col("least")).alias("moved")))
         if not after.where("moved").limit(1).count():
-            return after.drop("moved")
-        now = after.withColumn("moved", F.lit(True))
-    return now.drop("moved")
+            return after.select("dart", "least")
+        now = after.drop("moved")
 
 
 def chains(lines: DataFrame, turn: bool = True) -> DataFrame:
@@ -166,30 +188,25 @@ def chains(lines: DataFrame, turn: bool = True) -> DataFrame:
     A chain is named by its first line in order, which goes the way it is drawn; a closed one begins with it. Lines without
     nodes are left out. Joints hold a node once.
     """
-    own = settle(lines.where(F.size("nodes") > 0).select("tier", "line", "nodes", "head", "tail").withColumn("seg", F.monotonically_increasing_id()))
-    flat = own.select("seg", "tier", "line", "head", "tail")
-    links = settle(links_of(flat, turn))
-    name = F.struct("line", F.col("turned"), F.col("dart"))
-    both = own.select("line", F.inline(F.array(*(F.struct((2 * F.col("seg") + n).alias("dart"), F.lit(n).alias("turned")) for n in (0, 1)))))
-    darts = settle(both.join(links, "dart", "left").select("dart", "next", name.alias("least")))
-    ranked = settle(ranked_darts(darts))
-    circles = ranked.where("next is not null").select("dart", "least")
-    # A circle is cut before its first line, in the direction in which that line is not turned.
-    cut = darts.select("dart", "next").join(circles.where("least.turned = 0"), "dart").select("dart", F.when(F.col("next") != F.col("least.dart"), F.col("next")).alias("next"), "least")
-    wheels = ranked_darts(cut).select("dart", F.col("least.line").alias("chain"), "steps")
-    # What follows a dart's mirror is what comes before the dart.
-    open_ = ranked.where("next is null").select(F.floor(F.col("dart") / 2).alias("seg"), (F.col("dart") % 2).alias("turned"), "least", "steps")
-    way = lambda n: open_.where(f"turned = {n}").select("seg", F.col("least").alias(f"least{n}"), F.col("steps").alias(f"steps{n}"))
-    sides = way(0).join(way(1), "seg")
-    ahead = F.col("least0.line") <= F.col("least1.line")
-    forward = F.when(ahead, F.col("least0.turned") == 0).otherwise(F.col("least1.turned") == 1)
-    rows = sides.select((2 * F.col("seg") + F.when(forward, 0).otherwise(1)).alias("dart"), F.least("least0.line", "least1.line").alias("chain"), F.when(forward, F.col("steps0")).otherwise(F.col("steps1")).alias("steps"))
-    placed = rows.unionByName(wheels).select("chain", "steps", F.floor(F.col("dart") / 2).alias("seg"), (F.col("dart") % 2 == 1).alias("turned"))
+    # Segments are numbered in order of their lines, so that the least dart of a chain is of its first line.
+    dealt = lines.where(F.size("nodes") > 0).select("tier", "line", "nodes", "head", "tail").repartitionByRange("line").sortWithinPartitions("line")
+    own = settle(dealt.withColumn("seg", F.monotonically_increasing_id()))
+    darts = settle(links_of(own.select("seg", "tier", "line", "head", "tail"), turn))
+    ranked, round_ = ranked_darts(darts)
+    ranked, circles = settle(ranked), settle(darts.join(round_, "dart", "left_semi"))
+    if not circles.isEmpty():
+        # A circle is cut before its first line, in the direction in which that line is not turned.
+        starts = circle_starts(circles).where("least % 2 = 0")
+        cut = circles.join(starts, "dart").select("dart", F.when(F.col("next") != F.col("least"), F.col("next")).alias("next"))
+        ranked = ranked.unionByName(ranked_darts(cut)[0])
+    # Of a chain's two directions the one in which its first line is not turned.
+    drawn_way = ranked.groupBy("end").agg(F.min("dart").alias("first")).where("first % 2 = 0")
+    placed = ranked.join(drawn_way, "end").select("first", "steps", F.floor(F.col("dart") / 2).alias("seg"), (F.col("dart") % 2 == 1).alias("turned"))
     drawn = placed.join(own, "seg").select(
-        "tier", "chain", (-F.col("steps")).alias("at"), F.when(F.col("turned"), F.reverse("nodes")).otherwise(F.col("nodes")).alias("nodes"),
+        "tier", "first", "line", "seg", (-F.col("steps")).alias("at"), F.when(F.col("turned"), F.reverse("nodes")).otherwise(F.col("nodes")).alias("nodes"),
         F.when(F.col("turned"), F.col("tail")).otherwise(F.col("head")).alias("head"), F.when(F.col("turned"), F.col("head")).otherwise(F.col("tail")).alias("tail"),
     )
-    whole = drawn.groupBy("tier", "chain").agg(F.array_sort(F.collect_list(F.struct("at", "nodes"))).alias("parts"), F.min_by("head", "at").alias("head"), F.max_by("tail", "at").alias("tail"))
+    whole = drawn.groupBy("tier", "first").agg(F.min_by("line", "seg").alias("chain"), F.array_sort(F.collect_list(F.struct("at", "nodes"))).alias("parts"), F.min_by("head", "at").alias("head"), F.max_by("tail", "at").alias("tail"))
     rest = F.flatten(F.transform("parts", lambda p, i: F.when(i == 0, p["nodes"]).otherwise(F.slice(p["nodes"], F.lit(2), F.size(p["nodes"])))))
     return whole.select("tier", "chain", rest.alias("nodes"), (F.col("head") == F.col("tail")).alias("closed"))
 

@@ -56,3 +56,15 @@ def test_assembled_rings(spark):
     df = spark.createDataFrame(rows, "layer string, part long, pos int, points array<struct<lat:double,lon:double>>")
     got = {(r.chain.part, r.chain.pos): (r.closed, [(p.lat, p.lon) for p in r.points]) for r in polygons.assembled(df).collect()}
     assert got == {(1, 0): (True, [(0, 0), (0, 1), (1, 1)]), (2, 0): (False, [(5, 5), (6, 6)]), (3, 0): (False, [(8, 8), (9, 9), (8, 8)])}
+
+
+def test_darts_of_finished_chains_are_not_moved_again(spark, monkeypatch):
+    """Many short chains and a long one: rounds after the short ones' end hold the long one's darts alone."""
+    sizes = []
+    monkeypatch.setattr(polygons, "settle", lambda df, f=polygons.settle: (lambda now: sizes.append(now.count()) or now)(f(df)))
+    lengths = [3] * 300 + [100]
+    darts = [(1000 * c + k, 1000 * c + k + 1 if k + 1 < n else None) for c, n in enumerate(lengths) for k in range(n)]
+    ended, circles = polygons.ranked_darts(spark.createDataFrame(darts + [(-1, -2), (-2, -1)], "dart long, next long"))
+    want = {(1000 * c + k, 1000 * c + n - 1, n - 1 - k) for c, n in enumerate(lengths) for k in range(n)}
+    assert {tuple(r) for r in ended.collect()} == want and {r.dart for r in circles.collect()} == {-1, -2}
+    assert sizes[0] == len(darts) + 2 and sizes[-1] <= 102
