@@ -5,7 +5,8 @@ shingles are reduced to one before all else. Of a set are kept its size, a SimHa
 WORDS * 64 bits over its different shingles, and BANDS keys, each of MINIMA min-wise
 samples of the set. Two sets of similarity s share a key with probability s ** MINIMA, and sets
 that share few shingles hardly ever do, however many there are, which bands of SimHash bits
-can't give at similarity 0.8. Sets that share a key are a cell.
+can't give at similarity 0.8. Sets that share a key are a cell. A cell's fingerprints are searched by the tree
+of `simhash`, in Gray order: whole branches whose shared bits already differ too often are dropped.
 
 1. Within a cell, fingerprints give a spanning forest of near pairs. Each set keeps two pairs of
    all its cells at most, which are checked exactly. So a large group of copies costs little more than its size.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, map_arrow, settle, small_batches
 from .components import components
-from .simhash import Forest, majority_bits, spread_join
+from .simhash import Forest, bits_of, gray_order, majority_bits, spread_join, tree, tree_pairs
 
 #: Pairs at similarity 0.8 share a key with probability 1 - (1 - 0.8 ** 4) ** 16 = 0.9998.
 WORDS, BANDS, MINIMA = 4, 16, 4
@@ -246,19 +247,43 @@ class Judge:
         low, high = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
         fits = low / np.maximum(high, 1) >= self.similarity
         a, b, high = a[fits], b[fits], high[fits]
-        bits = np.bitwise_count(self.codes[a] ^ self.codes[b]).sum(axis=1, dtype=np.int64)
+        bits = bits_of(self.codes[a] ^ self.codes[b])
         order = np.argsort(bits, kind="stable")
         order = order[(bits[order] <= self.radius) | (high[order] < FEW)]
         return a[order], b[order], bits[order]
 
 
+def met_in(judge: Judge, cell: np.ndarray, apart) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (a, b) of rows of one cell, a < b, that are apart and may be near by their bits, in parts; rows are sorted by cell.
+
+    Pairs of sets below FEW shingles, which bits don't tell, are all met; all others are sought in the tree.
+    """
+    few = judge.size < FEW
+    small = np.flatnonzero(few)
+    for a, b in pairs_in(cell[small]):
+        a, b = small[a], small[b]
+        keep = apart(a, b)
+        yield a[keep], b[keep]
+    order = gray_order(judge.codes, cell)
+
+    def wanted(x, y):
+        a, b = order[x], order[y]
+        return (a != b) & ~(few[a] & few[b]) & apart(a, b)
+
+    for x, y in tree_pairs(tree(judge.codes[order], cell[order]), judge.radius, PART, wanted):
+        off = x != y  # of cells of one row
+        a, b = order[x[off]], order[y[off]]
+        yield np.minimum(a, b), np.maximum(a, b)
+
+
 def cell_forest(judge: Judge, cell: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spanning forest of the near pairs inside cells, as rows and bits: pairs with a cell's first row, then the nearest ones."""
     forest, out = Forest(int(number.max()) + 1 if len(number) else 0), []
     first, size = cells(cell)
-    for a, b in chain([(np.repeat(first, size), np.arange(len(cell)))], pairs_in(cell)):
-        apart = forest.root[number[a]] != forest.root[number[b]]
-        a, b, bits = judge.near(a[apart], b[apart])
+    apart = lambda a, b: forest.root[number[a]] != forest.root[number[b]]
+    for a, b in chain([(np.repeat(first, size), np.arange(len(cell)))], met_in(judge, cell, apart)):
+        off = apart(a, b)
+        a, b, bits = judge.near(a[off], b[off])
         used = span(forest, number[a], number[b])
         out.append((a[used], b[used], bits[used]))
     return tuple(np.concatenate([np.zeros(0, int), *x]) for x in zip(*out, strict=True))
@@ -267,9 +292,8 @@ def cell_forest(judge: Judge, cell: np.ndarray, number: np.ndarray) -> tuple[np.
 def strangers(judge: Judge, cell: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Rows that are near a row of another label in their cell."""
     found = np.zeros(len(cell), bool)
-    for a, b in pairs_in(cell):
-        apart = label[a] != label[b]
-        a, b, _ = judge.near(a[apart], b[apart])
+    for a, b in met_in(judge, cell, lambda a, b: label[a] != label[b]):
+        a, b, _ = judge.near(a, b)
         found[a] = found[b] = True
     return np.flatnonzero(found)
 
@@ -278,9 +302,8 @@ def exact_links(judge: Judge, cell: np.ndarray, label: np.ndarray, sets: list[np
     """Pairs of rows that link labels: of all near pairs in cells, those as similar as asked, until labels are one."""
     number, left, right = np.unique(label, return_inverse=True)[1], [], []
     forest = Forest(int(number.max()) + 1 if len(number) else 0)
-    for a, b in pairs_in(cell):
-        apart = forest.root[number[a]] != forest.root[number[b]]
-        a, b, _ = judge.near(a[apart], b[apart])
+    for a, b in met_in(judge, cell, lambda a, b: forest.root[number[a]] != forest.root[number[b]]):
+        a, b, _ = judge.near(a, b)
         order = np.argsort(a, kind="stable")  # by row, its nearest first
         a, b = a[order], b[order]
         for x, own in zip(*by_row(a, b), strict=True):

@@ -17,6 +17,7 @@ but never name one. An empty table gives an empty result; further columns are ig
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -96,6 +97,21 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
+def gray_order(codes: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Places of codes, of one word each or a row of words, by cell and Gray rank."""
+    ranks, odd = [], np.zeros(len(codes), np.uint64)
+    for word in codes.reshape(len(codes), -1).T:
+        ranks.append(gray_rank(word) ^ (np.uint64(0) - odd))  # an odd number of bits before a word turns its rank round
+        odd = odd ^ (np.bitwise_count(word).astype(np.uint64) & np.uint64(1))
+    return np.lexsort((*ranks[::-1], cell))
+
+
+def bits_of(codes: np.ndarray) -> np.ndarray:
+    """How many bits of each code, of one word or a row of words, are set."""
+    count = np.bitwise_count(codes)
+    return count if codes.ndim == 1 else count.sum(axis=1, dtype=np.int64)
+
+
 class Forest:
     """Sets of 0..n-1 that are merged by arrays of pairs."""
 
@@ -120,7 +136,7 @@ def tree(codes: np.ndarray, cell: np.ndarray) -> list[tuple[np.ndarray, ...]]:
     A level has, of each node: first child, number of children, cell, shared bits (mask), their values.
     """
     n = len(codes)
-    full = np.full(n, ~np.uint64(0))
+    full = np.full(codes.shape, ~np.uint64(0))
     levels = [(np.arange(n), np.ones(n, np.int64), cell, full, codes)]
     while len(levels[-1][2]) > len(np.unique(levels[-1][2])):
         _, _, own, mask, value = levels[-1]
@@ -128,8 +144,8 @@ def tree(codes: np.ndarray, cell: np.ndarray) -> list[tuple[np.ndarray, ...]]:
         new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         within = np.arange(size) - np.repeat(new, np.diff(np.r_[new, size]))
         first = np.flatnonzero(within % FAN == 0)
-        ones, any_one = np.bitwise_and.reduceat(value, first), np.bitwise_or.reduceat(value, first)
-        shared = np.bitwise_and.reduceat(mask, first) & ~(ones ^ any_one)
+        ones, any_one = np.bitwise_and.reduceat(value, first, axis=0), np.bitwise_or.reduceat(value, first, axis=0)
+        shared = np.bitwise_and.reduceat(mask, first, axis=0) & ~(ones ^ any_one)
         levels.append((first, np.diff(np.r_[first, size]), own[first], shared, ones & shared))
     return levels
 
@@ -146,31 +162,43 @@ def children(level, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return x[keep], y[keep]
 
 
-def link_codes(codes: np.ndarray, cell: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest, as (code, root code), of the links inside cells."""
-    order = np.lexsort((gray_rank(codes), cell))
-    codes, cell = codes[order], cell[order]
-    unique, number = np.unique(codes, return_inverse=True)
-    forest, levels = Forest(len(unique)), tree(codes, cell)
+def tree_pairs(levels: list[tuple[np.ndarray, ...]], radius: int, most: int = PAIRS, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of codes in one cell that differ in `radius` bits at most, each code with itself among them, some `most` at once.
+
+    Nodes whose shared bits differ more often are dropped with all below them. wanted tells pairs of codes that are of use, before their bits are counted.
+    """
     top = len(levels) - 1
     roots = np.arange(len(levels[top][0]))
     todo = [(top, roots, roots)]
     while todo:
         depth, a, b = todo.pop()
         if depth == 0:
-            off = a != b
-            forest.merge(number[a[off]], number[b[off]])
+            yield a, b
             continue
         weight = levels[depth][1][a] * levels[depth][1][b]
-        if len(a) > 1 and weight.sum() > PAIRS:
-            cut = min(max(1, int(np.searchsorted(np.cumsum(weight), PAIRS))), len(a) - 1)
+        if len(a) > 1 and weight.sum() > most:
+            cut = min(max(1, int(np.searchsorted(np.cumsum(weight), most))), len(a) - 1)
             todo += [(depth, a[cut:], b[cut:]), (depth, a[:cut], b[:cut])]
             continue
         x, y = children(levels[depth], a, b)
+        if depth == 1 and wanted is not None:
+            some = wanted(x, y)
+            x, y = x[some], y[some]
         mask, value = levels[depth - 1][3:]
-        near = np.bitwise_count((value[x] ^ value[y]) & mask[x] & mask[y]) <= radius
+        near = bits_of((value[x] ^ value[y]) & mask[x] & mask[y]) <= radius
         if near.any():
             todo.append((depth - 1, x[near], y[near]))
+
+
+def link_codes(codes: np.ndarray, cell: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest, as (code, root code), of the links inside cells."""
+    order = gray_order(codes, cell)
+    codes, cell = codes[order], cell[order]
+    unique, number = np.unique(codes, return_inverse=True)
+    forest = Forest(len(unique))
+    for a, b in tree_pairs(tree(codes, cell), radius):
+        off = a != b
+        forest.merge(number[a[off]], number[b[off]])
     moved = np.flatnonzero(forest.root != np.arange(len(unique)))
     return unique[moved], unique[forest.root[moved]]
 

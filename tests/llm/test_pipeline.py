@@ -3,6 +3,7 @@ from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
+from chronomesh.llm import nearcopies, simhash
 from chronomesh.llm.nearcopies import Judge, cell_forest, exact_links, near_copies, set_fingerprints, set_keys, shingle_set, strangers, without_copies
 from chronomesh.llm.repeats import repeated_spans
 from pyspark.sql import functions as F
@@ -210,3 +211,21 @@ def test_texts_in_other_languages_go(spark):
     planted = planted.withColumns({"doc_id": F.col("n").cast(docs.schema["doc_id"].dataType), "text": F.col("t"), "lang": F.lit(None).cast("string")}).select(*docs.columns)
     kept = corpus_pipeline.language_stage(spark, docs.union(planted), sf)
     assert kept.where("doc_id < 0").count() == 0 and kept.count() > 0.98 * docs.count()
+
+
+def test_cells_are_searched_by_a_tree_in_gray_order(monkeypatch):
+    rng = np.random.default_rng(17)
+    base = rng.integers(0, 1 << 63, (60, 4), dtype=np.uint64)[rng.integers(0, 60, 900)]
+    codes = base ^ np.array([[sum(1 << k for k in set(rng.integers(0, 64, rng.integers(0, 9)).tolist())) for _ in range(4)] for _ in range(900)], np.uint64)
+    judge, cell = Judge(codes, rng.integers(20, 90, 900), 0.8), np.sort(rng.integers(0, 12, 900))
+    met = []
+    monkeypatch.setattr(nearcopies, "tree_pairs", lambda *how: ((met.append(len(x)), (x, y))[1] for x, y in simhash.tree_pairs(*how)))
+    pairs = lambda parts: sorted(p for a, b in parts for p in zip(*(x.tolist() for x in judge.near(a, b)[:2]), strict=True))
+    whole = pairs(nearcopies.pairs_in(cell))
+    assert pairs(nearcopies.met_in(judge, cell, lambda a, b: a != b)) == whole and len(whole) > 300
+    assert 0 < sum(met) < 3 * len(whole)  # far pairs are not met
+    order = simhash.gray_order(codes, np.zeros(900))
+    ranks = [sum(int(w) << 64 * (3 - k) for k, w in enumerate(c)) for c in codes[order]]
+    for shift in (1, 2, 4, 8, 16, 32, 64, 128):
+        ranks = [r ^ (r >> shift) for r in ranks]
+    assert ranks == sorted(ranks)
