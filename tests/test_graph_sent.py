@@ -67,3 +67,22 @@ def test_searches_with_little_in_common_go_alone(spark, monkeypatch):
     want = {(a, b): 40 * (b - a) if b > a else 80 * (a - b) for a in range(100) for b in range(100)}
     own = {k: (2 if k == 201 else k) for k in (*range(100), 201)}
     assert got == {(a, b): want[own[a], own[b]] for a in own for b in own} | {(200, 200): 0}
+
+
+@pytest.mark.parametrize("kind", ["whole", "double"])
+def test_a_dense_graph_is_thinned_and_its_matrix_stays(spark, monkeypatch, kind):
+    rng = random.Random(8)
+    places = [(rng.random(), rng.random()) for _ in range(60)]
+    metres = lambda a, b: ((places[a][0] - places[b][0]) ** 2 + (places[a][1] - places[b][1]) ** 2) ** 0.5 * rng.choice((1, 2, 3))
+    edges = [(a, b, metres(a, b)) for a in range(60) for b in range(60) if a != b and rng.random() < 0.8]
+    if kind == "whole":
+        edges = [(a, b, 1 + int(w * 30)) for a, b, w in edges]
+    df = spark.createDataFrame(edges + [(70, 71, edges[0][2])], f"src long, dst long, w {'long' if kind == 'whole' else 'double'}")
+    snapped = spark.createDataFrame([(n, n) for n in (*range(60), 70, 71)], "id long, node long")
+    rows = lambda **how: {(r.i, r.j): r.seconds for r in graph.drive_matrix(df.withColumn("w", df.w * 1000), snapped, **how).collect()}
+    want = rows(kernel=False)
+    monkeypatch.setattr(graph, "THIN_EDGES", 0)
+    monkeypatch.setattr(graph, "DENSE", 8)
+    left, thin = [], graph.thinned
+    monkeypatch.setattr(graph, "thinned", lambda e: left.append(thin(e)) or left[0])
+    assert rows() == want and left[0].count() < len(edges) / 2
